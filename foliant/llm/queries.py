@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality_rules, url_filter, warc
+from . import minhash, packing, pii, quality_rules, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_pii": pii.op2_pii,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op8_minhash": minhash.op8_minhash,
         "op9_packing": packing.op9_packing,
         "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.OP5_SQL, "op10_warc": warc.OP10_SQL}
+    return {"op5_url_filter": url_filter.OP5_SQL, "op8_minhash": minhash.OP8_SQL, "op10_warc": warc.OP10_SQL}
