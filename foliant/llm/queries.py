@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, pii, quality_rules, url_filter, warc
+from . import language_model, minhash, packing, pii, quality_rules, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_pii": pii.op2_pii,
+        "op4_language_model": language_model.op4_language_model,
         "op5_url_filter": url_filter.op5_url_filter,
         "op8_minhash": minhash.op8_minhash,
         "op9_packing": packing.op9_packing,
