@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_model, minhash, packing, pii, quality_rules, url_filter, warc
+from . import fingerprints, language_model, minhash, packing, pieces, pii, quality_rules, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": pii.op2_pii,
         "op4_language_model": language_model.op4_language_model,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_sentencepiece": pieces.op6_sentencepiece,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_minhash": minhash.op8_minhash,
         "op9_packing": packing.op9_packing,
