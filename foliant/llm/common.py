@@ -29,12 +29,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/foliant/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, with_path: bool = False) -> DataFrame | tuple[DataFrame, str]:
     """df, written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return (out, path) if with_path else out
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of written() that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_batches(df: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_model, minhash, packing, pieces, pii, quality_rules, url_filter, warc
+from . import fingerprints, language_model, minhash, packing, pieces, pii, quality_rules, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_pii": pii.op2_pii,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_language_model": language_model.op4_language_model,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_sentencepiece": pieces.op6_sentencepiece,
