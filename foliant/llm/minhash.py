@@ -167,6 +167,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, key: str = "doc_id", text:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of docs, all columns, without the documents of a class that are not its first.
+
+    If an id comes more than once, equal rows stay once.
+    """
+    judged = written(near_duplicates(docs, width), "near")
+    if judged.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    dropped = judged.where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(small(written(dropped, "dropped")), F.col("doc_id") == F.col("_dropped"), "left_anti")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=4)
 

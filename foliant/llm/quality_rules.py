@@ -98,13 +98,18 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = np.array([measures(x) for x in raw(batch.column(2))], np.int64).reshape(-1, 9)
         names = [x.split()[0] for x in FEATURES.split(", ")]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(values[:, k]) for k in range(9))], ["doc_id", "stratum", *names])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(values[:, k]) for k in range(9)), batch.column(3)], ["doc_id", "stratum", *names, "row_key"])
 
 
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum (null: empty) and FEATURES of every row; a null text counts as empty."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text).alias("text"))
-    return map_arrow(rows, _measure, f"doc_id long, stratum string, {FEATURES}")
+    """doc_id, stratum (null: empty), FEATURES and row_key (see row_key) of every row; a null text counts as empty."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text).alias("text"), row_key(key, text).alias("row_key"))
+    return map_arrow(rows, _measure, f"doc_id long, stratum string, {FEATURES}, row_key string")
+
+
+def row_key(key: str = "doc_id", text: str = "text") -> Column:
+    """What tells rows apart whose verdicts can differ: id and text, also if either is null."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("none")), F.coalesce(F.col(text), F.lit(""))))
 
 
 def measure(rule: str) -> Column:
@@ -196,3 +201,9 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "rejected_by").alias("rejected_by"))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that the rules keep."""
+    rejected = written(quality(docs, labels).where("not kept").select(F.col("row_key").alias("_row")), "rejected")
+    return docs.join(small(rejected), row_key() == F.col("_row"), "left_anti")

@@ -467,6 +467,37 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
+def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """spans without the bytes of characters that they only cover in part."""
+    inside = lambda i: i < len(text) and text[i] & 0xC0 == 0x80
+    out = []
+    for a, b in spans:
+        while inside(a):
+            a += 1
+        while inside(b):
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = batch.schema.names
+        at, spans, whole = names.index("text"), batch.column("_spans").to_pylist(), batch.column("_whole").to_pylist()
+        texts = []
+        for value, text, s, w in zip(batch.column(at).is_null().to_pylist(), raw(batch.column(at)), spans, whole):
+            found = whole_characters(text, maximal(s, w, len(text)))
+            texts.append(None if value else without(text, found).decode("utf-8", "replace"))
+        batch = batch.set_column(at, "text", pa.array(texts, batch.schema.types[at]))
+        yield batch.select([n for n in names if n not in ("_spans", "_whole")])
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs, same rows and columns, without the repeated bytes of text; characters covered in part stay whole, a null text stays null."""
+    return map_arrow(repeated(docs), _stripped, docs.schema)
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
