@@ -6,11 +6,11 @@ Documents whose signatures agree on a band are candidates; similarity is confirm
 
 Pairs of a bucket are never all formed. Texts with equal word sequences count once. In each bucket
 the member with the smallest share of shingles that no other candidate has is the hub, and every
-member is compared with it. Only members that end in another component than most of their bucket
-are then compared with the bucket's other members, and of those pairs only such as can be similar:
-an intersection has at most the shingles that a side shares with any other candidate, and the
-distance 1 - J is a metric, so distances to the hub bound the distance of two members. Every
-candidate pair is thus linked, already connected, compared, or shown to be too far apart.
+member is compared with it, if it can be similar: an intersection has at most the shingles that a
+side shares with any other candidate. Only members that then are in another component than most of
+their hub's members are compared with the others, block by block, in tasks that hold an index of a
+block of outsiders and return a link for each component that an outsider joins. Every candidate
+pair is thus linked, already connected, compared, or shown to be too far apart.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ SEED = 7
 #: Similarity as a fraction: linked if 5 * intersection >= 4 * union.
 TOP, BOTTOM = 4, 5
 CHUNK = 2048
+#: Members of a hub's group in a block of outsiders, and in one that they are compared with.
+OUTSIDE, INSIDE = 512, 2048
 
 
 @lru_cache(maxsize=2)
@@ -122,29 +124,69 @@ def links(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     members = members.join(own, "doc_id", "left").select("bucket", "doc_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s"))
     members = written(members.where(BOTTOM * F.col("s") >= TOP * F.col("n")), "members")
 
-    hubs = members.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "n", "s"), F.struct(F.col("s") / F.col("n"), -F.col("doc_id"))).alias("h"), F.min("n").alias("least"), F.count("*").alias("c")).where("c > 1")
-    hubs = written(hubs.select("bucket", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.s").alias("hub_s"), "least"), "hubs")
+    hubs = members.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "n", "s"), F.struct(F.col("s") / F.col("n"), -F.col("doc_id"))).alias("h"), F.count("*").alias("c")).where("c > 1")
+    hubs = written(hubs.select("bucket", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.s").alias("hub_s")), "hubs")
     star = members.join(hubs, "bucket").where("doc_id <> hub").where(possible("n", "hub_n", "s", "hub_s"))
     star = star.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb")).distinct()
     first = written(compared(star, sets), "stars")
     near = linked(first)
 
     classes = written(connected_components(near).withColumnRenamed("node", "doc_id"), "classes")
-    placed = members.join(classes, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = placed.join(main, "bucket").join(hubs, "bucket").where("doc_id <> hub")
-    apart = first.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
-    mixed = written(mixed.join(apart, ["doc_id", "hub"], "left").select("bucket", "doc_id", "n", "s", "component", "main", "least", "d"), "mixed")
-    nearest = F.greatest(F.col("least"), TOP * F.col("n") / BOTTOM)
-    outside = mixed.where("component <> main").where((TOP + BOTTOM) * F.col("s") >= TOP * (F.col("n") + nearest))
-    outside = outside.select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("component").alias("ca"), F.col("d").alias("da"))
-    inside = mixed.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("component").alias("cb"), F.col("d").alias("db"))
-    reach = (BOTTOM - TOP) / BOTTOM + 1e-9
-    together = (outside["bucket"] == inside["bucket"]) & (F.col("ca") != F.col("cb")) & possible("na", "nb", "sa", "sb") & F.coalesce(F.abs(F.col("da") - F.col("db")) <= reach, F.lit(True))
-    rest = outside.join(inside, together).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-    second = linked(written(compared(rest, sets), "rest"))
-    return near.select("a", "b").unionByName(second.select("a", "b"))
+    placed = members.join(hubs.select("bucket", "hub"), "bucket").join(classes, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = written(placed.select("hub", "doc_id", "n", "s", "component").distinct(), "placed")
+    sizes = placed.groupBy("hub", "component").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("hub").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = mixed.select("hub", "main", F.ceil((F.col("all") - F.col("most")) / OUTSIDE).cast("int").alias("lefts"), F.ceil(F.col("all") / INSIDE).cast("int").alias("rights"))
+    second = written(met_in_blocks(placed.join(mixed, "hub"), sets), "rest")
+    return near.select("a", "b").unionByName(second)
+
+
+def met_in_blocks(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links of members outside their hub's main component with its other members.
+
+    placed: hub, doc_id, n, s, component, main, and the numbers of left and right blocks that a hub's
+    members are dealt to. Each block of outsiders meets each block of members in one task.
+    """
+    columns = ("hub", "left", "right", "doc_id", "component", "shingles")
+
+    def dealt(rows: DataFrame, left: Column, right: Column) -> DataFrame:
+        return rows.withColumn("left", left).withColumn("right", right).join(sets, "doc_id").select(*[F.col(c).alias(c) for c in columns]).groupBy("hub", "left", "right")
+
+    place = lambda blocks: F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    outside = dealt(placed.where("component <> main"), place("lefts"), every("rights"))
+    return outside.cogroup(dealt(placed, every("lefts"), place("rights"))).applyInArrow(_meet, "a long, b long")
+
+
+def _meet(outside: pa.Table, inside: pa.Table) -> pa.Table:
+    """One link for each outsider and component that it is similar to, by an index of the outsiders' shingles."""
+    pairs: list[tuple[int, int]] = []
+    if outside.num_rows and inside.num_rows:
+        docs, components = outside.column("doc_id").to_numpy(), outside.column("component").to_numpy()
+        lists = [np.array(x, np.int64) for x in outside.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in lists])
+        everything = np.concatenate(lists)
+        order = np.argsort(everything, kind="stable")
+        owner = np.repeat(np.arange(len(lists)), sizes)[order]
+        universe, starts, counts = np.unique(everything[order], return_index=True, return_counts=True)
+        done: set[tuple[int, int]] = set()
+        for doc, component, shingles in zip(inside.column("doc_id").to_pylist(), inside.column("component").to_pylist(), inside.column("shingles").to_pylist()):
+            own = np.array(shingles, np.int64)
+            at = np.minimum(np.searchsorted(universe, own), len(universe) - 1)
+            at = at[universe[at] == own]
+            width = counts[at]
+            ends = np.cumsum(width)
+            if not len(at):
+                continue
+            places = np.arange(ends[-1]) + np.repeat(starts[at] - (ends - width), width)
+            shared = np.bincount(owner[places], minlength=len(lists))
+            similar = (BOTTOM * shared >= TOP * (sizes + len(own) - shared)) & (components != component)
+            for i in np.flatnonzero(similar).tolist():
+                if (i, component) not in done:
+                    done.add((i, component))
+                    pairs.append((int(docs[i]), doc))
+    columns = list(zip(*pairs)) or [(), ()]
+    return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
