@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +34,6 @@ PRIOR = 100.0
 BLOCK_BYTES = 6_000_000
 SHARD_KEYS = 2_000_000
 END, START = np.uint64(0x454E44), np.uint64(0x5354415254)
-EMPTY = np.uint64(0)
 
 
 def held_out(key: Column) -> Column:
@@ -56,10 +54,11 @@ class Tokens:
         self.ids = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1].astype(np.int64)
+        self.inside = np.arange(len(self.ids)) - np.repeat(self.starts, self.sizes)
 
     def grams(self, order: int) -> list[np.ndarray]:
         """Keys of the n-grams that end at each token, for n = 1..order; before a text stand starts."""
-        inside = np.arange(len(self.ids)) - np.repeat(self.starts, self.sizes)
+        inside = self.inside
         out, before = [self.ids], self.ids
         for n in range(2, order + 1):
             earlier = np.empty_like(before)
@@ -69,19 +68,6 @@ class Tokens:
             out.append(before)
         return out
 
-    def histories(self, order: int) -> list[np.ndarray]:
-        """Keys of the states that can precede each token: its n - 1 tokens before, for n = 2..order."""
-        inside = np.arange(len(self.ids)) - np.repeat(self.starts, self.sizes)
-        grams = self.grams(order - 1) if order > 1 else []
-        out = []
-        for n, g in enumerate(grams, 1):
-            h = np.empty_like(g)
-            h[1:] = g[:-1]
-            h[:1] = 0
-            h[inside == 0] = start_state(n)
-            out.append(h)
-        return out
-
 
 def extended(gram: np.ndarray, earlier: np.ndarray, n: int) -> np.ndarray:
     """The key of an n-gram from that of its last n - 1 words and its first word."""
@@ -187,60 +173,47 @@ def _answer(shards: int):
 
 
 class Automaton:
-    """The states and arcs that a block can reach: keys with counts, sorted for probing."""
+    """The states and arcs that a block's tokens can reach, as the counts behind them.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens: int, types: int, order: int, prior: float):
-        self.keys, self.counts, self.order, self.prior = keys, counts, order, prior
-        self.total, self.types = tokens, types
+    seen[n - 1] has the count of the n-gram that ends at each token, starts[n - 1] that of a state of
+    n starts. The state before a token is the n-gram that ends at the token before (or the starts),
+    so an arc's weight, a failure arc's weight and the next state all follow from these counts.
+    """
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0)
+    def __init__(self, tokens: Tokens, seen: list[np.ndarray], starts: list[int], total: int, types: int, prior: float):
+        self.tokens, self.seen, self.starts = tokens, seen, starts
+        self.total, self.types, self.prior = total, types, prior
 
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1) / (self.total + self.types + 1))
+    def before(self, n: int) -> np.ndarray:
+        """The count of the state of n words that a token is read in."""
+        out = np.empty_like(self.seen[n - 1])
+        out[1:] = self.seen[n - 1][:-1]
+        inside = self.tokens.inside
+        out[inside == 0] = self.starts[n - 1]
+        return out
 
-    def walk(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text: the log10 probability by the automaton, by its unigrams, and the known tokens.
+    def walk(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: its log10 probability by the automaton and by the unigrams alone, and its known tokens.
 
-        All texts are read together from left to right. At a step each text carries a state; a token
-        is sought among the state's arcs, then along failure arcs. Arc weights are the probabilities
-        of the interpolated model, computed once for every token of the block before the walk.
+        Reading from the left, a token is sought among the arcs of the state that the tokens before it
+        led to, then along failure arcs; the arc found leads to the next state, one word longer up to
+        the order. An n-gram was only seen if its beginnings were, so the state carried to a token is
+        never too short for the longest arc that its counts show: the state sequence is known from the
+        counts, and the walk over all tokens of a block is a few passes over arrays, with the weights
+        accumulated text by text.
         """
-        grams, histories = tokens.grams(self.order), tokens.histories(self.order)
-        seen = [self.count(g) for g in grams]
-        weights = [self.unigram(seen[0])]
-        failures = []
-        probability = 10 ** weights[0]
-        for c, h in zip(seen[1:], histories):
-            before = self.count(h)
-            probability = (c + self.prior * probability) / (before + self.prior)
-            weights.append(np.log10(probability))
-            failures.append(np.log10(self.prior / (before + self.prior)))
-        length = len(tokens.sizes)
-        score = np.zeros(length)
-        order = np.argsort(-tokens.sizes, kind="stable")
-        starts, sizes = tokens.starts[order], tokens.sizes[order]
-        state = np.full(length, self.order - 1)  # words of the state: as many starts at first
-        for step in range(int(sizes[0]) if length else 0):
-            alive = int(np.searchsorted(-sizes, -step))
-            at, level = starts[:alive] + step, state[:alive]
-            cost = np.zeros(alive)
-            for n in range(self.order - 1, 0, -1):
-                missing = (level == n) & (seen[n][at] == 0)
-                cost[missing] += failures[n - 1][at[missing]]
-                level = np.where(missing, n - 1, level)
-            for n in range(self.order):
-                here = level == n
-                cost[here] += weights[n][at[here]]
-            score[:alive] += cost
-            state[:alive] = np.minimum(level + 1, self.order - 1)
-        out = np.zeros(length)
-        out[order] = score
-        if length == 0:
-            return out, out, out.astype(np.int64)
-        base = np.add.reduceat(weights[0], tokens.starts)
-        return out, base, np.add.reduceat((seen[0] > 0).astype(np.int64), tokens.starts)
+        if not len(self.tokens.sizes):
+            return np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+        unigram = np.log10((self.seen[0] + 1) / (self.total + self.types + 1))
+        arc, cost = 10**unigram, unigram.copy()
+        for n in range(1, len(self.seen)):
+            before = self.before(n)
+            arc = (self.seen[n] + self.prior * arc) / (before + self.prior)
+            found = self.seen[n] > 0
+            failure = np.log10(self.prior / (before + self.prior))
+            cost = np.where(found, np.log10(arc), cost + failure)
+        add = lambda x: np.add.reduceat(x, self.tokens.starts)
+        return add(cost), add(unigram), add((self.seen[0] > 0).astype(np.int64))
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -252,14 +225,20 @@ def _score(order: int, shards: int, prior: float, total: int, types: int):
         hashes = WordHashes()
         tokens = Tokens(body, hashes)
         grams = tokens.grams(order)
-        words, longer = np.unique(tokens.ids), np.unique(np.concatenate([*grams[1:], starts(order)]))
-        found = {s: data for s, data in zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist())}
-        keys, counts = np.concatenate([words, longer]), []
-        for offset, part in ((0, words), (shards, longer)):
-            counts += [counts_unpacked(found[offset + s], at.stop - at.start) for s, at in by_shard(part, shards)]
-        by_key = np.argsort(keys, kind="stable")
-        keys, counts = keys[by_key], np.concatenate(counts)[by_key]
-        score, base, known = Automaton(keys, counts, total, types, order, prior).walk(tokens)
+        found = dict(zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist()))
+
+        def counted(keys: np.ndarray, offset: int) -> np.ndarray:
+            keys, inverse = np.unique(keys, return_inverse=True)
+            return np.concatenate([counts_unpacked(found[offset + s], at.stop - at.start) for s, at in by_shard(keys, shards)])[inverse]
+
+        seen = [counted(grams[0], 0)]
+        if order > 1:
+            longer = counted(np.concatenate([*grams[1:], starts(order)]), shards)
+            seen += np.split(longer[: len(longer) - order + 1], order - 1)
+            first = longer[len(longer) - order + 1 :].tolist()
+        else:
+            first = []
+        score, base, known = Automaton(tokens, seen, first, total, types, prior).walk()
         n = len(body)
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": pa.array([not x for x in learn], pa.bool_()), "n_tokens": pa.array(tokens.sizes), "n_known": pa.array(known), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
 
