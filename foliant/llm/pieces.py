@@ -27,7 +27,7 @@ SPACE = "▁"
 #: Units of more characters are searched one by one, over all their substrings at once.
 LONG_UNIT = 48
 #: Units kept in a worker with their ids; at this number the memory starts anew.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 800_000
 #: What an unknown character's score lies below the lowest piece's.
 UNKNOWN_PENALTY = 10.0
 BASE = np.uint64(0x100000001B3)
@@ -81,8 +81,8 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.scores[at], -np.inf), at
 
-    def encode_equal(self, units: list[str]) -> list[list[int]]:
-        """Ids of units of one length, all advancing together."""
+    def encode_equal(self, units: list[str]) -> list[bytes]:
+        """Ids of units of one length, all advancing together (little-endian, 32 bits each)."""
         n, length = len(units), len(units[0])
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length).astype(np.uint64) + np.uint64(1)
         prefix = self.prefix_hashes(codes)
@@ -104,9 +104,29 @@ class PieceModel:
                 best[better, end] = total[better]
                 back[better, end] = start
                 piece[better, end] = at[better]
-        return [self._trace(u, back[k].tolist(), piece[k].tolist()) for k, u in enumerate(units)]
+        return self._trace_equal(units, back, piece)
 
-    def encode_long(self, unit: str) -> list[int]:
+    def _trace_equal(self, units: list[str], back: np.ndarray, piece: np.ndarray) -> list[bytes]:
+        """Follows the backpointers of all units at once, from the end; units with unknown characters go one by one."""
+        n, length = len(units), len(units[0])
+        rows, end = np.arange(n), np.full(n, length)
+        steps: list[np.ndarray] = []
+        unknown = np.zeros(n, bool)
+        while end.any():
+            last = np.where(end > 0, piece[rows, end], -2)
+            unknown |= last == -1
+            steps.append(last)
+            end = np.where(end > 0, back[rows, end], 0)
+        grid = np.stack(steps[::-1], axis=1)
+        taken = grid != -2
+        data = self.ids[grid[taken]].astype("<u4").tobytes()
+        cuts = (4 * np.concatenate([[0], np.cumsum(taken.sum(axis=1))])).tolist()
+        out = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        for k in np.flatnonzero(unknown).tolist():
+            out[k] = self._trace(units[k], back[k].tolist(), piece[k].tolist())
+        return out
+
+    def encode_long(self, unit: str) -> bytes:
         """Ids of one unit: substrings are probed for all starts at once, then scores are carried on."""
         length = len(unit)
         codes = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
@@ -128,13 +148,13 @@ class PieceModel:
                     best[end], back[end], piece[end] = best[start] + value, start, p
         return self._trace(unit, back, piece)
 
-    def _trace(self, unit: str, back: list[int], piece: list[int]) -> list[int]:
+    def _trace(self, unit: str, back: list[int], piece: list[int]) -> bytes:
         end, parts = len(unit), []
         while end:
             start = back[end]
             parts.append([int(self.ids[piece[end]])] if piece[end] >= 0 else [self.bytes[b] for b in unit[start:end].encode("utf-8", "surrogatepass")])
             end = start
-        return [i for p in reversed(parts) for i in p]
+        return np.array([i for p in reversed(parts) for i in p], "<u4").tobytes()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes joined, ▁ as space, without the space before the text."""
@@ -147,7 +167,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def units(self, text: str) -> list[str]:
         """Units of a text; an empty text has none."""
@@ -158,12 +178,13 @@ class Encoder:
             return UNIT.findall(text)
         return text.replace("\n", "\0\n\0").replace(SPACE, "\0" + SPACE)[1:].replace("\0\0", "\0").removesuffix("\0").split("\0")
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian, 32 bits each."""
         split = [self.units(x) for x in texts]
         known = self.known
         if len(known) > CACHE_UNITS:
             known.clear()
-        fresh = {u for units in split for u in units if u not in known}
+        fresh = set().union(*split).difference(known)
         by_length: dict[int, list[str]] = {}
         for u in fresh:
             by_length.setdefault(len(u), []).append(u)
@@ -175,7 +196,7 @@ class Encoder:
                 for i in range(0, len(units), 20_000):
                     part = units[i : i + 20_000]
                     known.update(zip(part, self.model.encode_equal(part)))
-        return [[i for u in units for i in known[u]] for units in split]
+        return [b"".join(map(known.__getitem__, units)) for units in split]
 
 
 @lru_cache(maxsize=1)
@@ -189,7 +210,8 @@ def _encode(path: str):
         encoder = encoder_of(path)
         for batch in batches:
             ids = encoder.encode_batch(pc.fill_null(batch.column(1), "").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            values = pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "ids"])
 
     return run
 
@@ -220,7 +242,7 @@ def _digest(path: str):
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "").to_pylist()
             ids = encoder.encode_batch(texts)
-            rows = [(len(x), zlib.crc32(np.array(x, "<u4").tobytes()), encoder.model.decode(x) == t) for x, t in zip(ids, texts)]
+            rows = [(len(x) // 4, zlib.crc32(x), encoder.model.decode(np.frombuffer(x, "<u4").tolist()) == t) for x, t in zip(ids, texts)]
             columns = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
