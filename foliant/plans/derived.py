@@ -28,6 +28,7 @@ BLOCKS = (
     "CAST(30 + (doc_id * 31 + idx * 17) % 70 AS INT) AS conf",
     "CAST((idx % 10) * 30 + CASE WHEN (idx % 10) >= 4 THEN 90 ELSE 0 END AS INT) AS y",
     "CAST(CASE idx % 3 WHEN 0 THEN 100 WHEN 1 THEN 104 ELSE 400 END AS INT) AS x",
+    "CAST(200 AS INT) AS w",
     "CAST(20 AS INT) AS h",
     "CAST(10 + (doc_id + idx) % 4 * 2 AS INT) AS font",
     "((doc_id + idx) % 5 = 0) AS bold",
