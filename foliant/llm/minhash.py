@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_arrow, raw, salted_join, small, stripped_lower, written
@@ -115,7 +115,8 @@ def links(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     rows = reps.select("doc_id", "n", F.explode("bands").alias("bucket"))
 
 
-    members = written(rows.withColumn("_c", F.count("*").over(Window.partitionBy("bucket"))).where("_c > 1").drop("_c"), "buckets")
+    shared = written(rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "shared")
+    members = written(rows.join(small(shared), "bucket", "left_semi"), "buckets")
     candidates = written(members.select("doc_id").distinct(), "candidates")
     whole = docs.join(small(candidates), "doc_id", "left_semi").select("doc_id", "text")
     sets = written(map_arrow(whole, _sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")

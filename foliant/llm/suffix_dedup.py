@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, documents, map_arrow, raw, salted_join, small, text_batches, written
@@ -398,8 +398,8 @@ def spans_of(texts: DataFrame) -> DataFrame:
     """(tid, start, end): stretches of repeated bytes of distinct texts (tid, text), which may overlap."""
     spark = texts.sparkSession
     found = map_arrow(texts, _anchors, "tid long, anchor long, hash long")
-    again = found.withColumn("_c", F.count("*").over(Window.partitionBy("hash"))).where("_c > 1")
-    kept = written(again.select("tid", "anchor"), "anchors")
+    again = written(found.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash"), "repeated")
+    kept = written(found.join(small(again), "hash", "left_semi").select("tid", "anchor"), "anchors")
     places = kept.groupBy("tid").agg(F.collect_list("anchor").alias("anchors"))
     runs, runs_path = written(map_arrow(texts.join(places, "tid").select("tid", "text", "anchors"), _runs, RUNS), "runs", with_path=True)
     blocks, keys = runs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
