@@ -57,12 +57,12 @@ TREATMENT = {
 
 
 def hits(text: Column, words: tuple[str, ...]) -> Column:
-    """How many different words a text contains."""
-    return sum((F.lower(text).contains(w).cast("int") for w in words), F.lit(0))
+    """How many different words a text (in lower case) contains; the words are one literal array, which keeps the generated code small."""
+    return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)))
 
 
 def best_category(text: Column, death: Column) -> Column:
-    """struct(hits, priority, category) of the category with most words in the text; null without any."""
+    """struct(hits, priority, category) of the category with most words in the text (in lower case); null without any."""
     scores = [F.when(F.lit(c not in DEATH_ONLY) | death, F.struct(hits(text, words).alias("hits"), F.lit(PRIORITY[c]).alias("priority"), F.lit(c).alias("category"))) for c, words in KEYWORDS.items()]
     best = F.array_max(F.array_compact(F.array(*scores)))
     return F.when(best["hits"] > 0, best)
@@ -75,7 +75,7 @@ def classified(materials: DataFrame) -> DataFrame:
     each, 0.95 at most; one without 0.3, a blank one 0; a file name that fits a rule 0.5, one that fits none 0.1.
     """
     death = F.col("case_type") == "death"
-    rows = materials.withColumn("_b", best_category(F.col("ocr_text"), death))
+    rows = materials.withColumn("_t", F.coalesce(F.lower("ocr_text"), F.lit(""))).withColumn("_b", best_category(F.col("_t"), death))
     blank = F.coalesce(stripped(F.col("ocr_text")), F.lit("")) == ""
     by_text = F.when(blank, 0.0).when(F.col("_b").isNull(), 0.3).otherwise(F.least(F.lit(0.95), F.round(0.6 + F.col("_b.hits") * 0.05, 2)))
     name = F.lit(None).cast("string")
@@ -86,7 +86,7 @@ def classified(materials: DataFrame) -> DataFrame:
     name_confidence = F.when(F.coalesce("filename", F.lit("")) == "", 0.0).when(F.col("_n").isNotNull(), 0.5).otherwise(0.1)
     use_name = (F.col("_c") < 0.5) & (name_confidence > F.col("_c"))
     category = F.when(use_name, F.coalesce("_n", F.lit("other_evidence"))).otherwise(F.coalesce("_b.category", F.lit("other_evidence")))
-    return rows.withColumn("category", category).withColumn("confidence", F.when(use_name, name_confidence).otherwise(F.col("_c"))).drop("_b", "_c", "_n")
+    return rows.withColumn("category", category).withColumn("confidence", F.when(use_name, name_confidence).otherwise(F.col("_c"))).drop("_t", "_b", "_c", "_n")
 
 
 def doc_type(text: Column) -> Column:
