@@ -143,7 +143,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def levels(rule: str, cutoffs: tuple[float, ...]) -> Column:
-    """How many of the rule's cutoffs, from the lenient end, the measure exceeds."""
+    """How many of the rule's cutoffs the measure exceeds: 1 if only the strictest, all if also the most lenient."""
     value = measure(rule)
     return sum((value > c).cast("int") for c in cutoffs)
 
@@ -173,7 +173,8 @@ def calibrate(table: DataFrame, labels: DataFrame, rules: dict[str, tuple[float,
             n = int(good.sum())
             best = 0.0
             for j, cutoff in enumerate(cutoffs):
-                k, caught = int(good[j + 1 :].sum()), int(bad[j + 1 :].sum())
+                above = len(cutoffs) - j  # a value over this cutoff is over the stricter ones too
+                k, caught = int(good[above:].sum()), int(bad[above:].sum())
                 if binomial_tail(k, n, share) > alpha / tests:
                     break
                 if caught - gain * k > best:
