@@ -4,12 +4,13 @@ A rule is a measure of a text and a list of cutoffs from lenient to strict; a do
 cutoff is rejected. For each stratum and rule, cutoffs are tested in that fixed order: "more than
 e of the good documents of this stratum are rejected" is refuted by the exact binomial tail of the
 good labelled documents that a cutoff rejects. Testing stops at the first cutoff that is not
-refuted, so the order itself costs no correction; Holm's step-down corrects for the first tests of
-all strata and rules, and Bonferroni's share holds for the later ones. With the allowed share split
-evenly over the rules, all rules together falsely reject at most max_false_rejection of a stratum's
-good documents, in all strata at once, with probability confidence. Among certified cutoffs the one
-with the most rejected bad documents for its rejected good ones is taken, the more lenient in a
-tie; a rule that gains nothing stays off.
+refuted, so the order itself costs no correction; over strata and rules, Bonferroni's corrects.
+Which rules are tested in a stratum is told by the bad labelled documents alone (a rule that rejects
+none of them gains nothing), which the tests on the good ones do not depend on. With the allowed
+share split evenly over a stratum's tested rules, all rules together falsely reject at most
+max_false_rejection of its good documents, in all strata at once, with probability confidence. Among
+certified cutoffs the one with the most rejected bad documents for its rejected good ones is taken,
+the more lenient in a tie.
 """
 
 from __future__ import annotations
@@ -159,13 +160,16 @@ def calibrate(table: DataFrame, labels: DataFrame, rules: dict[str, tuple[float,
     known = table.join(marks, "doc_id")
     stacked = known.select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), levels(r, c).alias("level")) for r, c in rules.items()])).alias("x"))
     counts = written(stacked.select("stratum", "quality", "x.*").groupBy("stratum", "rule", "level").agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad")), "levels")
-    strata = counts.select("stratum").distinct().count()
-    share, tests = max_false_rejection / len(rules), max(1, strata * len(rules))
+    tests = max(1, counts.where("level > 0 and bad > 0").select("stratum", "rule").distinct().count())
     alpha = 1 - confidence
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         out = {}
+        active = set(pdf.loc[(pdf["level"] > 0) & (pdf["bad"] > 0), "rule"])
+        share = max_false_rejection / max(1, len(active))
         for rule, cutoffs in rules.items():
+            if rule not in active:
+                continue
             part = pdf[pdf["rule"] == rule]
             good, bad = np.zeros(len(cutoffs) + 1, np.int64), np.zeros(len(cutoffs) + 1, np.int64)
             np.add.at(good, part["level"].to_numpy(), part["good"].to_numpy())
