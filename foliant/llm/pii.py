@@ -50,9 +50,14 @@ SPELLED = {
 AT_WORDS, DOT_WORDS, PLUS_WORDS = ("at", "arroba", "arobase", "ät"), ("dot", "punkt", "point", "punto"), ("plus",)
 _any = "|".join
 BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:(?P<at>{_any(AT_WORDS)}|@)|(?P<dot>{_any(DOT_WORDS)}|\.))\s*[\])}}>]\s*", re.I)
-#: "name at host dot com": words for at count only before a host with a word for dot, or after a bracketed one.
-PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9])\x20+(?:{_any(AT_WORDS)})\x20+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\x20+(?:{_any(DOT_WORDS)})\x20+[A-Za-z0-9])", re.I)
-PLAIN_DOT = re.compile(rf"(?<=[A-Za-z0-9])\x20+(?:{_any(DOT_WORDS)})\x20+(?=[A-Za-z0-9])", re.I)
+#: Words for at and dot without brackets, in pairs of a language (fixed values).
+PLAIN = (("at", "dot"), ("arroba", "punto"), ("arobase", "point"), ("ät", "punkt"))
+_host = r"([A-Za-z0-9-]+(?:(?:\.|\x20+{dot}\x20+)[A-Za-z0-9-]+)*\x20+{dot}\x20+[A-Za-z]{{2,}})(?![A-Za-z0-9])"
+#: "name at host dot com", and a host with a dot as a word after an @; the host has to end with letters.
+PLAIN_HOSTS = tuple(
+    (re.compile(rf"(?:(?<=[A-Za-z0-9])\x20+{at}\x20+|@)" + _host.format(dot=dot), re.I), re.compile(rf"\x20+{dot}\x20+", re.I)) for at, dot in PLAIN
+)
+NUMBER_DOT = re.compile(rf"(?<=[0-9])\x20+(?:{_any(DOT_WORDS)})\x20+(?=[0-9])", re.I)
 _digit = rf"(?:{_any(sorted(SPELLED, key=len, reverse=True))}|[0-9])"
 _joint = r"[\x20\-.,]{1,2}"
 #: Three or more digits in words or figures, at least one of them a word, with plus in words before.
@@ -168,13 +173,21 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
 
 
 def words(text: str) -> list[tuple[int, int, str]]:
-    """at and dot as words: an at before a host with a dot as a word, and dots within such hosts or between numbers."""
-    edits = []
-    for m in PLAIN_AT.finditer(text):
-        edits.append((m.start(), m.end(), "@"))
-    for m in PLAIN_DOT.finditer(text):
-        edits.append((m.start(), m.end(), "."))
-    return sorted(edits)
+    """at and dot as words: those of hosts, and dots between numbers."""
+    edits: dict[int, tuple[int, int, str]] = {}
+    for host, dot in PLAIN_HOSTS:
+        for m in host.finditer(text):
+            for d in dot.finditer(text, m.start(1), m.end(1)):
+                edits.setdefault(d.start(), (d.start(), d.end(), "."))
+            if text[m.start()] != "@":
+                edits.setdefault(m.start(), (m.start(), m.start(1), "@"))
+    for m in NUMBER_DOT.finditer(text):
+        edits.setdefault(m.start(), (m.start(), m.end(), "."))
+    out: list[tuple[int, int, str]] = []
+    for e in sorted(edits.values()):
+        if not out or e[0] >= out[-1][1]:
+            out.append(e)
+    return out
 
 
 def disguised(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:

@@ -35,6 +35,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import discard, documents, map_arrow, raw, salted_join, small, text_batches, written
 from .shingles import mix
@@ -422,18 +423,25 @@ def spans_of(texts: DataFrame) -> DataFrame:
     return out
 
 
-def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _spans, the stretches of a text's repeated bytes (array of start and end), and _whole if all of it is.
+def repeated(docs: DataFrame) -> DataFrame:
+    """doc_id, text, _spans (stretches of repeated bytes, array of start and end) and _whole (all of it is repeated) of every row.
 
     A null text counts as empty. A text under LENGTH bytes has no such bytes. Rows that repeat a text,
     under one id or several, repeat all of it.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    marked = docs.withColumn("_digest", F.md5(body))
-    key = F.col("doc_id").cast("long")
+    return with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).toDF("doc_id", "text", "_spans", "_whole")
+
+
+def with_spans(docs: DataFrame) -> DataFrame:
+    """The columns of docs (with doc_id and text) as col0, col1, ..., so that no name clashes with those used here, then _spans and _whole."""
+    columns = [f"col{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*columns)
+    key = F.col(columns[docs.columns.index("doc_id")]).cast("long")
+    body = F.coalesce(F.col(columns[docs.columns.index("text")]), F.lit(""))
+    marked = rows.withColumn("_digest", F.md5(body))
     narrow = written(marked.select(key.alias("doc_id"), "_digest", F.octet_length(body).alias("n")), "digests")
     odd = narrow.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count()
-    tid: Column = F.xxhash64("doc_id", "_digest") if odd else key
+    tid: Column = F.xxhash64(key, "_digest") if odd else key
     narrow = narrow.withColumn("tid", F.xxhash64("doc_id", "_digest") if odd else F.col("doc_id")).where(F.col("n") >= LENGTH)
     copies = narrow.groupBy("_digest").agg(F.min("tid").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     whole = written(salted_join(narrow, copies, "_digest", "tid").where("rep is not null").select("tid", "rep"), "copies")
@@ -443,7 +451,7 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     by_text = spans.select("tid", F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("s"), F.lit(False).alias("w"))
     by_text = by_text.unionByName(whole.select("tid", F.lit(None).cast("struct<start:int,end:int>").alias("s"), F.lit(True).alias("w")))
     by_text = by_text.groupBy("tid").agg(F.collect_list("s").alias("_spans"), F.max("w").alias("_whole"))
-    return marked.withColumn("tid", tid).join(by_text, "tid", "left").drop("tid", "_digest")
+    return marked.withColumn("tid", tid).join(by_text, "tid", "left").select(*columns, "_spans", "_whole")
 
 
 def maximal(spans: list[dict] | None, whole: bool | None, size: int) -> list[tuple[int, int]]:
@@ -481,21 +489,26 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = batch.schema.names
-        at, spans, whole = names.index("text"), batch.column("_spans").to_pylist(), batch.column("_whole").to_pylist()
-        texts = []
-        for value, text, s, w in zip(batch.column(at).is_null().to_pylist(), raw(batch.column(at)), spans, whole):
-            found = whole_characters(text, maximal(s, w, len(text)))
-            texts.append(None if value else without(text, found).decode("utf-8", "replace"))
-        batch = batch.set_column(at, "text", pa.array(texts, batch.schema.types[at]))
-        yield batch.select([n for n in names if n not in ("_spans", "_whole")])
+def _stripped(at: int):
+    """The last two columns are the spans; at is the text's place among the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, (spans, whole) = batch.columns[:-2], (c.to_pylist() for c in batch.columns[-2:])
+            texts = []
+            for value, text, s, w in zip(columns[at].is_null().to_pylist(), raw(columns[at]), spans, whole):
+                found = whole_characters(text, maximal(s, w, len(text)))
+                texts.append(None if value else without(text, found).decode("utf-8", "replace"))
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, [f"col{i}" for i in range(len(columns))])
+
+    return run
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs, same rows and columns, without the repeated bytes of text; characters covered in part stay whole, a null text stays null."""
-    return map_arrow(repeated(docs), _stripped, docs.schema)
+    schema = StructType([StructField(f"col{i}", f.dataType, True) for i, f in enumerate(docs.schema.fields)])
+    return map_arrow(with_spans(docs), _stripped(docs.columns.index("text")), schema).toDF(*docs.columns)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,5 +522,4 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = repeated(documents(spark, sf_dir).select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_spans", "_whole")
-    return map_arrow(rows, _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(repeated(documents(spark, sf_dir)), _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
