@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a narrow table (ids and a few numbers) up to which it is broadcast; about 64 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a narrow table (ids and a few numbers) up to which it is broadcast; about 20 MB.
+BROADCAST_ROWS = 200_000
 #: Rows in an Arrow batch of texts, so that a batch of long texts still fits a small worker.
 TEXT_BATCH_ROWS = 1_000
 
