@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +53,11 @@ def first_group(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def contains_any(c: Column, keywords: Sequence[str]) -> Column:
     out = F.lit(False)
     for k in keywords:
@@ -83,10 +88,13 @@ def heading_level(text: Column, font: Column, median: Column, bold: Column, cent
     base = (
         F.coalesce(heading_pattern_level(t), F.when(large & centred & (F.length(t) < 50), 2).when(large & bold, 3).when(top & (F.length(t) < 30), 1))
     )
-    up = F.greatest(F.lit(1), base - (top & bold).cast("int"))
-    up = F.greatest(F.lit(1), up - (centred & bold).cast("int"))
-    down = F.when((median > 0) & (font <= median) & ~bold & ~centred, F.least(F.lit(5), up + 1)).otherwise(up)
-    return F.when(t != "", F.when(base.isNotNull(), down))
+
+    def adjusted(level: Column) -> Column:
+        up = F.greatest(F.lit(1), level - (top & bold).cast("int"))
+        up = F.greatest(F.lit(1), up - (centred & bold).cast("int"))
+        return F.when((median > 0) & (font <= median) & ~bold & ~centred, F.least(F.lit(5), up + 1)).otherwise(up)
+
+    return F.when(t != "", let(base, lambda level: F.when(level.isNotNull(), adjusted(level))))
 
 
 def list_item(c: Column) -> Column:

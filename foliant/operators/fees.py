@@ -56,8 +56,10 @@ def parsed_receipts(receipts: DataFrame) -> DataFrame:
     The type is the file name's, else the text's. Receipts without text or total give no row.
     """
     kind = F.coalesce(filename_fee_type(F.col("filename")), text_fee_type(F.col("ocr_text")))
-    out = receipts.where("ocr_text <> ''").select("material_id", "case_id", kind.alias("k"), receipt_total(F.col("ocr_text")).alias("amount"))
-    return out.where("amount is not null").select("material_id", "case_id", "k.fee_type", "k.description", "amount")
+    # a row for each total that there is: a filter on it would compute it a second time
+    stated = F.explode(F.array_compact(F.array(receipt_total(F.col("ocr_text")))))
+    out = receipts.where("ocr_text <> ''").select("material_id", "case_id", "filename", "ocr_text", stated.alias("amount"))
+    return out.select("material_id", "case_id", kind.alias("k"), "amount").select("material_id", "case_id", "k.fee_type", "k.description", "amount")
 
 
 def receipt_details(receipts: DataFrame) -> DataFrame:

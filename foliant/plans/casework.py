@@ -61,7 +61,7 @@ def paragraph_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materials(spark, sf_dir).select("material_id", C.importance(F.col("ocr_text")).alias("importance"))
 
 
-FIELDS = ", ".join(f"trim(nullif(regexp_extract(ocr_text, '{p}', {g}), '')) AS {k}" for k, (p, g) in {**C.IDENTITY, **C.TREATMENT}.items())
+FIELDS = ", ".join(f"trim(nullif(regexp_extract(ocr_text, '{p}', {g}), '')) AS {k}" for k, (p, g, _) in {**C.IDENTITY, **C.TREATMENT}.items())
 
 
 @query("rule_extraction", f"WITH {CTE} SELECT material_id, left(string_split(trim(ocr_text), chr(10))[1], 100) AS title, {DOC_TYPE} AS doc_type, {FIELDS} FROM materials")
