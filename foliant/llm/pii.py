@@ -58,13 +58,31 @@ PLAIN_HOSTS = tuple(
     (re.compile(rf"(?:(?<=[A-Za-z0-9])\x20+{at}\x20+|@)" + _host.format(dot=dot), re.I), re.compile(rf"\x20+{dot}\x20+", re.I)) for at, dot in PLAIN
 )
 NUMBER_DOT = re.compile(rf"(?<=[0-9])\x20+(?:{_any(DOT_WORDS)})\x20+(?=[0-9])", re.I)
-_digit = rf"(?:{_any(sorted(SPELLED, key=len, reverse=True))}|[0-9])"
-_joint = r"[\x20\-.,]{1,2}"
-#: Three or more digits in words or figures, at least one of them a word, with plus in words before.
-SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:{_any(PLUS_WORDS)})\x20|\+)?(?={_digit}(?:{_joint}{_digit}){{2}})(?:{_digit})(?:{_joint}{_digit})*(?!\w)", re.I)
-SPELLED_WORD = re.compile(rf"{_any(sorted(SPELLED, key=len, reverse=True))}|{_any(PLUS_WORDS)}|[0-9+.]", re.I)
-#: A text without any of these is left as it is by every step of the transducer.
-TRIGGER = re.compile(rf"[^\x00-\xa0\xc0-\xd6\xd8-\xf6\xf8-\u024f]|[\[({{<]\s*(?:{_any(AT_WORDS)}|{_any(DOT_WORDS)}|[@.])\s*[\])}}>]|\x20(?:{_any(DOT_WORDS)})\x20|(?<!\w)(?:{_digit}{_joint}){{2}}{_digit}(?!\w)", re.I)
+_word = rf"(?:{_any(sorted(SPELLED, key=len, reverse=True))})"
+_number = rf"(?:{_word}|[0-9]+)"
+_joint = rf"(?:[\x20\-.,]{{1,2}}|\x20(?:{_any(DOT_WORDS)})\x20)"
+#: Three or more digits in words or figures (of which the step asks for one in words), with plus before.
+SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:{_any(PLUS_WORDS)})\x20|\+)?{_number}(?:{_joint}{_number}){{2,}}(?!\w)", re.I)
+SPELLED_PART = re.compile(rf"(?P<word>{_word}|{_any(PLUS_WORDS)})|(?P<dot>\.|{_any(DOT_WORDS)})|[0-9+]+", re.I)
+UNUSUAL = re.compile("[^\x00-\xa0\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
+ADJACENT = re.compile(rf"(?<!\w)(?:{_word}{_joint}{_number}|{_number}{_joint}{_word})(?!\w)", re.I)
+BLANKS = str.maketrans("-.,", "   ")
+
+
+def may_be_disguised(text: str) -> bool:
+    """False only if every step of the transducer leaves the text as it is; cheap tests go first."""
+    if not text.isascii() and UNUSUAL.search(text):
+        return True
+    if any(c in text for c in "[({<") and BRACKETED.search(text):
+        return True
+    low = text.lower()
+    if any(f" {w} " in low for w in DOT_WORDS):
+        return True
+    tokens = low.translate(BLANKS).split()
+    spelled = SPELLED.keys() & set(tokens)
+    if not spelled or sum(map(tokens.count, spelled)) < 2 and not any(c in text for c in "0123456789"):
+        return False
+    return ADJACENT.search(text) is not None
 
 
 def luhn(digits: str) -> bool:
@@ -157,17 +175,19 @@ def brackets(text: str) -> list[tuple[int, int, str]]:
 
 
 def spelled_digits(text: str) -> list[tuple[int, int, str]]:
-    """Runs of digits with a word among them, written as figures; dots in words or figures stay as dots."""
+    """Runs of digits with a word among them, written as figures without what stands between; dots in words or figures stay."""
     edits = []
     for m in SPELLED_RUN.finditer(text):
-        if not any(c.isalpha() for c in m[0]):
+        if not re.search(rf"(?<!\w){_word}(?!\w)", m[0], re.I):
             continue
         last = m.start()
-        for w in SPELLED_WORD.finditer(text, m.start(), m.end()):
+        for w in SPELLED_PART.finditer(text, m.start(), m.end()):
             if last < w.start():
                 edits.append((last, w.start(), ""))
-            word = w[0].lower()
-            edits.append((w.start(), w.end(), SPELLED.get(word, "+" if word in PLUS_WORDS else word)))
+            if w["dot"]:
+                edits.append((w.start(), w.end(), "."))
+            elif w["word"]:
+                edits.append((w.start(), w.end(), SPELLED.get(w[0].lower(), "+")))
             last = w.end()
     return edits
 
@@ -192,7 +212,7 @@ def words(text: str) -> list[tuple[int, int, str]]:
 
 def disguised(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
     """Spans of the source that only show after rewriting, by kind; none overlaps one of base's kind."""
-    if not TRIGGER.search(text):
+    if not may_be_disguised(text):
         return {}
     tape = Tape(text)
     for step in (characters, brackets, words, spelled_digits):
