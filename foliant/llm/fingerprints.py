@@ -20,6 +20,8 @@ SEEDS = (1, 2)
 BITS = 64 * len(SEEDS)
 #: Documents of a range whose neighbours meet in one task.
 RANGE_ROWS = 2_000
+#: Quantiles of ids that the driver takes.
+MOST_CUTS = 256
 LANES = 0x0000000100000001
 
 
@@ -76,26 +78,33 @@ def likeness(a: Column, b: Column) -> Column:
     return 1.0 - distance(a, b) / float(BITS)
 
 
-def range_cuts(ids: DataFrame, range_rows: int = RANGE_ROWS) -> list[int]:
-    """Ascending quantiles of doc_id that part the rows into ranges of near range_rows rows."""
-    n = ids.count()
-    parts = max(1, -(-n // range_rows))
-    if parts == 1:
-        return []
-    at = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    return sorted(set(ids.select(F.percentile_approx("doc_id", at, 100 * parts).alias("q")).first()["q"] or ()))
+def range_cuts(ids: DataFrame, range_rows: int = RANGE_ROWS, most: int = MOST_CUTS) -> tuple[list[int], int]:
+    """(cuts, parts): ascending ids from the least to past the largest, by quantiles, and into how many ranges the ids
+    between two cuts are parted evenly, so that a range has near range_rows rows.
+
+    There are at most `most` cuts, whatever the number of rows; the rest is arithmetic.
+    """
+    n, least, largest = ids.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    if not n:
+        return [0, 1], 1
+    wanted = max(1, -(-n // range_rows))
+    quantiles = min(wanted, most)
+    at = F.array(*[F.lit(i / quantiles) for i in range(1, quantiles)])
+    inner = ids.select(F.percentile_approx("doc_id", at, 100 * quantiles).alias("q")).first()["q"] if quantiles > 1 else []
+    return sorted({least, *inner, largest + 1}), -(-wanted // quantiles)
 
 
-def range_of(key: Column, cuts: list[int]) -> Column:
-    """How many cuts are at or below key, found by halving."""
+def range_of(key: Column, cuts: list[int], parts: int) -> Column:
+    """The range of an id, rising with it: found by halving among the cuts, then by its share of the way to the next cut."""
 
     def search(low: int, high: int) -> Column:
         if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key < F.lit(cuts[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+            share = F.floor((key.cast("double") - float(cuts[low])) * parts / float(cuts[low + 1] - cuts[low]))
+            return F.lit(low * parts).cast("long") + F.least(share, F.lit(parts - 1)).cast("long")
+        middle = (low + high + 1) // 2
+        return F.when(key < F.lit(cuts[middle]), search(low, middle - 1)).otherwise(search(middle, high))
 
-    return search(0, len(cuts))
+    return search(0, len(cuts) - 2)
 
 
 def in_ranges(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -105,7 +114,7 @@ def in_ranges(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     largest id of the nearest range below that has one; the lowest range gets the largest of all, as
     the first document follows the last. Ties of an id go by text.
     """
-    place = range_of(F.col("doc_id"), range_cuts(docs.select("doc_id"), range_rows))
+    place = range_of(F.col("doc_id"), *range_cuts(docs.select("doc_id"), range_rows))
     tops = docs.where("doc_id is not null").groupBy(place.alias("range")).agg(F.max_by("doc_id", F.struct("doc_id", F.xxhash64("text"))).alias("doc_id"))
     tops = written(tops, "tops")
     ranges = Window.orderBy("range")

@@ -14,8 +14,9 @@ def bits(a: str, b: str) -> int:
     return bin(int(a, 16) ^ int(b, 16)).count("1")
 
 
-@pytest.mark.parametrize("range_rows", [30, 1_000])
-def test_edited_texts_and_neighbours(documents, texts, range_rows):
+@pytest.mark.parametrize(("range_rows", "cuts"), [(30, 256), (10, 3), (1_000, 256)])
+def test_edited_texts_and_neighbours(documents, texts, monkeypatch, range_rows, cuts):
+    monkeypatch.setattr(F7.range_cuts, "__defaults__", (range_rows, cuts))
     got = {r.doc_id: r for r in F7.edited_fingerprints(documents.select("doc_id", "text"), range_rows).collect()}
     ids = sorted(texts, reverse=True)
     assert got.keys() == texts.keys()
@@ -28,6 +29,14 @@ def test_edited_texts_and_neighbours(documents, texts, range_rows):
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.9
 
 
+def test_ranges_rise_with_ids(spark):
+    ids = [-(1 << 62), -5, 0, 1, 2, 3, 4, 10**6, 10**6 + 1, 1 << 62]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for rows, most in ((1, 2), (2, 3), (1, 256), (100, 256)):
+        got = [r.x for r in df.select("doc_id", F7.range_of(F7.F.col("doc_id"), *F7.range_cuts(df, rows, most)).alias("x")).orderBy("doc_id").collect()]
+        assert got == sorted(got) and got[0] >= 0
+
+
 def test_no_python_in_the_plan(documents):
     plan = F7.edited_fingerprints(documents.select("doc_id", "text"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
