@@ -212,3 +212,42 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that the rules keep."""
     rejected = written(quality(docs, labels).where("not kept").select(F.col("row_key").alias("_row")), "rejected")
     return docs.join(small(rejected), row_key() == F.col("_row"), "left_anti")
+
+
+def _sql() -> str:
+    """The query in SQL: base measures by lists of words, levels, exact tails by logarithms of the gamma function, cutoffs."""
+    sources = {"symbols_per_word": ("n_symbols", "n_words"), "capitals_share": ("n_capitals", "word_chars"), "marks_per_word": ("n_marks", "n_words"), "echoes_share": ("n_echoes", "n_words"), "repeated_share": ("n_repeat_words", "n_words"), "dup_lines_share": ("n_dup_lines", "n_lines")}
+    values = ", ".join(f"CASE WHEN {b} > 0 THEN {a} / CAST({b} AS DOUBLE) ELSE 0 END AS {r}" for r, (a, b) in sources.items())
+    cuts = ", ".join(f"('{r}', {j}, CAST({c!r} AS DOUBLE))" for r, cs in RULES.items() for j, c in enumerate(cs))
+    measured = " UNION ALL ".join(f"SELECT k, doc_id, stratum, '{r}' AS rule, {r} AS v FROM m" for r in RULES)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS stratum FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+l AS (SELECT k, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT k, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5),
+gs AS (SELECT k, i, list_slice(w, i, i + 4) AS g FROM g),
+gc AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM gs) WHERE c > 1),
+rep AS (SELECT k, count(*) AS n FROM (SELECT DISTINCT k, unnest(range(i, i + 5)) AS p FROM gc) GROUP BY 1),
+f AS (SELECT w.k, doc_id, stratum, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l.l) - len(list_distinct(l.l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals, length(t) - length(replace(t, '!', '')) AS n_marks, len(l.l) AS n_lines,
+  coalesce(list_sum(list_transform(range(2, len(w.w) + 1), lambda i: CAST(w.w[i] = w.w[i - 1] AS INT))), 0) AS n_echoes
+  FROM w JOIN l ON l.k = w.k LEFT JOIN rep ON rep.k = w.k),
+m AS (SELECT *, {values} FROM f),
+v AS ({measured}),
+cuts(rule, j, c) AS (VALUES {cuts}),
+lab AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+tested AS (SELECT v.stratum, v.rule, cuts.j, cuts.c, count(*) FILTER (q > 0) AS n, count(*) FILTER (q > 0 AND v > c) AS fp, count(*) FILTER (q <= 0 AND v > c) AS tp FROM v JOIN lab USING (doc_id) JOIN cuts USING (rule) GROUP BY 1, 2, 3, 4),
+active AS (SELECT stratum, rule FROM tested GROUP BY 1, 2 HAVING max(tp) > 0),
+share AS (SELECT stratum, {MAX_FALSE_REJECTION} / count(*) AS e FROM active GROUP BY 1),
+tails AS (SELECT t.*, CASE WHEN fp > n * e THEN 1 ELSE list_sum(list_transform(range(0, fp + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(e) + (n - i) * ln(1 - e)))) END AS p FROM tested t JOIN active USING (stratum, rule) JOIN share USING (stratum)),
+certified AS (SELECT *, max(CAST(p > {1 - CONFIDENCE!r} / (SELECT count(*) FROM active) AS INT)) OVER (PARTITION BY stratum, rule ORDER BY j) AS stopped FROM tails),
+chosen AS (SELECT stratum, rule, arg_max(c, (tp - {GAIN} * fp) * 1000 - j) AS c FROM certified WHERE stopped = 0 AND tp - {GAIN} * fp > 0 GROUP BY 1, 2),
+hit AS (SELECT DISTINCT v.k, v.rule FROM v JOIN chosen USING (stratum, rule) WHERE v.v > chosen.c),
+names AS (SELECT k, string_agg(rule, ',' ORDER BY list_position([{", ".join(repr(r) for r in RULES)}], rule)) AS r FROM hit GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND names.r IS NULL AS kept, coalesce(names.r, '') AS rejected_by FROM m LEFT JOIN names ON names.k = m.k
+"""
+
+
+OP1_SQL = _sql()

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.OP5_SQL, "op8_minhash": minhash.OP8_SQL, "op10_warc": warc.OP10_SQL}
+    return {"op1_quality_rules": quality_rules.OP1_SQL, "op3_suffix_dedup": suffix_dedup.OP3_SQL, "op5_url_filter": url_filter.OP5_SQL, "op8_minhash": minhash.OP8_SQL, "op10_warc": warc.OP10_SQL}

@@ -523,3 +523,20 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_arrow(repeated(documents(spark, sf_dir)), _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+OP3_SQL = """
+WITH b AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT k, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM b WHERE length(h) >= 400),
+w AS (SELECT k, i, md5(substr(h, 2 * i + 1, 400)) AS x FROM p),
+r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY x) AS c FROM w) WHERE c > 1),
+g AS (SELECT k, i, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) <= 200 THEN 0 ELSE 1 END AS s FROM r),
+n AS (SELECT k, i, sum(s) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM g),
+sp AS (SELECT k, g, min(i) AS a, max(i) + 200 AS e FROM n GROUP BY 1, 2),
+ends AS (SELECT k, 0 AS a, coalesce(min(sp.a), any_value(length(b.h)) // 2) AS e FROM b LEFT JOIN sp USING (k) GROUP BY k
+  UNION ALL SELECT sp.k, sp.e, coalesce(lead(sp.a) OVER (PARTITION BY sp.k ORDER BY sp.a), length(b.h) // 2) FROM sp JOIN b USING (k)),
+kept AS (SELECT k, string_agg(substr(b.h, 2 * ends.a + 1, 2 * (ends.e - ends.a)), '' ORDER BY ends.a) AS t FROM ends JOIN b USING (k) GROUP BY 1),
+cnt AS (SELECT k, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM sp GROUP BY 1)
+SELECT b.doc_id, CAST(length(b.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.t)) AS kept_sha256
+FROM b JOIN kept USING (k) LEFT JOIN cnt USING (k)
+"""

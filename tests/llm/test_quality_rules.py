@@ -85,3 +85,9 @@ def test_edges(spark, edge, empty):
     assert Q.quality(empty, labels).count() == 0
     kept = Q.kept_documents(edge, labels)
     assert kept.columns == edge.columns and kept.where("doc_id is null").count() == 1
+
+
+def test_equals_sql(spark, sf_dir, duck):
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+    got = sorted(map(tuple, Q.op1_quality_rules(spark, sf_dir).select(*columns).collect()))
+    assert got == sorted(duck.sql(f"SELECT {', '.join(columns)} FROM ({Q.OP1_SQL})").fetchall())
