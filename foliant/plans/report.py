@@ -28,7 +28,7 @@ def titles_and_purposes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers(spark, sf_dir).select("material_id", R.title(F.col("category"), F.col("filename"), found, patient).alias("title"), R.purpose(F.col("category"), patient, F.lit(None).cast("double"), F.lit(False)).alias("purpose"))
 
 
-@query("fee_summary_text", f"""WITH {PARSED_CTE}, k AS (SELECT case_id, material_id, concat(fee_type, ' ', printf('%.2f', CAST(amount AS DOUBLE)), '元') AS t, amount, row_number() OVER (PARTITION BY case_id ORDER BY material_id) AS k FROM parsed)
+@query("fee_summary_text", f"""WITH {PARSED_CTE}, k AS (SELECT case_id, material_id, concat(fee_type, ' ', printf('%.2f', CAST(amount AS DOUBLE)), '元') AS t, amount, row_number() OVER (PARTITION BY case_id ORDER BY material_id, concat(fee_type, ' ', printf('%.2f', CAST(amount AS DOUBLE)), '元')) AS k FROM parsed)
 SELECT case_id, concat(string_agg(t, '；' ORDER BY k) FILTER (k <= 5), CASE WHEN count(*) > 5 THEN concat(' 等共', CAST(count(*) AS STRING), '项') ELSE '' END, '，合计：', printf('%.2f', CAST(sum(amount) AS DOUBLE)), '元') AS summary FROM k GROUP BY 1""")
 def fee_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import fees
