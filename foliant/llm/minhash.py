@@ -36,7 +36,7 @@ SEED = 7
 TOP, BOTTOM = 4, 5
 CHUNK = 2048
 #: Members of a hub's group in a block of outsiders, and in one that they are compared with.
-OUTSIDE, INSIDE = 512, 2048
+OUTSIDE, INSIDE = 256, 512
 
 
 @lru_cache(maxsize=2)
@@ -138,7 +138,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     sizes = placed.groupBy("hub", "component").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("hub").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"), F.count("*").alias("parts")).where("parts > 1")
     mixed = mixed.select("hub", "main", F.ceil((F.col("all") - F.col("most")) / OUTSIDE).cast("int").alias("lefts"), F.ceil(F.col("all") / INSIDE).cast("int").alias("rights"))
-    second = written(met_in_blocks(placed.join(mixed, "hub"), sets), "rest")
+    second = written(met_in_blocks(placed.join(small(written(mixed, "mixed")), "hub"), sets), "rest")
     return near.select("a", "b").unionByName(second)
 
 
