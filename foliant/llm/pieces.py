@@ -1,14 +1,18 @@
-"""SentencePiece encoding by a batched Viterbi search in numpy, and decoding.
+"""SentencePiece encoding in numpy batches, by merges or by a Viterbi search, and decoding.
 
 A text is written with ▁ for spaces and one before it, and falls apart into units that no piece
-crosses. Units of equal length advance together: at each end position the hashes of all substrings
-that end there are sought among the sorted hashes of the pieces, and a vectorised maximum keeps the
-best score and its backpointer. A character without a piece costs less than any piece and is written
-as its UTF-8 bytes. Of equal scores the one whose last piece is longest wins.
+crosses. Units of equal length advance together; hashes of substrings are sought among the sorted
+hashes of the pieces. A character without a piece is written as its UTF-8 bytes.
+
+A BPE model's scores are ranks: each pass merges in every unit the adjacent pair whose piece ranks
+best, of equal ones the leftmost, until no pair makes a piece. A unigram model's scores are log
+probabilities: at each end position a vectorised maximum keeps the best sum and its backpointer; an
+unknown character costs less than any piece, and of equal sums the one whose last piece is longest wins.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -162,11 +166,114 @@ class PieceModel:
         return data.removeprefix(b" ").decode("utf-8", "replace")
 
 
-class Encoder:
-    """Ids of texts, with the ids of units remembered from batch to batch."""
+class MergeModel(PieceModel):
+    """Pieces of a BPE model: units are encoded by merging adjacent symbols, the best-ranked pair first."""
 
     def __init__(self, path: str):
-        self.model = PieceModel(path)
+        super().__init__(path)
+        if {x.type for x in _proto(path).pieces} & {4, 5}:
+            raise ValueError("user-defined or unused pieces are not merged by rank alone")
+        texts = (self.out[i].decode().replace(" ", SPACE) for i in self.ids.tolist())
+        self.ranked = dict(zip(texts, zip(self.scores.tolist(), self.ids.tolist())))
+        self.powers = np.ones(self.longest + 1, np.uint64)
+        for k in range(1, len(self.powers)):
+            self.powers[k : k + 1] = self.powers[k - 1 : k] * BASE
+
+    def _between(self, prefix: np.ndarray, rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """probe() of the substrings [start, end) of rows."""
+        width = end - start
+        keys = mix(prefix[rows, end] - prefix[rows, start] * self.powers[np.minimum(width, self.longest)] + width.astype(np.uint64))
+        score, at = self.probe(keys)
+        return np.where(width > self.longest, -np.inf, score), at
+
+    def encode_equal(self, units: list[str]) -> list[bytes]:
+        """Ids of units of one length; each pass merges one pair in every unit that still has one."""
+        n, length = len(units), len(units[0])
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length).astype(np.uint64) + np.uint64(1)
+        prefix = self.prefix_hashes(codes)
+        after = np.tile(np.arange(1, length + 1), (n, 1))
+        before = np.tile(np.arange(-1, length), (n, 1))
+        begins = np.ones((n, length), bool)
+        #: The score of the pair whose left symbol begins here.
+        pair = np.full((n, length), -np.inf)
+        if length > 1:
+            pair[:, :-1] = self.probe(mix(prefix[:, 2:] - prefix[:, :-2] * self.powers[2] + np.uint64(2)))[0] if self.longest > 1 else -np.inf
+        rows = np.arange(n)
+        while len(rows):
+            left = pair[rows].argmax(axis=1)
+            some = pair[rows, left] > -np.inf
+            rows, left = rows[some], left[some]
+            middle = after[rows, left]
+            end = after[rows, middle]
+            after[rows, left], before[rows, end] = end, left
+            begins[rows, middle], pair[rows, middle] = False, -np.inf
+            more = end < length
+            pair[rows, left] = -np.inf
+            pair[rows[more], left[more]] = self._between(prefix, rows[more], left[more], after[rows[more], end[more]])[0]
+            first = before[rows, left]
+            more = first >= 0
+            pair[rows[more], first[more]] = self._between(prefix, rows[more], first[more], end[more])[0]
+        row, start = np.nonzero(begins)
+        score, at = self._between(prefix, row, start, after[row, start])
+        data = self.ids[at].astype("<u4").tobytes()
+        cuts = (4 * np.concatenate([[0], np.cumsum(begins.sum(axis=1))])).tolist()
+        out = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        for k in np.unique(row[score == -np.inf]).tolist():
+            out[k] = self._symbols(units[k], np.flatnonzero(begins[k]).tolist())
+        return out
+
+    def encode_long(self, unit: str) -> bytes:
+        """Ids of one unit, with the pairs in a heap."""
+        length, ranked = len(unit), self.ranked
+        after, before, begins = list(range(1, length + 1)), list(range(-1, length)), bytearray(b"\1" * length)
+        heap: list[tuple[float, int, int]] = []
+
+        def meet(start: int, end: int) -> None:
+            if end - start <= self.longest and (found := ranked.get(unit[start:end])):
+                heapq.heappush(heap, (-found[0], start, end))
+
+        for start in range(length - 1):
+            meet(start, start + 2)
+        while heap:
+            _, left, end = heapq.heappop(heap)
+            if not begins[left] or (middle := after[left]) == length or after[middle] != end:
+                continue
+            after[left], before[end], begins[middle] = end, left, 0
+            if end < length:
+                meet(left, after[end])
+            if before[left] >= 0:
+                meet(before[left], end)
+        return self._symbols(unit, [k for k in range(length) if begins[k]])
+
+    def _symbols(self, unit: str, starts: list[int]) -> bytes:
+        """Ids of a unit's symbols; those without a piece as bytes."""
+        ids: list[int] = []
+        for a, b in zip(starts, [*starts[1:], len(unit)]):
+            found = self.ranked.get(unit[a:b])
+            ids += [found[1]] if found else [self.bytes[x] for x in unit[a:b].encode("utf-8", "surrogatepass")]
+        return np.array(ids, "<u4").tobytes()
+
+
+def _proto(path: str):
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(path, "rb") as f:
+        return sentencepiece_model_pb2.ModelProto.FromString(f.read())
+
+
+def model_of(path: str) -> PieceModel:
+    """The model in a file, encoding as its kind does: BPE by merges, unigram by the best sum."""
+    kind = _proto(path).trainer_spec.model_type
+    if kind not in (1, 2):
+        raise ValueError("neither a unigram nor a BPE model")
+    return MergeModel(path) if kind == 2 else PieceModel(path)
+
+
+class Encoder:
+    """Ids of texts, with the ids of units remembered from batch to batch; a plain Viterbi search if no model is given."""
+
+    def __init__(self, path: str, model: PieceModel | None = None):
+        self.model = model or PieceModel(path)
         self.known: dict[str, bytes] = {}
 
     def units(self, text: str) -> list[str]:
@@ -202,7 +309,7 @@ class Encoder:
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
     """One encoder for all tasks of a worker, so that units stay known from task to task."""
-    return Encoder(path)
+    return Encoder(path, model_of(path))
 
 
 def _encode(path: str):

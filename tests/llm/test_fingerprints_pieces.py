@@ -120,3 +120,24 @@ def test_round_trips(documents, texts, edge, empty):
     again = {r.doc_id: r.text for r in P6.decoded(P6.encoded(edge, path), path).collect()}
     assert again[8] == "ünïcödé 日本語 🙂 text" and again[3] == "" and again[7] == "\t \n"
     assert P6.encoded(empty, path).count() == 0
+
+
+def test_equals_sentencepiece(texts, spark):
+    import sentencepiece
+
+    path = P6.production_model()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(5)
+    samples = [*texts.values(), "", "\n", "\n\n a", "a\n", "des Elle", "  x  y ", "日本語 テスト\n🙂", "\0a b", " " * 40, " " * 300 + "x", "x" * 90 + "é" * 30, "▁", "ｘ\u00a0y" * 40, "日本語テスト🙂" * 30]
+    samples += ["".join(rng.choices("aeinrst  ▁\nﬁ語🙂", k=rng.randrange(120))) for _ in range(300)]
+    for s, ids in zip(samples, P6.encoder_of(path).encode_batch(samples)):
+        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(s), s
+    got = P6.encoded(spark.createDataFrame([(1, "des Elle")], "doc_id long, text string"), path).first()
+    assert got.ids == sp.encode("des Elle")
+
+
+def test_long_and_short_units_merge_alike():
+    model, rng = P6.model_of(P6.production_model()), random.Random(6)
+    for length in (1, 2, 3, 9, 30):
+        units = ["".join(rng.choices("aeinrst▁語🙂0", k=length)) for _ in range(100)]
+        assert model.encode_equal(units) == [model.encode_long(u) for u in units]
