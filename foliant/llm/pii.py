@@ -52,11 +52,14 @@ _any = "|".join
 BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:(?P<at>{_any(AT_WORDS)}|@)|(?P<dot>{_any(DOT_WORDS)}|\.))\s*[\])}}>]\s*", re.I)
 #: Words for at and dot without brackets, in pairs of a language (fixed values).
 PLAIN = (("at", "dot"), ("arroba", "punto"), ("arobase", "point"), ("ät", "punkt"))
-_host = r"([A-Za-z0-9-]+(?:(?:\.|\x20+{dot}\x20+)[A-Za-z0-9-]+)*\x20+{dot}\x20+[A-Za-z]{{2,}})(?![A-Za-z0-9])"
+_labels = r"[A-Za-z0-9-]+(?:(?:\.|\x20+{dot}\x20+)[A-Za-z0-9-]+)*"
+_host = rf"({_labels}\x20+{{dot}}\x20+[A-Za-z]{{{{2,}}}})(?![A-Za-z0-9])"
 #: "name at host dot com", and a host with a dot as a word after an @; the host has to end with letters.
 PLAIN_HOSTS = tuple(
     (re.compile(rf"(?:(?<=[A-Za-z0-9])\x20+{at}\x20+|@)" + _host.format(dot=dot), re.I), re.compile(rf"\x20+{dot}\x20+", re.I)) for at, dot in PLAIN
 )
+#: "name at host.com", which counts only if a step before made one of the dots.
+MADE_HOSTS = tuple(re.compile(rf"(?<=[A-Za-z0-9])\x20+{at}\x20+({_labels.format(dot=dot)}\.[A-Za-z]{{2,}})(?![A-Za-z0-9])", re.I) for at, dot in PLAIN)
 NUMBER_DOT = re.compile(rf"(?<=[0-9])\x20+(?:{_any(DOT_WORDS)})\x20+(?=[0-9])", re.I)
 _word = rf"(?:{_any(sorted(SPELLED, key=len, reverse=True))})"
 _number = rf"(?:{_word}|[0-9]+)"
@@ -64,21 +67,26 @@ _joint = rf"(?:[\x20\-.,]{{1,2}}|\x20(?:{_any(DOT_WORDS)})\x20)"
 #: Three or more digits in words or figures (of which the step asks for one in words), with plus before.
 SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:{_any(PLUS_WORDS)})\x20|\+)?{_number}(?:{_joint}{_number}){{2,}}(?!\w)", re.I)
 SPELLED_PART = re.compile(rf"(?P<word>{_word}|{_any(PLUS_WORDS)})|(?P<dot>\.|{_any(DOT_WORDS)})|[0-9+]+", re.I)
-UNUSUAL = re.compile("[^\x00-\xa0\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
 ADJACENT = re.compile(rf"(?<!\w)(?:{_word}{_joint}{_number}|{_number}{_joint}{_word})(?!\w)", re.I)
-BLANKS = str.maketrans("-.,", "   ")
+WORD = re.compile(r"\w+")
+
+
+def folded(text: str) -> str:
+    """text in lower case, with both other forms of i as i: patterns that ignore case take them for it."""
+    low = text.lower()
+    return low if low.isascii() else low.replace("i\u0307", "i").replace("\u0131", "i")
 
 
 def may_be_disguised(text: str) -> bool:
     """False only if every step of the transducer leaves the text as it is; cheap tests go first."""
-    if not text.isascii() and UNUSUAL.search(text):
+    if not text.isascii() and unusual().search(text):
         return True
     if any(c in text for c in "[({<") and BRACKETED.search(text):
         return True
-    low = text.lower()
+    low = folded(text)
     if any(f" {w} " in low for w in DOT_WORDS):
         return True
-    tokens = low.translate(BLANKS).split()
+    tokens = WORD.findall(low)
     spelled = SPELLED.keys() & set(tokens)
     if not spelled or sum(map(tokens.count, spelled)) < 2 and not any(c in text for c in "0123456789"):
         return False
@@ -142,6 +150,12 @@ def look_alike(c: str) -> str | None:
     return plain if len(plain) == 1 and plain.isascii() and c not in "ªº²³¹" else None
 
 
+@lru_cache(maxsize=1)
+def unusual() -> re.Pattern:
+    """Matches exactly the characters that characters() rewrites; none lies beyond U+1FFFF."""
+    return re.compile(f"[{''.join(c for c in map(chr, range(0xA0, 0x20000)) if look_alike.__wrapped__(c) is not None)}]")
+
+
 class Tape:
     """A text being rewritten: each character knows the source span that it came from, and if it was changed."""
 
@@ -187,20 +201,52 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
             if w["dot"]:
                 edits.append((w.start(), w.end(), "."))
             elif w["word"]:
-                edits.append((w.start(), w.end(), SPELLED.get(w[0].lower(), "+")))
+                edits.append((w.start(), w.end(), SPELLED.get(folded(w[0]), "+")))
             last = w.end()
     return edits
 
 
-def words(text: str) -> list[tuple[int, int, str]]:
-    """at and dot as words: those of hosts, and dots between numbers."""
+def dots_before(text: str, end: int, dot: str) -> Iterator[tuple[int, int, str]]:
+    """Dots as words in the local part that ends at end."""
+    while True:
+        start = end
+        while start > 0 and text[start - 1] in LOCAL:
+            start -= 1
+        word = start
+        while word > 0 and text[word - 1] == " ":
+            word -= 1
+        first = word - len(dot)
+        if start == end or word == start or first < 2 or folded(text[first:word]) != dot:
+            return
+        end = first
+        while end > 0 and text[end - 1] == " ":
+            end -= 1
+        if end in (0, first) or text[end - 1] not in LOCAL:
+            return
+        yield end, start, "."
+
+
+def words(text: str, changed: bytes = b"") -> list[tuple[int, int, str]]:
+    """at and dot as words: those of addresses, and dots between numbers. changed marks characters that a step before made.
+
+    Before an @ that a step made (its word's language is gone) only the English dot is read in the local part.
+    """
     edits: dict[int, tuple[int, int, str]] = {}
-    for host, dot in PLAIN_HOSTS:
-        for m in host.finditer(text):
+    for (host, dot), made, (_, word) in zip(PLAIN_HOSTS, MADE_HOSTS, PLAIN):
+        found = list(host.finditer(text))
+        if any(changed):
+            found += [m for m in made.finditer(text) if any(text[k] == "." and changed[k] for k in range(*m.span(1)))]
+        for m in found:
             for d in dot.finditer(text, m.start(1), m.end(1)):
                 edits.setdefault(d.start(), (d.start(), d.end(), "."))
             if text[m.start()] != "@":
                 edits.setdefault(m.start(), (m.start(), m.start(1), "@"))
+            edits.update({e[0]: e for e in dots_before(text, m.start(), word) if e[0] not in edits})
+    at = text.find("@") if any(changed) else -1
+    while at >= 0:
+        if changed[at]:
+            edits.update({e[0]: e for e in dots_before(text, at, "dot") if e[0] not in edits})
+        at = text.find("@", at + 1)
     for m in NUMBER_DOT.finditer(text):
         edits.setdefault(m.start(), (m.start(), m.end(), "."))
     out: list[tuple[int, int, str]] = []
@@ -210,13 +256,20 @@ def words(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def rewritten(text: str) -> Tape:
+    tape = Tape(text)
+    for step in (characters, brackets):
+        tape.rewrite(step(tape.text))
+    tape.rewrite(words(tape.text, tape.changed))
+    tape.rewrite(spelled_digits(tape.text))
+    return tape
+
+
 def disguised(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
     """Spans of the source that only show after rewriting, by kind; none overlaps one of base's kind."""
     if not may_be_disguised(text):
         return {}
-    tape = Tape(text)
-    for step in (characters, brackets, words, spelled_digits):
-        tape.rewrite(step(tape.text))
+    tape = rewritten(text)
     out: dict[str, list[tuple[int, int]]] = {}
     for kind, spans in identifiers(tape.text).items():
         taken = sorted(base.get(kind, ()))

@@ -90,3 +90,50 @@ def test_the_first_look_misses_nothing(words):
     for step in (pii.characters, pii.brackets, pii.words, pii.spelled_digits):
         tape.rewrite(step(tape.text))
     assert pii.may_be_disguised(text) or tape.text == text
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("card 4539\u00a01488\u00a00343\u00a06467 end", "card", "4539\u00a01488\u00a00343\u00a06467"),
+        ("call +49\u00a0151\u00a02345\u00a06789 now", "phone", "+49\u00a0151\u00a02345\u00a06789"),
+        ("mail jane@exampleſ.com", "email", "jane@exampleſ.com"),
+        ("mail:john at example [dot] com now", "email", "john at example [dot] com"),
+        ("mail:john at mail dot example(dot)co.uk now", "email", "john at mail dot example(dot)co.uk"),
+        ("mail:john at example．com now", "email", "john at example．com"),
+        ("mail:john dot doe at example dot com now", "email", "john dot doe at example dot com"),
+        ("mail:john dot f dot doe at example [dot] com now", "email", "john dot f dot doe at example [dot] com"),
+        ("mail:john dot doe [at] example [dot] com now", "email", "john dot doe [at] example [dot] com"),
+        ("mail:john dot doe@example dot com now", "email", "john dot doe@example dot com"),
+        ("mail:juan punto paz arroba ejemplo punto es", "email", "juan punto paz arroba ejemplo punto es"),
+        ("card (four 539 1488 0343 6467)", "card", "four 539 1488 0343 6467"),
+        ("host 192 POİNT 168 poınt 0 point 1 up", "ip", "192 POİNT 168 poınt 0 point 1"),
+    ],
+)
+def test_disguises_in_combination(text, kind, found):
+    base, spans = pii.find(text)
+    assert [text[a:b] for a, b in spans[kind]] == [found]
+
+
+@pytest.mark.parametrize("text", ["Look at example.com [dot]", "at this point look at example.com", "a\u00a0b dot c", "the dot at the end (.) stays", "dot dot dot"])
+def test_halves_of_disguises_stay_clean(text):
+    assert pii.joined(pii.find(text)[1]) == ""
+
+
+def test_unusual_is_what_characters_rewrites():
+    import sys
+
+    every = [chr(i) for i in range(sys.maxunicode + 1)]
+    assert [c for c in every if pii.unusual().search(c)] == [c for c in every if pii.characters(c)]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(["one", "three", "sıx", "5", "12", "plus", "at", "dot", "poınt", "[at]", "(dot)", "x", "(", ")", '"', "\u00a0", "ſ", "ſix", "–", "’", "Ā", "é", "-", ".", "a.b", " ", " "]), max_size=14))
+def test_the_first_look_misses_no_character(parts):
+    text = "".join(parts)
+    assert pii.may_be_disguised(text) or pii.rewritten(text).text == text
+
+
+def test_long_addresses_are_linear():
+    text = "a dot " * 20_000 + "b at c dot com"
+    assert pii.find(text)[1]["email"] == [(0, len(text))]
