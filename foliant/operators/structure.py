@@ -157,8 +157,8 @@ def without_repeated_lines(blocks: DataFrame, page_height: int = PAGE_HEIGHT) ->
     return joined.where(~gone).select(*blocks.columns)
 
 
-def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """1 for equal texts, 0 if one is less than half as long, else the ratio of matching blocks."""
+def similarity(left: pd.Series, right: pd.Series, least: float = 0.0) -> pd.Series:
+    """1 for equal texts, 0 if one is less than half as long or the common characters are too few for least, else the ratio of matching blocks."""
     from difflib import SequenceMatcher
 
     def of(a: str, b: str) -> float:
@@ -166,21 +166,54 @@ def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
             return 0.0
         if a == b:
             return 1.0
-        return 0.0 if abs(len(a) - len(b)) / max(len(a), len(b)) > 0.5 else SequenceMatcher(None, a, b).ratio()
+        if abs(len(a) - len(b)) / max(len(a), len(b)) > 0.5:
+            return 0.0
+        match = SequenceMatcher(None, a, b)
+        return 0.0 if match.quick_ratio() < least else match.ratio()
 
     return pd.Series([of(a, b) for a, b in zip(left, right)])
 
 
-def fuzzy_repeats(lines: DataFrame, least: float = 0.7) -> DataFrame:
-    """Pairs of lines of a document in one zone whose similarity is least or more: doc_id, a, b, ratio.
+def character_tokens(texts: pd.Series) -> pd.Series:
+    """A text's characters, each numbered by how often it stood before, as distinct integers; what comes rarely goes first."""
+
+    def of(text: str) -> list[int]:
+        seen: dict[str, int] = {}
+        out = []
+        for c in text:
+            seen[c] = k = seen.get(c, -1) + 1
+            out.append(-(k << 21 | ord(c)))
+        return sorted(out)
+
+    return texts.map(of)
+
+
+def fuzzy_repeats(lines: DataFrame, least: float = 0.7, small: int = 500) -> DataFrame:
+    """Pairs of lines of a document in one zone whose similarity is least or more: doc_id, zone, a, b, ratio.
 
-    Lengths and the first character bucket of length decide who meets before the ratio is computed.
+    Up to small lines of a document's zone meet each other. Of more, lines meet by a rare character that
+    both have (a ratio of least asks for so many common characters that the first tokens of both lines
+    share one) and by the power of two of their length, as none is less than half as long as the other.
+    The ratio is computed where the lengths and counts of common characters allow it.
     """
-    ratio = F.pandas_udf(similarity, "double")
-    distinct = lines.select("doc_id", "text").distinct()
-    a, b = distinct.select("doc_id", F.col("text").alias("a")), distinct.select("doc_id", F.col("text").alias("b"))
-    met = a.join(b, "doc_id").where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 0.5 * F.greatest(F.length("a"), F.length("b"))))
-    return met.withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= least)
+    bounded = F.pandas_udf(lambda a, b: similarity(a, b, least), "double")
+    tokens = F.pandas_udf(character_tokens, "array<bigint>")
+    distinct = lines.select("doc_id", "zone", "text").where("text <> ''").distinct().withColumn("n", F.length("text"))
+    rows = distinct.withColumn("k", F.count("*").over(Window.partitionBy("doc_id", "zone")))
+    few = rows.where(F.col("k") <= small)
+    n = F.col("n")
+    many = rows.where(F.col("k") > small).withColumn("p", F.slice(tokens("text"), 1, n - F.ceil(n * (least / (2 - least)) - 1e-9).cast("int") + 1)).withColumn("band", F.length(F.bin("n")))
+
+    def side(df: DataFrame, name: str, *more: Column) -> DataFrame:
+        return df.select("doc_id", "zone", F.col("text").alias(name), F.col("n").alias(f"{name}n"), *more)
+
+    near = (F.col("a") < F.col("b")) & (2.0 * F.least("an", "bn") / (F.col("an") + F.col("bn")) >= least)
+    met = side(few, "a").join(side(few, "b"), ["doc_id", "zone"]).where(near).select("doc_id", "zone", "a", "b")
+    a = side(many, "a", F.col("p").alias("ap"), F.explode("p").alias("key"), F.col("band")).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    b = side(many, "b", F.col("p").alias("bp"), F.explode("p").alias("key"), F.col("band"))
+    once = F.array_min(F.array_intersect("ap", "bp")) == F.col("key")
+    met = met.unionByName(a.join(b, ["doc_id", "zone", "band", "key"]).where(near & once).select("doc_id", "zone", "a", "b"))
+    return met.withColumn("ratio", bounded("a", "b")).where(F.col("ratio") >= least)
 
 
 def page_confidence(blocks: DataFrame) -> DataFrame:

@@ -176,8 +176,9 @@ def list_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("similarity_fuzzy")
 def similarity_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = blocks(spark, sf_dir).where("idx % 10 < 2").select("doc_id", F.col("line").alias("text"))
-    return S.fuzzy_repeats(rows)
+    zone = F.when(S.in_header(F.col("y")), "header").when(S.in_footer(F.col("y")), "footer")
+    rows = blocks(spark, sf_dir).select("doc_id", zone.alias("zone"), F.col("line").alias("text"))
+    return S.fuzzy_repeats(rows.where("zone is not null"))
 
 
 @query("table_row_density", f"WITH {BLOCKS_CTE}, l AS (SELECT doc_id, page, CASE WHEN idx % 4 = 0 THEN concat(CAST(conf AS STRING), '.', CAST(y AS STRING), ' / ', CAST(x AS STRING)) ELSE text END AS text FROM blocks) SELECT doc_id, page, count(*) AS lines, count(*) FILTER ({DENSE}) AS dense FROM l GROUP BY 1, 2")
