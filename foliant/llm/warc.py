@@ -4,7 +4,15 @@ Reading plans one partition for each group of archive files, takes over predicat
 type and on named headers, parses a record's headers first and inflates its payload only if the
 record passes and payloads are wanted. Records are gzip members of their own whose extra field
 ``sl`` holds the member's length (as the WARC standard's annex on compression has it), so that an
-unwanted record is passed by with one seek.
+unwanted record is passed by with one seek. A member of 4 GB or more has no such field, as its
+lengths would not fit; it is inflated to its end.
+
+A write job adds one manifest, which names its files with their sizes; it appears by a rename once
+all tasks are committed, and what no manifest names is not read. Reading takes all manifests, so
+appended jobs add up, and asks no file for its size. A job that overwrites names the manifests that
+it replaces: it takes effect as a whole when its own appears, and deletes the old files afterwards.
+A folder without manifests is listed; a file of such a folder is read by one task, as its records'
+places are not known before.
 """
 
 from __future__ import annotations
@@ -16,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -31,6 +40,8 @@ HEADERS = {
     "record_type": "WARC-Type",
     "record_id": "WARC-Record-ID",
     "target_uri": "WARC-Target-URI",
+    "date": "WARC-Date",
+    "profile": "WARC-Profile",
     "payload_digest": "WARC-Payload-Digest",
     "refers_to": "WARC-Refers-To",
     "page_id": "X-Page-Id",
@@ -38,8 +49,11 @@ HEADERS = {
     "payload_length": "X-Payload-Length",
 }
 SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", headers map<string,string>, file string, offset long, payload binary"
-#: An archive file is closed at this size, and files are grouped to partitions of it.
-FILE_BYTES = 32 << 20
+#: What a revisit record says of itself (fixed value of the standard).
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: An archive file is closed at this size, and files are grouped to partitions of it (option fileBytes).
+FILE_BYTES = 64 << 20
+MOST_LENGTH = 0xFFFFFFFF
 BATCH_BYTES = 4 << 20
 HEAD_CHUNK = 2048
 
@@ -55,9 +69,12 @@ def record_bytes(headers: dict[str, str], payload: bytes) -> bytes:
     body = head + payload + b"\r\n\r\n"
     deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
     data = deflate.compress(head) + deflate.flush(zlib.Z_SYNC_FLUSH) + deflate.compress(body[len(head) :]) + deflate.flush()
+    trailer = struct.pack("<II", zlib.crc32(body), len(body) & 0xFFFFFFFF)
     size = 24 + len(data) + 8
-    extra = b"sl" + struct.pack("<HII", 8, size & 0xFFFFFFFF, len(body) & 0xFFFFFFFF)
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + data + struct.pack("<II", zlib.crc32(body), len(body) & 0xFFFFFFFF)
+    if max(size, len(body)) > MOST_LENGTH:
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + data + trailer
+    extra = b"sl" + struct.pack("<HII", 8, size, len(body))
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + data + trailer
 
 
 def _clean(value: str | None) -> str | None:
@@ -144,17 +161,32 @@ class _Member:
 
 @dataclass
 class Files(InputPartition):
-    paths: tuple[str, ...]
+    paths: tuple[tuple[str, int], ...]
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[str]
+    files: list[tuple[str, int]]
+
+
+MANIFEST = "_manifest-"
+
+
+def _manifests(fs: pafs.FileSystem, root: str) -> dict[str, dict]:
+    """The manifests of a folder that count, by name: all but those that another one replaces."""
+    found = {}
+    for x in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if x.base_name.startswith(MANIFEST):
+            with fs.open_input_stream(x.path) as s:
+                found[x.base_name] = json.loads(s.read())
+    replaced = {old for m in found.values() for old in m["replaces"]}
+    return {n: m for n, m in found.items() if n not in replaced}
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.want = options["path"], options.get("payload", "true").lower() != "false"
+        self.file_bytes = int(options.get("fileBytes", FILE_BYTES))
         self.tests: list[tuple[str, frozenset[str] | None]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -172,20 +204,19 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         fs, root = _open(self.path)
-        manifest = posixpath.join(root, "_manifest.json")
-        if fs.get_file_info(manifest).type == pafs.FileType.File:
-            with fs.open_input_stream(manifest) as s:
-                names = json.loads(s.read())
-            sized = [(posixpath.join(root, n), fs.get_file_info(posixpath.join(root, n)).size) for n in names]
+        manifests = _manifests(fs, root)
+        if manifests:
+            sized = [(posixpath.join(root, n), size) for m in manifests.values() for n, size in m["files"]]
         else:
-            sized = [(x.path, x.size) for x in fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)) if x.path.endswith((".warc", ".warc.gz"))]
-        groups: list[list[str]] = []
+            listed = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
+            sized = [(x.path, x.size) for x in listed if x.path.endswith((".warc", ".warc.gz")) and not posixpath.basename(x.path).startswith("_")]
+        groups: list[list[tuple[str, int]]] = []
         room = 0
         for path, size in sorted(sized):
             if size > room or not groups:
                 groups.append([])
-                room = FILE_BYTES
-            groups[-1].append(path)
+                room = self.file_bytes
+            groups[-1].append((path, size))
             room -= size
         return [Files(tuple(g)) for g in groups] or [Files(())]
 
@@ -196,8 +227,7 @@ class WarcReader(DataSourceReader):
         fs, _ = _open(self.path)
         rows: list[tuple] = []
         held = 0
-        for path in partition.paths:
-            size = fs.get_file_info(path).size
+        for path, size in partition.paths:
             with fs.open_input_file(path) as stream:
                 at = 0
                 while at < size:
@@ -222,45 +252,61 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes files of its own name; only files of tasks that were committed enter the manifest."""
+    """Each task writes files of its own name; only files of tasks that were committed enter the job's manifest."""
 
     def __init__(self, options: dict[str, str], overwrite: bool):
-        self.path = options["path"]
-        self.overwrite = overwrite
+        self.path, self.overwrite = options["path"], overwrite
+        self.file_bytes = int(options.get("fileBytes", FILE_BYTES))
+        self.now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        fs, root = _open(self.path)
+        self.replaces = sorted(_manifests(fs, root)) if overwrite else []
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
-        names: list[str] = []
-        out, size = None, 0
+        files: list[tuple[str, int]] = []
+        out, name, size = None, "", 0
         for batch in iterator:
             columns = {n: batch.column(n) for n in batch.schema.names}
             payloads = columns.pop("payload").to_pylist()
             heads = {n: c.to_pylist() for n, c in columns.items() if n in HEADERS}
             for i, payload in enumerate(payloads):
-                if out is None or size >= FILE_BYTES:
-                    if out is not None:
-                        out.close()
-                    names.append(f"{uuid.uuid4().hex}.warc.gz")
-                    out, size = fs.open_output_stream(posixpath.join(root, names[-1]), compression=None), 0
-                headers = {HEADERS[n]: _clean(v[i]) for n, v in heads.items()}
-                data = record_bytes(headers | {"WARC-Date": "1970-01-01T00:00:00Z", "Content-Type": "text/html"}, payload or b"")
+                if out is not None and size >= self.file_bytes:
+                    out.close()
+                    files.append((name, size))
+                    out = None
+                if out is None:
+                    name, size = f"{uuid.uuid4().hex}.warc.gz", 0
+                    out = fs.open_output_stream(posixpath.join(root, name), compression=None)
+                headers = {"WARC-Date": self.now, "Content-Type": "text/html"}
+                headers |= {HEADERS[n]: _clean(v[i]) for n, v in heads.items() if v[i] is not None}
+                data = record_bytes(headers, payload or b"")
                 out.write(data)
                 size += len(data)
         if out is not None:
             out.close()
-        return Written(names)
+            files.append((name, size))
+        return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(posixpath.join(root, "_manifest.json")) as s:
-            s.write(json.dumps(sorted(n for m in messages if m for n in m.files)).encode())
+        old = {n: m for n, m in _manifests(fs, root).items() if n in self.replaces}
+        name = uuid.uuid4().hex
+        draft = posixpath.join(root, f"_draft-{name}")
+        with fs.open_output_stream(draft) as s:
+            s.write(json.dumps({"files": sorted(f for m in messages if m for f in m.files), "replaces": self.replaces}).encode())
+        fs.move(draft, posixpath.join(root, f"{MANIFEST}{name}.json"))
+        for files in [m["files"] for m in old.values()]:
+            for n, _ in files:
+                fs.delete_file(posixpath.join(root, n))
+        for n in old:
+            fs.delete_file(posixpath.join(root, n))
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = _open(self.path)
         for m in messages:
-            for n in m.files if m else ():
+            for n, _ in m.files if m else ():
                 fs.delete_file(posixpath.join(root, n))
 
 
@@ -290,10 +336,13 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
-def write_warc(df: DataFrame, path: str) -> None:
-    """Writes the header columns of HEADERS that df has, and its payload, as one record a row."""
+def write_warc(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Writes the header columns of HEADERS that df has, and its payload, as one record a row.
+
+    mode is append or overwrite. A record without a date gets the job's.
+    """
     register(df.sparkSession)
-    df.write.format("warc").mode("append").save(path)
+    df.write.format("warc").mode(mode).save(path)
 
 
 def with_revisits(table: DataFrame, key: str, payload: str, least_bytes: int = 100) -> DataFrame:
@@ -320,8 +369,12 @@ def with_revisits(table: DataFrame, key: str, payload: str, least_bytes: int = 1
     )
 
 
-def archive(table: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Writes table (its columns key, url and html) as WARC; a revisit's record has no payload of its own."""
+def archive(table: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", mode: str = "append") -> None:
+    """Writes table (its columns key, url and html) as WARC; a revisit's record has no payload of its own.
+
+    Records are named by their key, so that a revisit can refer to a response; rows that repeat a key
+    repeat the name. Payloads are compared within the table, not with what the folder holds already.
+    """
     rows = with_revisits(table.select(F.col(key).alias("page_id"), F.col(url).alias("target_uri"), F.col(html).alias("html")), "page_id", "html")
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     write_warc(
@@ -330,6 +383,7 @@ def archive(table: DataFrame, path: str, key: str = "page_id", url: str = "url",
             "record_type",
             F.coalesce(name(F.col("page_id")), F.lit("<urn:page:none>")).alias("record_id"),
             "target_uri",
+            F.when(F.col("record_type") == "revisit", SAME_PAYLOAD).alias("profile"),
             F.concat(F.lit("sha256:"), "payload_digest").alias("payload_digest"),
             name(F.col("refers_to_page")).alias("refers_to"),
             F.col("refers_to_page").cast("string").alias("refers_to_page"),
@@ -337,6 +391,7 @@ def archive(table: DataFrame, path: str, key: str = "page_id", url: str = "url",
             F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b"")).alias("payload"),
         ),
         path,
+        mode,
     )
 
 
