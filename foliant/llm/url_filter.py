@@ -23,8 +23,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*['\"]?([^\"'\s>]+)"
+#: Tags that may link a page to an alias, and what they link to by their kind.
+TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+CANONICAL = (r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+REFRESH = (r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?is)\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*['\"]?([^\"'\s>]+)")
 
 
 def host_of(url: Column) -> Column:
@@ -70,10 +72,13 @@ def absolute(link: Column, base: Column) -> Column:
 
 
 def alias_edges(table: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): keys of a page's url and of the url that it redirects to or names as canonical."""
+    """(a, b): keys of a page's url and of each url that it redirects to or names as canonical, in any of its tags."""
     u, body = F.col(url), F.replace(F.col(html), F.lit("&amp;"), F.lit("&"))
     marked = table.where(F.lower(F.col(html)).rlike("canonical|http-equiv")).where(F.instr(u, "://") > 0)
-    links = marked.select(u.alias("u"), F.explode(F.array(F.regexp_extract(body, CANONICAL, 1), F.regexp_extract(body, REFRESH, 1))).alias("link")).where("link <> ''")
+    tags = marked.select(u.alias("u"), F.explode(F.regexp_extract_all(body, F.lit(TAG), F.lit(0))).alias("tag"))
+    tag = F.col("tag")
+    to = F.when(tag.rlike(CANONICAL[0]), F.regexp_extract(tag, CANONICAL[1], 1)).when(tag.rlike(REFRESH[0]), F.regexp_extract(tag, REFRESH[1], 1))
+    links = tags.select("u", to.alias("link")).where("link <> ''")
     return links.select(alias_key(F.col("u")).alias("a"), alias_key(absolute(F.col("link"), F.col("u"))).alias("b")).where("a <> b and b is not null").distinct()
 
 
@@ -88,7 +93,7 @@ def alias_verdicts(edges: DataFrame, rules: Sequence[tuple[str, str, str]] = RUL
 
 
 def judge(table: DataFrame, redirects: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """key, host, path, rule and verdict of every row.
+    """key, host, path, rule and verdict of every row. Html of any length is looked through as a whole.
 
     A null url or one without :// has an empty host and path, no rule and is allowed. redirects may
     hold more edges (from_url, to_url), of which rows with nulls are ignored. Repeated rows are
@@ -98,13 +103,16 @@ def judge(table: DataFrame, redirects: DataFrame | None = None, rules: Sequence[
     if redirects is not None:
         edges = edges.unionByName(redirects.select(alias_key(F.col("from_url")).alias("a"), alias_key(F.col("to_url")).alias("b")))
     edges = written(edges, "aliases")
-    rows = table.select(F.col(key).alias(key), F.col(url).alias("_url")).select(key, host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), alias_key(F.col("_url")).alias("_alias")).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    rows = table.select(F.col(key).alias(key), F.col(url).alias("_url")).select(key, host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), alias_key(F.col("_url")).alias("_alias"), "_url").withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     decided = written(alias_verdicts(edges, rules).where("verdict = 'block'"), "decided")
+    # a url without a key matches nothing: a key has no #, and such rows are not to meet in one task
+    rows = rows.withColumn("_alias", F.coalesce("_alias", F.concat(F.lit("#"), F.xxhash64(key, "_url").cast("string")))).drop("_url")
     out = rows.join(small(decided.select(F.col("key").alias("_alias"), F.col("verdict").alias("_class"))), "_alias", "left")
     return out.select(key, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", "_class", F.lit("allow")).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() on every page by the production rules; nulls, repeats and empty tables as there."""
     return judge(pages(spark, sf_dir))
 
 
@@ -120,7 +128,10 @@ links AS (SELECT url, host || path || query AS a,
     CASE WHEN regexp_matches(tag, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
          WHEN regexp_matches(tag, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*[''"]?([^"''\s>]+)', 1) END AS link FROM tags WHERE contains(url, '://')),
 full_links AS (SELECT a, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link
-    WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link END AS t FROM links WHERE link <> ''),
+    WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link
+    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN length(regexp_extract(url, '(?s)^(.*?://[^?#]*/)', 1)) > length(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1)) THEN regexp_extract(url, '(?s)^(.*?://[^?#]*/)', 1) || link
+    ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || '/' || link END AS t FROM links WHERE link <> ''),
 edges AS (SELECT DISTINCT a, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1) || regexp_extract(t, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) AS b FROM full_links WHERE t IS NOT NULL),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
