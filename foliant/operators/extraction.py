@@ -137,18 +137,23 @@ def youngest(plaintiffs: DataFrame) -> DataFrame:
     return plaintiffs.withColumn("is_patient", F.row_number().over(w) == 1)
 
 
-def numbered_columns(plaintiffs: DataFrame, most: int = 3) -> DataFrame:
-    """One row a case with name_1, name_2, ... in order of seq; null where there are fewer."""
+def numbered_columns(plaintiffs: DataFrame, width: int = 3) -> DataFrame:
+    """One row a case with name_1 .. name_<width> in order of seq (null where there are fewer), and in more_names an array of the
+    names beyond, empty where there are none: no name is lost, however many a case has."""
     rows = plaintiffs.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("seq", "name"))).alias("p"))
-    return rows.select("case_id", *[F.try_element_at("p", F.lit(i))["name"].alias(f"name_{i}") for i in range(1, most + 1)])
-
-
-def numbered_rows(wide: DataFrame, most: int = 3) -> DataFrame:
-    """The names of numbered columns as rows, up to the first gap."""
-    names = F.array(*[F.nullif(F.col(f"name_{i}"), F.lit("")) for i in range(1, most + 1)])
-    gap = F.array_position(F.transform(names, lambda n: n.isNull()), F.lit(True))
-    upto = F.when(gap > 0, gap - 1).otherwise(most).cast("int")
-    return wide.select("case_id", F.posexplode(F.slice(names, 1, upto)).alias("seq", "name"))
+    names = [F.try_element_at("p", F.lit(i))["name"].alias(f"name_{i}") for i in range(1, width + 1)]
+    return rows.select("case_id", *names, F.transform(F.slice("p", width + 1, F.greatest(F.size("p"), F.lit(1))), lambda x: x["name"]).alias("more_names"))
+
+
+def numbered_rows(wide: DataFrame, width: int = 3) -> DataFrame:
+    """The names of numbered columns, and of more_names if wide has it, as rows up to the first gap (a null or empty name)."""
+    names = F.array(*[F.col(f"name_{i}") for i in range(1, width + 1)])
+    if "more_names" in wide.columns:
+        names = F.concat(names, F.coalesce("more_names", F.array().cast("array<string>")))
+    rows = wide.select("case_id", F.transform(names, lambda n: F.nullif(n, F.lit(""))).alias("names"))
+    gap = F.array_position(F.transform("names", lambda n: n.isNull()), F.lit(True))
+    upto = F.when(gap > 0, gap - 1).otherwise(F.size("names")).cast("int")
+    return rows.select("case_id", F.posexplode(F.slice("names", 1, upto)).alias("seq", "name"))
 
 
 def best_amount(summary: DataFrame, keywords: tuple[str, ...]) -> DataFrame:

@@ -110,8 +110,10 @@ def rate_limit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHANGES = ("CAST(user_id AS STRING) AS key", "CAST(event_id AS BIGINT) AS seq", "CAST(CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END AS BIGINT) AS change")
 
 
-@query("admission_running_count", f"""WITH c AS (SELECT {', '.join(CHANGES)} FROM events), s AS (SELECT *, sum(change) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM c), m AS (SELECT *, min(s) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS m FROM s)
-SELECT key, seq, CAST(change AS BIGINT) AS change, CAST(s - least(0, m) AS BIGINT) AS used, change > 0 AND s - least(0, m) <= 3 AS admitted FROM m""")
+@query("admission_running_count", f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS k FROM (SELECT {', '.join(CHANGES)} FROM events)),
+r AS (SELECT key, seq, change, k, CAST(greatest(change, 0) AS BIGINT) AS used, change > 0 AS admitted FROM c WHERE k = 1
+ UNION ALL SELECT c.key, c.seq, c.change, c.k, CASE WHEN c.change < 0 THEN greatest(r.used - 1, 0) WHEN r.used < 3 THEN r.used + 1 ELSE r.used END, c.change > 0 AND r.used < 3 FROM r JOIN c ON c.key = r.key AND c.k = r.k + 1)
+SELECT key, seq, change, used, admitted FROM r""")
 def admission_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.admissions(events(spark, sf_dir).selectExpr(*CHANGES), 3)
 

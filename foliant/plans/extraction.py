@@ -74,9 +74,10 @@ def youngest_plaintiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.youngest(spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*PEOPLE)).select("case_id", "seq", "is_patient")
 
 
-@query("plaintiff_pivot", f"WITH p AS (SELECT {', '.join(PEOPLE)} FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS k FROM p) SELECT case_id, max(name) FILTER (k = 1) AS name_1, max(name) FILTER (k = 2) AS name_2, max(name) FILTER (k = 3) AS name_3 FROM k GROUP BY 1")
+@query("plaintiff_pivot", f"WITH p AS (SELECT {', '.join(PEOPLE)} FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS k FROM p) SELECT case_id, max(name) FILTER (k = 1) AS name_1, max(name) FILTER (k = 2) AS name_2, max(name) FILTER (k = 3) AS name_3, coalesce(string_agg(name, ',' ORDER BY seq) FILTER (k > 3), '') AS more_names FROM k GROUP BY 1")
 def plaintiff_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.numbered_columns(spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*PEOPLE))
+    wide = X.numbered_columns(spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*PEOPLE))
+    return wide.withColumn("more_names", F.array_join("more_names", ","))
 
 
 @query("plaintiff_unpivot", """WITH w AS (SELECT c_custkey AS case_id, 'a' AS name_1, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'b' END AS name_2, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'c' END AS name_3 FROM customer)

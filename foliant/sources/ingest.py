@@ -111,7 +111,7 @@ def selected_pages(pages: DataFrame, selections: DataFrame) -> DataFrame:
 
 def folder(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """The PDF files of a folder as rows of path, modificationTime, length and content."""
-    reader = (spark.readStream if streaming else spark.read).format("binaryFile").option("pathGlobFilter", "*.pdf")
+    reader = (spark.readStream if streaming else spark.read).format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]")
     if streaming:
         reader = reader.schema("path string, modificationTime timestamp, length long, content binary")
     return reader.load(path).where(watched(F.col("path")))

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,24 +38,62 @@ def sessions(events: DataFrame, gap: str, *keys: str, late: str = "10 minutes")
 
 
 def rate_limits(errors: DataFrame, base: int = 8, most: int = 5) -> DataFrame:
-    """Per model and minute: refusals, and the limit that follows (halved from five refusals on, at least 1)."""
+    """Per model and minute: refusals, and the limit that follows (halved from five refusals on, at least 1).
+
+    Minutes are those of the clock, while a counter that starts with its first refusal would also see a burst across two of them.
+    """
     counts = errors.groupBy("model", F.window("ts", "60 seconds")).agg(F.count("*").alias("refusals"))
     return counts.select("model", F.col("window.start").alias("start"), "refusals", F.when(F.col("refusals") >= most, F.greatest(F.lit(1), F.lit(base // 2))).otherwise(base).alias("permits"))
 
 
-def running(events: DataFrame) -> DataFrame:
-    """Permits in use after each event (key, seq, change of +1 or -1), never below 0, for tables.
+def clamped(value: Column, by: Column) -> Column:
+    """value after a map of a count: shifted, then kept between two bounds (by: struct of shift, lower, upper)."""
+    return F.least(by["upper"], F.greatest(by["lower"], value + by["shift"]))
+
+
+def then(first: Column, second: Column) -> Column:
+    """The map that does first and second: of the same form again."""
+    return F.struct((first["shift"] + second["shift"]).alias("shift"), clamped(first["lower"], second).alias("lower"), clamped(first["upper"], second).alias("upper"))
+
 
-    The running sum less its lowest value so far (at most 0) is the counter that floors at 0.
+def counts_before(rows: DataFrame, cap: int, chunk: int, levels: int) -> DataFrame:
+    """rows (key, at, map, data) with before, the count that each map is applied to; a key's count starts at 0.
+
+    The rows of a key are cut into chunks by ranges of at. The map of a whole chunk is an aggregate, the counts before the chunks
+    come from the same function one level up, and a fold inside each chunk gives the rest.
+    """
+    up = F.floor(F.col("at") / chunk) if levels else F.lit(0).cast("long")
+    parts = rows.groupBy("key", up.alias("up")).agg(F.sort_array(F.collect_list(F.struct("at", "map", "data"))).alias("rows"))
+    long = lambda n: F.lit(n).cast("long")
+    if levels:
+        identity = F.struct(long(0).alias("shift"), long(0).alias("lower"), long(cap).alias("upper"))
+        whole = parts.select("key", F.col("up").alias("at"), F.aggregate("rows", identity, lambda m, r: then(m, r["map"])).alias("map"), F.lit(0).alias("data"))
+        starts = counts_before(whole, cap, chunk, levels - 1).select(F.col("key").alias("_key"), F.col("at").alias("_up"), F.col("before").alias("start"))
+        parts = parts.join(starts, F.col("key").eqNullSafe(F.col("_key")) & (F.col("up") == F.col("_up")))
+    else:
+        parts = parts.withColumn("start", long(0))
+    counts = F.aggregate("rows", F.array("start"), lambda acc, r: F.concat(acc, F.array(clamped(F.element_at(acc, -1), r["map"]))))
+    return parts.select("key", "rows", counts.alias("counts")).select("key", "counts", F.posexplode("rows").alias("k", "r")).select("key", "r.*", F.get("counts", F.col("k")).alias("before"))
+
+
+def running(events: DataFrame, cap: int, chunk: int = 500, levels: int = 2) -> DataFrame:
+    """events (key, seq, change of +1 or -1) with used, the permits in use after each, and before, for tables.
+
+    The count is never below 0, and never above cap, as an acquisition beyond it is refused and changes nothing. Events of a key
+    with one seq go by their change. A hot key is spread over as many tasks as it has chunks: with the
+    range of a key's seq below chunk ** (levels + 1), no task folds more than chunk rows at once.
     """
-    w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.withColumn("_s", F.sum("change").over(w))
-    return rows.withColumn("used", F.col("_s") - F.least(F.lit(0), F.min("_s").over(w))).drop("_s")
+    others = [c for c in events.columns if c not in ("key", "seq")]
+    change = F.col("change").cast("long")
+    step = F.struct(change.alias("shift"), F.lit(0).cast("long").alias("lower"), F.lit(cap).cast("long").alias("upper"))
+    rows = events.select("key", F.col("seq").cast("long").alias("at"), step.alias("map"), F.struct(*others).alias("data"))
+    out = counts_before(rows, cap, chunk, levels)
+    return out.select("key", F.col("at").alias("seq"), "data.*", clamped(F.col("before"), F.col("map")).alias("used"), "before")
 
 
 def admissions(events: DataFrame, cap: int) -> DataFrame:
-    """running(), with admitted: whether an acquisition came while fewer than cap permits were in use."""
-    return running(events).withColumn("admitted", (F.col("change") > 0) & (F.col("used") <= cap))
+    """events with used, the permits in use after each, and admitted: whether an acquisition came while fewer than cap were in use."""
+    return running(events, cap).withColumn("admitted", (F.col("change") > 0) & (F.col("before") < cap)).drop("before")
 
 
 def fresh_files(files: DataFrame, keys: tuple[str, ...] = ("tenant_id", "md5"), late: str = "1 day") -> DataFrame:
@@ -68,30 +106,35 @@ def fresh_files(files: DataFrame, keys: tuple[str, ...] = ("tenant_id", "md5"),
 PERMITS = "key string, seq long, used long, admitted boolean"
 
 
-def permits(events: DataFrame, cap: int, expiry_ms: int) -> DataFrame:
+def permits(events: DataFrame, cap: int, expiry_ms: int, late: str = "10 minutes") -> DataFrame:
     """Acquisitions and releases of a stream (key, seq, ts, change) answered from a counter a key.
 
-    An acquisition beyond cap is refused and changes nothing; a release never goes below 0; a counter
-    untouched for expiry_ms starts anew at 0. Events of a key in one batch are taken in order of seq.
+    An acquisition beyond cap is refused and changes nothing; a release never goes below 0; a counter ends expiry_ms after it last
+    rose from 0. Events of a key in one batch are taken in order of seq; events later than the watermark are left out.
+    Only counters above 0 are kept, until the watermark passes their end.
     """
 
     def answer(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        used, touched = state.get if state.exists else (0, None)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        used, ends = state.get if state.exists else (0, 0)
         rows = []
         for r in pd.concat(list(batches)).sort_values("seq").itertuples():
             now = int(r.ts.timestamp() * 1000)
-            if touched is not None and now - touched > expiry_ms:
+            if used and now >= ends:
                 used = 0
             admitted = r.change > 0 and used < cap
+            if admitted and not used:
+                ends = now + expiry_ms
             used = used + 1 if admitted else max(0, used - 1) if r.change < 0 else used
-            touched = now
             rows.append((key[0], r.seq, used, admitted))
-        state.update((used, touched))
+        if used:
+            state.update((used, ends))
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(rows, columns=["key", "seq", "used", "admitted"])
 
-    return events.groupBy("key").applyInPandasWithState(answer, PERMITS, "used long, touched long", "append", "NoTimeout")
-
-
-def json_event(value: Column) -> Column:
-    """struct(k) of an event's properties."""
-    return F.from_json(value, "k int")
+    marked = events.withWatermark("ts", late)
+    return marked.groupBy("key").applyInPandasWithState(answer, PERMITS, "used long, ends long", "append", "EventTimeTimeout")

@@ -60,7 +60,16 @@ def test_watched_folder(spark, tmp_path):
     for name in ("a.pdf", "~b.pdf", ".c.pdf", "d.PDF", "e.txt"):
         (tmp_path / name).write_bytes(b"%PDF-1.4 x")
     rows = ingest.folder(spark, str(tmp_path)).select(ingest.magic_kind("content").alias("k")).collect()
-    assert [r.k for r in rows] == ["pdf"]
+    assert [r.k for r in rows] == ["pdf", "pdf"]
     query = ingest.folder(spark, str(tmp_path), streaming=True).select("path").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     query.awaitTermination(60)
-    assert spark.table("seen").count() == 1
+    assert spark.table("seen").count() == 2
+
+
+def test_no_plaintiff_is_lost_in_numbered_columns(spark):
+    rows = [(1, 10 + i, f"p{i}") for i in range(5)] + [(2, 3, "q")]
+    wide = X.numbered_columns(spark.createDataFrame(rows, "case_id long, seq long, name string"))
+    assert wide.columns == ["case_id", "name_1", "name_2", "name_3", "more_names"]
+    assert {r.case_id: r.more_names for r in wide.collect()} == {1: ["p3", "p4"], 2: []}
+    back = X.numbered_rows(wide).orderBy("case_id", "seq").collect()
+    assert [(r.case_id, r.name) for r in back] == [(1, f"p{i}") for i in range(5)] + [(2, "q")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from foliant.streaming import events as E
@@ -43,3 +45,39 @@ def test_permits_on_a_stream(spark, tmp_path):
     got = {r.seq: (r.used, r.admitted) for r in _run(E.permits(stream, 2, 3_600_000), "permits", "append").collect()}
     assert [got[i] for i in range(9)] == [(1, True), (2, True), (2, False), (1, False), (2, True), (1, False), (0, False), (0, False), (1, True)]
     assert got[20] == (1, True)
+
+
+def test_admissions_on_a_table_are_those_of_the_stream(spark, tmp_path):
+    """Random changes of some keys, one of them hot, with chunks so small that every level is used."""
+    rng = random.Random(3)
+    keys = [rng.choice("aaaaaabc") for _ in range(600)]
+    rows = [(k, i * 3, f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", rng.choice((1, 1, -1))) for i, k in enumerate(keys)]
+    schema = "key string, seq long, t string, change int"
+    stream = _stream(spark, rows, schema, str(tmp_path / "in")).withColumn("ts", F.to_timestamp("t")).drop("t")
+    want = {(r.key, r.seq): (r.used, r.admitted) for r in _run(E.permits(stream, 3, 10**9), "permits_random", "append").collect()}
+    table = spark.createDataFrame(rows, schema)
+    got = {(r.key, r.seq): (r.used, r.admitted) for r in E.running(table, 3, chunk=7, levels=2).withColumn("admitted", (F.col("change") > 0) & (F.col("before") < 3)).collect()}
+    assert len(want) == 600 and got == want
+    assert {(r.key, r.seq): (r.used, r.admitted) for r in E.admissions(table, 3).collect()} == want
+
+
+def test_a_refused_acquisition_takes_no_permit(spark):
+    rows = [("k", i, c) for i, c in enumerate((1, 1, 1, -1, 1))]
+    got = E.admissions(spark.createDataFrame(rows, "key string, seq long, change int"), 2).orderBy("seq").collect()
+    assert [(r.used, r.admitted) for r in got] == [(1, True), (2, True), (2, False), (1, False), (2, True)]
+
+
+def test_permits_end_and_leave_the_state(spark, tmp_path):
+    """A counter ends an hour after it rose from 0, and what is 0 or over is not kept."""
+    at = lambda h, m: f"2024-01-01 {h:02d}:{m:02d}:00"
+    rows = [("a", 0, at(0, 0), 1), ("a", 1, at(0, 50), 1), ("b", 2, at(0, 0), 1), ("b", 3, at(0, 1), -1), ("a", 4, at(1, 5), 1), ("c", 5, at(9, 0), 1)]
+    folder = tmp_path / "in"
+    schema = "key string, seq long, t string, change int"
+    for part in (rows[:4], rows[4:5], rows[5:], [("c", 6, at(9, 1), 1)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder)).withColumn("ts", F.to_timestamp("t")).drop("t")
+    query = E.permits(stream, 2, 3_600_000).writeStream.format("memory").queryName("permits_ending").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {r.seq: (r.used, r.admitted) for r in spark.table("permits_ending").collect()}
+    assert got == {0: (1, True), 1: (2, True), 2: (1, True), 3: (0, False), 4: (1, True), 5: (1, True), 6: (2, True)}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
