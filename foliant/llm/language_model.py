@@ -1,17 +1,24 @@
 """N-gram language model as a weighted backoff automaton, trained and applied in blocks.
 
-A state is an n-gram shorter than the order; its arcs are the words seen after it, its failure arc
-leads to the state without the n-gram's first word. Probabilities are smoothed by interpolation
-with a Dirichlet prior: P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m), down to the add-one
-unigram P(w) = (c(w) + 1) / (N + V + 1); a word without an arc thus costs the failure weight
-m / (c(h) + m) and is read in the shorter state. Every state's probabilities sum to one.
-
-Counts are global, scoring is local. Documents are dealt to blocks by a hash of their id. A block
-sends its distinct n-grams, packed as sorted 64-bit keys for each shard of the key space; a shard
+A state is an n-gram shorter than the order that was seen in training; its arcs are the words seen
+after it, its failure arc leads to the state without the n-gram's first word. Probabilities are
+smoothed by interpolation with a Dirichlet prior: P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m),
+down to the add-one unigram P(w) = (c(w) + 1) / (N + V + 1). An arc weighs log10 P(w | h); a word
+without an arc costs the failure arc's log10 m / (c(h) + m) and is read in the shorter state. Every
+state's probabilities sum to one. A text is read from the left in one pass, in which the state is
+carried from word to word and the weights add up.
+
+Counts are global, scoring is local. Texts are packed into blocks as they come, each word as its
+number in the block's own vocabulary, in one written table: from there on no text is read again. A
+block sends its distinct n-grams, as sorted 64-bit keys for each shard of the key space; a shard
 adds up the counts of all blocks and answers each block for the keys that it sent. A block thus
 compiles the part of the automaton that its texts can reach, and no task ever holds the model
 whole. A key is at most once in a block's message, so no n-gram is hot however frequent it is.
 Keys are 64-bit hashes: two of n keys collide with probability about n * n / 2**65.
+
+Long texts are cut into segments that are read side by side: from the empty state, order - 1 words
+lead to the same state as the whole text before them, as a state is the longest known n-gram that
+ends there; so a segment starts that many words early.
 """
 
 from __future__ import annotations
@@ -21,18 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, raw, stripped_lower, written
+from .common import documents, map_arrow, raw, stripped_lower, written
 from .shingles import STEP, WordHashes, mix
 
-ORDER = 2
+ORDER = 3
 #: The prior's weight m, in counts.
 PRIOR = 100.0
 #: Text of a block, and n-gram keys of a shard, in a task's memory.
 BLOCK_BYTES = 6_000_000
 SHARD_KEYS = 2_000_000
+#: Words of a text that are read one after the other, side by side with other segments.
+SEGMENT = 256
 END, START = np.uint64(0x454E44), np.uint64(0x5354415254)
 
 
@@ -41,32 +51,68 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 7 == 2, F.lit(False))
 
 
-class Tokens:
-    """The token hashes of some texts, one after the other, each text with its end."""
+BLOCKS = "block long, doc_ids array<long>, learn binary, sizes binary, vocabulary binary, words binary"
+BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *[(n, pa.binary()) for n in ("learn", "sizes", "vocabulary", "words")]])
+
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes):
-        parts, sizes = [], []
+def _pack(limit: int):
+    """Blocks of whole texts: distinct hashes of words, and for each text its words by number, then the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, task, number = WordHashes(), TaskContext.get(), 0
+        first = (task.partitionId() if task else 0) << 30
         end = np.array([END], np.uint64)
-        for text in texts:
-            words = stripped_lower(text)
-            parts += [mix(hashes.of(words)), end]
-            sizes.append(len(words) + 1)
-        self.ids = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.sizes = np.array(sizes, np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1].astype(np.int64)
-        self.inside = np.arange(len(self.ids)) - np.repeat(self.starts, self.sizes)
-
-    def grams(self, order: int) -> list[np.ndarray]:
-        """Keys of the n-grams that end at each token, for n = 1..order; before a text stand starts."""
-        inside = self.inside
-        out, before = [self.ids], self.ids
-        for n in range(2, order + 1):
+        ids, learn, sizes, parts, held = [], [], [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            vocabulary, words = np.unique(np.concatenate(parts), return_inverse=True)
+            row = (first + number, ids, np.array(learn, np.uint8).tobytes(), np.array(sizes, "<i8").tobytes(), vocabulary.astype("<u8").tobytes(), words.astype("<u2" if len(vocabulary) <= 1 << 16 else "<u4").tobytes())
+            return pa.RecordBatch.from_pylist([dict(zip(BLOCK_SCHEMA.names, row))], schema=BLOCK_SCHEMA)
+
+        for batch in batches:
+            for key, text, known in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist()):
+                words = stripped_lower(text)
+                ids.append(key)
+                learn.append(known)
+                sizes.append(len(words) + 1)
+                parts += [mix(hashes.of(words)), end]
+                held += len(text) + 32
+                if held >= limit:
+                    yield packed()
+                    ids, learn, sizes, parts, held, number = [], [], [], [], 0, number + 1
+        if ids:
+            yield packed()
+
+    return run
+
+
+class Block:
+    """A block's words, one text after the other, each text with its end.
+
+    Of n-grams that end at each word (starts stand before a text), grams[n - 1] has the distinct keys in order.
+    """
+
+    def __init__(self, row: dict, order: int):
+        self.doc_ids = row["doc_ids"]
+        self.learn = np.frombuffer(row["learn"], np.uint8).astype(bool)
+        self.sizes = np.frombuffer(row["sizes"], "<i8")
+        self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
+        self.words = np.frombuffer(row["words"], "<u2" if len(self.vocabulary) <= 1 << 16 else "<u4").astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.order = order
+
+    def keys(self) -> Iterator[np.ndarray]:
+        """Keys of the n-grams that end at each word, for n = 2..order."""
+        hashes = self.vocabulary[self.words]
+        before = hashes
+        for n in range(2, self.order + 1):
             earlier = np.empty_like(before)
-            earlier[n - 1 :], earlier[: n - 1] = self.ids[: len(self.ids) - n + 1], START
-            earlier[inside < n - 1] = START
+            earlier[n - 1 :] = hashes[: len(hashes) - n + 1]
+            for k in range(min(n - 1, len(hashes))):
+                at = self.starts[self.sizes > k] + k
+                earlier[at] = START
             before = extended(before, earlier, n)
-            out.append(before)
-        return out
+            yield before
 
 
 def extended(gram: np.ndarray, earlier: np.ndarray, n: int) -> np.ndarray:
@@ -74,47 +120,32 @@ def extended(gram: np.ndarray, earlier: np.ndarray, n: int) -> np.ndarray:
     return mix(gram * STEP + mix(earlier + np.uint64(n)))
 
 
-def start_state(n: int) -> np.uint64:
-    """The key of a history of n starts."""
-    key = np.array([START], np.uint64)
-    for k in range(2, n + 1):
-        key = extended(key, np.array([START], np.uint64), k)
-    return key[0]
+def start_keys(order: int) -> np.ndarray:
+    """The keys of the histories of 1..order - 1 starts."""
+    out, key = [], np.array([START], np.uint64)
+    for n in range(1, order):
+        key = key if n == 1 else extended(key, np.array([START], np.uint64), n)
+        out.append(key)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def packed_keys(texts: list[bytes], learn: np.ndarray, order: int, shards: int, hashes: WordHashes) -> Iterator[tuple[int, bytes, bytes]]:
-    """(shard, keys, counts) of a block: its distinct n-grams and histories, with their counts in texts to learn from.
-
-    Words go to the shards 0 .. shards - 1, longer n-grams and histories to as many after them.
-    """
-    tokens = Tokens(texts, hashes)
-    weight = np.repeat(learn.astype(np.int64), tokens.sizes)
-    for base, keys, weights in (
-        (0, tokens.ids, weight),
-        (shards, np.concatenate([*tokens.grams(order)[1:], starts(order)]), np.concatenate([*[weight] * (order - 1), np.full(order - 1, int(learn.sum()))])),
-    ):
-        keys, inverse = np.unique(keys, return_inverse=True)
-        counts = np.bincount(inverse, weights, len(keys)).astype(np.int64)
-        for s, part in by_shard(keys, shards):
-            yield base + s, delta_packed(keys[part]), counts_packed(counts[part])
-
-
-def starts(order: int) -> np.ndarray:
-    return np.array([start_state(n) for n in range(1, order)], np.uint64)
+def distinct(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each comes where learn holds."""
+    known, counts = np.unique(keys[learn], return_counts=True)
+    every = np.union1d(known, keys[~learn]) if len(known) else np.unique(keys)
+    out = np.zeros(len(every), np.int64)
+    out[np.searchsorted(every, known)] = counts
+    return every, out
 
 
 def by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
-    """The shards that sorted keys touch, and where."""
-    cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
+    """The shards that sorted keys touch, and where. Shards are ranges of the key space, so sorted keys are sorted by shard too."""
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    cuts = np.searchsorted(shard, np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(cuts)).tolist():
         yield s, slice(int(cuts[s]), int(cuts[s + 1]))
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Shards are ranges of the key space, so that sorted keys are sorted by shard too."""
-    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-
-
 def delta_packed(keys: np.ndarray) -> bytes:
     """Sorted keys as differences in as many bytes as the largest needs, byte planes apart."""
     steps = np.diff(keys, prepend=np.uint64(0))
@@ -143,104 +174,227 @@ def counts_packed(counts: np.ndarray) -> bytes:
 
 
 MESSAGE = "block long, shard long, keys binary, counts binary"
+#: Shards of longer n-grams have numbers from here on; those of words are below.
+LONGER = 1 << 40
 
 
-def _send(order: int, shards: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        hashes = WordHashes()
-        rows = list(packed_keys(raw(table.column("text").combine_chunks()), np.array(table.column("learn").to_pylist(), bool), order, shards, hashes))
-        block = key[0].as_py()
-        return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "shard": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+def _send(order: int, word_shards: int, shards: int):
+    """A block's messages: its distinct words and histories of starts, then its distinct longer n-grams, with their counts."""
 
-    return run
+    def messages(row: dict) -> Iterator[tuple[int, bytes, bytes]]:
+        block = Block(row, order)
+        weight = np.repeat(block.learn, block.sizes)
+        starts = start_keys(order)
+        texts = np.full(len(starts), int(block.learn.sum()), np.int64)
+        yield from packed(block.vocabulary, np.bincount(block.words[weight], minlength=len(block.vocabulary)), word_shards, 0)
+        grams = [distinct(keys, weight) for keys in block.keys()]
+        keys, counts = np.concatenate([*[g[0] for g in grams], starts]), np.concatenate([*[g[1] for g in grams], texts])
+        at = np.argsort(keys)
+        yield from packed(keys[at], counts[at], shards, LONGER)
 
+    def packed(keys: np.ndarray, counts: np.ndarray, shards: int, first: int) -> Iterator[tuple[int, bytes, bytes]]:
+        for s, part in by_shard(keys, shards):
+            yield first + s, delta_packed(keys[part]), counts_packed(counts[part])
 
-def _answer(shards: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        """A shard's messages, with the sum over all blocks in place of each block's counts. The first
-        row of a shard of words also holds the shard's tokens and types."""
-        keys = [delta_unpacked(x) for x in table.column("keys").to_pylist()]
-        counts = [counts_unpacked(x, len(k)) for x, k in zip(table.column("counts").to_pylist(), keys)]
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
-        ends = np.cumsum([len(k) for k in keys])
-        answers = [counts_packed(x) for x in np.split(totals[inverse], ends[:-1])]
-        is_words, rest = key[0].as_py() < shards, [0] * (len(answers) - 1)
-        tokens, types = (int(totals.sum()), int((totals > 0).sum())) if is_words else (0, 0)
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "counts": pa.array(answers, pa.binary()), "tokens": pa.array([tokens, *rest], pa.int64()), "types": pa.array([types, *rest], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                out = list(messages(row))
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["block", "shard", "keys", "counts"])
 
     return run
 
 
-class Automaton:
-    """The states and arcs that a block's tokens can reach, as the counts behind them.
+ANSWER = "block long, shard long, counts binary, tokens long, types long"
+
+
+def _answer(key: tuple, table: pa.Table) -> pa.Table:
+    """A shard's messages, with the sum over all blocks in place of each block's counts. The first
+    row of a shard of words also holds the shard's tokens and types."""
+    keys = [delta_unpacked(x) for x in table.column("keys").to_pylist()]
+    counts = [counts_unpacked(x, len(k)) for x, k in zip(table.column("counts").to_pylist(), keys)]
+    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
+    ends = np.cumsum([len(k) for k in keys])
+    answers = [counts_packed(x) for x in np.split(totals[inverse], ends[:-1])]
+    is_words, rest = key[0].as_py() < LONGER, [0] * (len(answers) - 1)
+    tokens, types = (int(totals.sum()), int((totals > 0).sum())) if is_words else (0, 0)
+    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "counts": pa.array(answers, pa.binary()), "tokens": pa.array([tokens, *rest], pa.int64()), "types": pa.array([types, *rest], pa.int64())})
+
+
+class Transitions:
+    """Arcs by state and word, in a table of open addresses that is filled and probed in arrays."""
+
+    def __init__(self, state: np.ndarray, word: np.ndarray, words: int):
+        self.words = np.int64(words)
+        self.pairs = state * self.words + word
+        self.bits = max(4, int(2 * len(self.pairs)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(self.pairs), dtype=np.int32)
+        at = self.address(self.pairs)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+
+    def address(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.astype(np.uint64) * STEP >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The arc of each state and word, or -1."""
+        pairs = state * self.words + word
+        at = self.address(pairs)
+        out = self.slots[at]
+        open_ = np.flatnonzero(out >= 0)
+        open_ = open_[self.pairs[out[open_]] != pairs[open_]]
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            found = self.slots[at[open_]]
+            out[open_] = found
+            more = np.flatnonzero(found >= 0)
+            open_ = open_[more[self.pairs[found[more]] != pairs[open_[more]]]]
+        return out
 
-    seen[n - 1] has the count of the n-gram that ends at each token, starts[n - 1] that of a state of
-    n starts. The state before a token is the n-gram that ends at the token before (or the starts),
-    so an arc's weight, a failure arc's weight and the next state all follow from these counts.
-    """
 
-    def __init__(self, tokens: Tokens, seen: list[np.ndarray], starts: list[int], total: int, types: int, prior: float):
-        self.tokens, self.seen, self.starts = tokens, seen, starts
-        self.total, self.types, self.prior = total, types, prior
+class Automaton:
+    """The part of the model that a block can reach.
 
-    def before(self, n: int) -> np.ndarray:
-        """The count of the state of n words that a token is read in."""
-        out = np.empty_like(self.seen[n - 1])
-        out[1:] = self.seen[n - 1][:-1]
-        inside = self.tokens.inside
-        out[inside == 0] = self.starts[n - 1]
-        return out
+    State 0 is the empty history, whose arcs are word_weight and word_next by a word's number; the
+    other states have the arcs of transitions, with weight and next, and a failure arc each.
+    """
 
-    def walk(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text: its log10 probability by the automaton and by the unigrams alone, and its known tokens.
-
-        Reading from the left, a token is sought among the arcs of the state that the tokens before it
-        led to, then along failure arcs; the arc found leads to the next state, one word longer up to
-        the order. An n-gram was only seen if its beginnings were, so the state carried to a token is
-        never too short for the longest arc that its counts show: the state sequence is known from the
-        counts, and the walk over all tokens of a block is a few passes over arrays, with the weights
-        accumulated text by text.
-        """
-        if not len(self.tokens.sizes):
-            return np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
-        unigram = np.log10((self.seen[0] + 1) / (self.total + self.types + 1))
-        arc, cost = 10**unigram, unigram.copy()
-        for n in range(1, len(self.seen)):
-            before = self.before(n)
-            arc = (self.seen[n] + self.prior * arc) / (before + self.prior)
-            found = self.seen[n] > 0
-            failure = np.log10(self.prior / (before + self.prior))
-            cost = np.where(found, np.log10(arc), cost + failure)
-        add = lambda x: np.add.reduceat(x, self.tokens.starts)
-        return add(cost), add(unigram), add((self.seen[0] > 0).astype(np.int64))
+    def __init__(self, block: Block, counts: list[np.ndarray], starts: np.ndarray, keys: list[np.ndarray], total: int, types: int, prior: float):
+        order = block.order
+        word_counts = counts[0]
+        p = (word_counts + 1) / (total + types + 1)
+        self.word_weight = np.log10(p)
+        # states by order of their n-gram: words first, then longer n-grams, then the histories of starts
+        seen = [c > 0 for c in counts]
+        number, used = [], 1
+        for n in range(1, order):
+            ids = np.zeros(len(counts[n - 1]), np.int64)
+            k = int(seen[n - 1].sum())
+            ids[seen[n - 1]] = np.arange(used, used + k)
+            number.append(ids)
+            used += k
+        starting = np.where(starts > 0, np.arange(used, used + len(starts)), 0)
+        used += len(starts)
+        size = np.zeros(used, np.int64)
+        for ids, c in zip(number, counts):
+            size[ids] = c
+        size[starting] = starts
+        size[0] = 0
+        self.failure = np.zeros(used, np.int64)
+        self.failure_weight = np.log10(prior / (size + prior))
+        self.word_next = number[0] if order > 1 else np.zeros(len(word_counts), np.int64)
+        for k in range(1, len(starting)):
+            self.failure[starting[k]] = starting[k - 1]
+        self.start = int(starting[starts > 0][-1]) if (starts > 0).any() else 0
+        # arcs of n-grams from two words on: from the history's state, by the last word
+        shorter, arc_state, arc_word, arc_weight, arc_next = None, [], [], [], []
+        first = np.zeros(len(block.words), bool)
+        first[block.starts] = True
+        for n in range(2, order + 1):
+            every = keys[n - 2]
+            distinct_keys, at = np.unique(every, return_index=True)
+            suffix = block.words[at] if n == 2 else np.searchsorted(shorter, keys[n - 3][at])
+            history = np.zeros(len(at), np.int64)
+            inner = ~first[at]
+            before = at[inner] - 1
+            history[inner] = number[n - 2][block.words[before] if n == 2 else np.searchsorted(shorter, keys[n - 3][before])]
+            history[~inner] = starting[n - 2]
+            p = (counts[n - 1] + prior * p[suffix]) / (size[history] + prior)
+            real = seen[n - 1]
+            arc_state.append(history[real])
+            arc_word.append(block.words[at[real]])
+            arc_weight.append(np.log10(p[real]))
+            if n < order:
+                self.failure[number[n - 1][real]] = number[n - 2][suffix[real]]
+                arc_next.append(number[n - 1][real])
+            else:
+                arc_next.append(number[n - 2][suffix[real]])
+            shorter = distinct_keys
+        none = [np.zeros(0, np.int64)]
+        self.transitions = Transitions(np.concatenate(arc_state or none), np.concatenate(arc_word or none), len(word_counts))
+        self.weight, self.next = np.concatenate(arc_weight or [np.zeros(0)]), np.concatenate(arc_next or none)
+
+    def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cost of reading a word in each state, and the state that it leads to."""
+        cost, state, after = np.zeros(len(word)), state.copy(), np.zeros(len(word), np.int64)
+        left = np.arange(len(word))
+        while len(left):
+            here, w = state[left], word[left]
+            empty = here == 0
+            done = left[empty]
+            cost[done] += self.word_weight[w[empty]]
+            after[done] = self.word_next[w[empty]]
+            left, here, w = left[~empty], here[~empty], w[~empty]
+            arc = self.transitions.of(here, w)
+            found = arc >= 0
+            done = left[found]
+            cost[done] += self.weight[arc[found]]
+            after[done] = self.next[arc[found]]
+            left, here = left[~found], here[~found]
+            cost[left] += self.failure_weight[here]
+            state[left] = self.failure[here]
+        return cost, after
+
+    def walk(self, block: Block, segment: int) -> np.ndarray:
+        """The log10 probability of each text of a block."""
+        cuts = -(-block.sizes // segment)
+        text = np.repeat(np.arange(len(cuts)), cuts)
+        inside = (np.arange(len(text)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * segment
+        early = np.minimum(inside, block.order - 1)
+        length = np.minimum(block.sizes[text] - inside, segment) + early
+        begin = block.starts[text] + inside - early
+        state = np.where(inside == early, self.start, 0)
+        by_length = np.argsort(-length, kind="stable")
+        early, length, begin, state = early[by_length], length[by_length], begin[by_length], state[by_length]
+        active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right") if len(length) else []
+        costs = np.zeros(len(block.words))
+        for step, lanes in enumerate(active):
+            cost, state[:lanes] = self.read(state[:lanes], block.words[begin[:lanes] + step])
+            counted = early[:lanes] <= step
+            costs[begin[:lanes][counted] + step] = cost[counted]
+        return np.add.reduceat(costs, block.starts)
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(order: int, shards: int, prior: float, total: int, types: int):
-    def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        body, learn = raw(texts.column("text").combine_chunks()), texts.column("learn").to_pylist()
-        hashes = WordHashes()
-        tokens = Tokens(body, hashes)
-        grams = tokens.grams(order)
+def _score(order: int, word_shards: int, shards: int, prior: float, total: int, types: int, segment: int):
+    def run(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
         found = dict(zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist()))
+        block = Block(blocks.to_pylist()[0], order)
 
-        def counted(keys: np.ndarray, offset: int) -> np.ndarray:
-            keys, inverse = np.unique(keys, return_inverse=True)
-            return np.concatenate([counts_unpacked(found[offset + s], at.stop - at.start) for s, at in by_shard(keys, shards)])[inverse]
+        def counted(sorted_keys: np.ndarray, shards: int, first: int) -> np.ndarray:
+            return np.concatenate([counts_unpacked(found[first + s], at.stop - at.start) for s, at in by_shard(sorted_keys, shards)])
 
-        seen = [counted(grams[0], 0)]
+        counts = [counted(block.vocabulary, word_shards, 0)]
+        keys, starts = list(block.keys()), np.zeros(order - 1, np.int64)
         if order > 1:
-            longer = counted(np.concatenate([*grams[1:], starts(order)]), shards)
-            seen += np.split(longer[: len(longer) - order + 1], order - 1)
-            first = longer[len(longer) - order + 1 :].tolist()
-        else:
-            first = []
-        score, base, known = Automaton(tokens, seen, first, total, types, prior).walk()
-        n = len(body)
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": pa.array([not x for x in learn], pa.bool_()), "n_tokens": pa.array(tokens.sizes), "n_known": pa.array(known), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
+            grams = [np.unique(k) for k in keys]
+            flat = np.concatenate([*grams, start_keys(order)])
+            at = np.argsort(flat)
+            longer = np.empty(len(flat), np.int64)
+            longer[at] = counted(flat[at], shards, LONGER)
+            *parts, starts = np.split(longer, np.cumsum([len(g) for g in grams]))
+            counts += parts
+        automaton = Automaton(block, counts, starts, keys, total, types, prior)
+        add = lambda x: np.add.reduceat(x, block.starts)
+        n = len(block.sizes)
+        return pa.table(
+            {
+                "doc_id": pa.array(block.doc_ids, pa.int64()),
+                "held_out": pa.array(~block.learn),
+                "n_tokens": pa.array(block.sizes),
+                "n_known": pa.array(add((counts[0] > 0)[block.words].astype(np.int64))),
+                "train_tokens": pa.array(np.full(n, total, np.int64)),
+                "base_score": pa.array(add(automaton.word_weight[block.words])),
+                "score": pa.array(automaton.walk(block, segment)),
+            }
+        )
 
     return run
 
@@ -249,20 +403,20 @@ def scored(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, key: str =
     """Every row with its log10 probabilities; null and empty texts are their end token alone.
 
     Rows that repeat a document count as often as they come. Without any row to learn from, N and V
-    are 0 and every token has probability 1.
+    are 0 and every token has probability 1. A text longer than a block is a block of its own.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (~held_out(F.col(key))).alias("learn"))
-    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count("*")).first()
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    shards = max(1, -(-size // 5 * order // SHARD_KEYS))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    sent = dealt.groupBy("block").applyInArrow(_send(order, shards), MESSAGE)
-    answered = written(sent.groupBy("shard").applyInArrow(_answer(shards), "block long, shard long, counts binary, tokens long, types long"), "counts")
+    blocks = written(map_arrow(rows, _pack(BLOCK_BYTES), BLOCKS), "blocks")
+    size = lambda c: F.coalesce(F.sum(F.octet_length(c).cast("long")), F.lit(0))
+    vocabularies, words = blocks.agg(size("vocabulary"), size("words")).first()
+    word_shards, shards = max(1, -(-vocabularies // 8 // SHARD_KEYS)), max(1, -(-words // 2 * (order - 1) // SHARD_KEYS))
+    sent = blocks.mapInArrow(_send(order, word_shards, shards), MESSAGE)
+    answered = written(sent.groupBy("shard").applyInArrow(_answer, ANSWER), "counts")
     total, types = answered.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     answered = answered.select("block", "shard", "counts")
-    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(order, shards, prior, total, types), SCORED)
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(order, word_shards, shards, prior, total, types, SEGMENT), SCORED)
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scored() on every document; nulls, empty and repeated texts and empty tables as there."""
     return scored(documents(spark, sf_dir))
-

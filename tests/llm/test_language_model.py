@@ -12,11 +12,12 @@ from foliant.llm import language_model as L
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-@pytest.mark.parametrize(("order", "small"), [(1, False), (2, True), (3, True)])
+@pytest.mark.parametrize(("order", "small"), [(1, False), (2, True), (3, True), (4, False)])
 def test_equals_a_sequential_automaton(documents, texts, monkeypatch, order, small):
     if small:
         monkeypatch.setattr(L, "BLOCK_BYTES", 60_000)
         monkeypatch.setattr(L, "SHARD_KEYS", 9_000)
+        monkeypatch.setattr(L, "SEGMENT", 7)
     counts: collections.Counter = collections.Counter()
     total, tokens = 0, {}
     for i, t in texts.items():
