@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 
 #: Rows of a narrow table (ids and a few numbers) up to which it is broadcast; about 20 MB.
 BROADCAST_ROWS = 200_000
-#: Rows in an Arrow batch of texts, so that a batch of long texts still fits a small worker.
+#: Rows and bytes of a slice of texts that a worker turns into Python objects at once.
 TEXT_BATCH_ROWS = 1_000
+TEXT_BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, else one of our own (local mode, tests)."""
+    """The folder all executors see: spark.checkpoint.dir, else, in local mode alone, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="foliant-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -45,14 +48,17 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """df, after limiting the rows of Arrow batches in its session to what fits with long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
-    return df
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most TEXT_BATCH_ROWS rows and, as far as whole rows allow, near TEXT_BATCH_BYTES."""
+    for batch in batches:
+        rows = max(1, min(TEXT_BATCH_ROWS, batch.num_rows * TEXT_BATCH_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return text_batches(df).mapInArrow(function, schema)
+    """df through function in small slices. Spark limits the bytes of its batches; the session's settings stay as they are."""
+    return df.mapInArrow(lambda batches: function(slices(batches)), schema)
 
 
 def raw(column: pa.Array) -> list[bytes]:

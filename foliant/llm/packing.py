@@ -187,9 +187,7 @@ def _pack(capacity: int, level: int):
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_per_task: int = PIECES_PER_TASK, exchanges: int = EXCHANGES) -> DataFrame:
     """Pieces with sequence_id and offset. Every piece keeps its row; an empty table gives an empty one."""
-    spark = pieces.sparkSession
     pieces = written(pieces, "pieces")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     groups = max(1, -(-pieces.count() // pieces_per_task))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)))
     dealt = dealt.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "released": F.lit(False)})

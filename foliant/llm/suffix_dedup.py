@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import discard, documents, map_arrow, raw, salted_join, small, text_batches, written
+from .common import discard, documents, map_arrow, raw, salted_join, small, written
 from .shingles import mix
 
 LENGTH, GRAM = 200, 48
@@ -445,7 +445,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     narrow = narrow.withColumn("tid", F.xxhash64("doc_id", "_digest") if odd else F.col("doc_id")).where(F.col("n") >= LENGTH)
     copies = narrow.groupBy("_digest").agg(F.min("tid").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     whole = written(salted_join(narrow, copies, "_digest", "tid").where("rep is not null").select("tid", "rep"), "copies")
-    texts = text_batches(marked).where(F.octet_length(body) >= LENGTH).select(tid.alias("tid"), body.alias("text"))
+    texts = marked.where(F.octet_length(body) >= LENGTH).select(tid.alias("tid"), body.alias("text"))
     others = written(whole.where("tid <> rep").select("tid").distinct(), "others")
     spans = spans_of(texts.join(small(others), "tid", "left_anti"))
     by_text = spans.select("tid", F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("s"), F.lit(False).alias("w"))
