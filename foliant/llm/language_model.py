@@ -28,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, raw, stripped_lower, written
-from .shingles import STEP, WordHashes, mix
+from .common import documents, map_arrow, written
+from .shingles import STEP, distinct, mix, word_hashes
 
 ORDER = 3
 #: The prior's weight m, in counts.
@@ -55,28 +56,41 @@ BLOCKS = "block long, doc_ids array<long>, learn binary, sizes binary, vocabular
 BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *[(n, pa.binary()) for n in ("learn", "sizes", "vocabulary", "words")]])
 
 
+def planes_packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, byte by byte apart and compressed."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + zlib.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
+
+
+def planes_unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    full = np.zeros((planes.shape[1], 8), np.uint8)
+    full[:, : data[0]] = planes.T
+    return full.reshape(-1).view("<i8")
+
+
 def _pack(limit: int):
     """Blocks of whole texts: distinct hashes of words, and for each text its words by number, then the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, task, number = WordHashes(), TaskContext.get(), 0
+        task, number = TaskContext.get(), 0
         first = (task.partitionId() if task else 0) << 30
-        end = np.array([END], np.uint64)
         ids, learn, sizes, parts, held = [], [], [], [], 0
 
         def packed() -> pa.RecordBatch:
             vocabulary, words = np.unique(np.concatenate(parts), return_inverse=True)
-            row = (first + number, ids, np.array(learn, np.uint8).tobytes(), np.array(sizes, "<i8").tobytes(), vocabulary.astype("<u8").tobytes(), words.astype("<u2" if len(vocabulary) <= 1 << 16 else "<u4").tobytes())
+            row = (first + number, ids, np.array(learn, np.uint8).tobytes(), planes_packed(np.array(sizes)), delta_packed(vocabulary), planes_packed(words))
             return pa.RecordBatch.from_pylist([dict(zip(BLOCK_SCHEMA.names, row))], schema=BLOCK_SCHEMA)
 
         for batch in batches:
-            for key, text, known in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist()):
-                words = stripped_lower(text)
-                ids.append(key)
-                learn.append(known)
-                sizes.append(len(words) + 1)
-                parts += [mix(hashes.of(words)), end]
-                held += len(text) + 32
+            for at in cuts(batch.column(1), limit):
+                part = batch.slice(at.start, at.stop - at.start)
+                hashes, counts = word_hashes(part.column(1))
+                parts.append(np.insert(hashes, np.cumsum(counts), END))
+                ids += part.column(0).to_pylist()
+                learn += part.column(2).to_pylist()
+                sizes += (counts + 1).tolist()
+                held += part.column(1).nbytes
                 if held >= limit:
                     yield packed()
                     ids, learn, sizes, parts, held, number = [], [], [], [], 0, number + 1
@@ -86,18 +100,26 @@ def _pack(limit: int):
     return run
 
 
-class Block:
-    """A block's words, one text after the other, each text with its end.
+def cuts(texts: pa.Array, limit: int) -> Iterator[slice]:
+    """Runs of texts of at most limit bytes, or of one text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield slice(at, stop)
+        at = stop
 
-    Of n-grams that end at each word (starts stand before a text), grams[n - 1] has the distinct keys in order.
-    """
+
+class Block:
+    """A block's words, one text after the other, each text with its end."""
 
     def __init__(self, row: dict, order: int):
         self.doc_ids = row["doc_ids"]
         self.learn = np.frombuffer(row["learn"], np.uint8).astype(bool)
-        self.sizes = np.frombuffer(row["sizes"], "<i8")
-        self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
-        self.words = np.frombuffer(row["words"], "<u2" if len(self.vocabulary) <= 1 << 16 else "<u4").astype(np.int64)
+        self.sizes = planes_unpacked(row["sizes"])
+        self.vocabulary = delta_unpacked(row["vocabulary"])
+        self.words = planes_unpacked(row["words"])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.order = order
 
@@ -129,10 +151,10 @@ def start_keys(order: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def distinct(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order, and how often each comes where learn holds."""
+    every = distinct(keys)
     known, counts = np.unique(keys[learn], return_counts=True)
-    every = np.union1d(known, keys[~learn]) if len(known) else np.unique(keys)
     out = np.zeros(len(every), np.int64)
     out[np.searchsorted(every, known)] = counts
     return every, out
@@ -147,17 +169,19 @@ def by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
 
 
 def delta_packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences in as many bytes as the largest needs, byte planes apart."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, (int(steps[1:].max(initial=0)).bit_length() + 7) // 8)
-    planes = steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(planes.T).tobytes()
+    """Sorted keys as differences, in as many byte planes as the largest needs; the two highest planes are compressed."""
+    steps = np.diff(keys)
+    width = max(2, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + len(steps).to_bytes(8, "little") + planes[: width - 2].tobytes() + zlib.compress(planes[width - 2 :].tobytes(), 1)
 
 
 def delta_unpacked(data: bytes) -> np.ndarray:
     width, first = data[0], np.frombuffer(data[1:9], "<u8")
-    planes = np.frombuffer(data[9:], np.uint8).reshape(width, -1)
-    full = np.zeros((planes.shape[1], 8), np.uint8)
+    n = int.from_bytes(data[9:17], "little")
+    plain = 17 + n * (width - 2)
+    planes = np.frombuffer(data[17:plain] + zlib.decompress(data[plain:]), np.uint8).reshape(width, n)
+    full = np.zeros((n, 8), np.uint8)
     full[:, :width] = planes.T
     return np.cumsum(np.concatenate([first, full.reshape(-1).view("<u8")]), dtype=np.uint64)
 
@@ -187,7 +211,7 @@ def _send(order: int, word_shards: int, shards: int):
         starts = start_keys(order)
         texts = np.full(len(starts), int(block.learn.sum()), np.int64)
         yield from packed(block.vocabulary, np.bincount(block.words[weight], minlength=len(block.vocabulary)), word_shards, 0)
-        grams = [distinct(keys, weight) for keys in block.keys()]
+        grams = [counted(keys, weight) for keys in block.keys()]
         keys, counts = np.concatenate([*[g[0] for g in grams], starts]), np.concatenate([*[g[1] for g in grams], texts])
         at = np.argsort(keys)
         yield from packed(keys[at], counts[at], shards, LONGER)
@@ -368,17 +392,17 @@ def _score(order: int, word_shards: int, shards: int, prior: float, total: int,
         found = dict(zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist()))
         block = Block(blocks.to_pylist()[0], order)
 
-        def counted(sorted_keys: np.ndarray, shards: int, first: int) -> np.ndarray:
+        def counts_of(sorted_keys: np.ndarray, shards: int, first: int) -> np.ndarray:
             return np.concatenate([counts_unpacked(found[first + s], at.stop - at.start) for s, at in by_shard(sorted_keys, shards)])
 
-        counts = [counted(block.vocabulary, word_shards, 0)]
+        counts = [counts_of(block.vocabulary, word_shards, 0)]
         keys, starts = list(block.keys()), np.zeros(order - 1, np.int64)
         if order > 1:
-            grams = [np.unique(k) for k in keys]
+            grams = [distinct(k) for k in keys]
             flat = np.concatenate([*grams, start_keys(order)])
             at = np.argsort(flat)
             longer = np.empty(len(flat), np.int64)
-            longer[at] = counted(flat[at], shards, LONGER)
+            longer[at] = counts_of(flat[at], shards, LONGER)
             *parts, starts = np.split(longer, np.cumsum([len(g) for g in grams]))
             counts += parts
         automaton = Automaton(block, counts, starts, keys, total, types, prior)
@@ -408,8 +432,9 @@ def scored(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, key: str =
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (~held_out(F.col(key))).alias("learn"))
     blocks = written(map_arrow(rows, _pack(BLOCK_BYTES), BLOCKS), "blocks")
     size = lambda c: F.coalesce(F.sum(F.octet_length(c).cast("long")), F.lit(0))
+    # a word of a vocabulary takes about six bytes, a word of a text two
     vocabularies, words = blocks.agg(size("vocabulary"), size("words")).first()
-    word_shards, shards = max(1, -(-vocabularies // 8 // SHARD_KEYS)), max(1, -(-words // 2 * (order - 1) // SHARD_KEYS))
+    word_shards, shards = max(1, -(-vocabularies // 6 // SHARD_KEYS)), max(1, -(-words // 2 * (order - 1) // SHARD_KEYS))
     sent = blocks.mapInArrow(_send(order, word_shards, shards), MESSAGE)
     answered = written(sent.groupBy("shard").applyInArrow(_answer, ANSWER), "counts")
     total, types = answered.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Words kept with their hashes in a worker; at this number the memory starts anew.
@@ -19,6 +20,55 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order, by sorting (which is faster than a table of them)."""
+    s = np.sort(values)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of a word that are hashed in arrays; the rest of a longer word is hashed by itself.
+LONG_WORD = 256
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts (strings or bytes, no nulls), one text after the other, and the number of words of each.
+
+    Words lie between the six ASCII white-space characters, with A-Z as a-z. Eight bytes of all words are taken up at a time.
+    """
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or offsets[0] == offsets[-1]:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    body = LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
+    offsets = offsets - offsets[0]
+    inner = offsets[(offsets > 0) & (offsets < len(body))]
+    word = ~SPACE[body]
+    edge = np.concatenate([[True], ~word[:-1]])
+    edge[inner] = True
+    starts = np.flatnonzero(word & edge)
+    edge = np.concatenate([~word[1:], [True]])
+    edge[inner - 1] = True
+    sizes = np.flatnonzero(word & edge) + 1 - starts
+    padded = np.concatenate([body, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(body),), "<u8", padded, strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    hashes = mix(sizes.astype(np.uint64) * STEP)
+    left = np.arange(len(starts))
+    for at in range(0, LONG_WORD, 8):
+        chunk = eight[starts[left] + at] & masks[np.minimum(sizes[left] - at, 8)]
+        hashes[left] = mix(hashes[left] ^ chunk) * STEP
+        left = left[sizes[left] > at + 8]
+        if not len(left):
+            break
+    for i in left.tolist():
+        hashes[i] = mix(hashes[i : i + 1] ^ np.uint64(xxhash.xxh3_64_intdigest(body[starts[i] + LONG_WORD : starts[i] + sizes[i]].tobytes())))[0]
+    return mix(hashes), np.diff(np.searchsorted(starts, offsets))
+
+
 class WordHashes:
     """64-bit hashes of words, remembered from text to text."""
 

@@ -76,6 +76,21 @@ def test_packing_of_keys_and_counts():
     assert L.counts_unpacked(L.counts_packed(counts), 6).tolist() == counts.tolist()
 
 
+def test_word_hashes_tell_words_apart():
+    import pyarrow as pa
+
+    from foliant.llm.shingles import word_hashes
+
+    texts = ["A b\tÄ b ", "", " a", "b", "x" * 300 + " " + "x" * 299 + "y", "x" * 300, "", "\x0b\x0c a\x1ca \u00a0", "ab cdefgh abcdefgh abcdefghi"]
+    for column in (pa.array(texts), pa.array(["zz", *texts])[1:]):
+        hashes, sizes = word_hashes(column)
+        split = [t.encode().lower().split() for t in texts]
+        assert sizes.tolist() == [len(w) for w in split]
+        words = [w for s in split for w in s]
+        assert len(set(hashes.tolist())) == len(set(words))
+        assert all((a == b) == (x == y) for a, x in zip(words, hashes) for b, y in zip(words, hashes))
+
+
 def test_edges(edge, empty):
     rows = L.scored(edge).collect()
     assert len(rows) == edge.count()
