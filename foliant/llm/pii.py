@@ -1,10 +1,14 @@
 """Personal data in texts, also behind disguises, with spans in the source's code points.
 
-Identifiers are matched on the source as it is. Then a transducer rewrites disguises (look-alike
-characters, invisible characters, digits spelled as words, "at" and "dot" in brackets or as words)
-and keeps, for every character it emits, the source span that it stands for; identifiers of the
-rewritten text are mapped back through these spans. A mapped span is added if the transducer
-changed something in it and it overlaps no span of its kind.
+Identifiers are matched on the source as it is. Then transducers rewrite disguises and keep, for
+every character they emit, the source span that it stands for; identifiers of the rewritten text
+are mapped back through these spans. The first transducer reads characters: look-alikes, invisible
+characters, character references, full stops of other scripts. The second reads words and
+separators in the states of an address (local part, at, host) and emits @ and . for their words and
+bracketed forms once the address is complete. The third reads runs of digits in words and figures.
+
+A mapped span is added if something in it was rewritten and no span of its kind found before holds
+it; spans of the plain text stay, also inside wider ones that are added.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -47,19 +52,29 @@ SPELLED = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-AT_WORDS, DOT_WORDS, PLUS_WORDS = ("at", "arroba", "arobase", "ät"), ("dot", "punkt", "point", "punto"), ("plus",)
-_any = "|".join
-BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:(?P<at>{_any(AT_WORDS)}|@)|(?P<dot>{_any(DOT_WORDS)}|\.))\s*[\])}}>]\s*", re.I)
-#: Words for at and dot without brackets, in pairs of a language (fixed values).
+#: Words for at and dot, in pairs of a language (fixed values).
 PLAIN = (("at", "dot"), ("arroba", "punto"), ("arobase", "point"), ("ät", "punkt"))
-_labels = r"[A-Za-z0-9-]+(?:(?:\.|\x20+{dot}\x20+)[A-Za-z0-9-]+)*"
-_host = rf"({_labels}\x20+{{dot}}\x20+[A-Za-z]{{{{2,}}}})(?![A-Za-z0-9])"
-#: "name at host dot com", and a host with a dot as a word after an @; the host has to end with letters.
-PLAIN_HOSTS = tuple(
-    (re.compile(rf"(?:(?<=[A-Za-z0-9])\x20+{at}\x20+|@)" + _host.format(dot=dot), re.I), re.compile(rf"\x20+{dot}\x20+", re.I)) for at, dot in PLAIN
+AT_WORDS, DOT_WORDS, PLUS_WORDS = tuple(a for a, _ in PLAIN), tuple(d for _, d in PLAIN), ("plus",)
+#: Character references by name (fixed values of HTML).
+NAMED = {"commat": "@", "period": ".", "plus": "+", "lowbar": "_", "nbsp": " "}
+#: Full stops that host names know (fixed values of the standard on international names).
+STOPS = "\u3002\uff0e\uff61"
+#: Words that stand before "at" in plain prose: "look at example.com" is no address (fixed values).
+NOT_NAMES = frozenset(
+    "a all am and any are arrive arrived available be been but buy by call check click date day download even find for found free from get go had has have he held her here him his home hosted i in is it join just know live located long look looked looking looks me meet month more most need new news not now of off on once one only or our out over page present price read register released see seen she shop show sign site so sold stay stop store that the their them then there these they this those time to today tomorrow up us via view visit was watch we web website week were what when where which who will with work working works year you your".split()
+)
+_any = "|".join
+REFERENCE = re.compile(rf"&(?:#(?P<dec>[0-9]{{1,7}})|#[xX](?P<hex>[0-9A-Fa-f]{{1,6}})|(?P<name>{_any(NAMED)}));?")
+#: Between words of a disguise: up to four spaces, tabs or underscores, and a line break at most.
+_gap = r"(?:[\x20\t_]{1,4}(?:\r?\n[\x20\t_]{0,4})?|\r?\n[\x20\t_]{0,4})"
+_around = r"[\x20\t\r\n]{0,4}"
+_open, _close = _around + r"[\[({<]" + _around, _around + r"[\])}>]" + _around
+#: The lexemes of addresses; what is none of them ends an address.
+LEXEME = re.compile(
+    rf"(?P<bat>{_open}(?:{_any(AT_WORDS)}|@){_close})|(?P<bdot>{_open}(?:{_any(DOT_WORDS)}|\.){_close})"
+    rf"|{_gap}(?:(?P<at>{_any(AT_WORDS)})|(?P<dot>{_any(DOT_WORDS)})){_gap}|(?P<name>[A-Za-z0-9-]+)|(?P<local>[%+_])|(?P<stop>\.)|(?P<sign>@)",
+    re.I,
 )
-#: "name at host.com", which counts only if a step before made one of the dots.
-MADE_HOSTS = tuple(re.compile(rf"(?<=[A-Za-z0-9])\x20+{at}\x20+({_labels.format(dot=dot)}\.[A-Za-z]{{2,}})(?![A-Za-z0-9])", re.I) for at, dot in PLAIN)
 NUMBER_DOT = re.compile(rf"(?<=[0-9])\x20+(?:{_any(DOT_WORDS)})\x20+(?=[0-9])", re.I)
 _word = rf"(?:{_any(sorted(SPELLED, key=len, reverse=True))})"
 _number = rf"(?:{_word}|[0-9]+)"
@@ -67,8 +82,15 @@ _joint = rf"(?:[\x20\-.,]{{1,2}}|\x20(?:{_any(DOT_WORDS)})\x20)"
 #: Three or more digits in words or figures (of which the step asks for one in words), with plus before.
 SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:{_any(PLUS_WORDS)})\x20|\+)?{_number}(?:{_joint}{_number}){{2,}}(?!\w)", re.I)
 SPELLED_PART = re.compile(rf"(?P<word>{_word}|{_any(PLUS_WORDS)})|(?P<dot>\.|{_any(DOT_WORDS)})|[0-9+]+", re.I)
-ADJACENT = re.compile(rf"(?<!\w)(?:{_word}{_joint}{_number}|{_number}{_joint}{_word})(?!\w)", re.I)
-WORD = re.compile(r"\w+")
+_adjacent = rf"(?:\b{_word}{_joint}{_number}|[0-9]{_joint}{_word}\b)"
+#: What a text has that may hold an identifier, and what it has if a transducer may change it. They run
+#: natively over a batch; a text may fit and hold nothing, but none that holds something fails to fit.
+PLAIN_HINT = r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[\x20-]?[0-9]){12}"
+WORD_HINT = (
+    rf"(?i)&(?:#|{_any(NAMED)})|[\[({{<]\s*(?:{_any(AT_WORDS)}|@|{_any(DOT_WORDS)}|\.)\s*[\])}}>]"
+    rf"|[\s_](?:{_any(AT_WORDS)})[\s_]+[a-z0-9-]+\.[a-z0-9]|(?:@|[\s_](?:{_any(AT_WORDS)})[\s_]+)[a-z0-9-]+(?:\.[a-z0-9-]+)*[\s_]+(?:{_any(DOT_WORDS)})[\s_]"
+    rf"|[0-9]\x20+(?:{_any(DOT_WORDS)})\x20+[0-9]|{_adjacent}"
+)
 
 
 def folded(text: str) -> str:
@@ -77,20 +99,10 @@ def folded(text: str) -> str:
     return low if low.isascii() else low.replace("i\u0307", "i").replace("\u0131", "i")
 
 
-def may_be_disguised(text: str) -> bool:
-    """False only if every step of the transducer leaves the text as it is; cheap tests go first."""
-    if not text.isascii() and unusual().search(text):
-        return True
-    if any(c in text for c in "[({<") and BRACKETED.search(text):
-        return True
-    low = folded(text)
-    if any(f" {w} " in low for w in DOT_WORDS):
-        return True
-    tokens = WORD.findall(low)
-    spelled = SPELLED.keys() & set(tokens)
-    if not spelled or sum(map(tokens.count, spelled)) < 2 and not any(c in text for c in "0123456789"):
-        return False
-    return ADJACENT.search(text) is not None
+def hints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each text: whether it may hold an identifier as it is, and whether a transducer may change it."""
+    fits = lambda pattern: pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+    return fits(PLAIN_HINT), fits(WORD_HINT) | fits(unusual_hint())
 
 
 def luhn(digits: str) -> bool:
@@ -143,6 +155,8 @@ def look_alike(c: str) -> str | None:
         return ""
     if c in LOOK_ALIKES:
         return LOOK_ALIKES[c]
+    if c in STOPS:
+        return "."
     digit = unicodedata.decimal(c, None)
     if digit is not None:
         return str(digit)
@@ -152,10 +166,20 @@ def look_alike(c: str) -> str | None:
 
 @lru_cache(maxsize=1)
 def unusual() -> re.Pattern:
-    """Matches exactly the characters that characters() rewrites; none lies beyond U+1FFFF."""
+    """Matches exactly the characters that look_alike changes; none lies beyond U+1FFFF."""
     return re.compile(f"[{''.join(c for c in map(chr, range(0xA0, 0x20000)) if look_alike.__wrapped__(c) is not None)}]")
 
 
+@lru_cache(maxsize=1)
+def unusual_hint() -> str:
+    """unusual() as ranges, and the forms of i that patterns which ignore case take for one."""
+    codes = [k for k in range(0xA0, 0x20000) if not 0xD800 <= k < 0xE000 and look_alike.__wrapped__(chr(k)) is not None] + [0x130, 0x131]
+    codes.sort()
+    starts = [k for i, k in enumerate(codes) if not i or codes[i - 1] != k - 1]
+    ends = [k for i, k in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != k + 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]"
+
+
 class Tape:
     """A text being rewritten: each character knows the source span that it came from, and if it was changed."""
 
@@ -181,11 +205,112 @@ class Tape:
 
 
 def characters(text: str) -> list[tuple[int, int, str]]:
-    return [(i, i + 1, new) for i, c in enumerate(text) if c >= "\xa0" and (new := look_alike(c)) is not None]
+    """Edits of single characters and of character references to ASCII."""
+    edits = [(m.start(), m.end(), look_alike(m[0])) for m in unusual().finditer(text)] if not text.isascii() else []
+    for m in REFERENCE.finditer(text) if "&" in text else ():
+        code = int(m["dec"]) if m["dec"] else int(m["hex"], 16) if m["hex"] else 0
+        new = NAMED[m["name"]] if m["name"] else chr(code) if 32 <= code < 127 or code == 10 else " " if code == 160 else None
+        if new:
+            edits.append((m.start(), m.end(), new))
+    return sorted(edits)
 
 
-def brackets(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(text)]
+class Address:
+    """The lexemes of an address while it is read: local part, at and host, as (start, end, what it is, language, whether it is a disguise).
+
+    States are those of the next lexeme: LOCAL after a piece of a local part, LOCAL_DOT after a dot in
+    it, HOST_FIRST after the at, HOST after a label, HOST_DOT after a dot in the host.
+    """
+
+    IDLE, LOCAL, LOCAL_DOT, HOST_FIRST, HOST, HOST_DOT = range(6)
+    #: (state, class) -> state; any other pair ends the address, and the lexeme is read again from IDLE.
+    NEXT = {
+        (IDLE, "name"): LOCAL, (IDLE, "local"): LOCAL,
+        (LOCAL, "name"): LOCAL, (LOCAL, "local"): LOCAL, (LOCAL, "dot"): LOCAL_DOT, (LOCAL, "at"): HOST_FIRST,
+        (LOCAL_DOT, "name"): LOCAL, (LOCAL_DOT, "local"): LOCAL,
+        (HOST_FIRST, "name"): HOST,
+        (HOST, "dot"): HOST_DOT,
+        (HOST_DOT, "name"): HOST,
+    }
+
+    def __init__(self, changed: bytes):
+        self.changed, self.state, self.parts, self.at = changed, self.IDLE, [], None
+
+    def reset(self) -> None:
+        self.state, self.parts, self.at = self.IDLE, [], None
+
+    def edits(self, text: str) -> list[tuple[int, int, str]]:
+        """The edits that make the address plain, if it is complete and was disguised; a dot after the host stays outside."""
+        if self.at is None:
+            return []
+        host = self.parts[self.at + 1 :]
+        while host and host[-1][2] != "name":
+            host.pop()
+        dots = [p for p in host if p[2] == "dot"]
+        if not dots:
+            return []
+        start, end, kind, language, _ = self.parts[self.at]
+        spoken = {p[3] for p in dots if p[3] is not None}
+        by_word = language is not None
+        made = kind != "@" or any(self.changed[start:end]) or any(p[4] or any(self.changed[p[0] : p[1]]) for p in dots)
+        if not made or len(spoken | ({language} if by_word else set())) > 1:
+            return []
+        if by_word or spoken:
+            last = text[host[-1][0] : host[-1][1]]
+            if len(last) < 2 or not last.isalpha() or not last.isascii():
+                return []
+        local = self.parts[: self.at]
+        words = spoken | ({language} if by_word else set()) or {0}
+        # words for dot in the local part are those of the address's language; what stands before another one is left out
+        for k in range(len(local) - 1, -1, -1):
+            if local[k][3] is not None and local[k][3] not in words:
+                local = local[k + 1 :]
+                break
+        if language == 0 and not any(p[4] or any(self.changed[p[0] : p[1]]) for p in dots):
+            name = text[local[0][0] : local[-1][1]]
+            if name.isalpha() and folded(name) in NOT_NAMES:
+                return []
+        out = [(a, b, ".") for a, b, k, _, disguised in local if k == "dot" and disguised]
+        if kind != "@":
+            out.append((start, end, "@"))
+        return out + [(a, b, ".") for a, b, _, _, disguised in dots if disguised and a < host[-1][0]]
+
+
+def addresses(text: str, changed: bytes) -> list[tuple[int, int, str]]:
+    """Edits of at and dot, as words or in brackets, in addresses. changed marks characters that a step before made."""
+    out: list[tuple[int, int, str]] = []
+    now, last = Address(changed), 0
+    languages = {w: k for k, pair in enumerate(PLAIN) for w in pair}
+    for m in LEXEME.finditer(text):
+        kind = m.lastgroup
+        if m.start() != last and now.state != now.IDLE:
+            out += now.edits(text)
+            now.reset()
+        last = m.end()
+        language = languages.get(folded(m[kind])) if kind in ("at", "dot") else None
+        what = {"bat": "at", "sign": "at", "bdot": "dot", "stop": "dot"}.get(kind, kind)
+        part = (m.start(), m.end(), "@" if kind == "sign" else what, language, kind in ("bdot", "dot"))
+        state = now.NEXT.get((now.state, what))
+        if state is None:
+            label = now.parts[-1] if now.state == now.HOST and what == "at" else None
+            out += now.edits(text)
+            now.reset()
+            if label:
+                # an at after a label: the label may be a local part itself
+                now.parts, state = [label], now.HOST_FIRST
+            else:
+                state = now.NEXT.get((now.IDLE, what))
+                if state is None:
+                    continue
+        if what == "at":
+            now.at = len(now.parts)
+        now.parts.append(part)
+        now.state = state
+    return out + now.edits(text)
+
+
+def number_dots(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), ".") for m in NUMBER_DOT.finditer(text)]
 
 
 def spelled_digits(text: str) -> list[tuple[int, int, str]]:
@@ -206,79 +331,26 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-def dots_before(text: str, end: int, dot: str) -> Iterator[tuple[int, int, str]]:
-    """Dots as words in the local part that ends at end."""
-    while True:
-        start = end
-        while start > 0 and text[start - 1] in LOCAL:
-            start -= 1
-        word = start
-        while word > 0 and text[word - 1] == " ":
-            word -= 1
-        first = word - len(dot)
-        if start == end or word == start or first < 2 or folded(text[first:word]) != dot:
-            return
-        end = first
-        while end > 0 and text[end - 1] == " ":
-            end -= 1
-        if end in (0, first) or text[end - 1] not in LOCAL:
-            return
-        yield end, start, "."
-
-
-def words(text: str, changed: bytes = b"") -> list[tuple[int, int, str]]:
-    """at and dot as words: those of addresses, and dots between numbers. changed marks characters that a step before made.
-
-    Before an @ that a step made (its word's language is gone) only the English dot is read in the local part.
-    """
-    edits: dict[int, tuple[int, int, str]] = {}
-    for (host, dot), made, (_, word) in zip(PLAIN_HOSTS, MADE_HOSTS, PLAIN):
-        found = list(host.finditer(text))
-        if any(changed):
-            found += [m for m in made.finditer(text) if any(text[k] == "." and changed[k] for k in range(*m.span(1)))]
-        for m in found:
-            for d in dot.finditer(text, m.start(1), m.end(1)):
-                edits.setdefault(d.start(), (d.start(), d.end(), "."))
-            if text[m.start()] != "@":
-                edits.setdefault(m.start(), (m.start(), m.start(1), "@"))
-            edits.update({e[0]: e for e in dots_before(text, m.start(), word) if e[0] not in edits})
-    at = text.find("@") if any(changed) else -1
-    while at >= 0:
-        if changed[at]:
-            edits.update({e[0]: e for e in dots_before(text, at, "dot") if e[0] not in edits})
-        at = text.find("@", at + 1)
-    for m in NUMBER_DOT.finditer(text):
-        edits.setdefault(m.start(), (m.start(), m.end(), "."))
-    out: list[tuple[int, int, str]] = []
-    for e in sorted(edits.values()):
-        if not out or e[0] >= out[-1][1]:
-            out.append(e)
-    return out
-
-
 def rewritten(text: str) -> Tape:
     tape = Tape(text)
-    for step in (characters, brackets):
-        tape.rewrite(step(tape.text))
-    tape.rewrite(words(tape.text, tape.changed))
+    tape.rewrite(characters(tape.text))
+    tape.rewrite(addresses(tape.text, tape.changed))
+    tape.rewrite(number_dots(tape.text))
     tape.rewrite(spelled_digits(tape.text))
     return tape
 
 
 def disguised(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
-    """Spans of the source that only show after rewriting, by kind; none overlaps one of base's kind."""
-    if not may_be_disguised(text):
-        return {}
+    """Spans of the source that only show after rewriting, by kind; none lies within one of base's kind."""
     tape = rewritten(text)
+    if tape.text == text:
+        return {}
     out: dict[str, list[tuple[int, int]]] = {}
     for kind, spans in identifiers(tape.text).items():
-        taken = sorted(base.get(kind, ()))
         for a, b in spans:
-            if any(tape.changed[a:b]) or tape.ends[b - 1] - tape.starts[a] != b - a:
-                x, y = tape.starts[a], tape.ends[b - 1]
-                if not any(p < y and x < q for p, q in taken):
-                    out.setdefault(kind, []).append((x, y))
-                    taken.append((x, y))
+            x, y = tape.starts[a], tape.ends[b - 1]
+            if (any(tape.changed[a:b]) or y - x != b - a) and not any(p <= x and y <= q for p, q in base.get(kind, ())):
+                out.setdefault(kind, []).append((x, y))
     return out
 
 
@@ -290,12 +362,20 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
     """Spans by kind: those of the plain text, and those together with the disguised ones."""
     base = identifiers(text)
     more = disguised(text, base)
-    return base, {k: sorted(base[k] + more.get(k, [])) for k in KINDS} if more else base
+    return base, {k: sorted({*base[k], *more.get(k, [])}) for k in KINDS} if more else base
+
+
+#: What find() gives for a text without hints.
+NOTHING = ({k: [] for k in KINDS},) * 2
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [find(x) for x in pc.fill_null(batch.column(1), "").to_pylist()]
+        texts = pc.fill_null(batch.column(1), "")
+        plain, changing = hints(texts)
+        rows = [NOTHING] * len(texts)
+        for i in np.flatnonzero(plain | changing).tolist():
+            rows[i] = find(texts[i].as_py())
         counts = [pa.array([len(base[k]) for base, _ in rows], pa.int64()) for k in KINDS]
         names = [joined(base) for base, _ in rows]
         spans = [name if base is both else joined(both) for name, (base, both) in zip(names, rows)]
@@ -314,21 +394,27 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def redact(text: str) -> str:
-    """text with every identifier replaced by its kind in angle brackets; of overlapping spans the first (then longest) names it."""
+    """text with every identifier replaced by its kind in angle brackets; overlapping spans go as a whole, named by the first (then longest)."""
     _, spans = find(text)
-    parts, at = [], 0
+    parts, at, done = [], 0, 0
     for a, b, kind in sorted(((a, b, k) for k in KINDS for a, b in spans[k]), key=lambda s: (s[0], -s[1])):
-        if a >= at:
+        if a >= done:
             parts += [text[at:a], f"<{kind}>"]
-        at = max(at, b)
+        at = done = max(done, b)
     return "".join([*parts, text[at:]])
 
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.names.index("text")
-        texts = [None if x is None else redact(x) for x in batch.column(at).to_pylist()]
-        yield batch.set_column(at, "text", pa.array(texts, batch.schema.types[at]))
+        texts = batch.column(at)
+        plain, changing = hints(pc.fill_null(texts, ""))
+        new = {i: redact(texts[i].as_py()) for i in np.flatnonzero(plain | changing).tolist()}
+        if new:
+            mask = np.zeros(len(texts), bool)
+            mask[list(new)] = True
+            texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([new[i] for i in sorted(new)], texts.type))
+        yield batch.set_column(at, batch.schema.field(at), texts)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -337,4 +423,5 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """personal_data() of every document; nulls, empty and repeated texts and empty tables as there."""
     return personal_data(documents(spark, sf_dir))
