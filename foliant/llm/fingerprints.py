@@ -13,15 +13,17 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, small, written
+from .common import documents, salted_join, small, written
 
 WIDTH = 3
 SEEDS = (1, 2)
 BITS = 64 * len(SEEDS)
 #: Documents of a range whose neighbours meet in one task.
 RANGE_ROWS = 2_000
-#: Quantiles of ids that the driver takes.
-MOST_CUTS = 256
+#: Ranges of ids on the first level, and parts of each on the second.
+FIRST_RANGES, SECOND_RANGES = 256, 4_096
+#: Bits that fingerprints of near documents may differ in, and the blocks that they are cut into to find them.
+RADIUS, BLOCKS = 3, 5
 LANES = 0x0000000100000001
 
 
@@ -78,51 +80,85 @@ def likeness(a: Column, b: Column) -> Column:
     return 1.0 - distance(a, b) / float(BITS)
 
 
-def range_cuts(ids: DataFrame, range_rows: int = RANGE_ROWS, most: int = MOST_CUTS) -> tuple[list[int], int]:
-    """(cuts, parts): ascending ids from the least to past the largest, by quantiles, and into how many ranges the ids
-    between two cuts are parted evenly, so that a range has near range_rows rows.
+def first_cuts(ids: DataFrame, ranges: int) -> list[int]:
+    """Ascending ids that part the ids into about `ranges` ranges of equal size."""
+    if ranges < 2:
+        return []
+    at = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    return sorted(set(ids.select(F.percentile_approx("id", at, 100 * ranges).alias("q")).first()["q"] or ()))
 
-    There are at most `most` cuts, whatever the number of rows; the rest is arithmetic.
-    """
-    n, least, largest = ids.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
-    if not n:
-        return [0, 1], 1
-    wanted = max(1, -(-n // range_rows))
-    quantiles = min(wanted, most)
-    at = F.array(*[F.lit(i / quantiles) for i in range(1, quantiles)])
-    inner = ids.select(F.percentile_approx("doc_id", at, 100 * quantiles).alias("q")).first()["q"] if quantiles > 1 else []
-    return sorted({least, *inner, largest + 1}), -(-wanted // quantiles)
 
+def search(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are at or below key, by halving."""
 
-def range_of(key: Column, cuts: list[int], parts: int) -> Column:
-    """The range of an id, rising with it: found by halving among the cuts, then by its share of the way to the next cut."""
-
-    def search(low: int, high: int) -> Column:
+    def between(low: int, high: int) -> Column:
         if low == high:
-            share = F.floor((key.cast("double") - float(cuts[low])) * parts / float(cuts[low + 1] - cuts[low]))
-            return F.lit(low * parts).cast("long") + F.least(share, F.lit(parts - 1)).cast("long")
-        middle = (low + high + 1) // 2
-        return F.when(key < F.lit(cuts[middle]), search(low, middle - 1)).otherwise(search(middle, high))
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < F.lit(cuts[middle]), between(low, middle)).otherwise(between(middle + 1, high))
 
-    return search(0, len(cuts) - 2)
+    return between(0, len(cuts))
 
 
-def in_ranges(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """docs (doc_id, text) with range, guest and row, so that the next document by descending doc_id is the row before.
+def ranged(docs: DataFrame, range_rows: int = RANGE_ROWS, first: int = FIRST_RANGES, second: int = SECOND_RANGES) -> DataFrame:
+    """docs (id, text) with range1, range2 and part, which rise in this order with (id, hash of text) and hold about range_rows rows.
 
-    Ids are dealt to ranges by their quantiles. As guest, each range also gets the document with the
-    largest id of the nearest range below that has one; the lowest range gets the largest of all, as
-    the first document follows the last. Ties of an id go by text.
+    The first level are quantiles that the driver takes, at most `first`; the second are quantiles of
+    each range of the first, which are found and kept apart: at most `second` numbers a range. An id
+    with more than range_rows rows is parted by the hash of its texts.
     """
-    place = range_of(F.col("doc_id"), *range_cuts(docs.select("doc_id"), range_rows))
-    tops = docs.where("doc_id is not null").groupBy(place.alias("range")).agg(F.max_by("doc_id", F.struct("doc_id", F.xxhash64("text"))).alias("doc_id"))
-    tops = written(tops, "tops")
-    ranges = Window.orderBy("range")
-    lowest = F.first("range").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    borders = written(tops.select("doc_id", F.coalesce(F.lead("range").over(ranges), lowest).alias("range")), "borders")
-    guests = docs.join(small(borders), "doc_id").select("doc_id", "text", "range", F.lit(True).alias("guest"))
-    rows = docs.select("doc_id", "text", place.alias("range"), F.lit(False).alias("guest")).unionByName(guests)
-    return rows.withColumn("row", F.row_number().over(Window.partitionBy("range").orderBy(F.desc("guest"), "doc_id", "text")))
+    n = docs.count()
+    wanted = max(1, -(-n // range_rows))
+    level1 = min(wanted, first)
+    range1 = search(F.col("id"), first_cuts(docs.select("id"), level1))
+    ids = docs.select("id", range1.alias("range1"))
+    level2 = min(-(-wanted // level1), second)
+    at = F.array(*[F.lit(i / level2) for i in range(1, level2)]) if level2 > 1 else None
+    cuts = ids.groupBy("range1").agg((F.array_distinct(F.percentile_approx("id", at, 100 * level2)) if level2 > 1 else F.array().cast("array<long>")).alias("cuts"))
+    cuts = F.broadcast(written(cuts, "cuts"))  # at most `first` rows of at most `second` numbers
+    range2 = F.size(F.filter("cuts", lambda c: c <= F.col("id"))).alias("range2")
+    hot = ids.groupBy("range1", "id").agg(F.count("*").alias("rows")).where(F.col("rows") > range_rows).join(cuts, "range1")
+    hot = hot.select("range1", range2, F.struct("id", F.ceil(F.col("rows") / range_rows).cast("long").alias("parts")).alias("h"))
+    hot = written(hot.groupBy("range1", "range2").agg(F.collect_list("h").alias("hot")), "hot_ids")
+    rows = docs.select("id", "text", F.xxhash64("text").alias("hash"), range1.alias("range1")).join(cuts, "range1")
+    rows = rows.select("id", "text", "hash", "range1", range2).join(small(hot), ["range1", "range2"], "left")
+    # in a range with hot ids: what lies before the first, the first by its parts, what lies up to the second, ...
+    before = F.size(F.filter("hot", lambda h: h["id"] < F.col("id"))).cast("long")
+    parts = F.get(F.filter("hot", lambda h: h["id"] == F.col("id")), F.lit(0))["parts"]
+    share = F.least(F.floor(F.shiftrightunsigned("hash", 1) / F.lit(2.0**63) * parts).cast("long"), parts - 1)
+    part = F.when(F.col("hot").isNull(), F.lit(0).cast("long")).otherwise(before * (1 << 41) + F.coalesce(share + (1 << 40), F.lit(0).cast("long")))
+    return rows.select("id", "hash", "text", "range1", "range2", part.alias("part"))
+
+
+PLACE = ("range1", "range2", "part")
+
+
+def in_ranges(docs: DataFrame, range_rows: int = RANGE_ROWS, first: int = FIRST_RANGES, second: int = SECOND_RANGES) -> DataFrame:
+    """docs (doc_id, text) with id, PLACE, guest and row, so that the next document by descending doc_id is the row before.
+
+    As guest, each range also gets the last document of the nearest range below that has one; the
+    lowest range gets the last of all, as the first document follows the last. Rows without an id
+    come lowest; ties of an id go by a hash of the text, then by the text.
+    """
+    rows = ranged(docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text"), range_rows, first, second)
+    order = F.struct("id", F.shiftrightunsigned("hash", 1), "hash")
+    tops = written(rows.groupBy(*PLACE).agg(F.max_by(F.struct("id", "hash"), order).alias("t")).select(*PLACE, "t.*"), "tops")
+    inside = Window.partitionBy("range1").orderBy("range2", "part")
+    after = [F.lead(c).over(inside).alias(f"_{c}") for c in PLACE]
+    # from each range of the first level, of which there are few, to the next: the driver knows their order
+    ends = sorted(tuple(r) for r in tops.groupBy("range1").agg(F.min(F.struct("range2", "part")).alias("least")).select("range1", "least.*").collect())
+    following = [(a[0], *b) for a, b in zip(ends, [*ends[1:], *ends[:1]])]
+    listed = ", ".join(map(str, following)) or "(NULL, NULL, NULL, NULL)"
+    across = docs.sparkSession.sql(f"SELECT CAST(range1 AS INT) AS range1, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS BIGINT) AS z FROM VALUES {listed} AS t(range1, x, y, z)")
+    borders = tops.select("*", *after).join(F.broadcast(across), "range1")
+    nowhere = F.col("_range1").isNull()
+    borders = borders.select("id", "hash", *[F.when(nowhere, F.col(n)).otherwise(F.col(f"_{c}")).alias(c) for c, n in zip(PLACE, "xyz")])
+    borders = written(borders, "borders")
+    guests = rows.drop(*PLACE).join(small(borders), ["id", "hash"]).dropDuplicates(["id", "hash", *PLACE])
+    columns = ["id", "hash", "text", *PLACE]
+    both = rows.select(*columns, F.lit(False).alias("guest")).unionByName(guests.select(*columns, F.lit(True).alias("guest")))
+    place = Window.partitionBy(*PLACE).orderBy(F.desc("guest"), "id", F.shiftrightunsigned("hash", 1), "hash", "text")
+    return both.withColumn("row", F.row_number().over(place))
 
 
 def edited_fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -134,22 +170,23 @@ def edited_fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFr
     range; windows and sums then stay within the range.
     """
     rows = in_ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), range_rows)
-    order = Window.partitionBy("range").orderBy("row")
+    order = Window.partitionBy(*PLACE).orderBy("row")
     part = F.floor(F.length("text") / 3).cast("int")
     rows = rows.withColumn("next", F.coalesce(F.lag("text").over(order), F.lit("")))
     rows = rows.withColumn("edited", F.when(F.col("guest"), "").otherwise(F.concat(F.substr("text", F.lit(1), F.length("text") - part), F.substr("next", F.lit(1), part))))
-    keys = ["range", "row", "guest", "doc_id", "n_chars", "edited_sha256"]
-    rows = rows.select("range", "row", "guest", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("which", "body"))
+    keys = [*PLACE, "row", "guest", "id", "n_chars", "edited_sha256"]
+    rows = rows.select(*PLACE, "row", "guest", "id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("which", "body"))
     prints = fingerprinted(rows, [*keys, "which"], "body", "print")
     pair = prints.groupBy(*keys).agg(F.max(F.when(F.col("which") == 0, F.col("print"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("print"))).alias("edited_fingerprint"))
     pair = pair.withColumn("_next", F.lag("fingerprint").over(order)).where("not guest")
-    return pair.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"))
+    doc_id = F.nullif("id", F.lit(-(1 << 63))).alias("doc_id")
+    return pair.select(doc_id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"))
 
 
 def within_radius(prints: DataFrame, radius: int, blocks: int | None = None, key: str = "doc_id", name: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
-    """(membership, pairs): key and class of every row, and classes at 1..radius bits from each other.
+    """(membership, pairs): key and class of every row; and classes a < b and their fingerprints fa, fb at 1..radius bits from each other.
 
-    Equal fingerprints are one class, named by its smallest key. A fingerprint is cut into blocks;
+    Equal fingerprints are one class, named by its smallest key (null if none has a key); a row without a fingerprint is in none. A fingerprint is cut into blocks;
     two that differ in at most radius bits agree in at least blocks - radius of them, so with a table
     for each choice of so many blocks (the permutation that brings them to the front) every pair
     meets in some table under an equal prefix. Of a table only pairs within the radius leave the join.
@@ -163,12 +200,24 @@ def within_radius(prints: DataFrame, radius: int, blocks: int | None = None, key
     cut = [F.substring(name, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)]
     tables = [F.struct(F.lit(t).alias("table"), F.concat(*[cut[i] for i in chosen]).alias("prefix")) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
     rows = classes.select("class", name, F.explode(F.array(*tables)).alias("x")).select("class", name, "x.*")
-    left = rows.select("table", "prefix", F.col("class").alias("a"), F.col(name).alias("_a"))
-    right = rows.select("table", "prefix", F.col("class").alias("b"), F.col(name).alias("_b"))
-    near = (left["table"] == right["table"]) & (left["prefix"] == right["prefix"]) & (F.col("a") < F.col("b")) & (distance(F.col("_a"), F.col("_b")) <= radius)
-    pairs = left.join(right, near).select("a", "b", distance(F.col("_a"), F.col("_b")).alias("bits")).distinct()
-    return prints.join(classes, name, "left").select(key, "class"), pairs
+    left = rows.select("table", "prefix", F.col("class").alias("a"), F.col(name).alias("fa"))
+    right = rows.select("table", "prefix", F.col("class").alias("b"), F.col(name).alias("fb"))
+    near = (left["table"] == right["table"]) & (left["prefix"] == right["prefix"]) & (F.col("fa") < F.col("fb")) & (distance(F.col("fa"), F.col("fb")) <= radius)
+    rising = F.col("a") <= F.col("b")
+    pairs = left.join(right, near).select("fa", "fb", F.when(rising, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(rising, F.col("b")).otherwise(F.col("a")).alias("b"), distance(F.col("fa"), F.col("fb")).alias("bits")).distinct()
+    return salted_join(prints.select(key, name), classes, name, key).select(key, "class"), written(pairs, "pairs")
+
+
+def with_neighbours(rows: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, key: str = "doc_id", name: str = "fingerprint") -> DataFrame:
+    """rows with n_near: how many other fingerprints of rows lie within radius bits of its own."""
+    _, pairs = within_radius(rows, radius, blocks, key, name)
+    ends = pairs.select("fa").unionByName(pairs.select(F.col("fb").alias("fa")))
+    counts = written(ends.groupBy(F.col("fa").alias(name)).agg(F.count("*").alias("n_near")), "neighbours")
+    return salted_join(rows, counts, name, key).withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(documents(spark, sf_dir).select("doc_id", "text"))
+    """edited_fingerprints() of every document, with the number of other fingerprints within RADIUS bits; nulls, empty and repeated texts and empty tables as there."""
+    prints = written(edited_fingerprints(documents(spark, sf_dir).select("doc_id", "text")), "fingerprints")
+    columns = prints.columns
+    return with_neighbours(prints).select(*columns, "n_near")

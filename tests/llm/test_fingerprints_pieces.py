@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import collections
 import hashlib
 import random
 
@@ -14,9 +15,10 @@ def bits(a: str, b: str) -> int:
     return bin(int(a, 16) ^ int(b, 16)).count("1")
 
 
-@pytest.mark.parametrize(("range_rows", "cuts"), [(30, 256), (10, 3), (1_000, 256)])
-def test_edited_texts_and_neighbours(documents, texts, monkeypatch, range_rows, cuts):
-    monkeypatch.setattr(F7.range_cuts, "__defaults__", (range_rows, cuts))
+@pytest.mark.parametrize(("range_rows", "levels"), [(30, (256, 4_096)), (10, (3, 2)), (5, (2, 16)), (1_000, (256, 4_096))])
+def test_edited_texts_and_neighbours(documents, texts, monkeypatch, range_rows, levels):
+    monkeypatch.setattr(F7.ranged, "__defaults__", (range_rows, *levels))
+    monkeypatch.setattr(F7.in_ranges, "__defaults__", (range_rows, *levels))
     got = {r.doc_id: r for r in F7.edited_fingerprints(documents.select("doc_id", "text"), range_rows).collect()}
     ids = sorted(texts, reverse=True)
     assert got.keys() == texts.keys()
@@ -29,17 +31,51 @@ def test_edited_texts_and_neighbours(documents, texts, monkeypatch, range_rows,
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.9
 
 
-def test_ranges_rise_with_ids(spark):
-    ids = [-(1 << 62), -5, 0, 1, 2, 3, 4, 10**6, 10**6 + 1, 1 << 62]
-    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    for rows, most in ((1, 2), (2, 3), (1, 256), (100, 256)):
-        got = [r.x for r in df.select("doc_id", F7.range_of(F7.F.col("doc_id"), *F7.range_cuts(df, rows, most)).alias("x")).orderBy("doc_id").collect()]
-        assert got == sorted(got) and got[0] >= 0
+CLUSTERED = [*range(600), *[7] * 120, 10**15, 1 << 62, -(1 << 62), *[10**15 + 3 * i for i in range(80)]]
+
+
+@pytest.mark.parametrize(("range_rows", "levels"), [(10, (4, 64)), (25, (256, 4_096)), (40, (1, 8)), (10_000, (256, 4_096))])
+def test_ranges_rise_and_stay_small_with_clustered_and_repeated_ids(spark, range_rows, levels):
+    """Dense ids with far ones on top, and an id that comes 121 times: no range outgrows its rows by much."""
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(CLUSTERED)], "id long, text string")
+    got = F7.ranged(df, range_rows, *levels).orderBy("id", F7.F.shiftrightunsigned("hash", 1), "hash").collect()
+    places = [(r.range1, r.range2, r.part) for r in got]
+    assert places == sorted(places) and len(got) == len(CLUSTERED)
+    if levels != (1, 8):
+        assert max(collections.Counter(places).values()) <= 3 * range_rows
+
+
+def test_neighbours_of_clustered_and_repeated_ids(spark):
+    rows = [(i, f"text number {k} " * (1 + k % 4)) for k, i in enumerate(CLUSTERED)] + [(None, "no id"), (None, None), (7, "text number 7 "), (7, "text number 7 ")]
+    got = F7.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()
+    assert len(got) == len(rows)
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "text string").distinct().withColumn("h", F7.F.xxhash64("text")).collect()}
+    order = sorted(((i if i is not None else -(1 << 63), hashes[t or ""] % (1 << 64), t or "") for i, t in rows), reverse=True)
+    want = collections.Counter()
+    for (i, _, t), (_, _, n) in zip(order, [*order[1:], order[0]]):
+        part = len(t) // 3
+        want[(None if i == -(1 << 63) else i, hashlib.sha256((t[: len(t) - part] + n[:part]).encode()).hexdigest())] += 1
+    assert collections.Counter((r.doc_id, r.edited_sha256) for r in got) == want
 
 
 def test_no_python_in_the_plan(documents):
-    plan = F7.edited_fingerprints(documents.select("doc_id", "text"))._jdf.queryExecution().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+    prints = F7.edited_fingerprints(documents.select("doc_id", "text"))
+    for df in (prints, F7.with_neighbours(prints)):
+        plan = df._jdf.queryExecution().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD", "CartesianProduct"))
+        # no window without a partition
+        assert all("partitionBy" in line or "[range" in line or "Window" not in line for line in plan.splitlines())
+
+
+def test_counts_of_neighbours(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(128) for _ in range(12)]
+    prints = [x ^ sum(1 << b for b in rng.sample(range(128), k % 5)) for x in base for k in range(10)]
+    rows = [(i, f"{x:032x}") for i, x in enumerate([*prints, *prints[:7], 0, 0])] + [(None, f"{prints[3]:032x}"), (500, None)]
+    got = F7.with_neighbours(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
+    every = {x for _, x in rows if x is not None}
+    assert len(got) == len(rows)
+    assert all(r.n_near == (sum(0 < bits(r.fingerprint, y) <= F7.RADIUS for y in every) if r.fingerprint else 0) for r in got)
 
 
 def test_equal_and_weighted_texts(spark):
@@ -68,7 +104,7 @@ def test_block_tables_find_every_pair(spark):
             first.setdefault(x, i)
     keys = sorted(first, key=first.get)
     want = {(first[a], first[b], bits(a, b)) for k, b in enumerate(keys) for a in keys[:k] if bits(a, b) <= 4}
-    assert {tuple(r) for r in pairs.collect()} == want
+    assert {tuple(r) for r in pairs.select("a", "b", "bits").collect()} == want
     assert {r.doc_id: r["class"] for r in membership.collect()}[999] == 0
 
 
