@@ -89,8 +89,3 @@ def salted_join(big: DataFrame, other: DataFrame, on: str, spread: str, salts: i
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [on, "_salt"], "left").drop("_salt")
-
-
-def stripped_lower(text: bytes) -> list[bytes]:
-    """Words of a text in UTF-8 between the six ASCII white-space characters, A-Z lowered."""
-    return text.lower().split()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-#: Words kept with their hashes in a worker; at this number the memory starts anew.
-CACHE_WORDS = 400_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,25 +70,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix(hashes), np.diff(np.searchsorted(starts, offsets))
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered from text to text."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        hash64 = xxhash.xxh3_64_intdigest
-        for w in words:
-            if w not in known:
-                known[w] = hash64(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def by_text(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The word hashes of each text; a null has none."""
+    hashes, sizes = word_hashes(pc.fill_null(texts, ""))
+    ends = np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+        yield hashes[a:b]
 
 
 def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -100,4 +88,4 @@ def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
     out = hashes[: n - width + 1].copy()
     for k in range(1, width):
         out = out * STEP + hashes[k : n - width + 1 + k]
-    return np.unique(mix(out + np.uint64(width)))
+    return distinct(mix(out + np.uint64(width)))
