@@ -152,12 +152,13 @@ def levels(rule: str, cutoffs: tuple[float, ...]) -> Column:
 def calibrate(table: DataFrame, labels: DataFrame, rules: dict[str, tuple[float, ...]] = RULES, max_false_rejection: float = MAX_FALSE_REJECTION, confidence: float = CONFIDENCE, gain: float = GAIN) -> DataFrame:
     """(stratum, cutoffs map<rule, cutoff>) of every labelled stratum, from features and (doc_id, quality 0/1).
 
-    All labelled rows count. Labels without doc_id or quality are left out; a document labelled more
+    All labelled rows that the base rules keep count: the bound holds for what the rules reject of those (false_rejections()
+    reports the whole). Labels without doc_id or quality are left out; a document labelled more
     than once counts once, as bad if any label says so. Only counts by stratum, rule and level leave
     the executors' aggregation.
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = table.join(marks, "doc_id")
+    known = table.where(~base_failed()).join(marks, "doc_id")
     stacked = known.select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), levels(r, c).alias("level")) for r, c in rules.items()])).alias("x"))
     counts = written(stacked.select("stratum", "quality", "x.*").groupBy("stratum", "rule", "level").agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad")), "levels")
     tests = max(1, counts.where("level > 0 and bad > 0").select("stratum", "rule").distinct().count())
@@ -188,12 +189,26 @@ def calibrate(table: DataFrame, labels: DataFrame, rules: dict[str, tuple[float,
     return counts.groupBy("stratum").applyInPandas(choose, "stratum string, cutoffs map<string,double>")
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
+
+
+def false_rejections(verdicts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per stratum, of rows labelled good: n_good, by_base and by_rules (rejected by the base rules, and by the others alone) and share, all rejected of all.
+
+    verdicts is what judged() gives. Rows without a label, and labels with nulls, do not count.
+    """
+    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality > 0")
+    rows = verdicts.join(good.select("doc_id"), "doc_id")
+    counts = rows.groupBy("stratum").agg(F.count("*").alias("n_good"), F.count_if("base_failed").alias("by_base"), F.count_if(~F.col("base_failed") & ~F.col("kept")).alias("by_rules"))
+    return counts.withColumn("share", (F.col("by_base") + F.col("by_rules")) / F.col("n_good"))
+
+
 def judged(table: DataFrame, chosen: DataFrame, rules: dict[str, tuple[float, ...]] = RULES) -> DataFrame:
     """features with base_failed, kept and rejected_by (rules whose cutoff the document exceeds)."""
     chosen = written(chosen, "cutoffs")
     over = F.array_compact(F.array(*[F.when(measure(r) > F.col("cutoffs")[r], F.lit(r)) for r in rules]))
-    base = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
-    out = table.join(small(chosen), "stratum", "left").withColumn("base_failed", base).withColumn("rejected_by", F.coalesce(over, F.array().cast("array<string>")))
+    out = table.join(small(chosen), "stratum", "left").withColumn("base_failed", base_failed()).withColumn("rejected_by", F.coalesce(over, F.array().cast("array<string>")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("cutoffs")
 
 
@@ -204,6 +219,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality() of every document by the labels of the same tables; nulls, repeats and empty tables as in features() and calibrate()."""
     out = quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "rejected_by").alias("rejected_by"))
 
@@ -219,7 +235,7 @@ def _sql() -> str:
     sources = {"symbols_per_word": ("n_symbols", "n_words"), "capitals_share": ("n_capitals", "word_chars"), "marks_per_word": ("n_marks", "n_words"), "echoes_share": ("n_echoes", "n_words"), "repeated_share": ("n_repeat_words", "n_words"), "dup_lines_share": ("n_dup_lines", "n_lines")}
     values = ", ".join(f"CASE WHEN {b} > 0 THEN {a} / CAST({b} AS DOUBLE) ELSE 0 END AS {r}" for r, (a, b) in sources.items())
     cuts = ", ".join(f"('{r}', {j}, CAST({c!r} AS DOUBLE))" for r, cs in RULES.items() for j, c in enumerate(cs))
-    measured = " UNION ALL ".join(f"SELECT k, doc_id, stratum, '{r}' AS rule, {r} AS v FROM m" for r in RULES)
+    measured = " UNION ALL ".join(f"SELECT k, doc_id, stratum, bf, '{r}' AS rule, {r} AS v FROM m" for r in RULES)
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS stratum FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
@@ -233,11 +249,11 @@ f AS (SELECT w.k, doc_id, stratum, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coa
   length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals, length(t) - length(replace(t, '!', '')) AS n_marks, len(l.l) AS n_lines,
   coalesce(list_sum(list_transform(range(2, len(w.w) + 1), lambda i: CAST(w.w[i] = w.w[i - 1] AS INT))), 0) AS n_echoes
   FROM w JOIN l ON l.k = w.k LEFT JOIN rep ON rep.k = w.k),
-m AS (SELECT *, {values} FROM f),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS bf, {values} FROM f),
 v AS ({measured}),
 cuts(rule, j, c) AS (VALUES {cuts}),
 lab AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
-tested AS (SELECT v.stratum, v.rule, cuts.j, cuts.c, count(*) FILTER (q > 0) AS n, count(*) FILTER (q > 0 AND v > c) AS fp, count(*) FILTER (q <= 0 AND v > c) AS tp FROM v JOIN lab USING (doc_id) JOIN cuts USING (rule) GROUP BY 1, 2, 3, 4),
+tested AS (SELECT v.stratum, v.rule, cuts.j, cuts.c, count(*) FILTER (q > 0) AS n, count(*) FILTER (q > 0 AND v > c) AS fp, count(*) FILTER (q <= 0 AND v > c) AS tp FROM v JOIN lab USING (doc_id) JOIN cuts USING (rule) WHERE NOT bf GROUP BY 1, 2, 3, 4),
 active AS (SELECT stratum, rule FROM tested GROUP BY 1, 2 HAVING max(tp) > 0),
 share AS (SELECT stratum, {MAX_FALSE_REJECTION} / count(*) AS e FROM active GROUP BY 1),
 tails AS (SELECT t.*, CASE WHEN fp > n * e THEN 1 ELSE list_sum(list_transform(range(0, fp + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(e) + (n - i) * ln(1 - e)))) END AS p FROM tested t JOIN active USING (stratum, rule) JOIN share USING (stratum)),

@@ -91,3 +91,18 @@ def test_equals_sql(spark, sf_dir, duck):
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
     got = sorted(map(tuple, Q.op1_quality_rules(spark, sf_dir).select(*columns).collect()))
     assert got == sorted(duck.sql(f"SELECT {', '.join(columns)} FROM ({Q.OP1_SQL})").fetchall())
+
+
+def test_the_bound_is_on_what_the_base_rules_keep(spark):
+    """Good documents that fail the base rules are not counted by the rules, and the report has both."""
+    rows, labels = [], []
+    for i in range(2_400):
+        base_fails, bad = i < 200, i >= 2_200
+        rows.append((i, "s", 100, 400, 50 if bad or base_fails else i % 3, 0, 40 if base_fails else 0, 0, 0, 0, 5, str(i)))
+        labels.append((i, int(not bad), 0))
+    table, marks = _features(spark, rows), spark.createDataFrame([*labels, (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    chosen = Q.calibrate(table, marks)
+    assert "symbols_per_word" in chosen.first().cutoffs
+    report = Q.false_rejections(Q.judged(table, chosen), marks).collect()
+    assert [(r.stratum, r.n_good, r.by_base, r.by_rules) for r in report] == [("s", 2_200, 200, 0)]
+    assert report[0].share == pytest.approx(200 / 2_200)
