@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,13 +39,13 @@ MONEY_WORDS = ("元", "万", "￥", "¥", "$", "合计", "总计", "金额")
 AMOUNT = r"[：:\s]*[¥￥]?\s*([\d,]+\.?\d*)"
 
 
-def stripped(c: Column) -> Column:
-    """c without the white space around it, full-width spaces included."""
-    return F.regexp_replace(c, r"^[\s\x{3000}]+|[\s\x{3000}]+$", "")
+#: White space of the patterns, and the full-width space.
+SPACES = " \t\n\x0b\f\r\u3000"
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.nullif(stripped(c), F.lit(""))
+def stripped(c: Column) -> Column:
+    """c without the white space around it, full-width spaces included."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:
@@ -53,11 +53,6 @@ def first_group(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def contains_any(c: Column, keywords: Sequence[str]) -> Column:
     out = F.lit(False)
     for k in keywords:
@@ -85,16 +80,13 @@ def heading_level(text: Column, font: Column, median: Column, bold: Column, cent
     t, font, median = stripped(text), F.coalesce(font, F.lit(0.0)), F.coalesce(median, F.lit(0.0))
     bold, centred, top = (F.coalesce(x, F.lit(False)) for x in (bold, centred, top))
     large = (median > 0) & (font > median * 1.2)
-    base = (
-        F.coalesce(heading_pattern_level(t), F.when(large & centred & (F.length(t) < 50), 2).when(large & bold, 3).when(top & (F.length(t) < 30), 1))
-    )
-
-    def adjusted(level: Column) -> Column:
-        up = F.greatest(F.lit(1), level - (top & bold).cast("int"))
-        up = F.greatest(F.lit(1), up - (centred & bold).cast("int"))
-        return F.when((median > 0) & (font <= median) & ~bold & ~centred, F.least(F.lit(5), up + 1)).otherwise(up)
-
-    return F.when(t != "", let(base, lambda level: F.when(level.isNotNull(), adjusted(level))))
+    by_look = F.when(large & centred & (F.length(t) < 50), 2).when(large & bold, 3).when(top & (F.length(t) < 30), 1)
+    none = 100
+    base = F.coalesce(F.when(t != "", F.coalesce(heading_pattern_level(t), by_look)), F.lit(none))
+    up = (top & bold).cast("int") + (centred & bold).cast("int")
+    down = ((median > 0) & (font <= median) & ~bold & ~centred).cast("int")
+    # the place of no level is outside the array, so that base stands once in the expression
+    return F.get(F.array(*map(F.lit, (1, 2, 3, 4, 5, 5))), F.greatest(F.lit(1), base - up) + down - 1)
 
 
 def list_item(c: Column) -> Column:

@@ -45,8 +45,10 @@ def receipt_total(text: Column) -> Column:
     """The first positive amount after a word for total; the words are tried in order, each over the whole text."""
     found = []
     for word in TOTALS:
+        first = decimal_amount(first_group(text, word + AMOUNT))
+        # only where the first amount is none or not positive are the others looked at
         amounts = F.transform(F.regexp_extract_all(text, F.lit(word + AMOUNT), F.lit(1)), decimal_amount)
-        found.append(F.get(F.filter(amounts, lambda a: a > 0), F.lit(0)))
+        found.append(F.when(first > 0, first).when(text.rlike(word), F.get(F.filter(amounts, lambda a: a > 0), F.lit(0))))
     return F.coalesce(*found)
 
 
@@ -81,8 +83,10 @@ def by_hospital(details: DataFrame) -> DataFrame:
 def fee_summary(items: DataFrame, keys: list[str]) -> DataFrame:
     """Sum by type of positive numeric amounts (strings, commas allowed) with a type that is not blank."""
     amount = F.regexp_replace("amount", ",", "").try_cast("decimal(20,4)")
-    kept = items.withColumn("amount", amount).where((F.col("amount") > 0) & (F.trim("fee_type") != ""))
-    return kept.groupBy(*keys, "fee_type").agg(F.round(F.sum("amount"), 2).cast(MONEY).alias("amount"), F.count("*").alias("n_items"))
+    # counted in the aggregate, as a filter on the type would be pushed below what derives it and derive it twice
+    counts = F.when((F.col("amount") > 0) & (F.trim("fee_type") != ""), F.col("amount"))
+    sums = items.withColumn("amount", amount).groupBy(*keys, "fee_type").agg(F.round(F.sum(counts), 2).cast(MONEY).alias("amount"), F.count(counts).alias("n_items"))
+    return sums.where("n_items > 0")
 
 
 def inpatient_pick(receipts: DataFrame, key: str = "case_id") -> DataFrame:

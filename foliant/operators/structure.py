@@ -109,26 +109,29 @@ def section_of(blocks: DataFrame) -> DataFrame:
 
 
 def section_tree(headings: DataFrame) -> DataFrame:
-    """doc_id, idx, level, parent and depth of headings: the parent is the last heading before with a smaller level."""
+    """doc_id, idx, level, parent, parent_level and depth of headings: the parent is the last heading before with a smaller level.
+
+    All follow from the last heading of each level before, in one window: going down from level 1, an
+    ancestor is one that comes after all those of smaller levels.
+    """
     w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     above = [F.max(F.when(F.col("level") == k, F.col("idx"))).over(w).alias(f"_p{k}") for k in range(1, 5)]
     rows = headings.select("doc_id", "idx", "level", *above)
-    parent = F.lit(None).cast("int")
-    for level in range(2, 6):
-        below = [F.col(f"_p{k}") for k in range(1, level)]
-        parent = F.when(F.col("level") == level, F.greatest(*below) if len(below) > 1 else below[0]).otherwise(parent)
-    tree = rows.select("doc_id", "idx", "level", parent.alias("parent"))
-    out, up = tree.withColumn("depth", F.lit(1)).withColumn("_up", F.col("parent")), tree.select("doc_id", F.col("idx").alias("_up"), F.col("parent").alias("_next"))
-    for _ in range(4):
-        out = out.join(up, ["doc_id", "_up"], "left").select("doc_id", "idx", "level", "parent", (F.col("depth") + F.col("_up").isNotNull().cast("int")).alias("depth"), F.col("_next").alias("_up"))
-    return out.drop("_up")
-
-
-def level_skips(tree: DataFrame, parents: DataFrame) -> DataFrame:
-    """doc_id and the number of headings more than one level below the sibling before them, or below their parent."""
-    up = parents.select("doc_id", F.col("idx").alias("parent"), F.col("level").alias("_pl"))
+    parent, parent_level, depth = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(1)
+    for k in range(1, 5):
+        here = F.col(f"_p{k}")
+        ancestor = (F.col("level") > k) & here.isNotNull() & (here > F.coalesce(parent, F.lit(-1)))
+        parent, parent_level = F.when(ancestor, here).otherwise(parent), F.when(ancestor, k).otherwise(parent_level)
+        depth = depth + F.coalesce(ancestor.cast("int"), F.lit(0))
+        rows = rows.select("*", parent.alias(f"_a{k}"), parent_level.alias(f"_l{k}"), depth.alias(f"_d{k}"))
+        parent, parent_level, depth = F.col(f"_a{k}"), F.col(f"_l{k}"), F.col(f"_d{k}")
+    return rows.select("doc_id", "idx", "level", parent.alias("parent"), parent_level.alias("parent_level"), depth.alias("depth"))
+
+
+def level_skips(tree: DataFrame) -> DataFrame:
+    """doc_id and the number of headings more than one level below the sibling before them, or below their parent; tree as section_tree gives it."""
     w = Window.partitionBy("doc_id", "parent").orderBy("idx")
-    rows = tree.join(up, ["doc_id", "parent"], "left").withColumn("_before", F.coalesce(F.lag("level").over(w), "_pl", F.lit(0)))
+    rows = tree.withColumn("_before", F.coalesce(F.lag("level").over(w), "parent_level", F.lit(0)))
     return rows.groupBy("doc_id").agg(F.count_if((F.col("_before") > 0) & (F.col("level") > F.col("_before") + 1)).alias("skips"), F.count("*").alias("headings"), F.countDistinct("level").alias("levels"))
 
 

@@ -136,7 +136,7 @@ def _phrases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 SELECT p.doc_id, p.page, count(*) AS n_phrases FROM p JOIN ph ON ph.doc_id = p.doc_id AND contains(p.t, ph.phrase) GROUP BY 1, 2 HAVING count(*) >= 2""")
 def phrase_page_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, found = _phrases(spark, sf_dir)
-    pages = docs.where("length(text) > 0").selectExpr("doc_id", "text", "explode(sequence(0, CAST((length(text) - 1) div 100 AS INT))) AS page").selectExpr("doc_id", "page", "substr(text, page * 100 + 1, 100) AS text")
+    pages = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,100}"), F.lit(0))).alias("page", "text"))
     return C.phrase_pages(pages, found)
 
 
@@ -188,9 +188,9 @@ def json_field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chunk_6000", "SELECT doc_id, CAST(c AS INT) AS chunk, length(substr(text, CAST(c * 6000 + 1 AS BIGINT), 6000)) AS n, md5(substr(text, CAST(c * 6000 + 1 AS BIGINT), 6000)) AS digest FROM (SELECT doc_id, text, unnest(generate_series(0, (length(text) - 1) // 6000)) AS c FROM documents WHERE length(text) > 0)")
 def chunk_6000(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 0").selectExpr("doc_id", "text", "explode(sequence(0, CAST((length(text) - 1) div 6000 AS INT))) AS chunk")
-    part = F.expr("substr(text, chunk * 6000 + 1, 6000)")
-    return rows.select("doc_id", "chunk", F.length(part).cast("long").alias("n"), F.md5(part).alias("digest"))
+    part = F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,6000}"), F.lit(0))).alias("chunk", "part")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", part)
+    return rows.select("doc_id", "chunk", F.length("part").cast("long").alias("n"), F.md5("part").alias("digest"))
 
 
 @query("batch_of_5", "SELECT doc_id, source, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS INT) AS batch FROM documents")

@@ -21,6 +21,12 @@ def _leveled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(spark, sf_dir).withColumn("level", T.heading_pattern_level(F.col("text")))
 
 
+def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, idx and level of headings. The level is exploded, so that a filter on it does not compute it a second time."""
+    level = T.heading_pattern_level(F.col("text"))
+    return blocks(spark, sf_dir).select("doc_id", "idx", F.explode(F.array_compact(F.array(level))).alias("level"))
+
+
 @query("heading_levels", f"""WITH {BLOCKS_CTE}, m AS (SELECT doc_id, median(font) AS mf FROM blocks GROUP BY 1),
 f AS (SELECT b.doc_id, b.idx, {TEXT} AS t, b.font, b.bold, b.x < 102 AS centred, b.y < 60 AS top, m.mf, CASE WHEN {TEXT} <> '' THEN coalesce({LEVEL}, CASE WHEN mf > 0 AND font > mf * 1.2 AND b.x < 102 AND length({TEXT}) < 50 THEN 2 WHEN mf > 0 AND font > mf * 1.2 AND bold THEN 3 WHEN b.y < 60 AND length({TEXT}) < 30 THEN 1 END) END AS base FROM blocks b JOIN m USING (doc_id)),
 u AS (SELECT *, greatest(1, greatest(1, base - CAST(top AND bold AS INT)) - CAST(centred AND bold AS INT)) AS up FROM f)
@@ -104,14 +110,13 @@ depths AS (SELECT doc_id, idx, 1 AS depth FROM tree WHERE parent IS NULL UNION A
 
 @query("section_parent", f"WITH RECURSIVE {TREE_CTE} SELECT t.doc_id, t.idx, CAST(level AS INT) AS level, CAST(parent AS INT) AS parent, CAST(depth AS INT) AS depth FROM tree t JOIN depths USING (doc_id, idx)")
 def section_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.section_tree(_leveled(spark, sf_dir).where("level is not null"))
+    return S.section_tree(_headings(spark, sf_dir)).drop("parent_level")
 
 
 @query("level_skip", f"""WITH RECURSIVE {TREE_CTE}, p AS (SELECT t.*, coalesce(lag(t.level) OVER (PARTITION BY t.doc_id, t.parent ORDER BY t.idx), u.level, 0) AS before FROM tree t LEFT JOIN hd u ON u.doc_id = t.doc_id AND u.idx = t.parent)
 SELECT doc_id, count(*) FILTER (before > 0 AND level > before + 1) AS skips, count(*) AS headings, count(DISTINCT level) AS levels FROM p GROUP BY 1""")
 def level_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = S.section_tree(_leveled(spark, sf_dir).where("level is not null")).drop("depth")
-    return S.level_skips(tree, tree)
+    return S.level_skips(S.section_tree(_headings(spark, sf_dir)))
 
 
 FILE_CTE = """f AS (SELECT source AS doc_id, CAST(dense_rank() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS page, string_split(text, chr(10)) AS ls FROM documents),

@@ -104,7 +104,7 @@ def test_running_count_floors_at_zero(spark):
     for c in changes:
         used = max(0, used + c)
         want.append(used)
-    assert [r.used for r in events.running(df).orderBy("seq").collect()] == want
+    assert [r.used for r in events.running(df, 10).orderBy("seq").collect()] == want
 
 
 def test_paging_bounds(spark):
