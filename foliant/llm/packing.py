@@ -8,9 +8,10 @@ partitions, whole, and are packed again, and a regrouping is kept only if it sav
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -34,9 +35,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 class ByteBpe:
     """Ids of texts by a byte-level BPE of a tokenizers file.
 
-    The file's vocabulary in order is also its merge order, so the faster of the two public BPE
+    Where the file's vocabulary in order is also its merge order, the faster of the two public BPE
     libraries encodes plain texts to the same ids; a text that holds a special token's string goes
-    to the tokenizer itself.
+    to the tokenizer itself, and so do all texts if the file is of another make.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -47,14 +48,26 @@ class ByteBpe:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         byte_of = byte_letters()
         ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.special}
-        self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.plain = None
+        if merges_in_order(json.loads(self.tokenizer.to_str()), len(ranks)):
+            self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if any(x in text for x in self.special):
+        if self.plain is None or any(x in text for x in self.special):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return np.asarray(self.plain.encode_to_numpy(text, disallowed_special=()), "<u4")
 
 
+def merges_in_order(file: dict, tokens: int) -> bool:
+    """Whether a tokenizers file has plain byte-level pieces, and each merge makes the token after the one that the merge before made."""
+    model, pre = file["model"], file.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not file.get("normalizer")
+    by_bytes = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get("".join(p), -1) for p in pairs]
+    return plain and by_bytes and tokens == 256 + len(pairs) and all(b > a for a, b in zip(made, made[1:])) and made[:1] >= [256]
+
+
 def byte_letters() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for: printable bytes are themselves, the others follow from U+0100 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -99,8 +112,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return map_arrow(rows, _pieces(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Sequences that the lengths need at least, by two families of dual feasible functions.
+def lower_bound(lengths: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
+    """Sequences that the lengths (each so many times; once if not said) need at least, by two families of dual feasible functions.
 
     For each threshold t: lengths above capacity - t count as whole sequences, lengths under t as
     nothing, the others as they are. And for k = 1..20: floor((k+1) x / C) / k, unless (k+1) x is a
@@ -108,18 +121,20 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """
     if not len(lengths):
         return 0
-    x = np.sort(lengths.astype(np.int64))
-    below = np.concatenate([[0], np.cumsum(x)])
+    order = np.argsort(lengths, kind="stable")
+    x = lengths[order].astype(np.int64)
+    n = np.ones(len(x), np.int64) if times is None else times[order].astype(np.int64)
+    below, number = (np.concatenate([[0], np.cumsum(c)]) for c in (x * n, n))
     best = -(-int(below[-1]) // capacity)
     ts = np.unique(x[x <= capacity // 2])
     if len(ts):
         low = np.searchsorted(x, ts)
         high = np.searchsorted(x, capacity - ts, side="right")
-        best = max(best, int((len(x) - high - (-(below[high] - below[low]) // capacity)).max()))
+        best = max(best, int((number[-1] - number[high] - (-(below[high] - below[low]) // capacity)).max()))
     for k in range(1, 21):
         scaled = (k + 1) * x
         exact = scaled % capacity == 0
-        total = int(np.where(exact, x * k, (scaled // capacity) * capacity).sum())
+        total = int((np.where(exact, x * k, (scaled // capacity) * capacity) * n).sum())
         best = max(best, -(-total // (capacity * k)))
     return best
 
@@ -153,7 +168,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, count
 
 
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, released boolean"
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, part long, part_sequences long, part_bound long, released boolean"
 
 
 def _pack(capacity: int, level: int):
@@ -167,9 +182,11 @@ def _pack(capacity: int, level: int):
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         lengths = pdf["length"].to_numpy(np.int64)
         bins, offsets, count = best_fit_decreasing(lengths, capacity)
-        gap = count - lower_bound(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
+        gap = count - bound
         if level and count >= pdf["sequence_id"].nunique():
             pdf["released"] = gap > 0
+            count = pdf["sequence_id"].nunique()
         else:
             pdf["sequence_id"] = (level << 60) + (int(key[0]) << 32) + bins
             pdf["offset"] = offsets
@@ -180,30 +197,45 @@ def _pack(capacity: int, level: int):
             if gap > 0:
                 loose[order[: np.searchsorted(free, (gap + 2) * capacity) + 1]] = True
             pdf["released"] = loose[bins] & (fill[bins] < capacity)
-        return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "released"]]
+        pdf["part"], pdf["part_sequences"], pdf["part_bound"] = (level << 32) + int(key[0]), count, bound
+        return pdf[[x.split()[0] for x in PACKED.split(", ")]]
 
     return run
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_per_task: int = PIECES_PER_TASK, exchanges: int = EXCHANGES) -> DataFrame:
-    """Pieces with sequence_id and offset. Every piece keeps its row; an empty table gives an empty one."""
+    """Pieces with sequence_id and offset, and of the partition (part) that packed a piece last its sequences and their lower bound.
+
+    Every piece keeps its row; an empty table gives an empty one. Of an exchange only the pieces that move are written.
+    """
     pieces = written(pieces, "pieces")
     groups = max(1, -(-pieces.count() // pieces_per_task))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)))
-    dealt = dealt.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "released": F.lit(False)})
+    dealt = dealt.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     done = written(dealt.groupBy("_group").applyInPandas(_pack(capacity, 0), PACKED), "packed")
+    settled, loose = [done.where("not released")], done.where("released")
     for level in range(1, exchanges + 1):
-        loose = done.where("released")
-        n = loose.count()
+        n = loose.count() if groups > 1 else 0
         if not n:
             break
         groups = -(-n // pieces_per_task)
         dealt = loose.withColumn("_group", F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(groups)))
-        again = dealt.groupBy("_group").applyInPandas(_pack(capacity, level), PACKED)
-        done = written(done.where("not released").unionByName(again), "packed")
-        if groups == 1:
-            break
-    return done.drop("released")
+        again = written(dealt.groupBy("_group").applyInPandas(_pack(capacity, level), PACKED), "packed")
+        settled.append(again.where("not released"))
+        loose = again.where("released")
+    return reduce(DataFrame.unionByName, settled, loose).drop("released")
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> dict[str, int]:
+    """sequences, bound and gap of pack()'s result as a whole: no packing of these pieces has fewer sequences than bound.
+
+    The bound is that of the partitions, over a table of the pieces by length (of which there are at most capacity).
+    """
+    counts = packed.groupBy("length").agg(F.count("*").alias("n")).collect()
+    lengths, times = np.array([r["length"] for r in counts], np.int64), np.array([r["n"] for r in counts], np.int64)
+    bound = lower_bound(lengths, capacity, times)
+    sequences = packed.select("sequence_id").distinct().count()
+    return {"sequences": sequences, "bound": bound, "gap": sequences - bound}
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -218,4 +250,4 @@ def production_tokenizer() -> str:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens. Rows that repeat a document are packed as often as they come."""
-    return packed_documents(documents(spark, sf_dir), production_tokenizer())
+    return packed_documents(documents(spark, sf_dir), production_tokenizer()).drop("part", "part_sequences", "part_bound")

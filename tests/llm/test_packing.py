@@ -87,6 +87,35 @@ def test_partitions_exchange_sequences(spark):
     assert len({r.sequence_id for r in packed}) <= alone
 
 
+def test_certificates(spark):
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(200, 800, 500)
+    df = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    packed = P.pack(df, pieces_per_task=60)
+    rows = packed.collect()
+    check_sequences(rows)
+    proof = P.certificate(packed)
+    assert proof == {"sequences": len({r.sequence_id for r in rows}), "bound": P.lower_bound(lengths, P.CAPACITY), "gap": proof["sequences"] - proof["bound"]}
+    assert proof["gap"] >= 0
+    for r in rows:
+        assert r.part_sequences >= r.part_bound >= 1
+    values, times = np.unique(lengths, return_counts=True)
+    assert P.lower_bound(values, 100, times) == P.lower_bound(lengths, 100)
+
+
+def test_files_of_another_make_are_not_encoded_by_ranks(path):
+    import json
+
+    file = json.loads(P.encoder_of(path).tokenizer.to_str())
+    tokens = 256 + len(file["model"]["merges"])
+    assert P.encoder_of(path).plain is not None and P.merges_in_order(file, tokens)
+    model = file["model"]
+    merges = [*model["merges"][:-2], *model["merges"][:-3:-1]]
+    assert not P.merges_in_order({**file, "model": {**model, "merges": merges}}, tokens)
+    assert not P.merges_in_order({**file, "pre_tokenizer": None}, tokens)
+    assert not P.merges_in_order(file, tokens + 1)
+
+
 def test_edges(edge, empty, path):
     rows = P.packed_documents(edge, path).collect()
     assert sum(r.length for r in rows if r.doc_id == 3) == 1 and sum(r.length for r in rows if r.doc_id == 2) == 1
