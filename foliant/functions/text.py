@@ -33,6 +33,25 @@ LIST_ITEMS = (
 TERMINAL = r"[。？！…\.\!\?\)」』】〗]$"
 CONTINUES = r"^[a-z\x{4e00}-\x{9fff}，,、；;）\)」』】〗]"
 CHAPTER = r"^(第[一二三四五六七八九十百千\d]+[章篇节条部]|[一二三四五六七八九十]、|\d+[\.、])"
+NUMBERED_TITLE = r"^(第[一二三四五六七八九十百千\d]+[章篇节条部]|[一二三四五六七八九十]、|\d+[、.]|（[一二三四五六七八九十\d]）)"
+GENERATED_HEADING = r"^(民事起诉状$|诉讼请求$|事实及理由$|此致$|第[一二三四五六七八九十]+[章节条款]|[一二三四五六七八九十]+[、.]|附表)"
+#: What is taken out of a generated paragraph, and what stands for it, in this order (fixed values).
+CLEANUPS = (
+    (r"^[一二三四五六七八九十]+[、．.][^\n]*\n*", ""),
+    (r"\*\*[^*]+\*\*\s*\n*", ""),
+    (r"该机构具备法定鉴定资质[。，]?\s*", ""),
+    (r"关于因果关系判定[、，]医疗过错认定及其参与度[，,]该鉴定意见未予明确界定[，,]故尚需结合其他证据或补充鉴定予以确认[。，]?\s*", ""),
+    (r"但该鉴定意见未就[^。]*?(因果关系|过错|参与度)[^。]*?作出[^。]*?认定[。，]?\s*", ""),
+    (r"鉴于[^。]*?尚待[^。]*?明确[，,]?\s*恳请[^。]*?[。，]?\s*", ""),
+    (r"关于因果关系判定[、，][^。]*?(未予明确界定|未就[^。]*?作出明确认定)[^。]*?[。，]?\s*", ""),
+    (r"本案在诉前调解阶段[，,]经[^，,]+?[与和][^，,]+?共同委托[，,]\s*", ""),
+    (r"经原告[^，,]*?[与和]被告[^，,]*?共同委托[，,]\s*", ""),
+    (r"\[\d{4}\]", ""),
+    (r"^死者", "患者"),
+    (r"\n{3,}", "\n\n"),
+)
+FAILED_MARK = r"\[(段落生成失败|生成失败)[^\]]*\]"
+PENDING_MARK = r"\[待补充\]|（待补充）|\(待补充\)"
 TABLE_SYMBOLS = r"[^\d.,;:()（）\-+%/℃㎡]"
 NUMBERS_ONLY = r"^[\d,.\-+/￥¥$%元角万]+$"
 MONEY_WORDS = ("元", "万", "￥", "¥", "$", "合计", "总计", "金额")
@@ -178,9 +197,10 @@ def stay_days(c: Column) -> Column:
 
 
 def unfenced(c: Column) -> Column:
-    """Model output without code fences; empty if what is left is JSON as a whole."""
-    body = stripped(F.regexp_replace(c, r"```[A-Za-z]*", ""))
-    return F.when(body.rlike(r"(?s)^[\[{].*[\]}]$"), F.lit("")).otherwise(body)
+    """Model output without the code fence around it and without empty lines; empty if what is left is a JSON object or array as a whole."""
+    body = F.regexp_replace(F.regexp_replace(stripped(c), r"^```(?:json|JSON)?\s*", ""), r"\s*```$", "")
+    json = (body.startswith("{") & body.endswith("}")) | (body.startswith("[") & body.endswith("]"))
+    return F.when(json, F.lit("")).otherwise(stripped(F.regexp_replace(body, r"\n{2,}", "\n")))
 
 
 def without_control_characters(c: Column) -> Column:
@@ -188,10 +208,28 @@ def without_control_characters(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
 
 
+def is_generated_heading(c: Column) -> Column:
+    """Whether a line of a generated document is a heading."""
+    return stripped(c).rlike(GENERATED_HEADING)
+
+
+def cleaned_paragraph(c: Column) -> Column:
+    """A generated paragraph without its number, lead-ins, and sentences that judge or guess."""
+    for pattern, new in CLEANUPS:
+        c = F.regexp_replace(c, pattern, new)
+    return stripped(c)
+
+
 def chinese_year(c: Column) -> Column:
     return F.translate(c, "0123456789", "〇一二三四五六七八九")
 
 
+def ethnicity(c: Column) -> Column:
+    """The name of an ethnic group with 族 at its end; empty stays empty."""
+    name = stripped(c)
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("")).when(name.endswith("族"), name).otherwise(F.concat(name, F.lit("族")))
+
+
 def is_private_host(host: Column) -> Column:
     """Whether a dotted-quad host lies in a network that callbacks must not reach, or is a local name."""
     quads = [F.regexp_extract(host, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", g).try_cast("long") for g in range(1, 5)]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from ..functions import text as T
 from ..functions.text import contains_any, first_group, stripped
 
 # Fixed values, down to TREATMENT: words that speak for a category, categories in catalog order, precedence in a tie, words of
@@ -143,6 +144,82 @@ def extracted(text: Column) -> Column:
     return F.struct(title.alias("title"), doc_type(text).alias("doc_type"), *[v.alias(k) for k, v in fields.items()])
 
 
+def relations(text: Column) -> Column:
+    """struct of legal_representative, relationship, symptoms and total_amount (0 without one) as the rules find them."""
+    related, symptom, total = r"(法定代理人|监护人|亲属|近亲属)[：:\s]*([^\n，。]{2,10})", r"(主诉|症状|因)[：:\s]*([^\n。]{10,200})", r"(合计|总计|金额|费用合计)[：:\s]*[¥￥]?([\d,.]+)"
+    amount = F.regexp_replace(first_group(text, total, 2), ",", "").try_cast("double")
+    return F.struct(stripped(first_group(text, related, 2)).alias("legal_representative"), first_group(text, related, 1).alias("relationship"), stripped(first_group(text, symptom, 2)).alias("symptoms"), F.coalesce(amount, F.lit(0.0)).alias("total_amount"))
+
+
+def line_items(materials: DataFrame) -> DataFrame:
+    """material_id, place, fee_type and amount of every fee that a text lists (words that end in 费, then a number); what is no number is left out."""
+    pattern = F.lit(r"([\x{4e00}-\x{9fff}]+费)[：:\s]*[¥￥]?([\d,.]+)")
+    found = F.arrays_zip(F.regexp_extract_all("ocr_text", pattern, F.lit(1)).alias("fee_type"), F.regexp_extract_all("ocr_text", pattern, F.lit(2)).alias("n"))
+    rows = materials.where(F.col("ocr_text").contains("费")).select("material_id", F.posexplode(found).alias("place", "f"))
+    amount = F.regexp_replace("f.n", ",", "").try_cast("double")
+    return rows.select("material_id", "place", F.col("f.fee_type").alias("fee_type"), amount.alias("amount")).where("amount is not null")
+
+
+def edited(catalog: DataFrame, edits: DataFrame) -> DataFrame:
+    """catalog (case_id, material_id, category, title, description, purpose, catalog_index) with manual edits: of several edits of
+    a material (seq) each field's last that is not null wins. Edits of materials that are not in the case are passed over."""
+    fields = ("category", "title", "description", "purpose", "catalog_index")
+    last = edits.groupBy("case_id", "material_id").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f"_{f}") for f in fields])
+    rows = catalog.join(last, ["case_id", "material_id"], "left")
+    return rows.select("case_id", "material_id", *[F.coalesce(f"_{f}", f).alias(f) for f in fields])
+
+
+def placeholders(results: DataFrame) -> DataFrame:
+    """results (paragraph_1 .. paragraph_5, defendant_name, plaintiff_name, court_name, n_plaintiffs) with failed, pending and missing:
+    paragraphs that could not be generated, fields and paragraphs that are still to be filled in, and names that must not be empty."""
+    listed = lambda *items: F.concat_ws(",", F.array_compact(F.array(*items)))
+    paragraphs = [f"paragraph_{i}" for i in range(1, 6)]
+    named = {"defendant_name": "被告医院名称", "plaintiff_name": "原告姓名", "court_name": "受理法院"}
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return results.select(
+        "*",
+        listed(*[F.when(F.col(p).rlike(T.FAILED_MARK), p) for p in paragraphs]).alias("failed"),
+        listed(*[F.when(F.col(k).rlike(T.PENDING_MARK), v) for k, v in named.items()], *[F.when(F.col(p).rlike(T.PENDING_MARK), f"{p} 段落") for p in paragraphs]).alias("pending"),
+        listed(F.when((F.coalesce("n_plaintiffs", F.lit(0)) == 0) & blank("plaintiff_name"), "原告姓名"), F.when(blank("defendant_name"), "被告医院名称")).alias("missing"),
+    )
+
+
+def template_key(case_type: Column, is_minor: Column) -> Column:
+    """The template of a case: by type (an unknown one counts as injury) and whether the person concerned is a minor; neonatal cases are of minors."""
+    minor = F.coalesce(is_minor, F.lit(False)) | F.coalesce(case_type == "neonatal", F.lit(False))
+    return F.concat(F.when(case_type == "death", "death").otherwise("injury"), F.when(minor, "_minor").otherwise("_adult"))
+
+
+def sections_shown(has_transfer: Column, has_appraisal: Column, has_staff_issue: Column) -> Column:
+    """The paragraphs of a document that have data behind them: the first two always, the others by what there is."""
+    yes = lambda c, name: F.when(F.coalesce(c, F.lit(False)), name)
+    return F.array_compact(F.array(F.lit("paragraph_1"), F.lit("paragraph_2"), yes(has_transfer, "paragraph_3"), yes(has_appraisal, "paragraph_4"), yes(has_staff_issue, "paragraph_5")))
+
+
+def mothers(plaintiffs: DataFrame) -> DataFrame:
+    """case_id and mother_name of cases whose plaintiffs (seq, name, relationship, gender, is_patient) tell it: the first whose
+    relationship says so, else, where that one has no name or there is none, the first woman who is not the patient."""
+    said = F.coalesce(F.col("relationship").contains("母"), F.lit(False))
+    woman = F.coalesce(F.col("gender").contains("女"), F.lit(False)) & ~F.coalesce("is_patient", F.lit(False))
+    first = lambda which: F.nullif(F.min_by(F.coalesce("name", F.lit("")), F.when(which, F.col("seq"))), F.lit(""))
+    return plaintiffs.groupBy("case_id").agg(F.coalesce(first(said), first(woman)).alias("mother_name")).where("mother_name is not null")
+
+
+def backfilled(sources: list[DataFrame], key: str, fields: list[str]) -> DataFrame:
+    """key and fields, each from the first of the sources (one row a key each) where it is neither null nor empty."""
+    out = None
+    for k, source in enumerate(sources):
+        rows = source.select(key, *[F.nullif(F.col(f), F.lit("")).alias(f"_{k}_{f}") for f in fields])
+        out = rows if out is None else out.join(rows, key, "full_outer")
+    return out.select(key, *[F.coalesce(*[f"_{k}_{f}" for k in range(len(sources))]).alias(f) for f in fields])
+
+
+def by_date(events: DataFrame, key: str, date: str, order: str) -> DataFrame:
+    """events with place, their number within a key by their date as written; what is no date comes last, ties go by order."""
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last(T.parsed_date(F.col(date))), order)
+    return events.withColumn("place", F.row_number().over(w).cast("int"))
+
+
 def merged(rule: dict[str, Column], model: dict[str, Column]) -> dict[str, Column]:
     """Field by field, the model's answer unless null or empty, else the rules'; of amounts the rules' first, unless null or 0."""
     out = {k: F.coalesce(F.nullif(model[k], F.lit("")), F.nullif(rule[k], F.lit(""))) for k in rule if k != "total_amount"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import AMOUNT, contains_any, decimal_amount, first_date, first_group, receipt_tail
+from ..functions.text import AMOUNT, contains_any, decimal_amount, first_date, first_group, receipt_tail, unfenced
 
 # Fee types by words in a file name, in order of precedence.
 FILENAME_FEE_TYPES = (
@@ -74,6 +74,61 @@ def receipt_details(receipts: DataFrame) -> DataFrame:
     return receipts.select("material_id", "case_id", hospital.alias("hospital"), first_date(text).alias("receipt_date"), total.alias("total"), insurance.alias("insurance"), own.alias("self_pay"), receipt_tail(F.col("filename")).alias("tail"))
 
 
+def typed_items(receipts: DataFrame) -> DataFrame:
+    """receipts (material_id, title, filename, hospital, date, total, insurance, own, amounts, admission, discharge) as rows of a report.
+
+    A total that is not positive is the sum of the positive numbers among amounts (strings); a stay with both dates is 住院, with
+    its days (null if negative or unreadable) and both dates for the date, anything else 门诊. Texts lose code fences and JSON.
+    """
+    number = lambda c: F.coalesce(F.regexp_replace(c, ",", "").try_cast("double"), F.lit(0.0))
+    items = F.aggregate(F.coalesce("amounts", F.array().cast("array<string>")), F.lit(0.0), lambda acc, x: acc + F.greatest(F.coalesce(x.try_cast("double"), F.lit(0.0)), F.lit(0.0)))
+    total = F.when(number(F.col("total")) > 0, number(F.col("total"))).otherwise(items)
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    stay = filled("admission") & filled("discharge")
+    day = lambda c: F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")
+    days = F.date_diff(day("discharge"), day("admission"))
+    text = lambda c: F.coalesce(unfenced(F.col(c)), F.lit(""))
+    return receipts.select(
+        "material_id", text("hospital").alias("hospital"), text("title").alias("title"),
+        F.when(stay, F.concat(F.substring("admission", 1, 10), F.lit(" ~ "), F.substring("discharge", 1, 10))).otherwise(text("date")).alias("date"),
+        total.alias("total"), number(F.col("insurance")).alias("insurance"), number(F.col("own")).alias("own"),
+        F.when(stay, "住院").otherwise("门诊").alias("kind"), F.when(stay & (days >= 0), days).alias("days"), receipt_tail(F.coalesce("filename", F.lit(""))).alias("tail"),
+    )
+
+
+# Labels of amounts, in order of precedence.
+SUM_LABELS, WHOLE_LABELS, OWN_WHOLE_LABELS = ("合计金额", "合计"), ("医疗费总额", "医疗费总预"), ("全自费金额", "全自费金别")
+INSURANCE_LABELS = ("统筹支付", "基金支付总额", "医保支付总额")
+OWN_LABELS = (("扫码付", "现金"), ("个人负担金额", "个人负担企额"), ("个人现金支出",))
+SETTLEMENT = ("结算单", "医疗保障")
+NUMBER = r"([\d,]+\.\d+|[\d,]+)"
+
+
+def labelled_amount(text: Column, labels: tuple[str, ...]) -> Column:
+    """The number beside the first label that has one: after a colon, in the line below, or in the line above; 0 without one.
+
+    Labels go before places, and a place's first number counts, whatever it is.
+    """
+    forms = (r"{}[：:]\s*" + NUMBER, r"{}\s*\n\s*" + NUMBER, NUMBER + r"\s*\n\s*{}")
+    found = F.coalesce(*[F.when(text.contains(label), F.coalesce(*[first_group(text, f.format(label)) for f in forms])) for label in labels])
+    return F.coalesce(F.regexp_replace(found, ",", "").try_cast("double"), F.lit(0.0))
+
+
+def receipt_amounts(text: Column) -> dict[str, Column]:
+    """amount, insurance and self_pay of a receipt by the labels beside them.
+
+    A settlement (by its first 200 characters) goes by the whole sum before the plain one, other receipts the other way round; the
+    own share that is not stated is the rest of the amount after the insurance.
+    """
+    of = lambda labels: labelled_amount(text, labels)
+    plain, whole = of(SUM_LABELS), of(WHOLE_LABELS)
+    settlement = contains_any(F.substring(text, 1, 200), SETTLEMENT)
+    amount = F.when((whole > 0) & (settlement | (plain <= 0)), whole).when(plain > 0, plain).otherwise(of(OWN_WHOLE_LABELS))
+    own = F.coalesce(*[F.nullif(of(x), F.lit(0.0)) for x in OWN_LABELS], F.lit(0.0))
+    insurance = of(INSURANCE_LABELS)
+    return {"amount": amount, "insurance": insurance, "self_pay": F.when((amount > 0) & (insurance > 0) & (own == 0), F.round(amount - insurance, 2)).otherwise(own)}
+
+
 def by_hospital(details: DataFrame) -> DataFrame:
     """Subtotals by hospital and the grand total (hospital null, is_total 1), from one rollup."""
     sums = [F.sum(c).cast(MONEY).alias(c) for c in ("total", "insurance", "self_pay")]

@@ -160,21 +160,23 @@ def without_repeated_lines(blocks: DataFrame, page_height: int = PAGE_HEIGHT) ->
     return joined.where(~gone).select(*blocks.columns)
 
 
-def similarity(left: pd.Series, right: pd.Series, least: float = 0.0) -> pd.Series:
+def similarity_of(a: str, b: str, least: float = 0.0) -> float:
     """1 for equal texts, 0 if one is less than half as long or the common characters are too few for least, else the ratio of matching blocks."""
     from difflib import SequenceMatcher
 
-    def of(a: str, b: str) -> float:
-        if not a or not b:
-            return 0.0
-        if a == b:
-            return 1.0
-        if abs(len(a) - len(b)) / max(len(a), len(b)) > 0.5:
-            return 0.0
-        match = SequenceMatcher(None, a, b)
-        return 0.0 if match.quick_ratio() < least else match.ratio()
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    if abs(len(a) - len(b)) / max(len(a), len(b)) > 0.5:
+        return 0.0
+    match = SequenceMatcher(None, a, b)
+    return 0.0 if match.quick_ratio() < least else match.ratio()
+
 
-    return pd.Series([of(a, b) for a, b in zip(left, right)])
+def similarity(left: pd.Series, right: pd.Series, least: float = 0.0) -> pd.Series:
+    """similarity_of the texts of two columns."""
+    return pd.Series([similarity_of(a, b, least) for a, b in zip(left, right)])
 
 
 def character_tokens(texts: pd.Series) -> pd.Series:
@@ -264,6 +266,112 @@ def cross_page(blocks: DataFrame) -> DataFrame:
     return both.where(runs_on).select(*PAGE, F.col("last.idx").alias("idx"), F.col("next.idx").alias("next_idx"))
 
 
+def cross_page_merged(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, page, idx, text, conf) after each page's last line took in the next page's first where it runs on into it.
+
+    The first line, without white space around it, is put to the end of the last one, whose confidence is the mean of both (four
+    places) and whose next_page names the page taken from; the first line itself is gone. A page that is emptied so takes nothing
+    in from the page after it. Only pages that follow each other by number meet.
+    """
+    w = Window.partitionBy("doc_id").orderBy("page")
+    ends = blocks.groupBy(*PAGE).agg(F.min_by(F.struct("idx", "text", "conf"), "idx").alias("first"), F.max_by(F.struct("idx", "text"), "idx").alias("last"), F.count("*").alias("n"))
+    both = ends.withColumn("next", F.lead("first").over(w)).withColumn("next_page", F.lead("page").over(w))
+    fits = F.coalesce((F.col("next_page") == F.col("page") + 1) & T.ends_open(F.col("last.text")) & T.continues_line(F.col("next.text")), F.lit(False))
+    rows = both.withColumn("fits", fits).withColumn("_before", F.coalesce(F.lag("fits").over(w), F.lit(False)))
+    # in a run of pages of one line that all fit, every second one has been emptied by the page before
+    starts = F.when(F.col("fits") & F.col("_before") & (F.col("n") == 1), 0).otherwise(1)
+    runs = rows.withColumn("_start", starts).withColumn("_run", F.sum("_start").over(w))
+    place = F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("page"))
+    takes = runs.withColumn("takes", F.col("fits") & (place % 2 == 1)).where("takes").select(*PAGE, F.col("last.idx").alias("idx"), F.col("next").alias("_n"), "next_page")
+    gone = takes.select("doc_id", F.col("_n.idx").alias("idx"), F.lit(True).alias("_gone"))
+    out = blocks.join(takes.drop("page"), ["doc_id", "idx"], "left").join(gone, ["doc_id", "idx"], "left").where("_gone is null")
+    merged = F.col("_n").isNotNull()
+    return out.select(
+        *PAGE, "idx", F.when(merged, F.concat("text", T.stripped(F.col("_n.text")))).otherwise(F.col("text")).alias("text"),
+        F.when(merged, F.round((F.col("conf") + F.col("_n.conf")) / 2, 4)).otherwise(F.col("conf").cast("double")).alias("confidence"), "next_page",
+    )
+
+
+def document_tree(blocks: DataFrame, gap: int = 80) -> DataFrame:
+    """The sections of each document, one row each: section (the heading's idx), level, title, parent, depth, its own paragraphs
+    (array of their lines joined by spaces) and, for the document, sections and paragraphs in all.
+
+    blocks: doc_id, page, idx, text, x, y, h and level (null for body text). Blank lines and page numbers are left out. Paragraphs
+    before the first heading are those of a row without section. Lines of a page no more than gap apart are one paragraph.
+    """
+    lines = blocks.withColumn("text", T.stripped(F.col("text"))).where((F.col("text") != "") & ~T.is_page_number(F.col("text")))
+    placed = section_of(lines)
+    heads = section_tree(placed.where("level is not null")).join(placed.where("level is not null").select("doc_id", "idx", F.col("text").alias("title")), ["doc_id", "idx"])
+    body = placed.where("level is null").withColumn("_s", F.coalesce("section", F.lit(-1)))
+    runs = islands(body, ["doc_id", "_s", "page"], [F.col("y"), F.col("x"), F.col("idx")], F.col("y"), F.col("y") + F.col("h"), F.lit(gap), "para")
+    paras = runs.groupBy("doc_id", "_s", "page", "para").agg(F.sort_array(F.collect_list(F.struct("y", "x", "idx", "text"))).alias("lines"))
+    by_section = paras.groupBy("doc_id", "_s").agg(F.transform(F.sort_array(F.collect_list(F.struct("page", "para", F.array_join("lines.text", " ").alias("t")))), lambda p: p["t"]).alias("paragraphs"))
+    rows = heads.withColumn("_s", F.col("idx")).join(by_section, ["doc_id", "_s"], "full_outer").withColumn("paragraphs", F.coalesce("paragraphs", F.array().cast("array<string>")))
+    w = Window.partitionBy("doc_id")
+    return rows.select("doc_id", F.col("idx").alias("section"), "level", "title", "parent", "depth", "paragraphs", F.count("idx").over(w).alias("sections_in_all"), F.sum(F.size("paragraphs")).over(w).alias("paragraphs_in_all"))
+
+
+def with_titles(found: DataFrame, first_lines: DataFrame, page_width: int = PAGE_WIDTH) -> DataFrame:
+    """Regions (with kind, left, right) whose text regions are titles where their first line (first_lines: PAGE, region, text) is short and numbered or centred."""
+    text = F.col("text")
+    centred = F.abs((F.col("left") + F.col("right")) / 2 - page_width / 2) < page_width * 0.15
+    title = (F.col("kind") == "text") & (F.length(text) < 50) & (text.rlike(T.NUMBERED_TITLE) | centred)
+    return found.join(first_lines, [*PAGE, "region"]).withColumn("kind", F.when(title, "title").otherwise(F.col("kind"))).drop("text")
+
+
+def first_lines(blocks: DataFrame, spread: float = 1.5) -> DataFrame:
+    """PAGE, region and text of the first line in reading order of each region that regions() finds."""
+    mean = F.avg("h").over(Window.partitionBy(*PAGE))
+    order = [F.col("y"), F.col("x"), F.col("idx")]
+    rows = islands(blocks.withColumn("mean_h", mean), list(PAGE), order, F.col("y"), F.col("y") + F.col("h"), F.col("mean_h") * spread, "region")
+    return rows.groupBy(*PAGE, "region").agg(F.min_by("text", F.struct("y", "x", "idx")).alias("text"))
+
+
+def trimmed(cells: DataFrame, part: tuple[str, ...] = PAGE) -> DataFrame:
+    """cells (part, row, col, text) without rows and columns that are blank throughout, numbered anew from 0. A grid without any text is gone."""
+    full = cells.where(T.stripped(F.col("text")) != "")
+    rows = full.select(*part, "row").distinct().withColumn("_row", F.row_number().over(Window.partitionBy(*part).orderBy("row")) - 1)
+    cols = full.select(*part, "col").distinct().withColumn("_col", F.row_number().over(Window.partitionBy(*part).orderBy("col")) - 1)
+    return cells.join(rows, [*part, "row"]).join(cols, [*part, "col"]).select(*part, F.col("_row").alias("row"), F.col("_col").alias("col"), "text")
+
+
+def without_similar_lines(blocks: DataFrame, least: float = 0.7, most: int = 50, page_height: int = PAGE_HEIGHT) -> DataFrame:
+    """blocks (doc_id, page, idx, text, y) without headers and footers that come on max(2, 30 %) of a document's pages or oftener, also in similar words.
+
+    In order of page and line, a zone's lines are counted under an equal line before, or the first one similar (ratio of least or
+    more; not looked for while there are `most` different ones), or themselves. Lines that are or resemble one of those often
+    enough go, and with them the zone's page numbers. A document under three pages or without such a line stays as it is. Only
+    lines of the zones come to a document's fold, as each step depends on the lines counted so far.
+    """
+    t = T.stripped(F.col("text"))
+    zone = F.when(in_header(F.col("y"), page_height), "header").when(in_footer(F.col("y"), page_height), "footer")
+    rows = blocks.withColumn("_t", t).withColumn("_zone", F.when(F.col("_t") != "", zone)).withColumn("_number", T.is_page_number(t))
+    pages = rows.groupBy("doc_id").agg(F.countDistinct("page").alias("_pages")).where("_pages >= 3")
+    zoned = rows.where("_zone is not null").join(pages, "doc_id").select("doc_id", "_pages", "_zone", "page", "idx", "_t", "_number")
+    key_type = dict(blocks.dtypes)["doc_id"]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["page", "idx"])
+        counts: dict[str, dict[str, int]] = {"header": {}, "footer": {}}
+        for r in pdf.itertuples(index=False, name=None):
+            _, _, place, _, _, line, number = r
+            known = counts[place]
+            if line not in known and not number and len(known) < most:
+                line = next((k for k in known if similarity_of(line, k, least) >= least), line)
+            known[line] = known.get(line, 0) + 1
+        enough = max(2, int(pdf["_pages"].iloc[0] * 0.3))
+        often = {z: [k for k, c in known.items() if c >= enough] for z, known in counts.items()}
+        out = []
+        if any(often.values()):
+            for place, line, number in sorted(set(zip(pdf["_zone"], pdf["_t"], pdf["_number"]))):
+                if number or any(similarity_of(line, k, least) >= least for k in often[place]):
+                    out.append((pdf["doc_id"].iloc[0], place, line))
+        return pd.DataFrame(out, columns=["doc_id", "_zone", "_t"])
+
+    gone = zoned.groupBy("doc_id").applyInPandas(fold, f"doc_id {key_type}, _zone string, _t string")
+    return rows.join(gone, ["doc_id", "_zone", "_t"], "left_anti").select(*blocks.columns)
+
+
 LISTS = "doc_id long, list int, type string, indent int, n_items int, markers string, content string, confidence double"
 
 

@@ -10,6 +10,9 @@ from ..functions import text as T
 from ..operators import structure as S
 from .derived import BLOCKS_CTE, blocks
 
+#: Lines in pages of one to three, of which many run on.
+RUNNING = ("doc_id", "CAST(floor(idx / (1 + doc_id % 3)) AS INT) AS page", "idx", "conf", "CASE WHEN (doc_id + idx) % 5 = 0 OR length(line) < 2 THEN line ELSE lower(substring(line, 1, length(line) - 1)) END AS text")
+
 STRIP = r"regexp_replace({}, '^[\s\x{{3000}}]+|[\s\x{{3000}}]+$', '', 'g')"
 TEXT = STRIP.format("text")
 PAGE_NO = rf"regexp_matches({TEXT}, '{T.PAGE_NUMBER}')"
@@ -123,16 +126,25 @@ FILE_CTE = """f AS (SELECT source AS doc_id, CAST(dense_rank() OVER (PARTITION B
 bl AS (SELECT doc_id, page, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS idx, len(ls) AS n FROM f), b AS (SELECT doc_id, page, CAST(idx AS INT) AS idx, text, CAST(CASE WHEN idx = n - 1 AND n > 1 THEN 3400 ELSE idx * 60 END AS INT) AS y FROM bl)"""
 
 
-@query("repeated_line_removal", rf"""WITH {FILE_CTE}, z AS (SELECT *, {TEXT} AS t, CASE WHEN {TEXT} = '' THEN NULL WHEN y / 3508 < 0.05 OR y < 80 THEN 'header' WHEN y / 3508 > 0.92 OR y > 3388 THEN 'footer' END AS zone FROM b), p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM b GROUP BY 1),
-r AS (SELECT z.doc_id, zone, t FROM z JOIN p USING (doc_id) WHERE zone IS NOT NULL AND pages >= 3 GROUP BY z.doc_id, zone, t, pages HAVING count(*) >= greatest(2, floor(pages * 0.3))), q AS (SELECT DISTINCT doc_id FROM r)
-SELECT z.doc_id, page, idx, text, y FROM z WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = z.doc_id AND r.zone = z.zone AND r.t = z.t) AND NOT (zone IS NOT NULL AND regexp_matches(t, '{T.PAGE_NUMBER}') AND doc_id IN (SELECT doc_id FROM q))""")
-def repeated_line_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source as a file, its documents as pages, the last line of a page at its foot."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     page = (F.dense_rank().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("int")
     split = docs.select(F.col("source").alias("doc_id"), page.alias("page"), F.split("text", "\n").alias("ls"))
     rows = split.select("doc_id", "page", F.size("ls").alias("n"), F.posexplode("ls").alias("idx", "text"))
-    rows = rows.select("doc_id", "page", "idx", "text", F.when((F.col("idx") == F.col("n") - 1) & (F.col("n") > 1), 3400).otherwise(F.col("idx") * 60).alias("y"))
-    return S.without_repeated_lines(rows)
+    return rows.select("doc_id", "page", "idx", "text", F.when((F.col("idx") == F.col("n") - 1) & (F.col("n") > 1), 3400).otherwise(F.col("idx") * 60).alias("y"))
+
+
+@query("repeated_line_removal", rf"""WITH {FILE_CTE}, z AS (SELECT *, {TEXT} AS t, CASE WHEN {TEXT} = '' THEN NULL WHEN y / 3508 < 0.05 OR y < 80 THEN 'header' WHEN y / 3508 > 0.92 OR y > 3388 THEN 'footer' END AS zone FROM b), p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM b GROUP BY 1),
+r AS (SELECT z.doc_id, zone, t FROM z JOIN p USING (doc_id) WHERE zone IS NOT NULL AND pages >= 3 GROUP BY z.doc_id, zone, t, pages HAVING count(*) >= greatest(2, floor(pages * 0.3))), q AS (SELECT DISTINCT doc_id FROM r)
+SELECT z.doc_id, page, idx, text, y FROM z WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = z.doc_id AND r.zone = z.zone AND r.t = z.t) AND NOT (zone IS NOT NULL AND regexp_matches(t, '{T.PAGE_NUMBER}') AND doc_id IN (SELECT doc_id FROM q))""")
+def repeated_line_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.without_repeated_lines(_files(spark, sf_dir))
+
+
+@query("similar_line_removal")
+def similar_line_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.without_similar_lines(_files(spark, sf_dir))
 
 
 @query("page_conf_weighted", f"""WITH {BLOCKS_CTE}, p AS (SELECT doc_id, page, round(sum(conf) / count(*), 4) AS c FROM blocks GROUP BY 1, 2)
@@ -141,11 +153,59 @@ def page_conf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.document_confidence(blocks(spark, sf_dir))
 
 
-@query("cross_page_merge", rf"""WITH {BLOCKS_CTE}, e AS (SELECT doc_id, page, arg_min(text, idx) AS ft, min(idx) AS fi, arg_max(text, idx) AS lt, max(idx) AS li FROM (SELECT doc_id, page, idx, CASE WHEN (doc_id + page) % 2 = 0 THEN lower(substring(line, 1, length(line) - 1)) ELSE line END AS text FROM blocks) GROUP BY 1, 2),
-n AS (SELECT *, lead(ft) OVER w AS nt, lead(fi) OVER w AS ni, lead(page) OVER w AS np FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY page))
-SELECT doc_id, page, CAST(li AS INT) AS idx, CAST(ni AS INT) AS next_idx FROM n WHERE np = page + 1 AND {STRIP.format('lt')} <> '' AND NOT regexp_matches({STRIP.format('lt')}, '^\d{{1,4}}$') AND NOT regexp_matches({STRIP.format('lt')}, '{T.TERMINAL}') AND regexp_matches({STRIP.format('nt')}, '{T.CONTINUES}') AND NOT regexp_matches({STRIP.format('nt')}, '{T.CHAPTER}')""")
+OPEN = rf"{STRIP.format('lt')} <> '' AND NOT regexp_matches({STRIP.format('lt')}, '^\d{{1,4}}$') AND NOT regexp_matches({STRIP.format('lt')}, '{T.TERMINAL}')"
+ON = rf"regexp_matches({STRIP.format('nt')}, '{T.CONTINUES}') AND NOT regexp_matches({STRIP.format('nt')}, '{T.CHAPTER}')"
+RUNNING_CTE = f"""{BLOCKS_CTE}, running AS (SELECT {', '.join(RUNNING)} FROM blocks),
+ends AS (SELECT doc_id, page, arg_min(text, idx) AS ft, min(idx) AS fi, arg_min(conf, idx) AS fc, arg_max(text, idx) AS lt, max(idx) AS li, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM running GROUP BY 1, 2),
+met AS (SELECT *, lead(ft) OVER w AS nt, lead(fi) OVER w AS ni, lead(fc) OVER w AS nc, lead(page) OVER w AS np FROM ends WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
+fits AS (SELECT *, coalesce(np = page + 1 AND {OPEN} AND {ON}, false) AS fits FROM met)"""
+
+
+def _running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks(spark, sf_dir).selectExpr(*RUNNING)
+
+
+@query("cross_page_merge", f"WITH {RUNNING_CTE} SELECT doc_id, page, CAST(li AS INT) AS idx, CAST(ni AS INT) AS next_idx FROM fits WHERE fits")
 def cross_page_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.cross_page(blocks(spark, sf_dir).selectExpr("doc_id", "page", "idx", "CASE WHEN (doc_id + page) % 2 = 0 THEN lower(substring(line, 1, length(line) - 1)) ELSE line END AS text"))
+    return S.cross_page(_running(spark, sf_dir))
+
+
+@query("cross_page_merged_text", f"""WITH RECURSIVE {RUNNING_CTE}, r AS (SELECT doc_id, k, fits AS takes FROM fits WHERE k = 1 UNION ALL SELECT f.doc_id, f.k, f.fits AND NOT (f.n = 1 AND r.takes) FROM r JOIN fits f ON f.doc_id = r.doc_id AND f.k = r.k + 1),
+t AS (SELECT f.* FROM fits f JOIN r USING (doc_id, k) WHERE takes)
+SELECT b.doc_id, b.page, b.idx, CASE WHEN t.li IS NULL THEN b.text ELSE b.text || {STRIP.format('t.nt')} END AS text, CAST(CASE WHEN t.li IS NULL THEN b.conf ELSE round((b.conf + t.nc) / 2, 4) END AS DOUBLE) AS confidence, t.np AS next_page
+FROM running b LEFT JOIN t ON t.doc_id = b.doc_id AND t.li = b.idx WHERE NOT EXISTS (SELECT 1 FROM t g WHERE g.doc_id = b.doc_id AND g.ni = b.idx)""")
+def cross_page_merged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.cross_page_merged(_running(spark, sf_dir))
+
+
+@query("document_tree", f"""WITH RECURSIVE {BLOCKS_CTE}, l AS (SELECT *, {TEXT} AS t, {LEVEL} AS level FROM blocks WHERE {TEXT} <> '' AND NOT {PAGE_NO}),
+hd AS (SELECT doc_id, idx, t, level FROM l WHERE level IS NOT NULL),
+tree AS (SELECT a.doc_id, a.idx, a.level, a.t, max(b.idx) AS parent FROM hd a LEFT JOIN hd b ON a.doc_id = b.doc_id AND b.idx < a.idx AND b.level < a.level GROUP BY 1, 2, 3, 4),
+depths AS (SELECT doc_id, idx, 1 AS depth FROM tree WHERE parent IS NULL UNION ALL SELECT t.doc_id, t.idx, d.depth + 1 FROM tree t JOIN depths d ON d.doc_id = t.doc_id AND d.idx = t.parent),
+body AS (SELECT *, coalesce((SELECT max(hd.idx) FROM hd WHERE hd.doc_id = l.doc_id AND hd.idx < l.idx), -1) AS s FROM l WHERE level IS NULL),
+m AS (SELECT *, max(y + h) OVER (PARTITION BY doc_id, s, page ORDER BY y, x, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM body),
+p AS (SELECT *, sum(CASE WHEN before IS NULL OR y - before > 80 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, s, page ORDER BY y, x, idx) AS para FROM m),
+q AS (SELECT doc_id, s, page, para, string_agg(t, ' ' ORDER BY y, x, idx) AS t FROM p GROUP BY 1, 2, 3, 4),
+o AS (SELECT doc_id, s, string_agg(t, chr(10) ORDER BY page, para) AS paragraphs, count(*) AS n FROM q GROUP BY 1, 2),
+a AS (SELECT coalesce(t.doc_id, o.doc_id) AS doc_id, t.idx AS section, t.level, t.t AS title, t.parent, d.depth, coalesce(o.paragraphs, '') AS paragraphs, coalesce(o.n, 0) AS n FROM tree t JOIN depths d USING (doc_id, idx) FULL JOIN o ON o.doc_id = t.doc_id AND o.s = t.idx)
+SELECT doc_id, CAST(section AS INT) AS section, CAST(level AS INT) AS level, title, CAST(parent AS INT) AS parent, CAST(depth AS INT) AS depth, paragraphs, count(section) OVER (PARTITION BY doc_id) AS sections_in_all, CAST(sum(n) OVER (PARTITION BY doc_id) AS BIGINT) AS paragraphs_in_all FROM a""")
+def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.document_tree(_leveled(spark, sf_dir)).withColumn("paragraphs", F.array_join("paragraphs", "\n"))
+
+
+@query("region_titles", rf"""WITH {REGIONS_CTE}, f AS (SELECT doc_id, page, CAST(region AS INT) AS region, arg_min(text, y * 1000000 + x * 1000 + idx % 1000) AS text FROM s GROUP BY 1, 2, 3)
+SELECT doc_id, page, region, CASE WHEN n_dense / n_lines >= 0.25 THEN 'table' WHEN length(text) < 50 AND (regexp_matches(text, '{T.NUMBERED_TITLE}') OR abs((l + r) / 2 - 1240) < 372) THEN 'title' ELSE 'text' END AS kind FROM regions JOIN f USING (doc_id, page, region)""")
+def region_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = blocks(spark, sf_dir)
+    return S.with_titles(S.regions(rows), S.first_lines(rows)).select("doc_id", "page", "region", "kind")
+
+
+@query("table_trimmed", f"""WITH {BLOCKS_CTE}, c AS (SELECT doc_id, page, idx % 3 AS row, (idx // 3) % 4 AS col, CASE WHEN (doc_id + idx % 3) % 3 = 0 OR (doc_id + (idx // 3) % 4) % 5 = 0 THEN ' ' ELSE substring(line, 1, 5) END AS text FROM blocks WHERE idx % 10 < 9),
+f AS (SELECT * FROM c WHERE {TEXT} <> ''), r AS (SELECT doc_id, page, row, row_number() OVER (PARTITION BY doc_id, page ORDER BY row) - 1 AS nr FROM (SELECT DISTINCT doc_id, page, row FROM f)), k AS (SELECT doc_id, page, col, row_number() OVER (PARTITION BY doc_id, page ORDER BY col) - 1 AS nc FROM (SELECT DISTINCT doc_id, page, col FROM f))
+SELECT doc_id, page, CAST(nr AS INT) AS row, CAST(nc AS INT) AS col, text FROM c JOIN r USING (doc_id, page, row) JOIN k USING (doc_id, page, col)""")
+def table_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = blocks(spark, sf_dir).where("idx % 10 < 9").selectExpr("doc_id", "page", "idx % 3 AS row", "(idx div 3) % 4 AS col", "CASE WHEN (doc_id + idx % 3) % 3 = 0 OR (doc_id + (idx div 3) % 4) % 5 = 0 THEN ' ' ELSE substring(line, 1, 5) END AS text")
+    return S.trimmed(cells)
 
 
 COUNTS = (
