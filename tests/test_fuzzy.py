@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from itertools import combinations
 
 import pandas as pd
@@ -47,3 +48,55 @@ def test_similarity_fuzzy_reads_every_header_line(spark, tmp_path):
     got = {(r.doc_id, r.zone, r.a, r.b, round(r.ratio, 9)) for r in E.queries()["similarity_fuzzy"](spark, str(tmp_path)).collect()}
     lines = [(1, "header", x) for k, x in enumerate(text.split("\n")) if k % 10 < 4]
     assert got == every_pair(lines, 0.7) and any("Annual" in r[2] for r in got)
+
+
+def similar(a, b, least):
+    return S.similarity(pd.Series([a]), pd.Series([b]))[0] >= least
+
+
+def cleaned(pages, least=0.7, most=50):
+    """A plain fold over pages of (idx, text, y): lines that stay."""
+    zone = lambda y: "header" if y / 3508 < 0.05 or y < 80 else "footer" if y / 3508 > 0.92 or y > 3388 else None
+    number = lambda t: re.fullmatch(S.T.PAGE_NUMBER.replace("^", "").replace("$", ""), t) is not None
+    if len(pages) < 3:
+        return [(p, i) for p, lines in pages.items() for i, _, _ in lines]
+    counts = {"header": {}, "footer": {}}
+    for p in sorted(pages):
+        for _, text, y in pages[p]:
+            t, z = text.strip(), zone(y)
+            if not t or z is None:
+                continue
+            known = counts[z]
+            key = t
+            if t not in known and not number(t) and len(known) < most:
+                for k in known:
+                    if similar(t, k, least):
+                        key = k
+                        break
+            known[key] = known.get(key, 0) + 1
+    often = {z: [k for k, n in known.items() if n >= max(2, int(len(pages) * 0.3))] for z, known in counts.items()}
+    stays = []
+    for p, lines in pages.items():
+        for i, text, y in lines:
+            t, z = text.strip(), zone(y)
+            gone = bool(t) and z is not None and (often["header"] or often["footer"]) and (number(t) or any(similar(t, k, least) for k in often[z]))
+            if not gone:
+                stays.append((p, i))
+    return stays
+
+
+@pytest.mark.parametrize("most", [50, 3])
+def test_similar_headers_go_as_in_a_fold(spark, most):
+    rng = random.Random(5)
+    rows, want = [], set()
+    for doc, n in ((1, 8), (2, 2), (3, 12), (4, 5)):
+        pages = {}
+        for p in range(n):
+            head = "".join(c if rng.random() > 0.08 else "x" for c in f"Bericht der Klinik, Blatt {p}")
+            lines = [(0, head if doc != 4 else f"{'abcdefg'[p]}" * 9, 10), (1, rng.choice(["", " ", "z" * (p + 1)]), 50), (2, f"text {p}", 900), (3, head, 1200), (4, f"- {p} -", 3450), (5, rng.choice(["Fuß  links", "Fuss links", "q" * p]), 3460)]
+            pages[p] = lines
+            rows += [(doc, p, i, t, y) for i, t, y in lines]
+        want |= {(doc, p, i) for p, i in cleaned(pages, most=most)}
+    df = spark.createDataFrame(rows, "doc_id long, page int, idx int, text string, y int")
+    got = {(r.doc_id, r.page, r.idx) for r in S.without_similar_lines(df, most=most).collect()}
+    assert got == want and len(want) < len(rows)

@@ -111,3 +111,42 @@ def test_paging_bounds(spark):
     df = spark.range(10).selectExpr("id", "id % 2 AS created_at")
     assert [r.id for r in tenancy.listed(df, "nope", ("id",), page=0, size=0).collect()] == [1]
     assert tenancy.listed(df, "id", ("id",), page=1, size=500).count() == 10
+
+
+def test_context_packing_equals_a_plain_fold(spark):
+    rng = random.Random(4)
+    kinds = ("死亡诊断", "诊断", "其他")
+    rows = [(d, i, rng.choice(kinds) + "x" * rng.choice((0, 5, 40, 90, 200))) for d in range(12) for i in range(rng.randrange(1, 14))]
+    got = sorted(tuple(r) for r in casework.packed_context(spark.createDataFrame(rows, "doc_id long, idx int, text string"), 300).collect())
+    want = []
+    for d in range(12):
+        left, place = 300, 0
+        for kind in kinds:
+            for _, i, text in sorted(r for r in rows if r[0] == d and r[2].startswith(kind)):
+                if len(text) <= left:
+                    want.append((d, place, i, len(text)))
+                    left, place = left - len(text), place + 1
+                    continue
+                if left > 50:
+                    want.append((d, place, i, left))
+                    left, place = 0, place + 1
+                break
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("sizes", [(1, 1, 1, 1), (2, 1, 1, 2), (1, 3, 1, 1)])
+def test_emptied_pages_take_nothing_in(spark, sizes):
+    """All lines run on: pages of one line that were taken in do not take the next page's first line in."""
+    rows, idx = [], 0
+    for page, n in enumerate(sizes):
+        for _ in range(n):
+            rows.append((1, page, idx, f" line {idx} ", 50 + idx))
+            idx += 1
+    pages = [[[i, t, float(c)] for _, p, i, t, c in rows if p == page] for page in range(len(sizes))]
+    for a, b in zip(pages, pages[1:]):
+        if a and b:
+            first = b.pop(0)
+            a[-1][1] += first[1].strip()
+            a[-1][2] = round((a[-1][2] + first[2]) / 2, 4)
+    got = structure.cross_page_merged(spark.createDataFrame(rows, "doc_id long, page int, idx int, text string, conf int")).orderBy("idx").collect()
+    assert [(r.idx, r.text, r.confidence) for r in got] == [tuple(x) for p in pages for x in p]
