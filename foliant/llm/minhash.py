@@ -142,6 +142,8 @@ def links(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
 
     groups = written(members.join(hubs.select("bucket", "hub"), "bucket").select("hub", "node", "n", "s").distinct(), "groups")
     placed, mixed = outsiders(groups, near)
+    if not mixed.count():
+        return near
     helped = written(near.unionByName(by_more_hubs(placed, mixed, sets)), "helped")
     placed, mixed = outsiders(groups, helped)
     rest = written(met_in_blocks(placed.join(small(mixed), "hub"), sets), "rest")
