@@ -47,7 +47,9 @@ PLACES = 21
 #: Suffixes of a run, of a block of it, of a key range, and classes of a group compared within a task.
 RUN_KEYS, BLOCK_KEYS, RANGE_KEYS, GROUP_CLASSES = 200_000, 1024, 60_000, 4_000
 #: Keys that the driver takes as a sample for the splitters.
-SAMPLE_KEYS = 1 << 16
+SAMPLE_KEYS = 1 << 18
+#: Bits of a class's number for its place in a run, and for the run in its partition.
+PLACE_BITS, RUN_BITS = 28, 13
 ODD = 0x9E3779B97F4A7C15
 MASK = np.uint64((1 << PLACES) - 1)
 SPAN = LENGTH - GRAM + 1
@@ -175,14 +177,16 @@ RUNS = "first binary, last binary, id long, n int, data binary, classes array<lo
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted, front-coded runs of the suffixes at the anchors of texts, block by block."""
-    run = TaskContext.get().partitionId() << 8
+    run = first_run = TaskContext.get().partitionId() << RUN_BITS
     keys: list[bytes] = []
     tids: list[int] = []
     places: list[int] = []
 
     def sorted_run(number: int) -> Iterator[pa.RecordBatch]:
         order = sorted(range(len(keys)), key=keys.__getitem__)
-        base, position = number << 32, 0
+        if number - first_run >> RUN_BITS or len(order) >> PLACE_BITS or number >> 63 - PLACE_BITS:
+            raise ValueError("a partition has too many runs, or a run too many keys, for the numbers of classes")
+        base, position = number << PLACE_BITS, 0
         block: list[bytes] = []
         shared: list[int] = []
         counts: list[int] = []
@@ -359,7 +363,7 @@ def _merge(splitters: list[bytes]):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         by_run: dict[int, list[tuple[int, bytes]]] = {}
         for number, data in sorted(zip(table.column("id").to_pylist(), table.column("data").to_pylist())):
-            by_run.setdefault(number >> 32, []).append((number, data))
+            by_run.setdefault(number >> PLACE_BITS, []).append((number, data))
         rows: list[tuple] = []
         for group in groups(iter(LoserTree([Stream(b) for b in by_run.values()]))):
             cut = group[0].key[:GRAM] in cut_grams
@@ -405,10 +409,11 @@ def spans_of(texts: DataFrame) -> DataFrame:
     runs, runs_path = written(map_arrow(texts.join(places, "tid").select("tid", "text", "anchors"), _runs, RUNS), "runs", with_path=True)
     blocks, keys = runs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     ranges = max(1, -(-keys // RANGE_KEYS))
-    sample = runs.select("first")
+    sample = runs.select("first", "id")
     if blocks > SAMPLE_KEYS:
-        sample = sample.where(F.pmod(F.xxhash64("first"), F.lit(-(-blocks // SAMPLE_KEYS))) == 0)
-    firsts = sorted(bytes(r[0]) for r in sample.collect())
+        # by the block's number, so that of a hot key no more blocks are taken than of others
+        sample = sample.where(F.pmod(F.xxhash64("id"), F.lit(-(-blocks // SAMPLE_KEYS))) == 0)
+    firsts = sorted(sample.select("first").toArrow().column(0).to_pylist())
     splitters = sorted({firsts[len(firsts) * i // ranges] for i in range(1, ranges)} - {b""}) if len(firsts) > 1 else []
     dealt = map_arrow(runs.select("first", "last", "id", "data"), _cut(splitters), "range long, id long, data binary")
     judged = written(dealt.groupBy("range").applyInArrow(_merge(splitters), FOUND), "judged")
