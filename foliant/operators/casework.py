@@ -297,6 +297,21 @@ def purposes(items: DataFrame) -> DataFrame:
     return items.where("purpose <> ''").groupBy("case_id", "category").agg(F.array_join(F.sort_array(F.collect_set("purpose")), "；").alias("purposes"))
 
 
+def batched(rows: DataFrame, group: str, order: str, size: int = 5, spread: int = 10_000) -> DataFrame:
+    """rows with batch, the number of the batch of `size` rows that each is in by order (whole numbers) within its group.
+
+    Rows are numbered within ranges of `spread` values of order, after the counts of the ranges before: a large group is dealt
+    to as many tasks as it has ranges, and only the counts of a group's ranges meet.
+    """
+    ranged = rows.withColumn("_range", F.floor(F.col(order) / spread))
+    counts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), before.alias("_before"))
+    placed = ranged.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_range").orderBy(order)) - 1)
+    met = placed.join(starts, F.col(group).eqNullSafe(F.col("_group")) & F.col("_range").eqNullSafe(F.col("_at")))
+    return met.select(*rows.columns, F.floor((F.col("_before") + F.col("_k")) / size).cast("int").alias("batch"))
+
+
 def packed_context(paragraphs: DataFrame, limit: int) -> DataFrame:
     """Per document, the paragraphs that fit limit characters: by importance, then order; each level stops at the first that
     does not fit, of which a start over 50 characters is taken. Folds a document at a time, as each level depends on the others."""

@@ -195,10 +195,7 @@ def chunk_6000(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("batch_of_5", "SELECT doc_id, source, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS INT) AS batch FROM documents")
 def batch_of_5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.floor(place / 5).cast("int").alias("batch"))
+    return C.batched(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), "source", "doc_id")
 
 
 @query("private_url_filter", """WITH u AS (SELECT c_custkey, concat(CAST(c_custkey % 256 AS STRING), '.', CAST(c_custkey % 200 AS STRING), '.0.', CAST(c_nationkey AS STRING)) AS host FROM customer), q AS (SELECT *, CAST(split_part(host, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(host, '.', 2) AS BIGINT) * 65536 + CAST(split_part(host, '.', 4) AS BIGINT) AS n FROM u)

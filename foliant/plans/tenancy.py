@@ -92,10 +92,10 @@ def retention_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.without_old(tasks(spark, sf_dir), F.lit("1999-01-01").cast("timestamp"), 90).select("id", "status")
 
 
-@query("dedup_hash_anti", f"""WITH {CTE}, up AS (SELECT CAST(c_custkey AS BIGINT) AS upload, CAST(CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_custkey % 25 END AS INT) AS tenant_id, md5(CAST(c_custkey AS STRING)) AS md5 FROM customer)
+@query("dedup_hash_anti", f"""WITH {CTE}, up AS (SELECT CAST(c_custkey AS BIGINT) AS upload, CAST(CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_custkey % 25 END AS INT) AS tenant_id, md5(CAST(c_custkey * 2 AS STRING)) AS md5 FROM customer)
 SELECT upload, tenant_id FROM up WHERE NOT EXISTS (SELECT 1 FROM tasks t WHERE t.status <> 'failed' AND t.md5 = up.md5 AND t.tenant_id IS NOT DISTINCT FROM up.tenant_id)""")
 def dedup_hash_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    up = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("CAST(c_custkey AS BIGINT) AS upload", "CAST(CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_custkey % 25 END AS INT) AS tenant_id", "md5(CAST(c_custkey AS STRING)) AS md5")
+    up = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("CAST(c_custkey AS BIGINT) AS upload", "CAST(CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_custkey % 25 END AS INT) AS tenant_id", "md5(CAST(c_custkey * 2 AS STRING)) AS md5")
     recent = tasks(spark, sf_dir)
     return O.accepted(up, recent).select("upload", "tenant_id")
 
