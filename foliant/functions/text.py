@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -73,6 +74,9 @@ def first_group(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def contains_any(c: Column, keywords: Sequence[str]) -> Column:
+    """Whether c contains one of the keywords. Many are one alternation, as a test for each makes generated methods too long to be compiled."""
+    if len(keywords) > 3:
+        return c.rlike("|".join(re.escape(k) for k in keywords))
     out = F.lit(False)
     for k in keywords:
         out = out | c.contains(k)

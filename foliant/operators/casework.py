@@ -111,7 +111,7 @@ def classified(materials: DataFrame) -> DataFrame:
     by_text = F.when(blank, 0.0).when(F.col("_b").isNull(), 0.3).otherwise(F.least(F.lit(0.95), F.round(0.6 + words * 0.05, 2)))
     name = F.lit(None).cast("string")
     for words_of_name, category in reversed(FILENAMES):
-        fits = contains_any(F.lower("filename"), words_of_name)
+        fits = contains_any(F.col("filename"), words_of_name)
         name = F.when(fits & death if category in DEATH_ONLY else fits, F.lit(category)).otherwise(name)
     rows = rows.withColumn("_c", by_text).withColumn("_n", name)
     name_confidence = F.when(F.coalesce("filename", F.lit("")) == "", 0.0).when(F.col("_n").isNotNull(), 0.5).otherwise(0.1)
@@ -125,7 +125,7 @@ def classified(materials: DataFrame) -> DataFrame:
 def doc_type(text: Column) -> Column:
     out = F.lit("other")
     for words, kind in reversed(DOC_TYPES):
-        out = F.when(contains_any(F.lower(text), words), F.lit(kind)).otherwise(out)
+        out = F.when(contains_any(text, words), F.lit(kind)).otherwise(out)
     return out
 
 

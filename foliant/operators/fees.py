@@ -22,23 +22,25 @@ DEATH_ITEMS = ("medical_fee", "lost_wages", "nursing_fee", "food_subsidy", "nutr
 MONEY = "decimal(18,2)"
 
 
-def filename_fee_type(filename: Column) -> Column:
-    """struct(fee_type, description) of the first rule with a word in the name, or null."""
-    out = F.lit(None).cast("struct<fee_type:string,description:string>")
-    for words, kind, label in reversed(FILENAME_FEE_TYPES):
-        out = F.when(contains_any(F.lower(filename), words), F.struct(F.lit(kind).alias("fee_type"), F.lit(label).alias("description"))).otherwise(out)
-    return out
+#: Fee types with their names, by the numbers that fee_code gives; the first are those of file names.
+FEES = (*((kind, label) for _, kind, label in FILENAME_FEE_TYPES), ("medical_fee", "医疗费用"))
 
 
-def text_fee_type(text: Column) -> Column:
-    pair = lambda kind, label: F.struct(F.lit(kind).alias("fee_type"), F.lit(label).alias("description"))
-    return (
-        F.when(contains_any(text, ("住院", "入院")), pair("hospital_fee", "住院费用"))
-        .when(text.contains("门诊"), pair("outpatient_fee", "门诊费用"))
-        .when(text.contains("医保") & contains_any(text, ("结算", "报销")), pair("medical_fee", "医保结算"))
-        .when(contains_any(text, ("外购", "药店")), pair("pharmacy_fee", "外购药品费"))
-        .otherwise(pair("medical_fee", "医疗费用"))
+def fee_code(filename: Column, text: Column) -> Column:
+    """The place in FEES, from 1, of the first rule with a word in the file name, else of what the text speaks of.
+
+    None of the words has letters with two cases, so names are compared as they are.
+    """
+    code = (
+        F.when(contains_any(text, ("住院", "入院")), 2)
+        .when(text.contains("门诊"), 3)
+        .when(text.contains("医保") & contains_any(text, ("结算", "报销")), 4)
+        .when(contains_any(text, ("外购", "药店")), 5)
+        .otherwise(6)
     )
+    for k in range(len(FILENAME_FEE_TYPES), 0, -1):
+        code = F.when(contains_any(filename, FILENAME_FEE_TYPES[k - 1][0]), k).otherwise(code)
+    return code
 
 
 def receipt_total(text: Column) -> Column:
@@ -57,11 +59,11 @@ def parsed_receipts(receipts: DataFrame) -> DataFrame:
 
     The type is the file name's, else the text's. Receipts without text or total give no row.
     """
-    kind = F.coalesce(filename_fee_type(F.col("filename")), text_fee_type(F.col("ocr_text")))
     # a row for each total that there is: a filter on it would compute it a second time
     stated = F.explode(F.array_compact(F.array(receipt_total(F.col("ocr_text")))))
-    out = receipts.where("ocr_text <> ''").select("material_id", "case_id", "filename", "ocr_text", stated.alias("amount"))
-    return out.select("material_id", "case_id", kind.alias("k"), "amount").select("material_id", "case_id", "k.fee_type", "k.description", "amount")
+    out = receipts.where("ocr_text <> ''").select("material_id", "case_id", fee_code(F.col("filename"), F.col("ocr_text")).alias("_code"), stated.alias("amount"))
+    named = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in FEES]), F.col("_code"))
+    return out.select("material_id", "case_id", named(0).alias("fee_type"), named(1).alias("description"), "amount")
 
 
 def receipt_details(receipts: DataFrame) -> DataFrame:
