@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The patterns that decide what a line is.
+# The patterns that decide what a line is. Those of a level or kind are joined, and what a lookahead would say is
+# spelled out, as the same patterns have to run in an engine without lookahead.
 PAGE_NUMBER = r"(?i)^(\d{1,4}|[ivxlcdm]{1,5}|[-–—]\s*\d{1,4}\s*[-–—]|第\s*\d+\s*页|Page\s+\d+|P\.?\s*\d+|\d{1,4}\s*/\s*\d{1,4})$"
 HEADINGS = (
     (1, r"^(第[一二三四五六七八九十百千\d]+[章篇部]|Chapter\s+\d+|PART\s+[IVX]+)"),

@@ -37,11 +37,12 @@ def first_by(value: Column, order: Column) -> Column:
     return F.min_by(value, F.when(value.isNotNull(), order))
 
 
-def defendants(materials: DataFrame) -> DataFrame:
+def defendants(materials: DataFrame, head: int = 500) -> DataFrame:
     """Per case: name (the longest, of names with an alias in brackets or after 被告), representative, code and address of the defendant.
 
     A name's part before 与, 和 or 及 is cut off, where they stand before the first 医院. All but the name come from the defendant's own papers
-    alone, the address not from contracts; each field is the first that is found.
+    alone, the address not from contracts (by the file name, or a word in the first `head` characters); each field is the first
+    that is found.
     """
     text = F.col("ocr_text")
     order = F.struct(rank(F.col("category"), PARTY_ORDER).alias("r"), F.col("material_id").alias("m"))
@@ -50,7 +51,7 @@ def defendants(materials: DataFrame) -> DataFrame:
     alias = F.when(F.split(alias, "医院")[0].rlike("[与和及]") & cut.contains("医院"), cut).otherwise(alias)
     simple = first_group(text, rf"被告([{HAN}]{{2,10}}医院)")
     own = F.col("category") == "identity_defendant"
-    contract = contains_any(F.lower(F.coalesce("filename", F.lit(""))), CONTRACT) | contains_any(F.substring(text, 1, 500), CONTRACT)
+    contract = contains_any(F.lower(F.coalesce("filename", F.lit(""))), CONTRACT) | contains_any(F.substring(text, 1, head), CONTRACT)
     person = F.when(own, F.coalesce(first_group(text, rf"法定代表人[：:]\s*([{HAN}]{{2,4}})"), first_group(text, rf"法定代表人[^\n]*\n\s*([{HAN}]{{2,4}})\s*\n")))
     code = F.when(own, first_group(text, r"统一社会信用代码[：:\s]*([A-Z0-9]{18})"))
     address = F.when(own & ~contract, F.coalesce(first_group(text, rf"(?:地址|住所)[：:]\s*([{HAN}]+省[{HAN}]+[路段街道][{HAN}]*\d*号?)"), first_group(text, rf"(?:注册地址|地址|住所)[^\n]*\n\s*([{HAN}]+[路段街道][{HAN}]*\d*号?)")))
@@ -63,12 +64,12 @@ def defendants(materials: DataFrame) -> DataFrame:
     return facts.join(names, "case_id", "left").where(F.coalesce("defendant_name", "legal_representative", "credit_code", "defendant_address").isNotNull())
 
 
-def appraisals(materials: DataFrame) -> DataFrame:
-    """Per case, of the first appraisal that yields anything: the conclusion, appraisers' names and numbers, and the institution."""
+def appraisals(materials: DataFrame, most: int = 1200) -> DataFrame:
+    """Per case, of the first appraisal that yields anything: the conclusion (within `most` characters after its label), appraisers' names and numbers, and the institution."""
     text = F.col("ocr_text")
 
     def after(label: str) -> Column:
-        tail = F.substring(F.regexp_extract(text, rf"(?s){label}[：:]\s*(.*)", 1), 1, 1200)
+        tail = F.substring(F.regexp_extract(text, rf"(?s){label}[：:]\s*(.*)", 1), 1, most)
         tail = stripped(F.regexp_replace(F.regexp_replace(tail, r"第\d+页共\d+页", ""), r"(?s)[四五六七八九十]+、.*", ""))
         return F.when(F.length(tail) > 10, tail)
 
@@ -185,9 +186,10 @@ def with_required(schema: dict, column: str = "answer") -> Column:
     return fields(schema, "$")
 
 
-def death_diagnosis(materials: DataFrame) -> DataFrame:
+def death_diagnosis(materials: DataFrame, most: int = 800, most_discharge: int = 600, items: int = 5) -> DataFrame:
     """Per case the diagnosis of death: after the first label of the first paper by category, as circled items, as numbered
-    items, as phrases between semicolons, or as a sentence; else items of the discharge diagnosis that speak of death.
+    items, as phrases between semicolons, or as a sentence, within `most` characters; else the first `items` of the discharge
+    diagnosis (within `most_discharge` characters) that speak of death.
 
     A paper is read in Python, as circled items go on until their numbers fall back; papers are read by partition, and the
     first of a case that yields anything is taken by an aggregate.
@@ -200,18 +202,18 @@ def death_diagnosis(materials: DataFrame) -> DataFrame:
         match = next((m for m in (re.search(label + r"[：:]\s*", text) for label in DEATH_LABELS) if m), None)
         if not match:
             return None
-        tail = text[match.end() : match.end() + 800]
-        items, last = [], 0
+        tail = text[match.end() : match.end() + most]
+        circled, last = [], 0
         for m in re.finditer(rf"([{CIRCLED}])([^{CIRCLED}\n]+)", tail):
             content, number = m[2].strip().rstrip("；;，,。．."), CIRCLED.index(m[1]) + 1
             if re.search(STAINED, content):
                 continue
             if number <= last and last >= 2:
                 break
-            items.append(m[1] + content)
+            circled.append(m[1] + content)
             last = number
-        if items:
-            return "；".join(items)
+        if circled:
+            return "；".join(circled)
         numbered = sorted((int(m[1]), m[2].strip().rstrip("；;，,。．.")) for m in re.finditer(r"(\d{1,2})[.、．]\s*([^\n；;1-9]+)", tail) if int(m[1]) <= 15 and not re.search(STAINED, m[2]))
         if len(numbered) >= 2 and all(b[0] == a[0] + 1 for a, b in zip(numbered, numbered[1:])):
             return "；".join(f"{n}.{c}" for n, c in numbered)
@@ -226,8 +228,8 @@ def death_diagnosis(materials: DataFrame) -> DataFrame:
         match = re.search(r"出院诊断[：:]\s*", text)
         if not match:
             return None
-        found = re.findall(r"[①-⑩]?([一-鿿()][一-鿿()0-9a-zA-Z+＋\-－%％Ⅰ-Ⅴ]{2,40})", text[match.end() : match.end() + 600])
-        return "；".join([x for x in found if re.search(DEATH_WORDS, x)][:5]) or None
+        found = re.findall(r"[①-⑩]?([一-鿿()][一-鿿()0-9a-zA-Z+＋\-－%％Ⅰ-Ⅴ]{2,40})", text[match.end() : match.end() + most_discharge])
+        return "；".join([x for x in found if re.search(DEATH_WORDS, x)][:items]) or None
 
     def run(batches):
         for pdf in batches:
