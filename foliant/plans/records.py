@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import generators
 from ..operators import fees
 from ..operators import records as R
 from ..operators import structure as S
+from ..sources import sinks
 from .derived import BLOCKS_CTE, blocks, receipts
 from .fees import PARSED_CTE
 from .structure import LEVEL, PAGE_NO, TEXT, _leveled
@@ -90,3 +92,32 @@ c AS (SELECT t.doc_id, count(*) AS sections, max(depth) AS depth, count(DISTINCT
 SELECT coalesce(c.doc_id, q.doc_id) AS doc_id, coalesce(sections, 0) AS sections, coalesce(depth, 0) AS depth, coalesce(levels, 0) AS levels, coalesce(paragraphs, 0) AS paragraphs, coalesce(orphans, 0) AS orphans FROM c FULL JOIN q ON c.doc_id = q.doc_id""")
 def structure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.structure_counts(S.document_tree(_leveled(spark, sf_dir)))
+
+
+GENERATOR = """
+class Letter:
+    def __init__(self, data):
+        self.data = data
+
+    def generate(self):
+        if self.data["n"] % 10 == 3:
+            return 3
+        return f"{self.data['name']}：{self.data['n'] * 2}"
+"""
+
+
+@query("generated_documents", "SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN c_custkey % 10 <> 3 THEN concat(c_name, '：', CAST(c_custkey * 2 AS STRING)) END AS document, CASE WHEN c_custkey % 10 = 3 THEN 'int instead of str' END AS error FROM customer")
+def generated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"), F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_custkey").alias("n"))).alias("data"))
+    return generators.generated(rows, GENERATOR, trusted=True).drop("data")
+
+
+TEMPLATES = ("concat('t', CAST(p_size AS STRING)) AS name", "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_partkey % 4 AS INT) END AS tenant_id", "CAST(p_partkey AS BIGINT) AS version", "CASE p_partkey % 4 WHEN 0 THEN 'import os' WHEN 1 THEN 'def generate(d): return str(d)' WHEN 2 THEN 'eval(1)' ELSE '' END AS code")
+
+
+@query("template_registry", f"""WITH t AS (SELECT {', '.join(TEMPLATES)} FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY name, tenant_id ORDER BY version DESC) AS k FROM t WHERE tenant_id IS NULL OR tenant_id = 2)
+SELECT name, tenant_id, version, CASE code WHEN 'import os' THEN 'import os' WHEN 'eval(1)' THEN 'call eval' ELSE '' END AS problems FROM k WHERE k = 1""")
+def template_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*TEMPLATES).where("tenant_id IS NULL OR tenant_id = 2")
+    latest = sinks.upserted(rows.limit(0), rows, ("name", "tenant_id"), "version")
+    return generators.checked(latest).select("name", "tenant_id", "version", "problems")

@@ -73,3 +73,17 @@ def test_no_plaintiff_is_lost_in_numbered_columns(spark):
     assert {r.case_id: r.more_names for r in wide.collect()} == {1: ["p3", "p4"], 2: []}
     back = X.numbered_rows(wide).orderBy("case_id", "seq").collect()
     assert [(r.case_id, r.name) for r in back] == [(1, f"p{i}") for i in range(5)] + [(2, "q")]
+
+
+def test_generated_documents(spark):
+    rows = spark.createDataFrame([(1, '{"a": 1}'), (2, "{}"), (3, None)], "id long, data string")
+    code = "def generate(data):\n    return 'a' + str(data['a'])"
+    with pytest.raises(ValueError, match="trusted"):
+        generators.generated(rows, code)
+    with pytest.raises(ValueError, match="import os"):
+        generators.generated(rows, "import os", trusted=True)
+    got = {r.id: (r.document, r.error) for r in generators.generated(rows, code, trusted=True).collect()}
+    assert got == {1: ("a1", None), 2: (None, "KeyError: 'a'"), 3: (None, "KeyError: 'a'")}
+    assert {r.id: r.document for r in generators.generated(rows).collect()} == {1: '{\n  "a": 1\n}', 2: "{}", 3: "{}"}
+    escaping = "def generate(data):\n    return str(open)"
+    assert generators.generated(rows.limit(1), escaping, trusted=True).first().error.startswith("NameError")
