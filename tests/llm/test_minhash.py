@@ -104,3 +104,17 @@ def test_edges(edge, empty):
     assert M.near_duplicates(empty).count() == 0
     kept = M.one_of_each(edge)
     assert kept.columns == edge.columns and sorted(r.doc_id for r in kept.where("doc_id in (5, 6)").collect()) == [5]
+
+
+def test_a_scope_deletes_what_was_written_in_it(spark, documents):
+    import os
+
+    from foliant.llm.common import scope, shared_folder, written
+
+    folder = shared_folder(spark).removeprefix("file://") + "/foliant"
+    outside = written(documents.select("doc_id"), "outside")
+    before = set(os.listdir(folder))
+    with scope(spark):
+        n = M.near_duplicates(documents).count()
+        assert set(os.listdir(folder)) > before
+    assert n == documents.count() and set(os.listdir(folder)) == before and outside.count() == n
