@@ -160,7 +160,22 @@ def proof_purpose_listagg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.purposes(rows)
 
 
-@query("context_pack")
+def _packed(limit: int, levels: int = 3) -> str:
+    """The fold in SQL, a level after the other: what fits up to the first that does not, of which a start over 50 characters is taken."""
+    out = [f"""ls AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents),
+mk AS (SELECT doc_id, idx, CASE WHEN idx % 5 = 3 THEN '诊断 ' || line WHEN idx % 7 = 4 THEN '死亡诊断 ' || line ELSE line END AS t FROM ls),
+p AS (SELECT doc_id, idx, length(t) AS n, CASE WHEN regexp_matches(t, '{C.CRITICAL}') THEN 0 WHEN regexp_matches(t, '{C.IMPORTANT}') THEN 1 ELSE 2 END AS lv FROM mk),
+a0 AS (SELECT DISTINCT doc_id, 0 AS used FROM p)"""]
+    for k in range(levels):
+        out.append(f"""c{k} AS (SELECT p.doc_id, idx, n, used + sum(n) OVER (PARTITION BY p.doc_id ORDER BY idx) AS c FROM p JOIN a{k} USING (doc_id) WHERE lv = {k}),
+u{k} AS (SELECT a{k}.doc_id, coalesce(max(c) FILTER (c <= {limit}), any_value(used)) AS used, min(idx) FILTER (c > {limit}) AS cut FROM a{k} LEFT JOIN c{k} USING (doc_id) GROUP BY 1),
+a{k + 1} AS (SELECT doc_id, CASE WHEN cut IS NOT NULL AND {limit} - used > 50 THEN {limit} ELSE used END AS used FROM u{k}),
+r{k} AS (SELECT doc_id, {k} AS lv, idx, n FROM c{k} WHERE c <= {limit} UNION ALL SELECT doc_id, {k}, cut, {limit} - used FROM u{k} WHERE cut IS NOT NULL AND {limit} - used > 50)""")
+    rows = " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(levels))
+    return f"WITH {', '.join(out)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY lv, idx) - 1 AS INT) AS place, CAST(idx AS INT) AS idx, CAST(n AS INT) AS n_chars FROM ({rows})"
+
+
+@query("context_pack", _packed(2000))
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
     marked = docs.withColumn("text", F.when(F.col("idx") % 5 == 3, F.concat(F.lit("诊断 "), "text")).when(F.col("idx") % 7 == 4, F.concat(F.lit("死亡诊断 "), "text")).otherwise(F.col("text")))
