@@ -55,11 +55,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, with_path: bool = False) -> DataFrame | tuple[DataFrame, str]:
-    """df, written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, with_path: bool = False, **options: object) -> DataFrame | tuple[DataFrame, str]:
+    """df, written as Parquet (with options) in the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     return (out, path) if with_path else out
 
