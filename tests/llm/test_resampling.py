@@ -80,12 +80,17 @@ def test_long_texts_in_stretches_have_the_features_of_the_whole(monkeypatch):
             assert dict(zip(found.tolist(), counts.tolist())) == Counter(zlib.crc32(f.encode()) % 10000 for f in own)
 
 
-def test_draws_towards_the_target(spark):
-    """Documents that hold the target's words are drawn far more often."""
+def test_draws_in_proportion_to_the_weights(spark):
+    """The draw has as many documents of the target's words as a draw without replacement by weight has on average."""
     rng = random.Random(6)
     common = [f"c{i}" for i in range(200)]
     topic = [f"t{i}" for i in range(200)]
     rows = [(i, " ".join(rng.choice(topic if i % 4 == 0 else common) for _ in range(80))) for i in range(800)]
     target = [(i, " ".join(rng.choice(topic) for _ in range(80))) for i in range(40)]
-    drawn = [r[0] for r in got(spark, rows, target) if r[4]]
-    assert len(drawn) == 200 and np.mean([i % 4 == 0 for i in drawn]) > 0.6
+    out = sorted(got(spark, rows, target))
+    drawn = [r[0] for r in out if r[4]]
+    noise = np.random.default_rng(1).gumbel(size=(2000, 800)) * 1000
+    simulated = np.argsort(-(np.array([r[2] for r in out]) + noise), axis=1)[:, :200] % 4 == 0
+    share = simulated.mean(axis=1)
+    assert len(drawn) == 200 and share.mean() > 0.4
+    assert abs(np.mean([i % 4 == 0 for i in drawn]) - share.mean()) < 4 * share.std()
