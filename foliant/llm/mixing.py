@@ -127,7 +127,8 @@ class Mix:
         end = begin + F.col("each") + F.when(F.col("rank") < F.col("more"), 1).otherwise(0)
         r = r.withColumns({"begin": F.greatest(begin, "first"), "end": F.least(end, F.col("last") + 1)})
         r = r.select("row", "doc_id", "key", "size", "source_size", "target", "epoch", "rank", (F.col("begin") - F.col("first")).alias("start"), (F.col("end") - F.col("begin")).alias("length"))
-        return r.join(self.slots, ["key", "rank"])
+        # a plan takes the slots for as few as the sources that they are made from, and would broadcast them
+        return r.join(self.slots.hint("merge"), ["key", "rank"])
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken and first_slot of every document, also of those that no slot takes."""
