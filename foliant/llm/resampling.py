@@ -33,7 +33,9 @@ SEED = 7
 #: a-z, 0-9 and all bytes of letters beyond ASCII are parts of words, A-Z in lower case; the rest parts words.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SEPARATOR = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
-BLOCKS = "doc_id array<long>, n_words array<long>, n_features array<long>, indptr array<int>, indices array<int>, counts array<int>"
+#: A block: of its rows the id, words and features; where each row's entries begin; of each entry its bucket and count, little-endian
+#: in four bytes and in as few (1, 2, 4 or 8) as hold the block's largest count.
+BLOCKS = "doc_id array<long>, n_words array<long>, n_features array<long>, indptr binary, indices binary, counts binary"
 
 
 def stretches(text: bytes, limit: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
@@ -84,10 +86,11 @@ def _matrix(buckets: int):
                     size += len(texts[end])
                     end += 1
                 rows = [_row(t, buckets) for t in texts[at:end]]
+                found, counts = (np.concatenate([r[k] for r in rows]) for k in (2, 3))
                 ends = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])])
-                columns = [ids[at:end], [r[0] for r in rows], [r[1] for r in rows], ends, np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])]
-                arrays = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c, kind)) for c, kind in zip(columns, [pa.int64()] * 3 + [pa.int32()] * 3)]
-                yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in BLOCKS.split(", ")])
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.array(c, pa.int64())) for c in (ids[at:end], [r[0] for r in rows], [r[1] for r in rows])]
+                parts = [ends.astype("<i8"), found.astype("<u4"), counts.astype(np.min_scalar_type(counts.max(initial=1)).newbyteorder("<"))]
+                yield pa.RecordBatch.from_arrays([*lists, *(pa.array([p.tobytes()], pa.binary()) for p in parts)], [f.split()[0] for f in BLOCKS.split(", ")])
                 at = end
 
     return run
@@ -99,12 +102,19 @@ def count_matrix(docs: DataFrame, key: str = "doc_id", text: str = "text", bucke
     return map_arrow(rows, _matrix(buckets), BLOCKS)
 
 
+def _entries(indices: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts of a block."""
+    found = np.frombuffer(indices, "<u4")
+    return found, np.frombuffer(counts, f"<u{len(counts) // max(1, len(found)) or 1}")
+
+
 def _column_sums(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            indices, counts = (batch.column(c).flatten().to_numpy() for c in ("indices", "counts"))
-            np.add.at(total, indices, counts)
+            for indices, counts in zip(*(batch.column(c) for c in ("indices", "counts"))):
+                found, times = _entries(indices.as_py(), counts.as_py())
+                total += np.bincount(found, times, buckets).astype(np.int64)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "n"])
 
@@ -131,9 +141,11 @@ def _weights(gain: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in range(batch.num_rows):
-                ids, words, features, ends, indices, counts = (batch.column(f.split()[0])[b].values for f in BLOCKS.split(", "))
-                sums = np.concatenate([[0], np.cumsum(gain[indices.to_numpy()] * counts.to_numpy())])
-                ends, n = ends.to_numpy(), features.to_numpy()
+                ids, words, features = (batch.column(c)[b].values for c in ("doc_id", "n_words", "n_features"))
+                ends, indices, counts = (batch.column(c)[b].as_py() for c in ("indptr", "indices", "counts"))
+                found, times = _entries(indices, counts)
+                sums = np.concatenate([[0], np.cumsum(gain[found] * times.astype(np.int64))])
+                ends, n = np.frombuffer(ends, "<i8"), features.to_numpy()
                 weight = (sums[ends[1:]] - sums[ends[:-1]]) // np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays([ids, words, features, pa.array(weight, pa.int64())], ["doc_id", "n_words", "n_features", "weight"])
 
