@@ -25,8 +25,9 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Words of a block, at most (on average over all sources).
 BLOCK_WORDS = 1024
-#: Slots in a row that goes to one task.
+#: Slots in a row that goes to one task, and rows that go there.
 CHUNK = 4096
+CHUNKS = 16
 
 
 def shares(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -81,7 +82,8 @@ def schedule(sources: DataFrame, m: int) -> DataFrame:
     """key, slot, rank of all 2^m slots: rank counts the source's slots before."""
     rows = sources.select("key", "cells", F.explode("cells").alias("cell"))
     chunks = F.expr(f"sequence(0L, (shiftleft(1L, {m} - cell.bits) - 1) div {CHUNK})")
-    rows = rows.select("key", "cells", "cell", F.explode(chunks).alias("chunk")).repartition("key", "cell", "chunk")
+    # their number is given, as rows that are few and small now become many
+    rows = rows.select("key", "cells", "cell", F.explode(chunks).alias("chunk")).repartition(max(1, 2**m // (CHUNK * CHUNKS)), "key", "cell", "chunk")
     within = F.expr(f"sequence(chunk * {CHUNK}L, least((chunk + 1) * {CHUNK}L, shiftleft(1L, {m} - cell.bits)) - 1)")
     rows = rows.select("key", "cells", "cell", F.explode(within).alias("i"))
     rows = rows.select("key", "cells", F.expr("cell.residue + shiftleft(i, cell.bits)").alias("slot"))
