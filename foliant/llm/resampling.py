@@ -25,7 +25,9 @@ from .running import laid_out
 BUCKETS = 10_000
 #: Documents, and bytes of their texts, that make one block of the matrix.
 BLOCK_ROWS = 256
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
+#: Parquet settings for rows that are large: readers and writers hold a row group and a page, whose sizes are else looked at every 100 rows.
+SMALL_GROUPS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 #: Least words of a document that can be drawn, and the percentage that is drawn.
 LEAST_WORDS = 20
 DRAWN = 25
@@ -33,8 +35,8 @@ SEED = 7
 #: a-z, 0-9 and all bytes of letters beyond ASCII are parts of words, A-Z in lower case; the rest parts words.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SEPARATOR = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
-#: A block: of its rows the id, words and features; where each row's entries begin; of each entry its bucket and count, little-endian
-#: in four bytes and in as few (1, 2, 4 or 8) as hold the block's largest count.
+#: A block: of its rows the id, words and features; where each row's entries begin (eight bytes each); of each entry its bucket and
+#: count, in as few bytes (1, 2, 4 or 8, little-endian) as hold the block's largest.
 BLOCKS = "doc_id array<long>, n_words array<long>, n_features array<long>, indptr binary, indices binary, counts binary"
 
 
@@ -75,6 +77,10 @@ def _row(text: bytes, buckets: int) -> tuple[int, int, np.ndarray, np.ndarray]:
     return words, features, found, total[found]
 
 
+def narrow(numbers: np.ndarray) -> bytes:
+    return numbers.astype(np.min_scalar_type(numbers.max(initial=0)).newbyteorder("<")).tobytes()
+
+
 def _matrix(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,8 +95,8 @@ def _matrix(buckets: int):
                 found, counts = (np.concatenate([r[k] for r in rows]) for k in (2, 3))
                 ends = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])])
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.array(c, pa.int64())) for c in (ids[at:end], [r[0] for r in rows], [r[1] for r in rows])]
-                parts = [ends.astype("<i8"), found.astype("<u4"), counts.astype(np.min_scalar_type(counts.max(initial=1)).newbyteorder("<"))]
-                yield pa.RecordBatch.from_arrays([*lists, *(pa.array([p.tobytes()], pa.binary()) for p in parts)], [f.split()[0] for f in BLOCKS.split(", ")])
+                parts = [ends.astype("<i8").tobytes(), narrow(found), narrow(counts)]
+                yield pa.RecordBatch.from_arrays([*lists, *(pa.array([p], pa.binary()) for p in parts)], [f.split()[0] for f in BLOCKS.split(", ")])
                 at = end
 
     return run
@@ -102,18 +108,19 @@ def count_matrix(docs: DataFrame, key: str = "doc_id", text: str = "text", bucke
     return map_arrow(rows, _matrix(buckets), BLOCKS)
 
 
-def _entries(indices: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and counts of a block."""
-    found = np.frombuffer(indices, "<u4")
-    return found, np.frombuffer(counts, f"<u{len(counts) // max(1, len(found)) or 1}")
+def _entries(ends: bytes, indices: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where rows begin, buckets and counts of a block."""
+    ends = np.frombuffer(ends, "<i8")
+    of = lambda data: np.frombuffer(data, f"<u{len(data) // ends[-1]}" if data else "<u1").astype(np.int64)
+    return ends, of(indices), of(counts)
 
 
 def _column_sums(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for indices, counts in zip(*(batch.column(c) for c in ("indices", "counts"))):
-                found, times = _entries(indices.as_py(), counts.as_py())
+            for block in zip(*batch.columns):
+                _, found, times = _entries(*(x.as_py() for x in block))
                 total += np.bincount(found, times, buckets).astype(np.int64)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "n"])
@@ -123,7 +130,7 @@ def _column_sums(buckets: int):
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket and n, the features of all rows in it. Each task adds up its blocks before the shuffle."""
-    return matrix.select("indices", "counts").mapInArrow(_column_sums(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return matrix.select("indptr", "indices", "counts").mapInArrow(_column_sums(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(raw_sums: DataFrame, target_sums: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -142,10 +149,8 @@ def _weights(gain: np.ndarray):
         for batch in batches:
             for b in range(batch.num_rows):
                 ids, words, features = (batch.column(c)[b].values for c in ("doc_id", "n_words", "n_features"))
-                ends, indices, counts = (batch.column(c)[b].as_py() for c in ("indptr", "indices", "counts"))
-                found, times = _entries(indices, counts)
-                sums = np.concatenate([[0], np.cumsum(gain[found] * times.astype(np.int64))])
-                ends, n = np.frombuffer(ends, "<i8"), features.to_numpy()
+                ends, found, times = _entries(*(batch.column(c)[b].as_py() for c in ("indptr", "indices", "counts")))
+                sums, n = np.concatenate([[0], np.cumsum(gain[found] * times)]), features.to_numpy()
                 weight = (sums[ends[1:]] - sums[ends[:-1]]) // np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays([ids, words, features, pa.array(weight, pa.int64())], ["doc_id", "n_words", "n_features", "weight"])
 
@@ -174,8 +179,7 @@ def resampled(docs: DataFrame, target: DataFrame, drawn: int = DRAWN, least_word
     rows that share an id have ranks of their own. Long texts are read in stretches. Other columns are not
     read; an empty table gives an empty one, and with an empty target gains come from the rows alone.
     """
-    # a reader holds a row group at once, whose arrays are some times as large as their file
-    matrix = written(count_matrix(docs, buckets=buckets), "matrix", **{"parquet.block.size": 8 << 20})
+    matrix = written(count_matrix(docs, buckets=buckets), "matrix", **SMALL_GROUPS)
     gain = gains(column_sums(matrix, buckets), column_sums(count_matrix(target, "item_id", buckets=buckets), buckets), buckets)
     rows = weights(matrix, gain, buckets).withColumn("score", F.col("weight") + noise(F.col("doc_id")))
     able = F.when(F.col("n_words") >= least_words, 0).otherwise(1)
