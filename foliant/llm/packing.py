@@ -37,7 +37,8 @@ class ByteBpe:
 
     Where the file's vocabulary in order is also its merge order, the faster of the two public BPE
     libraries encodes plain texts to the same ids; a text that holds a special token's string goes
-    to the tokenizer itself, and so do all texts if the file is of another make.
+    to the tokenizer itself, and so does a text that the library's pattern cannot part (about a million
+    spaces in a row exhaust its stack), and so do all texts if the file is of another make.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -53,9 +54,12 @@ class ByteBpe:
             self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.plain is None or any(x in text for x in self.special):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.asarray(self.plain.encode_to_numpy(text, disallowed_special=()), "<u4")
+        if self.plain is not None and not any(x in text for x in self.special):
+            try:
+                return np.asarray(self.plain.encode_to_numpy(text, disallowed_special=()), "<u4")
+            except ValueError:
+                pass
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def merges_in_order(file: dict, tokens: int) -> bool:
@@ -249,5 +253,10 @@ def production_tokenizer() -> str:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 1024 tokens. Rows that repeat a document are packed as often as they come."""
-    return packed_documents(documents(spark, sf_dir), production_tokenizer()).drop("part", "part_sequences", "part_bound")
+    """All documents in sequences of at most 1024 tokens, with each partition's certificate: its sequences and their lower bound.
+
+    A null or empty text is its end id alone; a text of any length is encoded whole and cut; equal lengths
+    are packed in the order of doc_id and piece. Rows that repeat a document are packed as often as they
+    come, rows without an id like others. Other columns are not read; an empty table gives no sequence.
+    """
+    return packed_documents(documents(spark, sf_dir), production_tokenizer())

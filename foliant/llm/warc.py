@@ -12,17 +12,21 @@ all tasks are committed, and what no manifest names is not read. Reading takes a
 appended jobs add up, and asks no file for its size. A job that overwrites names the manifests that
 it replaces: it takes effect as a whole when its own appears, and deletes the old files afterwards.
 A folder without manifests is listed; a file of such a folder is read by one task, as its records'
-places are not known before.
+places are not known before. Its members may hold several records, and its names may be in any
+letter case. A file that ends within a record is an error that names the record's place.
+
+Folders are opened by pyarrow: local files, hdfs and s3 (also written s3a or s3n).
 """
 
 from __future__ import annotations
 
 import json
 import posixpath
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -59,7 +63,8 @@ HEAD_CHUNK = 2048
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path)
+    """Hadoop's names of S3 are pyarrow's s3."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
 
 
 def record_bytes(headers: dict[str, str], payload: bytes) -> bytes:
@@ -90,16 +95,20 @@ def _parse(head: bytes) -> dict[str, str]:
     return out
 
 
+def _by_name(headers: dict[str, str]) -> dict[str, str]:
+    """Headers under lower-case names, as the standard's names ignore case."""
+    return {k.lower(): v for k, v in headers.items()}
+
+
 class _Member:
-    """A record in an open archive: headers first, the payload on demand."""
+    """The records from a place in an open archive on: those of one gzip member, or all that follow in a plain file."""
 
     def __init__(self, stream: pa.NativeFile, offset: int, size: int):
-        self.stream, self.offset, self.end = stream, offset, None
+        self.stream, self.offset, self.size, self.end, self.buffer = stream, offset, size, None, b""
         stream.seek(offset)
         first = stream.read(12)
-        self.gzip = first[:2] == b"\x1f\x8b"
-        self.inflate, self.rest = zlib.decompressobj(31) if self.gzip else None, b""
-        if self.gzip and len(first) == 12 and first[3] & 4:
+        self.inflate = zlib.decompressobj(31) if first[:2] == b"\x1f\x8b" else None
+        if self.inflate and len(first) == 12 and first[3] & 4:
             extra = stream.read(struct.unpack("<H", first[10:12])[0])
             while len(extra) >= 4:
                 name, n = extra[:2], struct.unpack("<H", extra[2:4])[0]
@@ -107,56 +116,72 @@ class _Member:
                     self.end = offset + struct.unpack("<I", extra[4:8])[0]
                 extra = extra[4 + n :]
         stream.seek(offset)
-        self._head(size)
 
-    def _more(self, want: int) -> bytes:
+    def _cut_off(self) -> ValueError:
+        return ValueError(f"the record at {self.offset} is cut off by the end of the file")
+
+    def _grow(self, want: int) -> bool:
+        """Reads on; False at the member's end. A file that ends before its member does is an error."""
+        if self.inflate and self.inflate.eof:
+            return False
         chunk = self.stream.read(want)
-        if not self.gzip:
-            return chunk
-        return self.inflate.decompress(chunk) if chunk else b""
-
-    def _head(self, size: int) -> None:
-        got = b""
-        while b"\r\n\r\n" not in got:
-            more = self._more(HEAD_CHUNK)
-            if not more and (self.stream.tell() >= size or (self.gzip and self.inflate.eof)):
-                raise ValueError(f"a record at {self.offset} has no end of headers")
-            got += more
-        head, _, self.rest = got.partition(b"\r\n\r\n")
+        if not chunk:
+            if self.inflate:
+                raise self._cut_off()
+            return False
+        self.buffer += self.inflate.decompress(chunk) if self.inflate else chunk
+        return True
+
+    def _head(self) -> bytes | None:
+        """The next record's headers, or None behind the last record."""
+        while not self.buffer.lstrip(b"\r\n"):
+            if not self._grow(HEAD_CHUNK):
+                return None
+        self.buffer = self.buffer.lstrip(b"\r\n")
+        if not self.inflate:
+            self.offset = self.stream.tell() - len(self.buffer)
+        while b"\r\n\r\n" not in self.buffer:
+            if not self._grow(HEAD_CHUNK):
+                raise ValueError(f"the record at {self.offset} has no end of headers")
+        head, _, self.buffer = self.buffer.partition(b"\r\n\r\n")
         if not head.startswith(b"WARC/"):
             raise ValueError(f"no record at {self.offset}")
-        self.headers = _parse(head)
-        self.head_length = len(head) + 4
-        self.length = int(self.headers.get("Content-Length", "0"))
-
-    def payload(self) -> bytes:
-        parts, have = [self.rest], len(self.rest)
-        while have < self.length:
-            if self.end is not None:
-                more = self._more(max(1, self.end - self.stream.tell()))
-            else:
-                more = self._more(1 << 16)
-            if not more and not self.gzip:
+        return head
+
+    def _take(self, n: int, keep: bool) -> bytes:
+        parts, left = [], n
+        if not keep and not self.inflate and left > len(self.buffer):
+            self.stream.seek(self.stream.tell() + left - len(self.buffer))
+            self.buffer, left = b"", 0
+            if self.stream.tell() > self.size:
+                raise self._cut_off()
+        while left:
+            if not self.buffer and not self._grow(max(HEAD_CHUNK, min(left, 1 << 20))):
+                raise self._cut_off()
+            part, self.buffer = self.buffer[:left], self.buffer[left:]
+            left -= len(part)
+            if keep:
+                parts.append(part)
+        return b"".join(parts)
+
+    def records(self, passes: Callable[[dict[str, str]], bool], want: bool) -> Iterator[tuple[dict[str, str], int, bytes | None]]:
+        """Headers, place and payload (if wanted) of each record that passes; self.next is then where the next member starts."""
+        while (head := self._head()) is not None:
+            headers = _parse(head)
+            passed, length = passes(headers), int(_by_name(headers).get("content-length", "0"))
+            if self.end is not None and not (passed and want):  # a member with its length has one record
+                if passed:
+                    yield headers, self.offset, None
                 break
-            if not more and self.inflate.eof:
-                break
-            parts.append(more)
-            have += len(more)
-        self.rest = b"".join(parts)
-        return self.rest[: self.length]
-
-    def next_offset(self) -> int:
-        """Where the next record starts: by the stored length, by Content-Length, or by inflating to the member's end."""
-        if not self.gzip:
-            return self.offset + self.head_length + self.length + 4
+            payload = self._take(length, passed and want)
+            if passed:
+                yield headers, self.offset, payload if want else None
         if self.end is not None:
-            return self.end
-        while not self.inflate.eof:
-            chunk = self.stream.read(1 << 16)
-            if not chunk:
-                break
-            self.inflate.decompress(chunk)
-        return self.stream.tell() - len(self.inflate.unused_data)
+            self.next = self.end
+            if self.end > self.size:
+                raise self._cut_off()
+        else:
+            self.next = self.stream.tell() - len(self.inflate.unused_data) if self.inflate else self.size
 
 
 @dataclass
@@ -221,7 +246,8 @@ class WarcReader(DataSourceReader):
         return [Files(tuple(g)) for g in groups] or [Files(())]
 
     def _passes(self, headers: dict[str, str]) -> bool:
-        return all((headers.get(n) in ok) if ok is not None else n in headers for n, ok in self.tests)
+        named = _by_name(headers) if self.tests else {}
+        return all((named.get(n.lower()) in ok) if ok is not None else n.lower() in named for n, ok in self.tests)
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         fs, _ = _open(self.path)
@@ -231,21 +257,21 @@ class WarcReader(DataSourceReader):
             with fs.open_input_file(path) as stream:
                 at = 0
                 while at < size:
-                    record = _Member(stream, at, size)
-                    if self._passes(record.headers):
-                        payload = record.payload() if self.want else None
-                        rows.append((record.headers, path, at, payload))
+                    member = _Member(stream, at, size)
+                    for headers, place, payload in member.records(self._passes, self.want):
+                        rows.append((headers, path, place, payload))
                         held += len(payload or b"") + 1000
-                    at = record.next_offset()
-                    if held >= BATCH_BYTES:
-                        yield self._batch(rows)
-                        rows, held = [], 0
+                        if held >= BATCH_BYTES:
+                            yield self._batch(rows)
+                            rows, held = [], 0
+                    at = member.next
         if rows:
             yield self._batch(rows)
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array([h.get(name) for h, *_ in rows], pa.string()) for name in HEADERS.values()]
+        named = [_by_name(h) for h, *_ in rows]
+        columns = [pa.array([h.get(name.lower()) for h in named], pa.string()) for name in HEADERS.values()]
         columns.append(pa.array([list(h.items()) for h, *_ in rows], pa.map_(pa.string(), pa.string())))
         columns += [pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, [*HEADERS, "headers", "file", "offset", "payload"])
@@ -373,7 +399,8 @@ def archive(table: DataFrame, path: str, key: str = "page_id", url: str = "url",
     """Writes table (its columns key, url and html) as WARC; a revisit's record has no payload of its own.
 
     Records are named by their key, so that a revisit can refer to a response; rows that repeat a key
-    repeat the name. Payloads are compared within the table, not with what the folder holds already.
+    repeat the name, and so do archives of two tables with the same keys. Payloads are compared within the
+    table, not with what the folder holds already.
     """
     rows = with_revisits(table.select(F.col(key).alias("page_id"), F.col(url).alias("target_uri"), F.col(html).alias("html")), "page_id", "html")
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
@@ -397,7 +424,12 @@ def archive(table: DataFrame, path: str, key: str = "page_id", url: str = "url",
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through an archive and back. A response's size and digest are those of the payload
-    read; a revisit's are those its headers state. An empty table gives an archive without records."""
+    read; a revisit's are those its headers state.
+
+    A null html is an empty payload, and one of any length is a record; a page without an id is a
+    response. Equal payloads go by the smallest page_id, rows that repeat it are responses as well. Other
+    columns are not archived. An empty table gives an archive without records.
+    """
     path = new_path(spark, "warc")
     archive(pages(spark, sf_dir), path)
     both = read_warc(spark, path)

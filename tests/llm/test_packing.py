@@ -122,3 +122,20 @@ def test_edges(edge, empty, path):
     assert sum(r.doc_id == 6 for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 1
     check_sequences(rows)
     assert P.packed_documents(empty, path).count() == 0
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "a", " \t", "é"])
+def test_runs_of_two_million_of_a_kind_are_encoded(path, unit):
+    encoder, text = P.encoder_of(path), "x" + unit * (2_000_000 // len(unit)) + "y"
+    if unit in ("a", "é"):  # the tokenizer takes long for one word, so this holds the ids' bytes
+        assert encoder.tokenizer.decode(encoder.encode(text[:20_000]).tolist()) == text[:20_000]
+    else:
+        assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_white_space_of_any_length_is_packed(spark, path):
+    docs = spark.createDataFrame([(1, " " * 2_000_000), (2, "a"), (3, None)], "doc_id long, text string")
+    rows = P.packed_documents(docs, path).collect()
+    check_sequences(rows)
+    ids = [*P.encoder_of(path).tokenizer.encode(" " * 2_000_000, add_special_tokens=False).ids, 2]
+    assert sum(r.length for r in rows if r.doc_id == 1) == len(ids)

@@ -55,6 +55,48 @@ def test_reads_archives_of_other_writers(spark, tmp_path):
     assert W.read_warc(spark, f"file://{tmp_path}", payload=False).where("record_type = 'response'").count() == 2
 
 
+def _plain(kind: str, body: bytes, length_name: str = "Content-Length") -> bytes:
+    return (f"WARC/1.0\r\nwarc-type: {kind}\r\nWarc-Target-URI: http://x\r\n{length_name}: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+
+def _read(path, **options) -> list[dict]:
+    reader = W.WarcReader({"path": f"file://{path}", **options})
+    return [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("name", ["one.warc.gz", "one.warc"])
+def test_members_with_several_records_and_names_in_any_case(tmp_path, name):
+    bodies = [b"", b"a" * 70_000, b"\r\n\r\nWARC/1.0\r\n", b"end"]
+    records = b"".join(_plain(f"k{i}", body, "content-length") for i, body in enumerate(bodies))
+    (tmp_path / name).write_bytes(gzip.compress(records) + gzip.compress(_plain("last", b"z")) if name.endswith("gz") else records + _plain("last", b"z"))
+    for options in ({}, {"payload": "false"}):
+        got = _read(tmp_path, **options)
+        assert [r["record_type"] for r in got] == ["k0", "k1", "k2", "k3", "last"]
+        assert {r["target_uri"] for r in got} == {"http://x"}
+        assert [r["payload"] for r in got] == ([None] * 5 if options else [*bodies, b"z"])
+    reader = W.WarcReader({"path": f"file://{tmp_path}"})
+    assert not list(reader.pushFilters([W.EqualTo(("record_type",), "k2")]))
+    assert [r["payload"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()] == [bodies[2]]
+
+
+@pytest.mark.parametrize("wanted", ["true", "false"])
+@pytest.mark.parametrize("own", [True, False])
+def test_cut_archives_are_errors_that_name_the_place(tmp_path, own, wanted):
+    import random
+
+    noise = random.Random(1).randbytes(30_000)
+    whole = W.record_bytes({"WARC-Type": "response"}, b"a") if own else gzip.compress(_plain("response", b"a"))
+    cut = W.record_bytes({"WARC-Type": "response"}, noise) if own else gzip.compress(_plain("response", noise))
+    (tmp_path / "cut.warc.gz").write_bytes(whole + cut[: len(cut) // 2])
+    with pytest.raises(ValueError, match=f"at {len(whole)} is cut off"):
+        _read(tmp_path, payload=wanted)
+    (tmp_path / "cut.warc.gz").unlink()
+    plain = _plain("response", b"a")
+    (tmp_path / "cut.warc").write_bytes(plain + _plain("response", noise)[:20_000])
+    with pytest.raises(ValueError, match=f"at {len(plain)} is cut off"):
+        _read(tmp_path, payload=wanted)
+
+
 def test_empty_archive(spark, tmp_path):
     W.archive(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/none")
     assert W.read_warc(spark, f"file://{tmp_path}/none").count() == 0
