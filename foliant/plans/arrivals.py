@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..sources import ingest as I
 from ..streaming import events as E
+from ..streaming import limiter
 from .derived import BLOCKS_CTE, blocks
 
 FILES = ("CAST(o_orderkey AS BIGINT) AS id", "(o_orderkey % 23 <> 0) AS exists", "CASE WHEN o_orderkey % 19 = 0 THEN 'a.docx' ELSE 'a.PDF' END AS name", "CAST(CASE WHEN o_orderkey % 17 = 0 THEN 0 WHEN o_orderkey % 13 = 0 THEN 600000000 ELSE o_custkey * 1000 + 1 END AS BIGINT) AS length", "(o_orderkey % 11 <> 0) AS readable", "(o_orderkey % 7 = 0) AS encrypted", "CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_custkey * 2 END AS INT) AS pages")
@@ -122,3 +123,12 @@ def admission_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).selectExpr("event_type AS tenant_id", "md5(CAST(user_id AS STRING)) AS md5", "event_id AS path", "ts")
     return E.fresh_files(rows).select("tenant_id", "md5", "path")
+
+
+LIMITED = ("CASE user_id % 3 WHEN 0 THEN 'ocr' WHEN 1 THEN 'text' ELSE 'other' END AS model", "CAST(event_id AS BIGINT) AS seq", "concat('r', CAST(user_id % 40 AS STRING)) AS request", "CASE event_type WHEN 'click' THEN 'release' WHEN 'error' THEN 'refusal' ELSE 'acquire' END AS action", "timestamp_millis(CAST(unix_micros(ts) / 1000000 AS BIGINT)) AS ts", "CAST(CAST(value AS INT) % 9 AS DOUBLE) AS wait_s")
+
+
+@query("permit_answers")
+def permit_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events taken a thousand times as fast as requests for permits, held against a simulation of every millisecond in tests."""
+    return limiter.answers(events(spark, sf_dir).selectExpr(*LIMITED))
