@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..sources import ingest as I
+from ..sources import watch
 from ..streaming import events as E
 from ..streaming import limiter
 from .derived import BLOCKS_CTE, blocks
@@ -132,3 +133,15 @@ LIMITED = ("CASE user_id % 3 WHEN 0 THEN 'ocr' WHEN 1 THEN 'text' ELSE 'other' E
 def permit_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events taken a thousand times as fast as requests for permits, held against a simulation of every millisecond in tests."""
     return limiter.answers(events(spark, sf_dir).selectExpr(*LIMITED))
+
+
+LISTINGS = "SELECT concat('scan', CAST(user_id % 97 AS STRING), '.pdf') AS path, CAST(floor(event_id / 200) AS BIGINT) AS n, CAST(max(CAST(value AS INT) % 2) * 10 AS BIGINT) AS length FROM events GROUP BY 1, 2"
+
+
+@query("folder_arrivals", f"""WITH l AS ({LISTINGS}), i AS (SELECT *, n - row_number() OVER (PARTITION BY path ORDER BY n) AS island FROM l),
+w AS (SELECT *, min(n) OVER (PARTITION BY path, island) AS appeared, lag(length, 1) OVER o AS one, lag(length, 2) OVER o AS two FROM i WINDOW o AS (PARTITION BY path, island ORDER BY n))
+SELECT path, appeared, min(n) AS taken_at, arg_min(length, n) AS length FROM w WHERE length > 0 AND length = one AND length = two GROUP BY 1, 2""")
+def folder_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as listings of a folder: files that settled, once for each time that they appeared."""
+    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
+    return watch.appearances(spark.sql(LISTINGS))
