@@ -135,7 +135,7 @@ def permit_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiter.answers(events(spark, sf_dir).selectExpr(*LIMITED))
 
 
-LISTINGS = "SELECT concat('scan', CAST(user_id % 97 AS STRING), '.pdf') AS path, CAST(floor(event_id / 200) AS BIGINT) AS n, CAST(max(CAST(value AS INT) % 2) * 10 AS BIGINT) AS length FROM events GROUP BY 1, 2"
+LISTINGS = "SELECT concat('scan', CAST(user_id % 97 AS STRING), '.pdf') AS path, CAST(floor(event_id / 200) AS BIGINT) AS n, CAST(max(CAST(floor(value) AS INT) % 2) * 10 AS BIGINT) AS length FROM events GROUP BY 1, 2"
 
 
 @query("folder_arrivals", f"""WITH l AS ({LISTINGS}), i AS (SELECT *, n - row_number() OVER (PARTITION BY path ORDER BY n) AS island FROM l),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from ..functions import generators
 from ..operators import fees
 from ..operators import records as R
 from ..operators import structure as S
-from ..sources import sinks
+from ..session import shared_folder
+from ..sources import bundles, sinks
 from .derived import BLOCKS_CTE, blocks, receipts
 from .fees import PARSED_CTE
 from .structure import LEVEL, PAGE_NO, TEXT, _leveled
@@ -121,3 +124,23 @@ def template_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*TEMPLATES).where("tenant_id IS NULL OR tenant_id = 2")
     latest = sinks.upserted(rows.limit(0), rows, ("name", "tenant_id"), "version")
     return generators.checked(latest).select("name", "tenant_id", "version", "problems")
+
+
+MEMBERS = (
+    "concat('案件', CAST(l_orderkey AS STRING), '立案立档包') AS container",
+    "CASE l_linenumber % 6 WHEN 0 THEN '../06.txt' WHEN 5 THEN '05_费用明细/同名.txt' WHEN 4 THEN '05_费用明细/同名.txt' ELSE concat('0', CAST(l_linenumber AS STRING), '_', l_returnflag, '.txt') END AS member",
+    "CASE WHEN l_linenumber % 6 <> 3 THEN concat('金额 ', CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING)) END AS body",
+    "CASE WHEN l_partkey % 13 = 0 THEN 'TEMPLATE_MISSING' END AS error",
+)
+
+
+@query("case_bundles", f"""WITH m AS (SELECT {', '.join(MEMBERS)} FROM lineitem),
+j AS (SELECT *, coalesce(error, CASE WHEN contains(member, '..') THEN 'UNSAFE_NAME' END) AS e, sha256(body) AS h FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY container, member, e IS NULL ORDER BY error NULLS FIRST, h NULLS FIRST) AS k, bool_or(e IS NULL AND body IS NOT NULL) OVER (PARTITION BY container, member, e IS NULL ORDER BY error NULLS FIRST, h NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS taken FROM j)
+SELECT container, member, CASE WHEN e IS NULL AND NOT coalesce(taken, false) THEN h END AS digest, CASE WHEN e IS NOT NULL THEN e WHEN coalesce(taken, false) THEN 'REPEATED_NAME' WHEN body IS NULL THEN 'NO_CONTENT' END AS error FROM r""")
+def case_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Materials as one container a case, written to the shared folder and read back with the failures."""
+    path = f"{shared_folder(spark)}/foliant/bundles-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*MEMBERS)
+    bundles.write_bundles(rows.withColumn("content", F.encode("body", "UTF-8")), path)
+    return bundles.read_bundles(spark, path).select("container", "member", F.when(F.col("error").isNull(), F.sha2("content", 256)).alias("digest"), "error")
