@@ -234,8 +234,8 @@ def document_confidence(blocks: DataFrame) -> DataFrame:
     return totals.join(spread, "doc_id")
 
 
-def quality(documents: DataFrame) -> DataFrame:
-    """Scores of documents from their counts, each and in total, four places, and warnings.
+def quality(documents: DataFrame, *kept: str) -> DataFrame:
+    """Scores of documents from their counts, each and in total, four places, and warnings; kept: counts that stay.
 
     documents: doc_id, confidence (0 to 1), pages, low_pages, empty_pages, deviation, very_low_pages,
     sections, depth, paragraphs, orphans, skips, headings, levels, lists, list_items, tables, filled_tables.
@@ -250,7 +250,7 @@ def quality(documents: DataFrame) -> DataFrame:
     data = F.least(F.lit(1.0), 0.5 + F.when(c("lists") > 0, 0.15 + F.when(c("list_items") / c("lists") >= 3, 0.1).otherwise(0.0)).otherwise(0.0) + F.when(c("tables") > 0, 0.15 + F.when(c("filled_tables") > 0, 0.1).otherwise(0.0)).otherwise(0.0))
     empty = F.when(c("empty_pages") / F.greatest(c("pages"), F.lit(1)) > 0.3, 0.3).otherwise(0.1 * c("empty_pages"))
     strange = F.greatest(F.lit(0.0), 1.0 - empty - F.when(c("deviation") > 0.2, 0.1).otherwise(0.0) - F.when(c("very_low_pages") > 0, 0.1).otherwise(0.0) - F.when((c("sections") == 0) & (c("paragraphs") == 0), 0.3).otherwise(0.0))
-    scored = documents.select("doc_id", *[F.round(x, 4).alias(n) for n, x in (("ocr", ocr), ("structure", structure), ("heading", heading), ("data", data), ("anomaly", strange))])
+    scored = documents.select("doc_id", *kept, *[F.round(x, 4).alias(n) for n, x in (("ocr", ocr), ("structure", structure), ("heading", heading), ("data", data), ("anomaly", strange))])
     weighted = [c(n).cast("decimal(6,4)") * F.lit(w).cast("decimal(3,2)") for n, w in (("ocr", "0.35"), ("structure", "0.25"), ("heading", "0.20"), ("data", "0.10"), ("anomaly", "0.10"))]
     total = sum(weighted[1:], weighted[0])
     warnings = F.array_compact(F.array(F.when(total < 0.5, "low_overall_quality"), F.when(c("ocr") < 0.5, "poor_ocr_quality"), F.when(c("structure") < 0.3, "insufficient_structure")))

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import boxes as B
 from ..functions import text as T
+from ..operators import grids as G
+from ..operators import scores
 from ..operators import structure as S
 from .derived import BLOCKS_CTE, blocks
 
@@ -30,14 +33,21 @@ def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(spark, sf_dir).select("doc_id", "idx", F.explode(F.array_compact(F.array(level))).alias("level"))
 
 
+#: Boxes in three forms: points, a corner and a size, two corners; pages of two widths and one height.
+PLACES = ("*", "CASE WHEN idx % 3 = 0 THEN array(named_struct('x', CAST(x AS DOUBLE), 'y', CAST(y AS DOUBLE)), named_struct('x', CAST(x + w AS DOUBLE), 'y', CAST(y + h AS DOUBLE))) END AS points", "CASE WHEN idx % 3 = 1 THEN x END AS left", "CASE WHEN idx % 3 = 2 THEN x + w END AS x1", "CASE WHEN page % 2 = 0 THEN 400 ELSE 1000 END AS page_width")
+_CENTRED = "abs((x + w / 2) / CAST(CASE WHEN page % 2 = 0 THEN 400 ELSE 1000 END AS DOUBLE) - 0.5) < 0.1"
+
+
 @query("heading_levels", f"""WITH {BLOCKS_CTE}, m AS (SELECT doc_id, median(font) AS mf FROM blocks GROUP BY 1),
-f AS (SELECT b.doc_id, b.idx, {TEXT} AS t, b.font, b.bold, b.x < 102 AS centred, b.y < 60 AS top, m.mf, CASE WHEN {TEXT} <> '' THEN coalesce({LEVEL}, CASE WHEN mf > 0 AND font > mf * 1.2 AND b.x < 102 AND length({TEXT}) < 50 THEN 2 WHEN mf > 0 AND font > mf * 1.2 AND bold THEN 3 WHEN b.y < 60 AND length({TEXT}) < 30 THEN 1 END) END AS base FROM blocks b JOIN m USING (doc_id)),
+f AS (SELECT b.doc_id, b.idx, {TEXT} AS t, b.font, b.bold, {_CENTRED} AS centred, b.y < 60 AS top, m.mf, CASE WHEN {TEXT} <> '' THEN coalesce({LEVEL}, CASE WHEN mf > 0 AND font > mf * 1.2 AND {_CENTRED} AND length({TEXT}) < 50 THEN 2 WHEN mf > 0 AND font > mf * 1.2 AND bold THEN 3 WHEN b.y < 60 AND length({TEXT}) < 30 THEN 1 END) END AS base FROM blocks b JOIN m USING (doc_id)),
 u AS (SELECT *, greatest(1, greatest(1, base - CAST(top AND bold AS INT)) - CAST(centred AND bold AS INT)) AS up FROM f)
 SELECT doc_id, idx, CAST(CASE WHEN base IS NULL THEN NULL WHEN mf > 0 AND font <= mf AND NOT bold AND NOT centred THEN least(5, up + 1) ELSE up END AS INT) AS level FROM u""")
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = blocks(spark, sf_dir)
+    rows = blocks(spark, sf_dir).selectExpr(*PLACES)
     median = rows.groupBy("doc_id").agg(F.median("font").alias("median"))
-    level = T.heading_level(F.col("text"), F.col("font").cast("double"), F.col("median"), F.col("bold"), F.col("x") < 102, F.col("y") < 60)
+    box = F.coalesce(B.of_points(F.col("points")), B.of_size(F.col("left"), F.col("y"), F.col("w"), F.col("h")), B.of_corners(F.col("x1"), F.col("y"), F.col("x"), F.col("y") + F.col("h")))
+    rows = rows.withColumns({"centred": B.centred(box, F.col("page_width")), "top": B.at_top(box, F.lit(1200))})
+    level = T.heading_level(F.col("text"), F.col("font").cast("double"), F.col("median"), F.col("bold"), F.col("centred"), F.col("top"))
     return rows.join(median, "doc_id").select("doc_id", "idx", level.cast("int").alias("level"))
 
 
@@ -200,11 +210,11 @@ def region_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.with_titles(S.regions(rows), S.first_lines(rows)).select("doc_id", "page", "region", "kind")
 
 
-@query("table_trimmed", f"""WITH {BLOCKS_CTE}, c AS (SELECT doc_id, page, idx % 3 AS row, (idx // 3) % 4 AS col, CASE WHEN (doc_id + idx % 3) % 3 = 0 OR (doc_id + (idx // 3) % 4) % 5 = 0 THEN ' ' ELSE substring(line, 1, 5) END AS text FROM blocks WHERE idx % 10 < 9),
+@query("table_trimmed", f"""WITH {BLOCKS_CTE}, c AS (SELECT doc_id, page, idx % 3 AS row, (idx // 3) % 4 AS col, CASE WHEN (doc_id + idx % 3) % 3 = 0 OR (doc_id + (idx // 3) % 4) % 5 = 0 THEN ' ' ELSE substring(line, 1, 5) END AS text FROM blocks),
 f AS (SELECT * FROM c WHERE {TEXT} <> ''), r AS (SELECT doc_id, page, row, row_number() OVER (PARTITION BY doc_id, page ORDER BY row) - 1 AS nr FROM (SELECT DISTINCT doc_id, page, row FROM f)), k AS (SELECT doc_id, page, col, row_number() OVER (PARTITION BY doc_id, page ORDER BY col) - 1 AS nc FROM (SELECT DISTINCT doc_id, page, col FROM f))
 SELECT doc_id, page, CAST(nr AS INT) AS row, CAST(nc AS INT) AS col, text FROM c JOIN r USING (doc_id, page, row) JOIN k USING (doc_id, page, col)""")
 def table_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = blocks(spark, sf_dir).where("idx % 10 < 9").selectExpr("doc_id", "page", "idx % 3 AS row", "(idx div 3) % 4 AS col", "CASE WHEN (doc_id + idx % 3) % 3 = 0 OR (doc_id + (idx div 3) % 4) % 5 = 0 THEN ' ' ELSE substring(line, 1, 5) END AS text")
+    cells = blocks(spark, sf_dir).selectExpr("doc_id", "page", "idx % 3 AS row", "(idx div 3) % 4 AS col", "CASE WHEN (doc_id + idx % 3) % 3 = 0 OR (doc_id + (idx div 3) % 4) % 5 = 0 THEN ' ' ELSE substring(line, 1, 5) END AS text")
     return S.trimmed(cells)
 
 
@@ -215,15 +225,19 @@ COUNTS = (
 )
 
 
-@query("quality_score", f"""WITH d AS (SELECT {', '.join(COUNTS).replace('100.0D', 'CAST(100 AS DOUBLE)')} FROM orders),
-s AS (SELECT doc_id,
+#: Scores and warnings of d, the counts of documents.
+SCORED = """scored AS (SELECT doc_id,
  round(greatest(0, least(confidence, 1) - CASE WHEN pages > 0 THEN low_pages / pages * CAST(0.2 AS DOUBLE) ELSE 0 END), 4) AS ocr,
  round(least(1, (CASE WHEN sections > 0 THEN CAST(0.4 AS DOUBLE) + CASE WHEN depth >= 3 THEN CAST(0.3 AS DOUBLE) WHEN depth >= 2 THEN CAST(0.2 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END ELSE 0 END + CASE WHEN paragraphs > 0 THEN CAST(0.2 AS DOUBLE) ELSE 0 END + CASE WHEN paragraphs >= 5 THEN CAST(0.1 AS DOUBLE) ELSE 0 END) * CASE WHEN orphans / greatest(paragraphs, 1) < 0.2 THEN CAST(1 AS DOUBLE) WHEN orphans / greatest(paragraphs, 1) < 0.5 THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END), 4) AS structure,
  round(CASE WHEN sections > 0 THEN greatest(0, least(1, CAST(0.7 AS DOUBLE) - CAST(0.05 AS DOUBLE) * skips - CASE WHEN levels < 2 AND headings > 5 THEN CAST(0.1 AS DOUBLE) ELSE 0 END)) ELSE 0 END, 4) AS heading,
  round(least(1, CAST(0.5 AS DOUBLE) + CASE WHEN lists > 0 THEN CAST(0.15 AS DOUBLE) + CASE WHEN list_items / lists >= 3 THEN CAST(0.1 AS DOUBLE) ELSE 0 END ELSE 0 END + CASE WHEN tables > 0 THEN CAST(0.15 AS DOUBLE) + CASE WHEN filled_tables > 0 THEN CAST(0.1 AS DOUBLE) ELSE 0 END ELSE 0 END), 4) AS data,
  round(greatest(0, CAST(1 AS DOUBLE) - CASE WHEN empty_pages / greatest(pages, 1) > 0.3 THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) * empty_pages END - CASE WHEN deviation > 0.2 THEN CAST(0.1 AS DOUBLE) ELSE 0 END - CASE WHEN very_low_pages > 0 THEN CAST(0.1 AS DOUBLE) ELSE 0 END - CASE WHEN sections = 0 AND paragraphs = 0 THEN CAST(0.3 AS DOUBLE) ELSE 0 END), 4) AS anomaly FROM d)
 SELECT doc_id, ocr, structure, heading, data, anomaly, CAST(round(CAST(ocr AS DECIMAL(6,4)) * 0.35 + CAST(structure AS DECIMAL(6,4)) * 0.25 + CAST(heading AS DECIMAL(6,4)) * 0.20 + CAST(data AS DECIMAL(6,4)) * 0.10 + CAST(anomaly AS DECIMAL(6,4)) * 0.10, 4) AS DOUBLE) AS total,
- concat_ws(',', CASE WHEN CAST(ocr AS DECIMAL(6,4)) * 0.35 + CAST(structure AS DECIMAL(6,4)) * 0.25 + CAST(heading AS DECIMAL(6,4)) * 0.20 + CAST(data AS DECIMAL(6,4)) * 0.10 + CAST(anomaly AS DECIMAL(6,4)) * 0.10 < 0.5 THEN 'low_overall_quality' END, CASE WHEN ocr < 0.5 THEN 'poor_ocr_quality' END, CASE WHEN structure < 0.3 THEN 'insufficient_structure' END) AS warnings FROM s""")
+ concat_ws(',', CASE WHEN CAST(ocr AS DECIMAL(6,4)) * 0.35 + CAST(structure AS DECIMAL(6,4)) * 0.25 + CAST(heading AS DECIMAL(6,4)) * 0.20 + CAST(data AS DECIMAL(6,4)) * 0.10 + CAST(anomaly AS DECIMAL(6,4)) * 0.10 < 0.5 THEN 'low_overall_quality' END, CASE WHEN ocr < 0.5 THEN 'poor_ocr_quality' END, CASE WHEN structure < 0.3 THEN 'insufficient_structure' END) AS warnings FROM scored"""
+
+
+@query("quality_score", f"""WITH d AS (SELECT {', '.join(COUNTS).replace('100.0D', 'CAST(100 AS DOUBLE)')} FROM orders),
+{SCORED}""")
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.quality(spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(*COUNTS))
 
@@ -234,11 +248,59 @@ def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(spark, sf_dir).select("doc_id", "idx", T.list_item(F.col("text")).alias("i")).select("doc_id", "idx", "i.type", "i.marker")
 
 
-@query("list_groups")
+_OF_ITEM = lambda value: "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN {value(k, p)}" for k, p in T.LIST_ITEMS) + " END"
+#: Lines of documents with what a walk over them knows: the list and item that each is in; kept: lists of two items or more.
+LISTS_CTE = f"""li AS (SELECT doc_id, idx, {TEXT} AS t, conf, x, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k, avg(x) OVER (PARTITION BY doc_id) AS base FROM blocks),
+lj AS (SELECT *, {_OF_ITEM(lambda k, p: f"'{k}'")} AS type, {_OF_ITEM(lambda k, p: f"regexp_extract(t, '{p}', 1)")} AS marker, {_OF_ITEM(lambda k, p: STRIP.format(f"regexp_replace(t, '{p}', '')"))} AS content, CASE WHEN x - base < 20 THEN 0 ELSE least(CAST(trunc((x - base) / 40) AS INT), 3) END AS indent FROM li),
+lr AS (SELECT doc_id, idx, k, type AS ct, CASE WHEN type IS NOT NULL THEN indent END AS ci, CASE WHEN type IS NOT NULL THEN x END AS cx, CASE WHEN type IS NOT NULL THEN 1 ELSE 0 END AS list, CASE WHEN type IS NOT NULL THEN 1 ELSE 0 END AS item FROM lj WHERE k = 1
+ UNION ALL SELECT doc_id, idx, k, CASE WHEN type IS NOT NULL THEN type WHEN carries THEN ct END, CASE WHEN goes THEN ci WHEN type IS NOT NULL THEN indent WHEN carries THEN ci END, CASE WHEN type IS NOT NULL THEN x WHEN carries THEN cx END, list + CAST(type IS NOT NULL AND NOT goes AS INT), item + CAST(type IS NOT NULL AS INT)
+ FROM (SELECT j.doc_id, j.idx, j.k, j.type, j.indent, j.x, r.ct, r.ci, r.cx, r.list, r.item, coalesce(r.ct = j.type AND abs(j.indent - r.ci) <= 1, false) AS goes, coalesce(r.ct IS NOT NULL AND j.t <> '' AND NOT contains('。！？.!?', right(j.t, 1)) AND j.x >= r.cx - 10, false) AS carries FROM lr r JOIN lj j ON j.doc_id = r.doc_id AND j.k = r.k + 1)),
+lt AS (SELECT lr.doc_id, list, item, max(ct) AS type, max(ci) AS indent, max(marker) AS marker, string_agg(CASE WHEN type IS NOT NULL THEN content ELSE t END, ' ' ORDER BY lr.idx) AS content, max(CASE WHEN type IS NOT NULL THEN conf END) AS conf FROM lr JOIN lj ON lj.doc_id = lr.doc_id AND lj.k = lr.k WHERE ct IS NOT NULL GROUP BY 1, 2, 3),
+kept AS (SELECT doc_id, list, max(type) AS type, max(indent) AS indent, count(*) AS n_items, string_agg(marker, '|' ORDER BY item) AS markers, string_agg(content, '|' ORDER BY item) AS content, round(avg(conf), 4) AS confidence FROM lt GROUP BY 1, 2 HAVING count(*) >= 2)"""
+
+
+@query("list_groups", f"WITH RECURSIVE {BLOCKS_CTE}, {LISTS_CTE} SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY doc_id ORDER BY list) - 1 AS INT) AS list, CAST(indent AS INT) AS indent, CAST(n_items AS INT) AS n_items) FROM kept")
 def list_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.lists(blocks(spark, sf_dir))
 
 
+@query("document_quality", f"""WITH RECURSIVE {REGIONS_CTE}, {LISTS_CTE}, l AS (SELECT *, {TEXT} AS t, {LEVEL} AS level FROM blocks WHERE {TEXT} <> '' AND NOT {PAGE_NO}), hd AS (SELECT doc_id, idx, level FROM l WHERE level IS NOT NULL),
+tree AS (SELECT a.doc_id, a.idx, a.level, max(b.idx) AS parent FROM hd a LEFT JOIN hd b ON a.doc_id = b.doc_id AND b.idx < a.idx AND b.level < a.level GROUP BY 1, 2, 3),
+depths AS (SELECT doc_id, idx, 1 AS depth FROM tree WHERE parent IS NULL UNION ALL SELECT t.doc_id, t.idx, d.depth + 1 FROM tree t JOIN depths d ON d.doc_id = t.doc_id AND d.idx = t.parent),
+sk AS (SELECT t.*, coalesce(lag(t.level) OVER (PARTITION BY t.doc_id, t.parent ORDER BY t.idx), p.level, 0) AS above FROM tree t LEFT JOIN hd p ON p.doc_id = t.doc_id AND p.idx = t.parent),
+body AS (SELECT *, coalesce((SELECT max(hd.idx) FROM hd WHERE hd.doc_id = l.doc_id AND hd.idx < l.idx), -1) AS s FROM l WHERE level IS NULL),
+bm AS (SELECT *, max(y + h) OVER (PARTITION BY doc_id, s, page ORDER BY y, x, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM body),
+q AS (SELECT doc_id, count(*) FILTER (before IS NULL OR y - before > 80) AS paragraphs, count(*) FILTER (s = -1 AND (before IS NULL OR y - before > 80)) AS orphans FROM bm GROUP BY 1),
+c AS (SELECT t.doc_id, count(*) AS sections, max(depth) AS depth, count(DISTINCT t.level) AS levels, count(*) FILTER (above > 0 AND t.level > above + 1) AS skips FROM sk t JOIN depths USING (doc_id, idx) GROUP BY 1),
+pm AS (SELECT doc_id, page, round(avg(conf) / 100, 4) AS mean FROM blocks GROUP BY 1, 2), pc AS (SELECT doc_id, max(page) + 1 AS pages, count(*) AS seen, count(*) FILTER (mean < 0.6) AS low, coalesce(stddev_samp(mean) FILTER (mean > 0), 0) AS deviation, count(*) FILTER (mean > 0 AND mean < 0.3) AS very FROM pm GROUP BY 1),
+dc AS (SELECT doc_id, round(avg(conf) / 100, 4) AS confidence FROM blocks GROUP BY 1), lc AS (SELECT doc_id, count(*) AS lists, sum(n_items) AS items FROM kept GROUP BY 1),
+tc AS (SELECT doc_id, count(*) FILTER (n_dense / n_lines >= 0.25) AS tables, count(*) FILTER (n_dense / n_lines >= 0.25 AND n_lines >= 2) AS filled FROM regions GROUP BY 1),
+d AS (SELECT dc.doc_id, confidence, pages, low + pages - seen AS low_pages, pages - seen AS empty_pages, deviation, very AS very_low_pages, coalesce(sections, 0) AS sections, coalesce(depth, 0) AS depth, coalesce(paragraphs, 0) AS paragraphs, coalesce(orphans, 0) AS orphans, coalesce(skips, 0) AS skips, coalesce(sections, 0) AS headings, coalesce(levels, 0) AS levels, coalesce(lists, 0) AS lists, coalesce(items, 0) AS list_items, tables, filled AS filled_tables
+ FROM dc JOIN pc USING (doc_id) JOIN tc USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN q USING (doc_id) LEFT JOIN lc USING (doc_id)),
+{SCORED.replace("AS warnings FROM scored", "AS warnings, sections, paragraphs, orphans, skips, lists, list_items, tables, empty_pages FROM scored JOIN d USING (doc_id)")}""")
+def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from the lines themselves, with the counts behind them."""
+    found = scores.counts(blocks(spark, sf_dir))
+    return S.quality(found, "sections", "paragraphs", "orphans", "skips", "lists", "list_items", "tables", "empty_pages")
+
+
+CELLS = "CASE WHEN (doc_id + idx) % 4 = 0 OR (doc_id + idx) % 7 = 1 THEN ' ' ELSE substring(line, 1, CAST(1 + (doc_id + idx) % 260 AS INT)) END"
+
+
+@query("table_html", f"""WITH {BLOCKS_CTE}, g AS (SELECT doc_id, page, CAST((idx % 10) // 4 AS INT) AS row, CAST((idx % 10) % 4 AS INT) AS col, {CELLS} AS text FROM blocks), z AS (SELECT doc_id, page, max(row) + 1 AS nr, max(col) + 1 AS nc FROM g GROUP BY 1, 2),
+f AS (SELECT doc_id, page, row, col, {TEXT} AS text FROM g WHERE {TEXT} <> ''),
+e AS (SELECT *, coalesce(lead(col) OVER (PARTITION BY doc_id, page, row ORDER BY col), nc) AS fin FROM f JOIN z USING (doc_id, page)),
+s AS (SELECT a.doc_id, a.page, a.row, a.col, coalesce(min(b.row), any_value(a.nr)) - a.row AS rs, any_value(a.fin) - a.col AS cs, any_value(a.text) AS text FROM e a LEFT JOIN f b ON b.doc_id = a.doc_id AND b.page = a.page AND b.row > a.row AND b.col < a.fin GROUP BY 1, 2, 3, 4),
+u AS (SELECT doc_id, page, row, col, 1 AS rs, 1 AS cs, '' AS text FROM (SELECT doc_id, page, unnest(range(nr)) AS row, nc FROM z) r, unnest(range(nc)) AS t(col) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = r.doc_id AND s.page = r.page AND r.row >= s.row AND r.row < s.row + s.rs AND t.col >= s.col AND t.col < s.col + s.cs)),
+c AS (SELECT doc_id, page, row, col, '<td' || CASE WHEN rs > 1 THEN ' rowspan="' || rs || '"' ELSE '' END || CASE WHEN cs > 1 THEN ' colspan="' || cs || '"' ELSE '' END || '>' || replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || CASE WHEN length(text) > 200 THEN '...' ELSE '' END || '</td>' AS td FROM (SELECT * FROM s UNION ALL SELECT * FROM u)),
+r AS (SELECT z.doc_id, z.page, k.row, concat_ws(chr(10), '<tr>', string_agg(td, chr(10) ORDER BY col), '</tr>') AS tr, any_value(nr) AS nr FROM z, unnest(range(nr)) AS k(row) LEFT JOIN c ON c.doc_id = z.doc_id AND c.page = z.page AND c.row = k.row GROUP BY 1, 2, 3)
+SELECT doc_id, page, concat_ws(chr(10), '<table class="table">', CASE WHEN any_value(nr) > 1 THEN concat_ws(chr(10), '<thead>', max(tr) FILTER (row = 0), '</thead>') END, '<tbody>', string_agg(tr, chr(10) ORDER BY row) FILTER (row > 0 OR nr = 1), '</tbody>', '</table>') AS html FROM r GROUP BY 1, 2""")
+def table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's ten lines as a grid of four columns, some of its places empty."""
+    cells = blocks(spark, sf_dir).selectExpr("doc_id", "page", "CAST((idx % 10) div 4 AS INT) AS row", "CAST((idx % 10) % 4 AS INT) AS col", f"{CELLS} AS text")
+    return G.html(G.spans(cells))
+
+
 @query("similarity_fuzzy")
 def similarity_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     zone = F.when(S.in_header(F.col("y")), "header").when(S.in_footer(F.col("y")), "footer")

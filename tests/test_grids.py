@@ -75,3 +75,11 @@ def test_no_box_is_no_place(spark):
     none = F.lit(None).cast("int")
     row = df.select(B.centred(B.of_points(F.col("p")), F.lit(100)).alias("a"), B.at_top(B.of_size(none, none, none, none), F.lit(100)).alias("b"), B.of_corners(none, none, none, none).alias("c")).first()
     assert tuple(row) == (False, False, None)
+
+
+def test_scores_have_one_exchange_of_the_blocks(spark):
+    from foliant.operators import scores
+
+    rows = spark.range(30).selectExpr("id % 3 AS doc_id", "CAST(id % 2 AS INT) AS page", "CAST(id AS INT) AS idx", "concat('1. ', id) AS text", "90 AS conf", "1 AS x", "CAST(id AS INT) AS y", "20 AS h")
+    plan = scores.counts(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Join") == 0
