@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from .plans import arrivals, casework, extraction, fees, forms, fusion, notices, records, report, structure, tenancy  # noqa: F401
+    from .plans import arrivals, casework, drafting, extraction, fees, forms, fusion, notices, records, report, structure, tenancy  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
