@@ -43,15 +43,21 @@ def fee_code(filename: Column, text: Column) -> Column:
     return code
 
 
+#: A number as AMOUNT takes it that is above 0 in cents and fits MONEY.
+POSITIVE = AMOUNT.replace("([", r"(?=[\d,]*[1-9]|[\d,]*\.0?[1-9]|[\d,]*\.00[5-9])(?!,*(?:0,*)*[1-9](?:,*\d){16})([")
+
+
+def amount_after(text: Column, word: str, number: str = AMOUNT) -> Column:
+    """The amount that first follows a word, or null. What is not found is an empty text, which is no number: no test for it is needed."""
+    return decimal_amount(F.regexp_extract(text, word + number, 1))
+
+
 def receipt_total(text: Column) -> Column:
-    """The first positive amount after a word for total; the words are tried in order, each over the whole text."""
-    found = []
-    for word in TOTALS:
-        first = decimal_amount(first_group(text, word + AMOUNT))
-        # only where the first amount is none or not positive are the others looked at
-        amounts = F.transform(F.regexp_extract_all(text, F.lit(word + AMOUNT), F.lit(1)), decimal_amount)
-        found.append(F.when(first > 0, first).when(text.rlike(word), F.get(F.filter(amounts, lambda a: a > 0), F.lit(0))))
-    return F.coalesce(*found)
+    """The first positive amount after a word for total; the words are tried in order, each over the whole text.
+
+    The pattern takes positive numbers alone, so one pass a word finds it. What follows the last of TOTALS also follows the first.
+    """
+    return F.coalesce(*[amount_after(text, word, POSITIVE) for word in TOTALS[:2]])
 
 
 def parsed_receipts(receipts: DataFrame) -> DataFrame:
@@ -59,21 +65,25 @@ def parsed_receipts(receipts: DataFrame) -> DataFrame:
 
     The type is the file name's, else the text's. Receipts without text or total give no row.
     """
-    # a row for each total that there is: a filter on it would compute it a second time
-    stated = F.explode(F.array_compact(F.array(receipt_total(F.col("ocr_text")))))
-    out = receipts.where("ocr_text <> ''").select("material_id", "case_id", fee_code(F.col("filename"), F.col("ocr_text")).alias("_code"), stated.alias("amount"))
+    # exploded, so that the filter on it does not compute it a second time
+    stated = F.explode(F.array(receipt_total(F.col("ocr_text"))))
+    out = receipts.where("ocr_text <> ''").select("material_id", "case_id", fee_code(F.col("filename"), F.col("ocr_text")).alias("_code"), stated.alias("amount")).where("amount is not null")
     named = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in FEES]), F.col("_code"))
     return out.select("material_id", "case_id", named(0).alias("fee_type"), named(1).alias("description"), "amount")
 
 
 def receipt_details(receipts: DataFrame) -> DataFrame:
     """hospital, date, insurance, own share (total less insurance, not below 0) and tail number of each receipt."""
-    text = F.col("ocr_text")
-    insurance = F.coalesce(decimal_amount(first_group(text, "统筹支付" + AMOUNT)), decimal_amount(first_group(text, "医保支付" + AMOUNT)), F.lit(0).cast(MONEY))
-    total = F.coalesce(receipt_total(text), F.lit(0).cast(MONEY))
-    own = F.coalesce(decimal_amount(first_group(text, "个人(?:自付|支付)" + AMOUNT)), F.greatest(total - insurance, F.lit(0).cast(MONEY)).cast(MONEY))
-    hospital = F.coalesce(first_group(text, r"([^\n，。；:：]{2,20}?(?:医院|卫生院|诊所|卫生所))"), F.lit("未知医院"))
-    return receipts.select("material_id", "case_id", hospital.alias("hospital"), first_date(text).alias("receipt_date"), total.alias("total"), insurance.alias("insurance"), own.alias("self_pay"), receipt_tail(F.col("filename")).alias("tail"))
+    text, none = F.col("ocr_text"), F.lit(0).cast(MONEY)
+    # each pattern runs over a text once, and the columns below read what it found
+    found = receipts.select(
+        "material_id", "case_id", F.regexp_extract(text, r"([^\n，。；:：]{2,20}?(?:医院|卫生院|诊所|卫生所))", 1).alias("_hospital"), first_date(text).alias("receipt_date"),
+        F.coalesce(receipt_total(text), none).alias("total"), F.coalesce(amount_after(text, "统筹支付"), amount_after(text, "医保支付"), none).alias("insurance"),
+        amount_after(text, "个人(?:自付|支付)").alias("_own"), receipt_tail(F.col("filename")).alias("tail"),
+    )
+    hospital = F.when(F.col("_hospital") != "", F.col("_hospital")).otherwise("未知医院")
+    own = F.coalesce("_own", F.greatest(F.col("total") - F.col("insurance"), none).cast(MONEY))
+    return found.select("material_id", "case_id", hospital.alias("hospital"), "receipt_date", "total", "insurance", own.alias("self_pay"), "tail")
 
 
 def typed_items(receipts: DataFrame) -> DataFrame:

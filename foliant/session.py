@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | None = None, memory: str = "8g") -> SparkSession:
@@ -34,3 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="foliant-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again: what is read twice is the same both times, also after executors are lost."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/foliant/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

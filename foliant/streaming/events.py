@@ -10,8 +10,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+
+from ..session import stored
 
 
 def latest(messages: DataFrame) -> DataFrame:
@@ -46,49 +51,73 @@ def rate_limits(errors: DataFrame, base: int = 8, most: int = 5) -> DataFrame:
     return counts.select("model", F.col("window.start").alias("start"), "refusals", F.when(F.col("refusals") >= most, F.greatest(F.lit(1), F.lit(base // 2))).otherwise(base).alias("permits"))
 
 
-def clamped(value: Column, by: Column) -> Column:
-    """value after a map of a count: shifted, then kept between two bounds (by: struct of shift, lower, upper)."""
-    return F.least(by["upper"], F.greatest(by["lower"], value + by["shift"]))
-
+def clamped(value: Column, shift: Column, lower: Column, upper: Column) -> Column:
+    """value after a map of a count: shifted, then kept between two bounds."""
+    return F.least(upper, F.greatest(lower, value + shift))
 
-def then(first: Column, second: Column) -> Column:
-    """The map that does first and second: of the same form again."""
-    return F.struct((first["shift"] + second["shift"]).alias("shift"), clamped(first["lower"], second).alias("lower"), clamped(first["upper"], second).alias("upper"))
 
+def _maps_before(cap: int):
+    """Rows in order of key, each with its partition, its place there, and the map that the key's rows before it in the partition make.
 
-def counts_before(rows: DataFrame, cap: int, chunk: int, levels: int) -> DataFrame:
-    """rows (key, at, map, data) with before, the count that each map is applied to; a key's count starts at 0.
-
-    The rows of a key are cut into chunks by ranges of at. The map of a whole chunk is an aggregate, the counts before the chunks
-    come from the same function one level up, and a fold inside each chunk gives the rest.
+    Changes between 0 and cap are maps of one form, a shift and two bounds, and so is one after the other.
     """
-    up = F.floor(F.col("at") / chunk) if levels else F.lit(0).cast("long")
-    parts = rows.groupBy("key", up.alias("up")).agg(F.sort_array(F.collect_list(F.struct("at", "map", "data"))).alias("rows"))
-    long = lambda n: F.lit(n).cast("long")
-    if levels:
-        identity = F.struct(long(0).alias("shift"), long(0).alias("lower"), long(cap).alias("upper"))
-        whole = parts.select("key", F.col("up").alias("at"), F.aggregate("rows", identity, lambda m, r: then(m, r["map"])).alias("map"), F.lit(0).alias("data"))
-        starts = counts_before(whole, cap, chunk, levels - 1).select(F.col("key").alias("_key"), F.col("at").alias("_up"), F.col("before").alias("start"))
-        parts = parts.join(starts, F.col("key").eqNullSafe(F.col("_key")) & (F.col("up") == F.col("_up")))
-    else:
-        parts = parts.withColumn("start", long(0))
-    counts = F.aggregate("rows", F.array("start"), lambda acc, r: F.concat(acc, F.array(clamped(F.element_at(acc, -1), r["map"]))))
-    return parts.select("key", "rows", counts.alias("counts")).select("key", "counts", F.posexplode("rows").alias("k", "r")).select("key", "r.*", F.get("counts", F.col("k")).alias("before"))
-
-
-def running(events: DataFrame, cap: int, chunk: int = 500, levels: int = 2) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, place, begun, now = TaskContext.get().partitionId(), 0, False, None
+        shift, lower, upper = 0, 0, cap
+        for batch in batches:
+            shifts, lowers, uppers = [], [], []
+            for key, change in zip(batch.column("key").to_pylist(), batch.column("_change").to_pylist()):
+                if not begun or key != now:
+                    begun, now = True, key
+                    shift, lower, upper = 0, 0, cap
+                shifts.append(shift)
+                lowers.append(lower)
+                uppers.append(upper)
+                shift, lower, upper = shift + change, min(cap, max(0, lower + change)), min(cap, max(0, upper + change))
+            n = batch.num_rows
+            added = [pa.array([part] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), *(pa.array(x, pa.int64()) for x in (shifts, lowers, uppers))]
+            place += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "_part", "_place", "_shift", "_lower", "_upper"])
+
+    return run
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def starts(maps: pa.Array) -> pa.Array:
+    """The count before each of a key's stretches, from the maps (shift, lower, upper) of whole stretches in order; the first begins at 0."""
+    out = []
+    for stretches in maps.to_pylist():
+        counts = [0]
+        for m in stretches[:-1]:
+            counts.append(min(m["upper"], max(m["lower"], counts[-1] + m["shift"])))
+        out.append(counts)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def running(events: DataFrame, cap: int, partitions: int | None = None) -> DataFrame:
     """events (key, seq, change of +1 or -1) with used, the permits in use after each, and before, for tables.
 
     The count is never below 0, and never above cap, as an acquisition beyond it is refused and changes nothing. Events of a key
-    with one seq go by their change. A hot key is spread over as many tasks as it has chunks: with the
-    range of a key's seq below chunk ** (levels + 1), no task folds more than chunk rows at once.
+    with one seq go by their change. Ranges of the sort cut through hot keys, whatever their numbers look like; each range folds
+    its rows once, and what a range hands on to the next is one row, so what is broadcast has at most a row a partition.
     """
     others = [c for c in events.columns if c not in ("key", "seq")]
-    change = F.col("change").cast("long")
-    step = F.struct(change.alias("shift"), F.lit(0).cast("long").alias("lower"), F.lit(cap).cast("long").alias("upper"))
-    rows = events.select("key", F.col("seq").cast("long").alias("at"), step.alias("map"), F.struct(*others).alias("data"))
-    out = counts_before(rows, cap, chunk, levels)
-    return out.select("key", F.col("at").alias("seq"), "data.*", clamped(F.col("before"), F.col("map")).alias("used"), "before")
+    rows = events.select("key", F.col("seq").cast("long").alias("seq"), *others, F.col("change").cast("long").alias("_change"))
+    order = ["key", "seq", "_change", *[c for c in others if c != "change"]]
+    ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    schema = StructType([*rows.schema.fields, StructField("_part", IntegerType()), *(StructField(c, LongType()) for c in ("_place", "_shift", "_lower", "_upper"))])
+    placed = stored(ranged.sortWithinPartitions(*order).mapInArrow(_maps_before(cap), schema), "placed")
+
+    bounded = lambda c: clamped(F.col(c), F.col("_change"), F.lit(0), F.lit(cap))
+    whole = F.struct((F.col("_shift") + F.col("_change")).alias("shift"), bounded("_lower").alias("lower"), bounded("_upper").alias("upper"))
+    stretches = placed.groupBy("key", "_part").agg(F.max_by(whole, "_place").alias("map"))
+    cut = stretches.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("_part", "map"))).alias("s")).where(F.size("s") > 1)
+    begun = cut.withColumn("_starts", starts(F.transform("s", lambda x: x["map"]))).select(F.col("key").alias("_key"), F.posexplode("s").alias("_k", "_s"), "_starts")
+    begun = begun.where("_k > 0").select("_key", F.col("_s._part").alias("_at"), F.get("_starts", F.col("_k")).alias("_start"))
+    met = placed.join(F.broadcast(begun), F.col("key").eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")), "left")
+    out = met.withColumn("before", clamped(F.coalesce("_start", F.lit(0)), F.col("_shift"), F.col("_lower"), F.col("_upper")))
+    return out.select("key", "seq", *others, clamped(F.col("before"), F.col("_change"), F.lit(0), F.lit(cap)).alias("used"), "before")
 
 
 def admissions(events: DataFrame, cap: int) -> DataFrame:
