@@ -159,7 +159,7 @@ def safe_double(c: Column, default: float = 0.0) -> Column:
 
 
 def decimal_amount(c: Column) -> Column:
-    return F.regexp_replace(c, ",", "").try_cast("decimal(18,2)")
+    return F.replace(c, F.lit(","), F.lit("")).try_cast("decimal(18,2)")
 
 
 def normalized_date(c: Column) -> Column:
@@ -187,8 +187,8 @@ def parsed_date(c: Column) -> Column:
 def first_date(c: Column) -> Column:
     """The first date with year, month and day anywhere in a text, as ISO text; null without one."""
     p = r"(\d{4})\s*[年/\-.]\s*(\d{1,2})\s*[月/\-.]\s*(\d{1,2})"
-    part = lambda g: F.regexp_extract(c, p, g).try_cast("int")
-    return F.when(c.rlike(p), F.format_string("%04d-%02d-%02d", part(1), part(2), part(3)))
+    two = lambda g: F.lpad(F.regexp_extract(c, p, g), 2, "0")
+    return F.when(c.rlike(p), F.concat_ws("-", F.regexp_extract(c, p, 1), two(2), two(3)))
 
 
 def stay_days(c: Column) -> Column:

@@ -47,17 +47,22 @@ def fee_code(filename: Column, text: Column) -> Column:
 POSITIVE = AMOUNT.replace("([", r"(?=[\d,]*[1-9]|[\d,]*\.0?[1-9]|[\d,]*\.00[5-9])(?!,*(?:0,*)*[1-9](?:,*\d){16})([")
 
 
-def amount_after(text: Column, word: str, number: str = AMOUNT) -> Column:
-    """The amount that first follows a word, or null. What is not found is an empty text, which is no number: no test for it is needed."""
-    return decimal_amount(F.regexp_extract(text, word + number, 1))
+def texts_after(text: Column, **words: tuple[str, str]) -> list[Column]:
+    """By name the number, as text, that first follows a word (word, form of a number); empty without one.
 
+    They are columns of their own before anything is made of them: a pattern runs once, and an empty text
+    is never cast, as each failing cast raises and catches an exception.
+    """
+    return [F.regexp_extract(text, word + number, 1).alias(name) for name, (word, number) in words.items()]
 
-def receipt_total(text: Column) -> Column:
-    """The first positive amount after a word for total; the words are tried in order, each over the whole text.
 
-    The pattern takes positive numbers alone, so one pass a word finds it. What follows the last of TOTALS also follows the first.
-    """
-    return F.coalesce(*[amount_after(text, word, POSITIVE) for word in TOTALS[:2]])
+def first_amount(*names: str) -> Column:
+    """The amount of the first of texts_after() that is not empty and a number of MONEY, or null."""
+    return F.coalesce(*[F.when(F.col(n) != "", decimal_amount(F.col(n))) for n in names])
+
+
+#: The first positive amount after a word for total; the words are tried in order. What follows the last of TOTALS also follows the first.
+TOTAL_TEXTS = {f"_total_{k}": (word, POSITIVE) for k, word in enumerate(TOTALS[:2])}
 
 
 def parsed_receipts(receipts: DataFrame) -> DataFrame:
@@ -65,9 +70,10 @@ def parsed_receipts(receipts: DataFrame) -> DataFrame:
 
     The type is the file name's, else the text's. Receipts without text or total give no row.
     """
+    text = F.col("ocr_text")
+    found = receipts.where("ocr_text <> ''").select("material_id", "case_id", fee_code(F.col("filename"), text).alias("_code"), *texts_after(text, **TOTAL_TEXTS))
     # exploded, so that the filter on it does not compute it a second time
-    stated = F.explode(F.array(receipt_total(F.col("ocr_text"))))
-    out = receipts.where("ocr_text <> ''").select("material_id", "case_id", fee_code(F.col("filename"), F.col("ocr_text")).alias("_code"), stated.alias("amount")).where("amount is not null")
+    out = found.select("material_id", "case_id", "_code", F.explode(F.array(first_amount(*TOTAL_TEXTS))).alias("amount")).where("amount is not null")
     named = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in FEES]), F.col("_code"))
     return out.select("material_id", "case_id", named(0).alias("fee_type"), named(1).alias("description"), "amount")
 
@@ -75,15 +81,14 @@ def parsed_receipts(receipts: DataFrame) -> DataFrame:
 def receipt_details(receipts: DataFrame) -> DataFrame:
     """hospital, date, insurance, own share (total less insurance, not below 0) and tail number of each receipt."""
     text, none = F.col("ocr_text"), F.lit(0).cast(MONEY)
-    # each pattern runs over a text once, and the columns below read what it found
     found = receipts.select(
-        "material_id", "case_id", F.regexp_extract(text, r"([^\n，。；:：]{2,20}?(?:医院|卫生院|诊所|卫生所))", 1).alias("_hospital"), first_date(text).alias("receipt_date"),
-        F.coalesce(receipt_total(text), none).alias("total"), F.coalesce(amount_after(text, "统筹支付"), amount_after(text, "医保支付"), none).alias("insurance"),
-        amount_after(text, "个人(?:自付|支付)").alias("_own"), receipt_tail(F.col("filename")).alias("tail"),
+        "material_id", "case_id", "filename", F.regexp_extract(text, r"([^\n，。；:：]{2,20}?(?:医院|卫生院|诊所|卫生所))", 1).alias("_hospital"), first_date(text).alias("receipt_date"),
+        *texts_after(text, **TOTAL_TEXTS, _fund=("统筹支付", AMOUNT), _insured=("医保支付", AMOUNT), _own=("个人(?:自付|支付)", AMOUNT)),
     )
+    found = found.select("*", F.coalesce(first_amount(*TOTAL_TEXTS), none).alias("total"), F.coalesce(first_amount("_fund", "_insured"), none).alias("insurance"))
     hospital = F.when(F.col("_hospital") != "", F.col("_hospital")).otherwise("未知医院")
-    own = F.coalesce("_own", F.greatest(F.col("total") - F.col("insurance"), none).cast(MONEY))
-    return found.select("material_id", "case_id", hospital.alias("hospital"), "receipt_date", "total", "insurance", own.alias("self_pay"), "tail")
+    own = F.coalesce(first_amount("_own"), F.greatest(F.col("total") - F.col("insurance"), none).cast(MONEY))
+    return found.select("material_id", "case_id", hospital.alias("hospital"), "receipt_date", "total", "insurance", own.alias("self_pay"), receipt_tail(F.col("filename")).alias("tail"))
 
 
 def typed_items(receipts: DataFrame) -> DataFrame:
