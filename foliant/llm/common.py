@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Paths that each open scope() is to delete, the innermost last.
-_scopes: list[list[str]] = []
+#: Paths that each open scope() is to delete, the innermost last; each thread has its own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
@@ -40,18 +41,20 @@ def scope(spark: SparkSession) -> Iterator[None]:
         with scope(spark):
             near_duplicates(docs).write.parquet(path)
     """
-    _scopes.append([])
+    paths: list[str] = []
+    before = _scopes.set((*_scopes.get(), paths))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(before)
+        for path in paths:
             discard(spark, path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/foliant/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     return path
 
 

@@ -24,6 +24,8 @@ RANGE_ROWS = 2_000
 FIRST_RANGES, SECOND_RANGES = 256, 4_096
 #: Bits that fingerprints of near documents may differ in, and the blocks that they are cut into to find them.
 RADIUS, BLOCKS = 3, 5
+#: Fingerprints under one prefix of a table that one task compares with all of that prefix.
+PREFIX_ROWS = 2_000
 LANES = 0x0000000100000001
 
 
@@ -208,11 +210,43 @@ def within_radius(prints: DataFrame, radius: int, blocks: int | None = None, key
     return salted_join(prints.select(key, name), classes, name, key).select(key, "class"), written(pairs, "pairs")
 
 
+def neighbour_counts(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, name: str = "fingerprint", rows_a_part: int = PREFIX_ROWS) -> DataFrame:
+    """name and n_near (over 0) of each different fingerprint: how many others lie within radius bits of it.
+
+    The tables are those of within_radius(), but no pair is written or leaves its task: a pair counts in the
+    first of the tables in which it meets, and what leaves the join are sums. Fingerprints under a prefix
+    that more than rows_a_part of them share, such as those of many slightly different copies, are parted:
+    each part meets all of them, in a task of its own.
+    """
+    if not 0 <= radius < blocks <= BITS // 4:
+        raise ValueError("radius must be smaller than blocks, and blocks at most the digits of a fingerprint")
+    digits = BITS // 4
+    edges = [digits * i // blocks for i in range(blocks + 1)]
+    cut = lambda c, i: F.substring(c, edges[i] + 1, edges[i + 1] - edges[i])
+    choices = list(combinations(range(blocks), blocks - radius))
+    prefixes = [F.struct(F.lit(t).alias("table"), F.concat(*[cut(F.col("f"), i) for i in chosen]).alias("prefix")) for t, chosen in enumerate(choices)]
+    words = [f"b{k}" for k in range(2 * len(SEEDS))]
+    different = prints.where(F.col(name).isNotNull()).select(F.col(name).alias("f")).distinct()
+    rows = written(different.select("f", *[w.alias(n) for w, n in zip(bits(F.col("f")), words)], F.explode(F.array(*prefixes)).alias("x")).select("f", *words, "x.*"), "prefixes")
+    shared = rows.groupBy("table", "prefix").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = written(shared.withColumn("parts", F.ceil(F.col("rows") / rows_a_part).cast("int")).drop("rows"), "shared")
+    rows = rows.join(small(shared), ["table", "prefix"])
+    left = rows.withColumn("part", F.pmod(F.xxhash64("f"), "parts").cast("int")).drop("parts").alias("l")
+    right = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("table", "prefix", "part", F.col("f").alias("g"), *[F.col(w).alias(f"g{w}") for w in words])
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"g{w}"))) for w in words), F.lit(0))
+    # the first table of a pair is that of the first blocks in which they agree
+    earlier = F.lit(False)
+    for t, chosen in enumerate(choices):
+        agree = [cut(F.col("f"), i) == cut(F.col("g"), i) for i in range(chosen[-1]) if i not in chosen]
+        for x in agree:
+            earlier = earlier | ((F.col("table") == t) & x)
+    met = left.join(right, ["table", "prefix", "part"]).where((apart <= radius) & (F.col("f") != F.col("g")) & ~earlier)
+    return met.groupBy(F.col("f").alias(name)).agg(F.count("*").alias("n_near"))
+
+
 def with_neighbours(rows: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, key: str = "doc_id", name: str = "fingerprint") -> DataFrame:
     """rows with n_near: how many other fingerprints of rows lie within radius bits of its own."""
-    _, pairs = within_radius(rows, radius, blocks, key, name)
-    ends = pairs.select("fa").unionByName(pairs.select(F.col("fb").alias("fa")))
-    counts = written(ends.groupBy(F.col("fa").alias(name)).agg(F.count("*").alias("n_near")), "neighbours")
+    counts = written(neighbour_counts(rows, radius, blocks, name), "neighbours")
     return salted_join(rows, counts, name, key).withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
 
 

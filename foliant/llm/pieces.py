@@ -363,6 +363,11 @@ def production_model() -> str:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every document: the number of pieces, the CRC-32 of its ids (little-endian, 32 bits each), and whether decoding gives the text back."""
+    """Of every document: the number of pieces, the CRC-32 of its ids (little-endian, 32 bits each), and whether decoding gives the text back.
+
+    A null or empty text has no pieces; long texts are encoded whole, by their units. Equal texts have equal
+    ids, and rows that share an id, or have none, each have their row. Only doc_id and text are read; an
+    empty table gives an empty one.
+    """
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return map_arrow(docs, _digest(production_model()), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")

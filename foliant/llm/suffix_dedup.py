@@ -527,6 +527,12 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document its bytes, those that repeated strings cover, their runs, and a digest of the rest.
+
+    A null text is empty; texts under 200 bytes have nothing to remove, longer ones are read whole. Equal
+    texts, and rows that repeat a document, remove all of each other; rows without an id are like others.
+    Only doc_id and text are read, whatever other columns there are; an empty table gives an empty one.
+    """
     return map_arrow(repeated(documents(spark, sf_dir)), _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

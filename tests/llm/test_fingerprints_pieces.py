@@ -177,3 +177,27 @@ def test_long_and_short_units_merge_alike():
     for length in (1, 2, 3, 9, 30):
         units = ["".join(rng.choices("aeinrst▁語🙂0", k=length)) for _ in range(100)]
         assert model.encode_equal(units) == [model.encode_long(u) for u in units]
+
+
+def test_many_near_copies_are_counted_without_pairs(spark, monkeypatch, tmp_path):
+    """3,000 fingerprints that differ by few bits, in parts: counts as by brute force, and no table with more rows than the prefixes."""
+    rng = np.random.default_rng(3)
+    near = {0}
+    while len(near) < 3000:
+        near.add(int(sum(1 << int(b) for b in rng.choice(128, rng.integers(1, 4), replace=False))))
+    prints = [f"{x:032x}" for x in near] + [f"{int(rng.integers(1, 1 << 62)) << 40:032x}" for _ in range(200)]
+    prints = sorted(set(prints))
+    rows_written = []
+    monkeypatch.setattr(F7, "written", lambda df, name, inner=F7.written: (lambda out: (rows_written.append((name, out.count())), out)[1])(inner(df, name)))
+    table = spark.createDataFrame([(i, f) for i, f in enumerate(prints)] + [(-1, prints[0]), (-2, None)], "doc_id long, fingerprint string")
+    counts = {r.fingerprint: r.n_near for r in F7.neighbour_counts(table, rows_a_part=100).collect()}
+    words = np.array([[int(f[k : k + 16], 16) for k in (0, 16)] for f in prints], np.uint64)
+    want = {}
+    for f, w in zip(prints, words):
+        n = int((np.bitwise_count(words ^ w).sum(axis=1) <= F7.RADIUS).sum()) - 1
+        if n:
+            want[f] = n
+    assert counts == want and max(want.values()) > 1000
+    assert max(n for _, n in rows_written) <= 10 * len(prints)
+    got = F7.with_neighbours(table).collect()
+    assert all(r.n_near == want.get(r.fingerprint, 0) for r in got) and len(got) == len(prints) + 2
