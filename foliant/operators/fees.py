@@ -68,10 +68,10 @@ TOTAL_TEXTS = {f"_total_{k}": (word, POSITIVE) for k, word in enumerate(TOTALS[:
 def parsed_receipts(receipts: DataFrame) -> DataFrame:
     """material_id, case_id, fee_type, description and amount of receipts (and filename, ocr_text) that state a total.
 
-    The type is the file name's, else the text's. Receipts without text or total give no row.
+    The type is the file name's, else the text's. Receipts without a total, so also those without text, give no row.
     """
     text = F.col("ocr_text")
-    found = receipts.where("ocr_text <> ''").select("material_id", "case_id", fee_code(F.col("filename"), text).alias("_code"), *texts_after(text, **TOTAL_TEXTS))
+    found = receipts.select("material_id", "case_id", fee_code(F.col("filename"), text).alias("_code"), *texts_after(text, **TOTAL_TEXTS))
     # exploded, so that the filter on it does not compute it a second time
     out = found.select("material_id", "case_id", "_code", F.explode(F.array(first_amount(*TOTAL_TEXTS))).alias("amount")).where("amount is not null")
     named = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in FEES]), F.col("_code"))
@@ -85,10 +85,12 @@ def receipt_details(receipts: DataFrame) -> DataFrame:
         "material_id", "case_id", "filename", F.regexp_extract(text, r"([^\n，。；:：]{2,20}?(?:医院|卫生院|诊所|卫生所))", 1).alias("_hospital"), first_date(text).alias("receipt_date"),
         *texts_after(text, **TOTAL_TEXTS, _fund=("统筹支付", AMOUNT), _insured=("医保支付", AMOUNT), _own=("个人(?:自付|支付)", AMOUNT)),
     )
-    found = found.select("*", F.coalesce(first_amount(*TOTAL_TEXTS), none).alias("total"), F.coalesce(first_amount("_fund", "_insured"), none).alias("insurance"))
+    amounts = F.struct(F.coalesce(first_amount(*TOTAL_TEXTS), none).alias("total"), F.coalesce(first_amount("_fund", "_insured"), none).alias("insurance"), first_amount("_own").alias("own"))
     hospital = F.when(F.col("_hospital") != "", F.col("_hospital")).otherwise("未知医院")
-    own = F.coalesce(first_amount("_own"), F.greatest(F.col("total") - F.col("insurance"), none).cast(MONEY))
-    return found.select("material_id", "case_id", hospital.alias("hospital"), "receipt_date", "total", "insurance", own.alias("self_pay"), receipt_tail(F.col("filename")).alias("tail"))
+    # exploded, so that a filter on an amount does not run the patterns a second time
+    found = found.select("material_id", "case_id", "filename", hospital.alias("hospital"), "receipt_date", F.explode(F.array(amounts)).alias("_a"))
+    own = F.coalesce("_a.own", F.greatest(F.col("_a.total") - F.col("_a.insurance"), none).cast(MONEY))
+    return found.select("material_id", "case_id", "hospital", "receipt_date", "_a.total", "_a.insurance", own.alias("self_pay"), receipt_tail(F.col("filename")).alias("tail"))
 
 
 def typed_items(receipts: DataFrame) -> DataFrame:
