@@ -100,3 +100,34 @@ def test_similar_headers_go_as_in_a_fold(spark, most):
     df = spark.createDataFrame(rows, "doc_id long, page int, idx int, text string, y int")
     got = {(r.doc_id, r.page, r.idx) for r in S.without_similar_lines(df, most=most).collect()}
     assert got == want and len(want) < len(rows)
+
+
+def test_query_removes_lines_that_differ_by_a_number(spark, sf_dir):
+    """The query's result is that of a plain fold over each document, and not that of exact comparison."""
+    from foliant.plans import structure as plans
+    from foliant.plans.derived import blocks
+
+    rows = blocks(spark, sf_dir).selectExpr(*plans.STAMPED)
+    by_document: dict = {}
+    for r in rows.orderBy("doc_id", "page", "idx").collect():
+        by_document.setdefault(r.doc_id, []).append(r)
+    want = set()
+    for d, lines in by_document.items():
+        pages = len({r.page for r in lines})
+        known: dict = {"header": {}, "footer": {}}
+        zone = lambda r: None if not r.text.strip(" \t\n\x0b\f\r\u3000") else "header" if r.y < 175.4 else "footer" if r.y > 3227.36 else None
+        for r in lines:
+            z, t = zone(r), r.text.strip(" \t\n\x0b\f\r\u3000")
+            if z and pages >= 3:
+                if t not in known[z]:
+                    t = next((k for k in known[z] if S.similarity_of(t, k) >= 0.7), t)
+                known[z][t] = known[z].get(t, 0) + 1
+        often = {z: [k for k, c in known[z].items() if c >= max(2, int(pages * 0.3))] for z in known}
+        for r in lines:
+            z, t = zone(r), r.text.strip(" \t\n\x0b\f\r\u3000")
+            if not (z and any(S.similarity_of(t, k) >= 0.7 for k in often[z])):
+                want.add((d, r.page, r.idx))
+    got = {(r.doc_id, r.page, r.idx) for r in plans.similar_line_removal(spark, sf_dir).collect()}
+    assert got == want
+    exact = {(r.doc_id, r.page, r.idx) for r in S.without_repeated_lines(rows).collect()}
+    assert got < exact
