@@ -15,7 +15,8 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +32,9 @@ SPACE = "▁"
 #: Units of more characters are searched one by one, over all their substrings at once.
 LONG_UNIT = 48
 #: Units kept in a worker with their ids; at this number the memory starts anew.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 400_000
+#: Ends of a long unit whose substrings are held at once.
+BLOCK = 1 << 14
 #: What an unknown character's score lies below the lowest piece's.
 UNKNOWN_PENALTY = 10.0
 BASE = np.uint64(0x100000001B3)
@@ -131,34 +134,46 @@ class PieceModel:
         return out
 
     def encode_long(self, unit: str) -> bytes:
-        """Ids of one unit: substrings are probed for all starts at once, then scores are carried on."""
+        """Ids of one unit: in blocks of ends, substrings of all lengths are probed at once, then scores are carried on."""
         length = len(unit)
         codes = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-        ends: list[list[tuple[int, float, int]]] = [[] for _ in range(length + 1)]
-        window = np.zeros(length, np.uint64)
-        for width in range(1, min(self.longest, length) + 1):
-            window = window[: length - width + 1] * BASE + codes[width - 1 :]
-            score, at = self.probe(mix(window + np.uint64(width)))
-            hits = np.flatnonzero(score > -np.inf)
-            for s, v, p in zip(hits.tolist(), score[hits].tolist(), at[hits].tolist()):
-                ends[s + width].append((s, v, p))
-        best, back, piece = [0.0] + [-np.inf] * length, [0] * (length + 1), [-1] * (length + 1)
-        for end in range(1, length + 1):
-            options = sorted(ends[end])
-            if not options or options[-1][0] != end - 1:
-                options.append((end - 1, self.unknown, -1))
-            for start, value, p in options:
-                if best[start] + value > best[end]:
-                    best[end], back[end], piece[end] = best[start] + value, start, p
+        best, back, piece = array("d", [0.0]) + array("d", [-np.inf]) * length, array("i", [0]) * (length + 1), array("i", [-1]) * (length + 1)
+        for low in range(0, length, BLOCK):
+            high, first = min(low + BLOCK, length), max(0, low - self.longest + 1)
+            ends: list[list[tuple[int, float, int]]] = [[] for _ in range(high - low)]
+            part = codes[first:high]
+            window = np.zeros(len(part), np.uint64)
+            for width in range(1, min(self.longest, len(part)) + 1):
+                window = window[: len(part) - width + 1] * BASE + part[width - 1 :]
+                score, at = self.probe(mix(window + np.uint64(width)))
+                hits = np.flatnonzero(score > -np.inf)
+                hits = hits[hits + first + width > low]
+                for s, v, p in zip((hits + first).tolist(), score[hits].tolist(), at[hits].tolist()):
+                    ends[s + width - low - 1].append((s, v, p))
+            for end, options in enumerate(ends, low + 1):
+                if not options or options[0][0] != end - 1:
+                    options.insert(0, (end - 1, self.unknown, -1))
+                # the shortest was found first; the longest is to win among equals
+                for start, value, p in reversed(options):
+                    if best[start] + value > best[end]:
+                        best[end], back[end], piece[end] = best[start] + value, start, p
         return self._trace(unit, back, piece)
 
-    def _trace(self, unit: str, back: list[int], piece: list[int]) -> bytes:
-        end, parts = len(unit), []
+    def _trace(self, unit: str, back: Sequence[int], piece: Sequence[int]) -> bytes:
+        end, ids = len(unit), array("I")
         while end:
             start = back[end]
-            parts.append([int(self.ids[piece[end]])] if piece[end] >= 0 else [self.bytes[b] for b in unit[start:end].encode("utf-8", "surrogatepass")])
+            ids.extend([int(self.ids[piece[end]])] if piece[end] >= 0 else [self.bytes[b] for b in reversed(unit[start:end].encode("utf-8", "surrogatepass"))])
             end = start
-        return np.array([i for p in reversed(parts) for i in p], "<u4").tobytes()
+        return np.array(ids[::-1], "<u4").tobytes()
+
+    def with_scores(self, log_probabilities: np.ndarray) -> PieceModel:
+        """A unigram model of the same pieces with these scores, by id."""
+        out = object.__new__(PieceModel)
+        out.__dict__.update(self.__dict__)
+        out.scores = log_probabilities[self.ids]
+        out.unknown = float(out.scores.min()) - UNKNOWN_PENALTY
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes joined, ▁ as space, without the space before the text."""
@@ -287,7 +302,10 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, 32 bits each."""
-        split = [self.units(x) for x in texts]
+        return self.encode_units([self.units(x) for x in texts])
+
+    def encode_units(self, split: list[list[str]]) -> list[bytes]:
+        """The ids of each list of units."""
         known = self.known
         if len(known) > CACHE_UNITS:
             known.clear()
@@ -343,15 +361,77 @@ def decoded(tokens: DataFrame, model_path: str) -> DataFrame:
     return map_arrow(tokens.select("doc_id", "ids"), _decode(model_path), "doc_id long, text string")
 
 
-def _digest(path: str):
+@lru_cache(maxsize=1)
+def searcher_of(path: str, scores: bytes) -> Encoder:
+    """One encoder by a Viterbi search over these scores (64-bit floats by id) for all tasks of a worker."""
+    return Encoder(path, encoder_of(path).model.with_scores(np.frombuffer(scores, np.float64)))
+
+
+def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
+        counts = np.zeros(len(encoder.model.out), np.int64)
+        for batch in batches:
+            ids = b"".join(encoder.encode_batch(pc.fill_null(batch.column(0), "").to_pylist()))
+            counts += np.bincount(np.frombuffer(ids, "<u4"), minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["piece", "n"])
+
+    return run
+
+
+def piece_counts(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+    """piece (its id) and n, how often it comes in the encodings of all rows; a task hands on one row a piece."""
+    return map_arrow(docs.select(F.col(text).alias("text")), _count(model_path), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def log_probabilities(counts: DataFrame, model_path: str) -> np.ndarray:
+    """Natural logarithms of (n + 1) / (N + V) by id, of counts as piece_counts() has them: as many numbers as the model has pieces."""
+    values = np.ones(len(encoder_of(model_path).model.out))
+    for piece, n in counts.select("piece", "n").collect():
+        values[piece] += n
+    return np.log(values) - np.log(values.sum())
+
+
+def _searched(path: str, scores: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher, table = searcher_of(path, scores), np.frombuffer(scores, np.float64)
+        for batch in batches:
+            ids = [np.frombuffer(x, "<i4") for x in searcher.encode_batch(pc.fill_null(batch.column(1), "").to_pylist())]
+            sums = pa.array([float(table[x].sum()) for x in ids], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), sums], ["doc_id", "ids", "log_prob"])
+
+    return run
+
+
+def searched(docs: DataFrame, model_path: str, scores: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids and log_prob of every row: the segmentation into the model's pieces whose scores (log probabilities by id) have
+    the greatest sum, found by a Viterbi search. Characters without a piece are bytes. A null or empty text has no ids and 0."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return map_arrow(rows, _searched(model_path, scores.astype(np.float64).tobytes()), "doc_id long, ids array<int>, log_prob double")
+
+
+DIGEST = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, log_prob double, n_best_pieces long, best_crc32 long, best_log_prob double"
+
+
+def _digest(path: str, scores: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, searcher, table = encoder_of(path), searcher_of(path, scores), np.frombuffer(scores, np.float64)
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "").to_pylist()
-            ids = encoder.encode_batch(texts)
-            rows = [(len(x) // 4, zlib.crc32(x), encoder.model.decode(np.frombuffer(x, "<u4").tolist()) == t) for x, t in zip(ids, texts)]
-            columns = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
+            split = [encoder.units(x) for x in texts]
+            merged = [np.frombuffer(x, "<u4") for x in encoder.encode_units(split)]
+            best = [np.frombuffer(x, "<u4") for x in searcher.encode_units(split)]
+            columns = [
+                pa.array([len(x) for x in merged], pa.int64()),
+                pa.array([zlib.crc32(x) for x in merged], pa.int64()),
+                pa.array([encoder.model.decode(x.tolist()) == t for x, t in zip(merged, texts)], pa.bool_()),
+                pa.array([float(table[x].sum()) for x in merged], pa.float64()),
+                pa.array([len(x) for x in best], pa.int64()),
+                pa.array([zlib.crc32(x) for x in best], pa.int64()),
+                pa.array([float(table[x].sum()) for x in best], pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [c.split()[0] for c in DIGEST.split(", ")])
 
     return run
 
@@ -363,11 +443,15 @@ def production_model() -> str:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every document: the number of pieces, the CRC-32 of its ids (little-endian, 32 bits each), and whether decoding gives the text back.
+    """Of every document: the number of pieces, the CRC-32 of its ids (little-endian, 32 bits each), and whether decoding gives the
+    text back; and the same number and CRC-32 of the segmentation that is likeliest by the pieces' frequencies in all documents,
+    which a Viterbi search finds, with the log probabilities of both.
 
     A null or empty text has no pieces; long texts are encoded whole, by their units. Equal texts have equal
     ids, and rows that share an id, or have none, each have their row. Only doc_id and text are read; an
     empty table gives an empty one.
     """
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_arrow(docs, _digest(production_model()), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+    path = production_model()
+    scores = log_probabilities(piece_counts(docs, path), path)
+    return map_arrow(docs, _digest(path, scores.tobytes()), DIGEST)

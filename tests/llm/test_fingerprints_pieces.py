@@ -201,3 +201,36 @@ def test_many_near_copies_are_counted_without_pairs(spark, monkeypatch, tmp_path
     assert max(n for _, n in rows_written) <= 10 * len(prints)
     got = F7.with_neighbours(table).collect()
     assert all(r.n_near == want.get(r.fingerprint, 0) for r in got) and len(got) == len(prints) + 2
+
+
+def test_frequencies_choose_the_best_segmentation(spark, documents, texts, edge, empty):
+    """Counts as by a plain sum; the search over them as a plain one, also for units of many blocks; merges are never likelier."""
+    path = P6.production_model()
+    merging = P6.encoder_of(path)
+    ids = [np.frombuffer(x, "<u4") for x in merging.encode_batch(list(texts.values()))]
+    want = np.bincount(np.concatenate(ids), minlength=len(merging.model.out))
+    counts = P6.piece_counts(documents, path)
+    assert {r.piece: r.n for r in counts.collect()} == {int(i): int(want[i]) for i in np.flatnonzero(want)}
+    scores = P6.log_probabilities(counts, path)
+    assert np.allclose(np.exp(scores), (want + 1) / (want.sum() + len(want)))
+    model = merging.model.with_scores(scores)
+    assert type(model) is P6.PieceModel and merging.model.scores is not model.scores
+    samples = [t[:150] for t in list(texts.values())[:20]] + ["", "\n\n a", "日本語 テスト\n🙂", "x" * 90 + "é" * 30, " " * 60]
+    for s, got in zip(samples, P6.searcher_of(path, scores.tobytes()).encode_batch(samples)):
+        assert np.frombuffer(got, "<u4").tolist() == viterbi(model, s), s
+    rows = {r.doc_id: r for r in P6.searched(documents, path, scores).collect()}
+    for k, (i, x) in enumerate(texts.items()):
+        assert rows[i].log_prob >= scores[ids[k]].sum() - 1e-6
+        assert merging.model.decode(rows[i].ids) == x
+    odd = P6.searched(edge, path, scores).collect()
+    assert len(odd) == edge.count() and all((not r.ids and r.log_prob == 0) == (r.doc_id in (2, 3)) for r in odd)
+    assert P6.searched(empty, path, scores).count() == 0 and P6.piece_counts(empty, path).count() == 0
+    assert np.allclose(np.exp(P6.log_probabilities(P6.piece_counts(empty, path), path)), 1 / len(want))
+
+
+def test_long_units_in_blocks(monkeypatch):
+    model, rng = P6.PieceModel(P6.production_model()), random.Random(8)
+    units = ["".join(rng.choices("aeinrst▁語🙂0", k=n)) for n in (1, 7, 60, 400)]
+    for block in (1, 3, 16, 1 << 14):
+        monkeypatch.setattr(P6, "BLOCK", block)
+        assert [model.encode_long(u) for u in units] == [model.encode_equal([u])[0] for u in units]
