@@ -16,6 +16,7 @@ import heapq
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -26,13 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_arrow
-from .shingles import mix
+from .shingles import STEP
 
 SPACE = "▁"
 #: Units of more characters are searched one by one, over all their substrings at once.
 LONG_UNIT = 48
 #: Units kept in a worker with their ids; at this number the memory starts anew.
 CACHE_UNITS = 400_000
+#: Units of one length that advance together.
+EQUAL_UNITS = 4_000
+#: Bits of a hash by which substrings that are no piece are told apart without a search; a byte for each value.
+SIEVE_BITS = 20
 #: Ends of a long unit whose substrings are held at once.
 BLOCK = 1 << 14
 #: What an unknown character's score lies below the lowest piece's.
@@ -57,13 +62,20 @@ class PieceModel:
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte pieces to fall back on")
         self.longest = max(map(len, texts.values()))
-        keys = np.array([self.key(t) for t in texts.values()], np.uint64)
+        keys = np.array([self.raw_key(t) for t in texts.values()], np.uint64) * STEP
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(list(texts), np.int64)[order]
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces have one hash")
+        slots = (self.keys >> np.uint64(64 - SIEVE_BITS)).view(np.int64)
+        in_slot = np.bincount(slots, minlength=1 << SIEVE_BITS)
+        self.sieve, self.most = in_slot > 0, int(in_slot.max())
+        self.begins = (np.cumsum(in_slot) - in_slot).astype(np.int32)
         self.scores = np.array([sp.get_score(int(i)) for i in self.ids], np.float64)
         self.unknown = float(self.scores.min()) - UNKNOWN_PENALTY
+        self.powers = np.ones(self.longest + 1, np.uint64)
+        for k in range(1, len(self.powers)):
+            self.powers[k : k + 1] = self.powers[k - 1 : k] * BASE
         self.out = [b""] * size
         for i, t in texts.items():
             self.out[i] = t.replace(SPACE, " ").encode()
@@ -79,39 +91,54 @@ class PieceModel:
         return out
 
     @classmethod
-    def key(cls, text: str) -> np.uint64:
+    def raw_key(cls, text: str) -> np.uint64:
         codes = np.array([[ord(c) + 1 for c in text]], np.uint64)
-        return mix(cls.prefix_hashes(codes)[:, -1] + np.uint64(len(text)))[0]
-
-    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of the pieces with these keys (minus infinity: none) and their places."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.scores[at], -np.inf), at
+        return (cls.prefix_hashes(codes)[:, -1] + np.uint64(len(text)))[0]
+
+    def find(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these unmixed hashes are pieces, and the places of those among the sorted keys.
+
+        The upper bits of a key give where its like begin; most that are no piece have none there.
+        """
+        keys = raw * STEP
+        slots = (keys >> np.uint64(64 - SIEVE_BITS)).view(np.int64)
+        maybe = np.flatnonzero(self.sieve.take(slots))
+        keys, at = keys[maybe], self.begins[slots[maybe]]
+        same = self.keys[at] == keys
+        for _ in range(self.most - 1):
+            at = np.where(same, at, np.minimum(at + 1, len(self.keys) - 1))
+            same = self.keys[at] == keys
+        return maybe[same], at[same]
+
+    def probe(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the pieces with these unmixed hashes (minus infinity: none) and their places."""
+        hits, places = self.find(raw)
+        score, at = np.full(len(raw), -np.inf), np.zeros(len(raw), np.int64)
+        score[hits], at[hits] = self.scores[places], places
+        return score, at
 
     def encode_equal(self, units: list[str]) -> list[bytes]:
         """Ids of units of one length, all advancing together (little-endian, 32 bits each)."""
         n, length = len(units), len(units[0])
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length).astype(np.uint64) + np.uint64(1)
-        prefix = self.prefix_hashes(codes)
-        powers = np.ones(self.longest + 1, np.uint64)
-        for k in range(1, len(powers)):
-            powers[k : k + 1] = powers[k - 1 : k] * BASE
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        back, piece = np.zeros((n, length + 1), np.int32), np.full((n, length + 1), -1, np.int32)
+        # a row for each end, so that what is read and written together lies together
+        prefix = np.ascontiguousarray(self.prefix_hashes(codes).T)
+        best = np.full((length + 1, n), -np.inf)
+        best[0] = 0
+        back, piece = np.zeros((length + 1, n), np.int32), np.full((length + 1, n), -1, np.int32)
+        columns = np.arange(n)
         for end in range(1, length + 1):
-            for start in range(max(0, end - self.longest), end):
-                width = end - start
-                score, at = self.probe(mix(prefix[:, end] - prefix[:, start] * powers[width] + np.uint64(width)))
-                if width == 1:
-                    at = np.where(score == -np.inf, -1, at)
-                    score = np.where(score == -np.inf, self.unknown, score)
-                total = best[:, start] + score
-                better = total > best[:, end]
-                best[better, end] = total[better]
-                back[better, end] = start
-                piece[better, end] = at[better]
-        return self._trace_equal(units, back, piece)
+            low = max(0, end - self.longest)
+            widths = np.arange(end - low, 0, -1)
+            hits, at = self.find((prefix[end] - prefix[low:end] * self.powers[widths, None] + widths[:, None].astype(np.uint64)).ravel())
+            total, place = np.full((end - low, n), -np.inf), np.full((end - low) * n, -1, np.int32)
+            total[-1] = best[end - 1] + self.unknown
+            total.ravel()[hits] = best[low:end].ravel()[hits] + self.scores[at]
+            place[hits] = at
+            # the first of equal sums has the longest last piece
+            chosen = total.argmax(axis=0)
+            best[end], back[end], piece[end] = total[chosen, columns], low + chosen, place[chosen * n + columns]
+        return self._trace_equal(units, back.T, piece.T)
 
     def _trace_equal(self, units: list[str], back: np.ndarray, piece: np.ndarray) -> list[bytes]:
         """Follows the backpointers of all units at once, from the end; units with unknown characters go one by one."""
@@ -145,10 +172,10 @@ class PieceModel:
             window = np.zeros(len(part), np.uint64)
             for width in range(1, min(self.longest, len(part)) + 1):
                 window = window[: len(part) - width + 1] * BASE + part[width - 1 :]
-                score, at = self.probe(mix(window + np.uint64(width)))
-                hits = np.flatnonzero(score > -np.inf)
-                hits = hits[hits + first + width > low]
-                for s, v, p in zip((hits + first).tolist(), score[hits].tolist(), at[hits].tolist()):
+                hits, at = self.find(window + np.uint64(width))
+                fresh = hits + first + width > low
+                hits, at = hits[fresh], at[fresh]
+                for s, v, p in zip((hits + first).tolist(), self.scores[at].tolist(), at.tolist()):
                     ends[s + width - low - 1].append((s, v, p))
             for end, options in enumerate(ends, low + 1):
                 if not options or options[0][0] != end - 1:
@@ -190,15 +217,11 @@ class MergeModel(PieceModel):
             raise ValueError("user-defined or unused pieces are not merged by rank alone")
         texts = (self.out[i].decode().replace(" ", SPACE) for i in self.ids.tolist())
         self.ranked = dict(zip(texts, zip(self.scores.tolist(), self.ids.tolist())))
-        self.powers = np.ones(self.longest + 1, np.uint64)
-        for k in range(1, len(self.powers)):
-            self.powers[k : k + 1] = self.powers[k - 1 : k] * BASE
 
     def _between(self, prefix: np.ndarray, rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """probe() of the substrings [start, end) of rows."""
         width = end - start
-        keys = mix(prefix[rows, end] - prefix[rows, start] * self.powers[np.minimum(width, self.longest)] + width.astype(np.uint64))
-        score, at = self.probe(keys)
+        score, at = self.probe(prefix[rows, end] - prefix[rows, start] * self.powers[np.minimum(width, self.longest)] + width.astype(np.uint64))
         return np.where(width > self.longest, -np.inf, score), at
 
     def encode_equal(self, units: list[str]) -> list[bytes]:
@@ -212,7 +235,7 @@ class MergeModel(PieceModel):
         #: The score of the pair whose left symbol begins here.
         pair = np.full((n, length), -np.inf)
         if length > 1:
-            pair[:, :-1] = self.probe(mix(prefix[:, 2:] - prefix[:, :-2] * self.powers[2] + np.uint64(2)))[0] if self.longest > 1 else -np.inf
+            pair[:, :-1] = self.probe((prefix[:, 2:] - prefix[:, :-2] * self.powers[2] + np.uint64(2)).ravel())[0].reshape(n, -1) if self.longest > 1 else -np.inf
         rows = np.arange(n)
         while len(rows):
             left = pair[rows].argmax(axis=1)
@@ -318,8 +341,8 @@ class Encoder:
                 for u in units:
                     known[u] = self.model.encode_long(u)
             else:
-                for i in range(0, len(units), 20_000):
-                    part = units[i : i + 20_000]
+                for i in range(0, len(units), EQUAL_UNITS):
+                    part = units[i : i + EQUAL_UNITS]
                     known.update(zip(part, self.model.encode_equal(part)))
         return [b"".join(map(known.__getitem__, units)) for units in split]
 
@@ -372,8 +395,12 @@ def _count(path: str):
         encoder = encoder_of(path)
         counts = np.zeros(len(encoder.model.out), np.int64)
         for batch in batches:
-            ids = b"".join(encoder.encode_batch(pc.fill_null(batch.column(0), "").to_pylist()))
-            counts += np.bincount(np.frombuffer(ids, "<u4"), minlength=len(counts))
+            units: Counter[str] = Counter()
+            for text in pc.fill_null(batch.column(0), "").to_pylist():
+                units.update(encoder.units(text))
+            ids = encoder.encode_units([[u] for u in units])
+            times = np.repeat(np.fromiter(units.values(), np.int64, len(units)), [len(x) // 4 for x in ids])
+            counts += np.bincount(np.frombuffer(b"".join(ids), "<u4"), times, len(counts)).astype(np.int64)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["piece", "n"])
 
