@@ -91,3 +91,14 @@ def test_a_second_attempt_leaves_no_second_container(tmp_path, monkeypatch):
     message = again.write(iter([_batch([("z", "1", b"1", None)])]))
     again.abort([message])
     assert sorted(p.name for p in Path(tmp_path).rglob("*.zip")) == ["a.zip", "b.zip"]
+
+
+def test_small_containers_share_files_and_failures_stay_with_the_tasks(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(f"案件{c}", f"{m}.txt", rng.randbytes(rng.randrange(40, 90)), None) for c in range(200) for m in range(3)] + [("large", f"{m}.bin", rng.randbytes(B.PACKED // 2), None) for m in range(4)]
+    failed = [(f"案件{c}", "x.pdf", None, "TEMPLATE_MISSING") for c in range(0, 200, 2)] + [("only", "x.pdf", None, "TEMPLATE_MISSING")]
+    B.write_bundles(spark.createDataFrame([*rows, *failed], SCHEMA).repartition(5), f"file://{tmp_path}/out", packed=True)
+    assert rows_of(spark, tmp_path / "out") == sorted([*rows, *failed], key=str)
+    files = [p for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.startswith(".")]
+    assert [p.name for p in files if p.suffix == ".zip"] == ["large.zip"] and len(files) <= 3 * 4
+    assert "failures" not in B.Written.__dataclass_fields__
