@@ -8,16 +8,19 @@ before it tries again, twice as long each time.
 The rules are one small machine, `Desk`, that takes a model's events in order of time. A stream keeps
 events in state until the watermark has passed them, so order of arrival does not matter, and timers
 give answers that no event brings (a deadline, the end of the permits). A table is cut where a model
-rested long enough to have forgotten everything, and each stretch is folded by itself.
+rested long enough to have forgotten everything, and each stretch is folded by itself, as its sorted
+rows come: an event costs the desk the logarithm of how many wait, and a task holds no more than who waits.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import OrderedDict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -34,12 +37,17 @@ LIMITS = {"text": 10, "ocr": 5, "flash": 20}
 OTHERS = 5
 
 ANSWERS = "model string, request string, outcome string, at_ms long, waited_s double, used int, permits int"
+ANSWERS_AT_ONCE = 20_000
 EVENT = "seq long, request string, action string, at_ms long, wait_ms long"
 
 
 @dataclass
 class Desk:
-    """One model's permits, waiting requests and refusals; times in ms, answers as (request, outcome, at, seconds)."""
+    """One model's permits, waiting requests and refusals; times in ms, answers as (request, outcome, at, seconds).
+
+    Who waits is kept in order of arrival, and by deadline in a heap (that of a request which has been granted is passed over
+    later); events come in order of time, so tries end in the order in which they were noted.
+    """
 
     base: int
     used: int = 0
@@ -49,18 +57,61 @@ class Desk:
     waiting: list[tuple[str, int, int]] = field(default_factory=list)
     tries: dict[str, tuple[int, int]] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self._queue = OrderedDict(enumerate(self.waiting))
+        self._n = len(self._queue)
+        self._deadlines = [(w[2], k) for k, w in self._queue.items()]
+        heapq.heapify(self._deadlines)
+        self._ends_of_tries = deque(sorted((until, request) for request, (_, until) in self.tries.items()))
+
+    def waits(self) -> list[tuple[str, int, int]]:
+        return list(self._queue.values())
+
     def permits(self) -> int:
         return max(1, self.base // 2) if self.refusals >= REFUSALS else self.base
 
     def next_change(self) -> int | None:
         """When something happens next without an event."""
-        times = [deadline for _, _, deadline in self.waiting] + [until for _, until in self.tries.values()]
-        times += [self.ends] * bool(self.used) + [self.refusals_end] * bool(self.refusals)
-        return min(times, default=None)
+        self._forget()
+        times = [self._ends_of_tries[0][0]] if self._ends_of_tries else []
+        at = self._next_grant_or_refusal()
+        return min([*times, at] if at is not None else times, default=None)
+
+    def _next_grant_or_refusal(self) -> int | None:
+        """next_change without the ends of tries, which let nobody in."""
+        deadlines, queue = self._deadlines, self._queue
+        while deadlines and deadlines[0][1] not in queue:
+            heapq.heappop(deadlines)
+        at = deadlines[0][0] if deadlines else None
+        if self.used and (at is None or self.ends < at):
+            at = self.ends
+        if self.refusals and (at is None or self.refusals_end < at):
+            at = self.refusals_end
+        return at
+
+    def _forget(self, now: int | None = None) -> None:
+        """Drops tries that ended by now, and ends that are no longer those of a try."""
+        ends, tries = self._ends_of_tries, self.tries
+        while ends:
+            until, request = ends[0]
+            stands = tries.get(request, (0, None))[1] == until
+            if stands and (now is None or until > now):
+                break
+            ends.popleft()
+            if stands:
+                del tries[request]
+
+    def _wait(self, request: str, now: int, deadline: int) -> None:
+        self._queue[self._n] = request, now, deadline
+        heapq.heappush(self._deadlines, (deadline, self._n))
+        self._n += 1
+        if len(self._deadlines) > 2 * len(self._queue) + 1000:
+            self._deadlines = [(w[2], k) for k, w in self._queue.items()]
+            heapq.heapify(self._deadlines)
 
     def _grant(self, now: int) -> Iterator[tuple]:
-        while self.waiting and self.used < self.permits():
-            request, since, _ = self.waiting.pop(0)
+        while self._queue and self.used < self.permits():
+            _, (request, since, _) = self._queue.popitem(last=False)
             yield self._take(request, since, now)
 
     def _take(self, request: str, since: int, now: int) -> tuple:
@@ -71,16 +122,17 @@ class Desk:
 
     def pass_time(self, now: int) -> Iterator[tuple]:
         """What happens by itself up to now: deadlines first, then ends of permits and refusals, then grants."""
-        while (at := self.next_change()) is not None and at <= now:
-            for request, since, deadline in [w for w in self.waiting if w[2] <= at]:
-                self.waiting.remove((request, since, deadline))
-                yield request, "refused", at, (at - since) / 1000, self.used, self.permits()
+        while (at := self._next_grant_or_refusal()) is not None and at <= now:
+            while self._deadlines and self._deadlines[0][0] <= at:
+                waited = self._queue.pop(heapq.heappop(self._deadlines)[1], None)
+                if waited:
+                    yield waited[0], "refused", at, (at - waited[1]) / 1000, self.used, self.permits()
             if self.used and self.ends <= at:
                 self.used = 0
             if self.refusals and self.refusals_end <= at:
                 self.refusals = 0
-            self.tries = {r: t for r, t in self.tries.items() if t[1] > at}
             yield from self._grant(at)
+        self._forget(now)
 
     def event(self, request: str, action: str, now: int, wait_ms: int | None) -> Iterator[tuple]:
         yield from self.pass_time(now)
@@ -88,7 +140,7 @@ class Desk:
             if self.used < self.permits():
                 yield self._take(request, now, now)
             else:
-                self.waiting.append((request, now, now + (WAIT_MS if wait_ms is None else wait_ms)))
+                self._wait(request, now, now + (WAIT_MS if wait_ms is None else wait_ms))
         elif action == "release":
             self.used = max(0, self.used - 1)
             self.tries.pop(request, None)
@@ -100,6 +152,7 @@ class Desk:
             tried = self.tries.pop(request, (0, 0))[0]
             if tried < RETRIES:
                 self.tries[request] = (tried + 1, now + PERMIT_MS)
+                self._ends_of_tries.append((now + PERMIT_MS, request))
             yield request, "retry" if tried < RETRIES else "failed", now, FIRST_PAUSE_S * 2**tried if tried < RETRIES else 0.0, self.used, self.permits()
 
 
@@ -135,15 +188,32 @@ def answers(events: DataFrame) -> DataFrame:
     stretches = minutes.select(F.col("model").alias("_model"), F.col("minute").alias("_minute"), F.sum("starts").over(upto).alias("stretch"))
     rows = rows.join(stretches, (F.col("model") == F.col("_model")) & (F.col("minute") == F.col("_minute")))
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        desk, out = Desk(base_limit(key[0])), []
-        for r in pdf.sort_values(["at_ms", "seq"]).itertuples():
-            out += desk.event(r.request, r.action, r.at_ms, None if pd.isna(r.wait_ms) else int(r.wait_ms))
-        while (at := desk.next_change()) is not None:
-            out += desk.pass_time(at)
-        return pd.DataFrame([(key[0], *o) for o in out], columns=[c.split()[0] for c in ANSWERS.split(", ")])
+    names = [c.split()[0] for c in ANSWERS.split(", ")]
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
+    schema = pa.schema(list(zip(names, types)))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, desk, out = None, None, []
+
+        def end() -> None:
+            while desk is not None and (at := desk.next_change()) is not None:
+                out.extend((now[0], *o) for o in desk.pass_time(at))
+
+        for batch in batches:
+            for model, stretch, request, action, at, wait in zip(*(c.to_pylist() for c in batch.columns)):
+                if (model, stretch) != now:
+                    end()
+                    now, desk = (model, stretch), Desk(base_limit(model))
+                out.extend((model, *o) for o in desk.event(request, action, at, wait))
+                if len(out) >= ANSWERS_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], schema=schema)
+                    out.clear()
+        end()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], schema=schema)
 
-    return rows.select("model", "stretch", *(c.split()[0] for c in EVENT.split(", "))).groupBy("model", "stretch").applyInPandas(fold, ANSWERS)
+    dealt = rows.select("model", "stretch", "request", "action", "at_ms", "wait_ms", "seq").repartition("model", "stretch")
+    return dealt.sortWithinPartitions("model", "stretch", "at_ms", F.asc_nulls_last("seq")).drop("seq").mapInArrow(fold, ANSWERS)
 
 
 class LimiterProcessor(StatefulProcessor):
@@ -178,7 +248,7 @@ class LimiterProcessor(StatefulProcessor):
         yield from (Row(model=key[0], request=o[0], outcome=o[1], at_ms=o[2], waited_s=o[3], used=o[4], permits=o[5]) for o in out)
 
     def _keep(self, desk: Desk, pending: list[tuple]) -> None:
-        for state, values in ((self.pending, pending), (self.waiting, desk.waiting)):
+        for state, values in ((self.pending, pending), (self.waiting, desk.waits())):
             state.clear()
             if values:
                 state.put(values)

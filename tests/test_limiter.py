@@ -165,3 +165,19 @@ def test_stream_equals_the_simulation_out_of_order_and_after_a_restart(spark, tm
         assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in query.recentProgress if p["stateOperators"]) == 1
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_a_long_queue_costs_no_pass_an_event():
+    """20,000 requests wait at once and leave by their deadlines, by grants, or at the end; a pass over all at each event took minutes."""
+    import time
+
+    desk, out, began = L.Desk(5), [], time.time()
+    for i in range(20_000):
+        out += desk.event(f"r{i}", "acquire", i // 10, 50_000 + i % 7)
+    for i in range(2_000):
+        out += desk.event(f"r{i}", "release", 2_000 + i, None)
+    while (at := desk.next_change()) is not None:
+        out += desk.pass_time(at)
+    assert len(out) == 20_000 and len({o[0] for o in out}) == 20_000
+    assert [o[0] for o in out if o[1] == "granted"] == [f"r{i}" for i in range(2_005)]
+    assert time.time() - began < 10
