@@ -47,6 +47,8 @@ DOC_TYPES = (
     (("鉴定", "伤残等级", "因果关系"), "appraisal"),
     (("死亡", "尸检", "火化"), "death_certificate"),
 )
+#: Levels of importance, and characters of a paragraph's start that are worth taking (fixed values).
+LEVELS, START = 3, 50
 CRITICAL = "死亡诊断|死因分析|死亡原因|鉴定意见|鉴定结论|尸检诊断|解剖诊断|病理诊断|尸检报告|手术记录|执业证|执业范围|身份证号|身份证号码|统一社会信用代码|执业医师|鉴定人|鉴定机构|死亡诊断意见|出院诊断|死亡证明|尸体检验|尸体解剖|死因鉴定|解剖报告|病理鉴定|毒物鉴定|居民身份|户口|户籍|户主|身份号码|出生日期|住址|姓名|性别|民族"
 IMPORTANT = "诊断|治疗|检查|入院|出院|医嘱|护理|手术|转院|主诉|现病史|既往史|用药|处方|病程|抢救|ICU|检验|化验|CT|MRI|B超|血气|心电图|体温|血压|伤残等级|过错|因果关系|参与度|不良后果|并发症"
 IDENTITY = {
@@ -129,9 +131,15 @@ def doc_type(text: Column) -> Column:
     return out
 
 
+def with_word(text: Column, words: str) -> Column:
+    """Whether one of words (an alternation) is in a text. A place is looked at closely only if a word can begin there."""
+    first = "".join(sorted({w[0] for w in words.split("|")}))
+    return text.rlike(f"(?=[{first}])(?:{words})")
+
+
 def importance(text: Column) -> Column:
     """0 for paragraphs that decide a case, 1 for important ones, 2 for others."""
-    return F.when(text.rlike(CRITICAL), 0).when(text.rlike(IMPORTANT), 1).otherwise(2)
+    return F.when(with_word(text, CRITICAL), 0).when(with_word(text, IMPORTANT), 1).otherwise(2)
 
 
 def extracted(text: Column) -> Column:
@@ -314,23 +322,25 @@ def batched(rows: DataFrame, group: str, order: str, size: int = 5, spread: int
 
 def packed_context(paragraphs: DataFrame, limit: int) -> DataFrame:
     """Per document, the paragraphs that fit limit characters: by importance, then order; each level stops at the first that
-    does not fit, of which a start over 50 characters is taken. Folds a document at a time, as each level depends on the others."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["importance", "idx"])
-        used, out = 0, []
-        for _, level in pdf.groupby("importance"):
-            for r in level.itertuples():
-                if used + len(r.text) <= limit:
-                    out.append((r.doc_id, len(out), r.idx, len(r.text)))
-                    used += len(r.text)
-                    continue
-                if used < limit and limit - used > 50:
-                    out.append((r.doc_id, len(out), r.idx, limit - used))
-                    used = limit
-                break
-        return pd.DataFrame(out, columns=["doc_id", "place", "idx", "n_chars"])
-
-    rows = paragraphs.withColumn("importance", importance(F.col("text"))).select("doc_id", "idx", "text", "importance")
-    return rows.groupBy("doc_id").applyInPandas(fold, "doc_id long, place int, idx int, n_chars int")
+    does not fit, of which a start over 50 characters is taken.
+
+    Only lengths are shuffled. What a level takes are its running sums up to the room that the levels before have left, so a pass
+    over a document's rows, sorted once, settles a level.
+    """
+    marked = paragraphs.select("doc_id", "idx", F.coalesce(F.length("text"), F.lit(0)).alias("n"), importance(F.col("text")).alias("importance"))
+    document = Window.partitionBy("doc_id")
+    upto = Window.partitionBy("doc_id", "importance").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marked.repartition("doc_id").withColumn("c", F.sum("n").over(upto)).withColumn("room", F.lit(limit).cast("long")).withColumn("_room", F.col("room"))
+    for level in range(LEVELS):
+        own = F.col("importance") == level
+        taken = F.coalesce(F.max(F.when(own & (F.col("c") <= F.col("_room")), F.col("c"))).over(document), F.lit(0))
+        stops = F.coalesce(F.max(F.when(own, F.col("c"))).over(document), F.lit(0))
+        rows = rows.withColumns({"_taken": taken, "_all": stops})
+        left = F.col("_room") - F.col("_taken")
+        rows = rows.withColumns({"room": F.when(own, F.col("_room")).otherwise(F.col("room")), "_room": F.when((F.col("_all") > F.col("_room")) & (left > START), 0).otherwise(left)})
+    # the paragraph that does not fit is the one before which all fit; what is left for it is the room less all before it
+    before, fits = F.col("c") - F.col("n"), F.col("c") <= F.col("room")
+    part = (before <= F.col("room")) & (F.col("room") - before > START)
+    kept = rows.where(fits | part).select("doc_id", "importance", "idx", F.when(fits, F.col("n")).otherwise(F.col("room") - before).cast("int").alias("n_chars"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("importance", "idx")) - 1
+    return kept.select(F.col("doc_id").cast("long").alias("doc_id"), place.cast("int").alias("place"), F.col("idx").cast("int").alias("idx"), "n_chars")

@@ -150,3 +150,22 @@ def test_emptied_pages_take_nothing_in(spark, sizes):
             a[-1][2] = round((a[-1][2] + first[2]) / 2, 4)
     got = structure.cross_page_merged(spark.createDataFrame(rows, "doc_id long, page int, idx int, text string, conf int")).orderBy("idx").collect()
     assert [(r.idx, r.text, r.confidence) for r in got] == [tuple(x) for p in pages for x in p]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_context_packing_shuffles_lengths_and_folds_no_document_in_python(spark):
+    rows = [(1, 0, "诊断 " + "x" * 150), (1, 1, None), (1, 2, "死亡诊断" + "y" * 60), (1, 3, "z" * 300), (1, 4, "z"), (2, 0, "")]
+    packed = casework.packed_context(spark.createDataFrame(rows, "doc_id long, idx int, text string"), 300)
+    assert sorted(tuple(r) for r in packed.collect()) == [(1, 0, 2, 64), (1, 1, 0, 153), (1, 2, 1, 0), (1, 3, 3, 83), (2, 0, 0, 0)]
+    assert "InPandas" not in _plan(packed) and "InArrow" not in _plan(packed)
+
+
+def test_lists_stream_through_a_task_and_take_gaps(spark):
+    lines = [(d, i, t, 50 + i, 100) for d in range(300) for i, t in enumerate(("1. a", "goes on", "2. b", "", "1. lone", "Ends it.", "- x", "- y"))]
+    found = structure.lists(spark.createDataFrame(lines, "doc_id long, idx int, text string, conf int, x int").repartition(3))
+    got = sorted((r.doc_id, r.list, r.type, r.n_items, r.content, r.confidence) for r in found.collect())
+    assert got == [x for d in range(300) for x in ((d, 0, "numbered_arabic", 2, "a goes on|b", 51.0), (d, 1, "bulleted", 2, "x|y", 56.5))]
+    assert "FlatMapGroups" not in _plan(found)
