@@ -7,7 +7,10 @@ they did before fold in Python, a document at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -379,41 +382,53 @@ def lists(blocks: DataFrame) -> DataFrame:
     """Lists of two items or more, in order: runs of items of one type whose indent stays within one of the list's first.
 
     A line that is no item carries an item on if it does not end a sentence and is not left of it; any
-    other line ends the list. Folds a document's lines in Python, as each step depends on the list so far.
+    other line ends the list. Each step depends on the list so far, so Python folds the sorted lines of a task's documents one
+    after the other; lines that are no item bring their text only if they can carry one on.
     """
-    marked = blocks.select("doc_id", "idx", T.stripped(F.col("text")).alias("text"), "conf", "x", T.list_item(F.col("text")).alias("item"))
-    rows = marked.select("doc_id", "idx", "text", "conf", "x", "item.type", "item.marker", "item.content")
+    item, text = T.list_item(F.col("text")), T.stripped(F.col("text"))
+    marked = blocks.select("doc_id", "idx", "conf", "x", text.alias("text"), item.alias("item"))
+    carries = F.col("item").isNull() & (F.col("text") != "") & ~F.substring("text", -1, 1).isin(*"。！？.!?")
+    rows = marked.select("doc_id", "idx", F.coalesce(F.col("conf").cast("double"), F.lit(float("nan"))).alias("conf"), F.col("x").cast("double").alias("x"), F.when(carries, F.col("text")).alias("text"), "item.type", "item.marker", "item.content")
+    rows = rows.repartition("doc_id").withColumn("base", F.avg("x").over(Window.partitionBy("doc_id")))
+    schema = pa.schema([("doc_id", pa.int64()), ("list", pa.int32()), ("type", pa.string()), ("indent", pa.int32()), ("n_items", pa.int32()), ("markers", pa.string()), ("content", pa.string()), ("confidence", pa.float64())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        base = pdf["x"].mean()
-        found: list[dict] = []
-        now: dict | None = None
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        document, now, k = None, None, 0
 
         def close() -> None:
-            if now is not None and len(now["items"]) >= 2:
-                found.append(now)
-
-        for r in pdf.itertuples():
-            if isinstance(r.type, str):
-                shift = r.x - base
-                indent = 0 if shift < 20 else min(int(shift / 40), 3)
-                item = [r.marker, r.content, r.conf, r.x]
-                if now is not None and now["type"] == r.type and abs(indent - now["indent"]) <= 1:
-                    now["items"].append(item)
-                else:
+            nonlocal k
+            if now is not None and len(now[2]) >= 2:
+                items = now[2]
+                contents = "|".join(" ".join(i[1]) for i in items)
+                out.append((document, k, now[0], now[1], len(items), "|".join(i[0] for i in items), contents, round(sum(i[2] for i in items) / len(items), 4)))
+                k += 1
+
+        for batch in batches:
+            for doc_id, conf, x, text, type_, marker, content, base in zip(*(c.to_pylist() for c in batch.columns)):
+                if doc_id != document:
                     close()
-                    now = {"type": r.type, "indent": indent, "items": [item]}
-            elif now is not None and r.text and r.text[-1] not in "。！？.!?" and r.x >= now["items"][-1][3] - 10:
-                now["items"][-1][1] += " " + r.text
-            else:
-                close()
-                now = None
+                    document, now, k = doc_id, None, 0
+                if type_ is not None:
+                    shift = x - base
+                    indent = 0 if shift < 20 else min(int(shift / 40), 3)
+                    item = (marker, [content], conf, x)
+                    if now is not None and now[0] == type_ and abs(indent - now[1]) <= 1:
+                        now[2].append(item)
+                    else:
+                        close()
+                        now = (type_, indent, [item])
+                elif now is not None:
+                    if text is not None and x >= now[2][-1][3] - 10:
+                        now[2][-1][1].append(text)
+                    else:
+                        close()
+                        now = None
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out.clear()
         close()
-        out = [
-            (pdf["doc_id"].iloc[0], k, x["type"], x["indent"], len(x["items"]), "|".join(i[0] for i in x["items"]), "|".join(i[1] for i in x["items"]), round(sum(i[2] for i in x["items"]) / len(x["items"]), 4))
-            for k, x in enumerate(found)
-        ]
-        return pd.DataFrame(out, columns=["doc_id", "list", "type", "indent", "n_items", "markers", "content", "confidence"])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return rows.groupBy("doc_id").applyInPandas(fold, LISTS)
+    return rows.sortWithinPartitions("doc_id", "idx").select("doc_id", "conf", "x", "text", "type", "marker", "content", "base").mapInArrow(fold, LISTS)
