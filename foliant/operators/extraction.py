@@ -46,22 +46,29 @@ def defendants(materials: DataFrame, head: int = 500) -> DataFrame:
     """
     text = F.col("ocr_text")
     order = F.struct(rank(F.col("category"), PARTY_ORDER).alias("r"), F.col("material_id").alias("m"))
-    alias = first_group(text, rf"([{HAN}]{{2,10}}医院[（(][{HAN}]+医院[）)])")
+    party = F.col("category").isin(*PARTY_ORDER)
+    found = materials.select(
+        "*", F.when(party & contains_any(text, ("医院（", "医院(")), first_group(text, rf"([{HAN}]{{2,10}}医院[（(][{HAN}]+医院[）)])")).alias("_alias"),
+        F.when(party & text.contains("被告"), first_group(text, rf"被告([{HAN}]{{2,10}}医院)")).alias("_simple"),
+    )
+    alias, simple = F.col("_alias"), F.col("_simple")
     cut = F.regexp_replace(alias, r"^(?:(?!医院).)*[与和及]", "")
     alias = F.when(F.split(alias, "医院")[0].rlike("[与和及]") & cut.contains("医院"), cut).otherwise(alias)
-    simple = first_group(text, rf"被告([{HAN}]{{2,10}}医院)")
     own = F.col("category") == "identity_defendant"
     contract = contains_any(F.lower(F.coalesce("filename", F.lit(""))), CONTRACT) | contains_any(F.substring(text, 1, head), CONTRACT)
     person = F.when(own, F.coalesce(first_group(text, rf"法定代表人[：:]\s*([{HAN}]{{2,4}})"), first_group(text, rf"法定代表人[^\n]*\n\s*([{HAN}]{{2,4}})\s*\n")))
     code = F.when(own, first_group(text, r"统一社会信用代码[：:\s]*([A-Z0-9]{18})"))
     address = F.when(own & ~contract, F.coalesce(first_group(text, rf"(?:地址|住所)[：:]\s*([{HAN}]+省[{HAN}]+[路段街道][{HAN}]*\d*号?)"), first_group(text, rf"(?:注册地址|地址|住所)[^\n]*\n\s*([{HAN}]+[路段街道][{HAN}]*\d*号?)")))
-    known = F.when(F.col("category").isin(*PARTY_ORDER), F.array_compact(F.array(alias, simple)))
-    rows = materials.select("case_id", order.alias("o"), known.alias("names"), person.alias("p"), code.alias("c"), F.when(F.length(address) >= 4, address).alias("a"))
-    facts = rows.groupBy("case_id").agg(first_by(F.col("p"), F.col("o")).alias("legal_representative"), first_by(F.col("c"), F.col("o")).alias("credit_code"), first_by(F.col("a"), F.col("o")).alias("defendant_address"))
-    names = rows.select("case_id", "o", F.posexplode("names").alias("k", "name"))
-    first = F.struct(-F.length("name"), F.col("o.r"), F.col("o.m"), F.col("k"))
-    names = names.groupBy("case_id").agg(F.min_by("name", first).alias("defendant_name"))
-    return facts.join(names, "case_id", "left").where(F.coalesce("defendant_name", "legal_representative", "credit_code", "defendant_address").isNotNull())
+    rows = found.select("case_id", order.alias("o"), alias.alias("alias"), simple.alias("simple"), person.alias("p"), code.alias("c"), address.alias("a"))
+    # of a paper's two names the longer one, the alias in a tie
+    name = F.when(F.length("simple") > F.coalesce(F.length("alias"), F.lit(-1)), F.col("simple")).otherwise(F.col("alias"))
+    rows = rows.withColumns({"name": name, "a": F.when(F.length("a") >= 4, F.col("a"))})
+    longest = F.struct(-F.length("name"), F.col("o.r"), F.col("o.m"))
+    # exploded, so that the filter does not run the patterns a second time
+    rows = rows.select("case_id", "o", F.explode(F.array(F.struct("name", "p", "c", "a"))).alias("f")).where("coalesce(f.name, f.p, f.c, f.a) is not null").select("case_id", "o", "f.*")
+    return rows.groupBy("case_id").agg(
+        first_by(F.col("p"), F.col("o")).alias("legal_representative"), first_by(F.col("c"), F.col("o")).alias("credit_code"), first_by(F.col("a"), F.col("o")).alias("defendant_address"), first_by(F.col("name"), longest).alias("defendant_name"),
+    )
 
 
 def appraisals(materials: DataFrame, most: int = 1200) -> DataFrame:
