@@ -70,8 +70,20 @@ def stripped(c: Column) -> Column:
 
 
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:
-    """What the first match captures, or null without one."""
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+    """What the first match captures, or null without one. In a condition nullif would run the pattern twice."""
+    return F.get(F.array_remove(F.array(F.regexp_extract(c, pattern, group)), F.lit("")), F.lit(0))
+
+
+def double_or_null(c: Column) -> Column:
+    """c as a double, or null. What begins as no number is never cast, as each failing cast raises and catches an exception."""
+    return first_group(c, r"(?is)^([\x00-\x20]*[+-]?(?:\.?\d|nan|inf).*)").try_cast("double")
+
+
+def iso_day(c: Column) -> Column:
+    """The day that c is, as yyyy-MM-dd, or null; a day that its month does not have raises no exception."""
+    last = F.last_day(F.concat(F.substring(c, 1, 8), F.lit("01")).try_cast("date")).cast("string")
+    right = c.rlike(r"^(?!0000)\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])$") & ((F.substring(c, 9, 2) <= "28") | (c <= last))
+    return F.when(right, c.try_cast("date"))
 
 
 def contains_any(c: Column, keywords: Sequence[str]) -> Column:
@@ -203,9 +215,10 @@ def stay_days(c: Column) -> Column:
 
 def unfenced(c: Column) -> Column:
     """Model output without the code fence around it and without empty lines; empty if what is left is a JSON object or array as a whole."""
-    body = F.regexp_replace(F.regexp_replace(stripped(c), r"^```(?:json|JSON)?\s*", ""), r"\s*```$", "")
+    plain = stripped(c)
+    body = F.when(c.contains("```"), F.regexp_replace(F.regexp_replace(plain, r"^```(?:json|JSON)?\s*", ""), r"\s*```$", "")).otherwise(plain)
     json = (body.startswith("{") & body.endswith("}")) | (body.startswith("[") & body.endswith("]"))
-    return F.when(json, F.lit("")).otherwise(stripped(F.regexp_replace(body, r"\n{2,}", "\n")))
+    return F.when(json, F.lit("")).when(c.contains("\n\n"), stripped(F.regexp_replace(body, r"\n{2,}", "\n"))).otherwise(stripped(body))
 
 
 def without_control_characters(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import AMOUNT, contains_any, decimal_amount, first_date, first_group, receipt_tail, unfenced
+from ..functions.text import AMOUNT, contains_any, decimal_amount, double_or_null, first_date, iso_day, receipt_tail, unfenced
 
 # Fee types by words in a file name, in order of precedence.
 FILENAME_FEE_TYPES = (
@@ -99,15 +99,17 @@ def typed_items(receipts: DataFrame) -> DataFrame:
     A total that is not positive is the sum of the positive numbers among amounts (strings); a stay with both dates is 住院, with
     its days (null if negative or unreadable) and both dates for the date, anything else 门诊. Texts lose code fences and JSON.
     """
-    number = lambda c: F.coalesce(F.regexp_replace(c, ",", "").try_cast("double"), F.lit(0.0))
-    items = F.aggregate(F.coalesce("amounts", F.array().cast("array<string>")), F.lit(0.0), lambda acc, x: acc + F.greatest(F.coalesce(x.try_cast("double"), F.lit(0.0)), F.lit(0.0)))
-    total = F.when(number(F.col("total")) > 0, number(F.col("total"))).otherwise(items)
+    number = lambda c: F.coalesce(double_or_null(F.replace(c, F.lit(","), F.lit(""))), F.lit(0.0))
+    items = F.aggregate(F.coalesce("amounts", F.array().cast("array<string>")), F.lit(0.0), lambda acc, x: acc + F.greatest(F.coalesce(double_or_null(x), F.lit(0.0)), F.lit(0.0)))
+    total = F.when(F.col("_total") > 0, F.col("_total")).otherwise(items)
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     stay = filled("admission") & filled("discharge")
-    day = lambda c: F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")
-    days = F.date_diff(day("discharge"), day("admission"))
+    day = lambda c: iso_day(F.substring(c, 1, 10))
+    days = F.col("_days")
     text = lambda c: F.coalesce(unfenced(F.col(c)), F.lit(""))
-    return receipts.select(
+    # columns of their own, so that they are not computed for the condition and for the value
+    known = receipts.withColumns({"_total": number(F.col("total")), "_days": F.when(stay, F.date_diff(day("discharge"), day("admission")))})
+    return known.select(
         "material_id", text("hospital").alias("hospital"), text("title").alias("title"),
         F.when(stay, F.concat(F.substring("admission", 1, 10), F.lit(" ~ "), F.substring("discharge", 1, 10))).otherwise(text("date")).alias("date"),
         total.alias("total"), number(F.col("insurance")).alias("insurance"), number(F.col("own")).alias("own"),
@@ -126,26 +128,34 @@ NUMBER = r"([\d,]+\.\d+|[\d,]+)"
 def labelled_amount(text: Column, labels: tuple[str, ...]) -> Column:
     """The number beside the first label that has one: after a colon, in the line below, or in the line above; 0 without one.
 
-    Labels go before places, and a place's first number counts, whatever it is.
+    Labels go before places, and a place's first number counts, whatever it is. One pattern from the text's start tries a label's
+    places in this order and leaves what it captured of the whole text, nothing where none fits; only labels that are there are tried.
     """
+    filled = lambda c: F.get(F.array_remove(F.array(c), F.lit("")), F.lit(0))
     forms = (r"{}[：:]\s*" + NUMBER, r"{}\s*\n\s*" + NUMBER, NUMBER + r"\s*\n\s*{}")
-    found = F.coalesce(*[F.when(text.contains(label), F.coalesce(*[first_group(text, f.format(label)) for f in forms])) for label in labels])
-    return F.coalesce(F.regexp_replace(found, ",", "").try_cast("double"), F.lit(0.0))
+    pattern = lambda label: "(?s)^(?:" + "|".join(f".*?{f.format(label)}" for f in forms) + "|).*"
+    found = F.coalesce(*[filled(F.when(text.contains(label), F.regexp_replace(text, pattern(label), "$1$2$3"))) for label in labels])
+    return F.coalesce(filled(F.replace(found, F.lit(","), F.lit(""))).try_cast("double"), F.lit(0.0))
 
 
-def receipt_amounts(text: Column) -> dict[str, Column]:
-    """amount, insurance and self_pay of a receipt by the labels beside them.
+def receipt_amounts(receipts: DataFrame, text: str = "t") -> DataFrame:
+    """receipts with amount, insurance and self_pay by the labels beside them in their text.
 
     A settlement (by its first 200 characters) goes by the whole sum before the plain one, other receipts the other way round; the
-    own share that is not stated is the rest of the amount after the insurance.
+    own share that is not stated is the rest of the amount after the insurance. Each sum is a column of its own, so that none is
+    looked for again where it is used.
     """
-    of = lambda labels: labelled_amount(text, labels)
-    plain, whole = of(SUM_LABELS), of(WHOLE_LABELS)
+    labels = {"_plain": SUM_LABELS, "_whole": WHOLE_LABELS, "_own_whole": OWN_WHOLE_LABELS, "_insurance": INSURANCE_LABELS, **{f"_own_{k}": x for k, x in enumerate(OWN_LABELS)}}
+    rows = receipts.withColumns({k: labelled_amount(F.col(text), x) for k, x in labels.items()})
     settlement = contains_any(F.substring(text, 1, 200), SETTLEMENT)
-    amount = F.when((whole > 0) & (settlement | (plain <= 0)), whole).when(plain > 0, plain).otherwise(of(OWN_WHOLE_LABELS))
-    own = F.coalesce(*[F.nullif(of(x), F.lit(0.0)) for x in OWN_LABELS], F.lit(0.0))
-    insurance = of(INSURANCE_LABELS)
-    return {"amount": amount, "insurance": insurance, "self_pay": F.when((amount > 0) & (insurance > 0) & (own == 0), F.round(amount - insurance, 2)).otherwise(own)}
+    amount = F.when((F.col("_whole") > 0) & (settlement | (F.col("_plain") <= 0)), F.col("_whole")).when(F.col("_plain") > 0, F.col("_plain")).otherwise(F.col("_own_whole"))
+    own = F.lit(0.0)
+    for k in reversed(range(len(OWN_LABELS))):
+        own = F.when(F.col(f"_own_{k}") != 0, F.col(f"_own_{k}")).otherwise(own)
+    rows = rows.withColumns({"_amount": amount, "_own": own})
+    rest = (F.col("_amount") > 0) & (F.col("_insurance") > 0) & (F.col("_own") == 0)
+    self_pay = F.when(rest, F.round(F.col("_amount") - F.col("_insurance"), 2)).otherwise(F.col("_own"))
+    return rows.select(*receipts.columns, F.col("_amount").alias("amount"), F.col("_insurance").alias("insurance"), self_pay.alias("self_pay"))
 
 
 def by_hospital(details: DataFrame) -> DataFrame:

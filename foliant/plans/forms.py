@@ -57,7 +57,7 @@ b AS (SELECT *, CASE WHEN whole > 0 AND (regexp_matches(left(t, 200), '结算单
 SELECT material_id, amount, insurance, CASE WHEN amount > 0 AND insurance > 0 AND own = 0 THEN round(amount - insurance, 2) ELSE own END AS self_pay FROM b""")
 def fee_label_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _lines(spark, sf_dir).selectExpr(*SETTLED)
-    return rows.select("material_id", *[v.alias(k) for k, v in fees.receipt_amounts(F.col("t")).items()])
+    return fees.receipt_amounts(rows).drop("t")
 
 
 TYPED = (

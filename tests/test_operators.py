@@ -169,3 +169,34 @@ def test_lists_stream_through_a_task_and_take_gaps(spark):
     got = sorted((r.doc_id, r.list, r.type, r.n_items, r.content, r.confidence) for r in found.collect())
     assert got == [x for d in range(300) for x in ((d, 0, "numbered_arabic", 2, "a goes on|b", 51.0), (d, 1, "bulleted", 2, "x|y", 56.5))]
     assert "FlatMapGroups" not in _plan(found)
+
+
+def test_amounts_by_labels_look_for_each_sum_once(spark):
+    texts = ["合计金额：1,000.5元", "合计\n77.10", "9.5\n个人负担金额", "医疗保障结算单\n12\n医疗费总额\n合计：3\n统筹支付：5", "合计：x\n4\n合计", "合计,", "合计：,", "无", "", None]
+    from foliant.operators import fees
+
+    out = fees.receipt_amounts(spark.createDataFrame(list(enumerate(texts)), "material_id long, t string"))
+    got = {r.material_id: (r.amount, r.insurance, r.self_pay) for r in out.collect()}
+    assert got == {0: (1000.5, 0.0, 0.0), 1: (77.1, 0.0, 0.0), 2: (0.0, 0.0, 9.5), 3: (12.0, 5.0, 7.0), 4: (4.0, 0.0, 0.0), **{k: (0.0, 0.0, 0.0) for k in range(5, 10)}}
+    # one pattern for each of the 14 labels, whatever their sums are used for
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 14
+
+
+def test_numbers_and_days_are_only_cast_where_they_can_be(spark):
+    from foliant.functions import text as T
+
+    numbers = ["1.5", " -2", "n/a", "x", "", None, "NaN", "1e3", ".5", "+7d", "1x", "-Infinity", "\t3"]
+    df = spark.createDataFrame([(x,) for x in numbers], "c string").select("c", T.double_or_null(F.col("c")).alias("got"), F.col("c").try_cast("double").alias("want"))
+    assert all(str(r.got) == str(r.want) for r in df.collect())
+    days = ["2024-02-29", "2023-02-29", "2024-02-30", "2024-13-01", "2024-1-01", "", None, "2024-04-31", "2024-12-31", "20240101", "2024-00-10"]
+    df = spark.createDataFrame([(x,) for x in days], "c string").select("c", T.iso_day(F.col("c")).alias("got"), F.try_to_date("c", "yyyy-MM-dd").alias("want"))
+    assert all(r.got == r.want for r in df.collect())
+
+
+def test_defendants_read_materials_once(spark):
+    from foliant.operators import extraction
+
+    rows = [(1, 1, "medical_record", "a.pdf", "被告中山市第一人民医院"), (1, 2, "identity_defendant", "b.pdf", "张三与北京第一医院（协和医院）"), (2, 1, "other_evidence", "a.pdf", "被告中山人民医院"), (3, 1, "appraisal", None, None)]
+    out = extraction.defendants(spark.createDataFrame(rows, "case_id long, material_id long, category string, filename string, ocr_text string"))
+    assert [(r.case_id, r.defendant_name) for r in out.collect()] == [(1, "北京第一医院（协和医院）")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
