@@ -41,7 +41,8 @@ def ruled(materials: DataFrame) -> DataFrame:
     rows = rows.withColumn("_i", items).withColumn("coverage", (3 + filled + F.col("_i") + total) / (3 + found + F.col("_i") + 1))
     rows = rows.withColumn("sure", F.col("blank") | ((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("coverage") >= LEAST_COVERAGE)))
     rows = rows.withColumns({"category": F.when(F.col("blank"), OTHER).otherwise(F.col("category")), "confidence": F.when(F.col("blank"), BLANK_CONFIDENCE).otherwise(F.col("confidence"))})
-    return rows.select("material_id", "case_type", "ocr_text", "category", "confidence", "coverage", *FIELDS, "total_amount", "blank", "sure")
+    # exploded, so that a filter on it does not run the rules a second time
+    return rows.select("material_id", "case_type", "ocr_text", "category", "confidence", "coverage", *FIELDS, "total_amount", "blank", F.explode(F.array("sure")).alias("sure"))
 
 
 def categories(case_type: str | None) -> list[str]:
@@ -82,7 +83,7 @@ def asked(engine: Engine, items: list[dict[str, Any]], tries: int) -> list[tuple
 
 
 def with_model(rows: DataFrame, engine_of: EngineOf | None = None, batch: int = BATCH, tries: int = 1) -> DataFrame:
-    """ruled() rows with the model's answers where the rules are unsure: material_id, category, confidence, FIELDS, total_amount, answered_by, calls.
+    """ruled() rows (stored() ones, as both kinds are read) with the model's answers where the rules are unsure: material_id, category, confidence, FIELDS, total_amount, answered_by, calls.
 
     engine_of makes the engine in each task; it is called with batch rows, then alone for rows without an
     answer (tries times), and after that the rules' result stands. A field is the model's unless empty, the
@@ -98,7 +99,7 @@ def with_model(rows: DataFrame, engine_of: EngineOf | None = None, batch: int =
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine, waiting = engine_of(), []
 
-        def settle(some: list[dict]) -> pd.DataFrame:
+        def settle(some: list[dict]) -> list[dict]:
             items = [{"material_id": r["material_id"], "text": r["ocr_text"], "case_type": r["case_type"], "categories": categories(r["case_type"])} for r in some]
             out = []
             for r, (answer, calls) in zip(some, asked(engine, items, tries)):
@@ -109,15 +110,19 @@ def with_model(rows: DataFrame, engine_of: EngineOf | None = None, batch: int =
                     r |= {f: str(extracted[f]) if extracted.get(f) else r[f] for f in FIELDS}
                     r["total_amount"] = r["total_amount"] or float(extracted.get("total_amount") or 0.0)
                 out.append(r)
-            return pd.DataFrame(out, columns=[*kept, "answered_by", "calls"])
+            return out
 
+        # one frame out for each frame in: a frame of its own for each call costs many times what the call does
+        columns = [*kept, "answered_by", "calls"]
         for frame in frames:
             waiting += frame.astype(object).where(frame.notna(), None).to_dict("records")
-            while len(waiting) >= batch:
-                yield settle(waiting[:batch])
-                waiting = waiting[batch:]
+            whole = len(waiting) - len(waiting) % batch
+            out = [r for k in range(0, whole, batch) for r in settle(waiting[k : k + batch])]
+            waiting = waiting[whole:]
+            if out:
+                yield pd.DataFrame(out, columns=columns)
         if waiting:
-            yield settle(waiting)
+            yield pd.DataFrame(settle(waiting), columns=columns)
 
     schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", answered_by string, calls int"
     return settled.unionByName(unsure.select(*kept, "ocr_text", "case_type").mapInPandas(run, schema))

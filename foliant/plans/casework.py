@@ -9,6 +9,7 @@ from ..catalog import query
 from ..functions import text as T
 from ..operators import casework as C
 from ..operators import slot
+from ..session import stored
 
 MATERIALS = (
     "CAST(((l_orderkey * 100000 + l_partkey) * 1000 + l_suppkey) * 10 + l_linenumber AS BIGINT) AS material_id",
@@ -254,4 +255,4 @@ SELECT material_id, CASE WHEN blank THEN 'other_evidence' WHEN sure OR NOT answe
  CASE WHEN sure OR NOT answers THEN symptoms ELSE concat('s', CAST(material_id % 5 AS STRING)) END AS symptoms, total_amount, CASE WHEN sure THEN 'rules' WHEN answers THEN 'model' ELSE 'rules, no answer' END AS answered_by FROM s""")
 def model_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Materials by rules, and by a stand-in for a model where the rules are unsure; calls are left out, as they depend on who meets in a batch."""
-    return slot.with_model(slot.ruled(materials(spark, sf_dir)), by_title).drop("calls")
+    return slot.with_model(stored(slot.ruled(materials(spark, sf_dir)), "ruled"), by_title).drop("calls")

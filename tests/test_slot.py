@@ -106,3 +106,11 @@ def test_without_an_engine_the_rules_stand(spark):
     want = {r.material_id: (r.category, r.confidence, "rules" if r.sure else "rules, unsure") for r in rows.collect()}
     got = {r.material_id: (r.category, r.confidence, r.answered_by) for r in S.with_model(rows).collect()}
     assert got == want and S.with_model(S.ruled(frame(spark, []))).collect() == []
+
+
+def test_a_filter_does_not_run_the_rules_again(spark):
+    """A filter on sure stays above what computes it, so that the rules are not run for the filter as well."""
+    rows = S.ruled(frame(spark, [(i, "injury", "a.pdf", UNSURE) for i in range(100)]).coalesce(1))
+    plan = rows.where("not sure")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Generate")
+    assert plan.count("best_score(") == rows._jdf.queryExecution().optimizedPlan().toString().count("best_score(")
