@@ -16,8 +16,10 @@ import heapq
 import re
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ SPACE = "▁"
 #: Units of more characters are searched one by one, over all their substrings at once.
 LONG_UNIT = 48
 #: Units kept in a worker with their ids; at this number the memory starts anew.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 1_500_000
 #: Units of one length that advance together.
 EQUAL_UNITS = 4_000
 #: Bits of a hash by which substrings that are no piece are told apart without a search; a byte for each value.
@@ -42,6 +44,8 @@ BLOCK = 1 << 14
 #: What an unknown character's score lies below the lowest piece's.
 UNKNOWN_PENALTY = 10.0
 BASE = np.uint64(0x100000001B3)
+#: A byte that no UTF-8 has, between units decoded at once.
+END = b"\xff"
 UNIT = re.compile(rf"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
@@ -306,12 +310,43 @@ def model_of(path: str) -> PieceModel:
     return MergeModel(path) if kind == 2 else PieceModel(path)
 
 
+class Units:
+    """Numbers of the units seen, from 0 in the order they came; a worker's encoders share them."""
+
+    def __init__(self):
+        self.age = -1
+        self._begin()
+
+    def _begin(self) -> None:
+        self.known: defaultdict[str, int] = defaultdict(count().__next__)
+        self.names: list[str] = []
+        self.age += 1
+
+    def numbers(self, split: list[list[str]]) -> np.ndarray:
+        """The numbers of all units of these lists, one after the other. They hold until the next call, which may start anew."""
+        if len(self.names) > CACHE_UNITS:
+            self._begin()
+        out = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        newest = list(islice(reversed(self.known), len(self.known) - len(self.names)))
+        self.names += reversed(newest)
+        return out
+
+
 class Encoder:
-    """Ids of texts, with the ids of units remembered from batch to batch; a plain Viterbi search if no model is given."""
+    """Ids of texts, with the ids of units remembered from batch to batch; a plain Viterbi search if no model is given.
+
+    The ids of all units lie in one array, and a batch's are taken from it by the numbers of its units at once.
+    """
 
-    def __init__(self, path: str, model: PieceModel | None = None):
+    def __init__(self, path: str, model: PieceModel | None = None, seen: Units | None = None):
         self.model = model or PieceModel(path)
-        self.known: dict[str, bytes] = {}
+        self.seen = Units() if seen is None else seen
+        self._begin()
+
+    def _begin(self) -> None:
+        self.age, self.used, self.flat = self.seen.age, 0, np.zeros(1 << 16, np.uint32)
+        #: Where a unit's ids begin (-1: not known yet) and how many they are; whether they decode to the unit, where that was asked.
+        self.begins, self.sizes, self.exact = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
 
     def units(self, text: str) -> list[str]:
         """Units of a text; an empty text has none."""
@@ -324,26 +359,68 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, 32 bits each."""
-        return self.encode_units([self.units(x) for x in texts])
-
-    def encode_units(self, split: list[list[str]]) -> list[bytes]:
-        """The ids of each list of units."""
-        known = self.known
-        if len(known) > CACHE_UNITS:
-            known.clear()
-        fresh = set().union(*split).difference(known)
-        by_length: dict[int, list[str]] = {}
-        for u in fresh:
-            by_length.setdefault(len(u), []).append(u)
-        for length, units in by_length.items():
-            if length > LONG_UNIT:
-                for u in units:
-                    known[u] = self.model.encode_long(u)
-            else:
-                for i in range(0, len(units), EQUAL_UNITS):
-                    part = units[i : i + EQUAL_UNITS]
-                    known.update(zip(part, self.model.encode_equal(part)))
-        return [b"".join(map(known.__getitem__, units)) for units in split]
+        split = [self.units(x) for x in texts]
+        return [x.tobytes() for x in self.parted(self.seen.numbers(split), split)]
+
+    def parted(self, numbers: np.ndarray, split: list[list[str]]) -> list[np.ndarray]:
+        """The ids (unsigned, 32 bits) of each list of units, whose numbers follow each other in numbers."""
+        self._learn(numbers)
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.begins[numbers] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, numbers: np.ndarray) -> None:
+        """Encodes the units with these numbers that have no ids yet."""
+        if self.age != self.seen.age:
+            self._begin()
+        names = self.seen.names
+        if (more := len(names) - len(self.begins)) > 0:
+            self.begins = np.concatenate([self.begins, np.full(more, -1, np.int64)])
+            self.sizes = np.concatenate([self.sizes, np.zeros(more, np.int64)])
+            self.exact = np.concatenate([self.exact, np.full(more, -1, np.int8)])
+        fresh = np.zeros(len(names), bool)
+        fresh[numbers] = True
+        fresh &= self.begins < 0
+        places = np.flatnonzero(fresh)
+        lengths = np.fromiter((len(names[k]) for k in places.tolist()), np.int64, len(places))
+        order = np.argsort(lengths, kind="stable")
+        for alike in np.split(places[order], np.flatnonzero(np.diff(lengths[order])) + 1):
+            for i in range(0, len(alike), EQUAL_UNITS):
+                part = alike[i : i + EQUAL_UNITS]
+                units = [names[k] for k in part.tolist()]
+                self._keep(part, [self.model.encode_long(u) for u in units] if len(units[0]) > LONG_UNIT else self.model.encode_equal(units))
+
+    def _keep(self, places: np.ndarray, encoded: list[bytes]) -> None:
+        ids = np.frombuffer(b"".join(encoded), "<u4")
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) >> 2
+        if (need := self.used + len(ids)) > len(self.flat):
+            wider = np.zeros(max(need, 2 * len(self.flat)), np.uint32)
+            wider[: self.used] = self.flat[: self.used]
+            self.flat = wider
+        self.flat[self.used : need] = ids
+        self.begins[places], self.sizes[places] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used = need
+
+    def exactly(self, numbers: np.ndarray) -> np.ndarray:
+        """Whether the ids of each of these units, which parted() has been given, decode to the unit; a unit is decoded once."""
+        asked = np.zeros(len(self.exact), bool)
+        asked[numbers] = True
+        out, names = [*self.model.out, END], self.seen.names
+        places = np.flatnonzero(asked & (self.exact < 0))
+        sizes = self.sizes[places]
+        ids = self.flat[np.repeat(self.begins[places] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+        data = b"".join(map(out.__getitem__, np.insert(ids, np.cumsum(sizes), len(out) - 1).tolist()))
+        self.exact[places] = [x == names[k].replace(SPACE, " ").encode("utf-8", "surrogatepass") for x, k in zip(data.split(END), places.tolist())]
+        return self.exact[numbers] > 0
+
+    def round_trips(self, texts: list[str], ids: list[np.ndarray], numbers: np.ndarray, split: list[list[str]]) -> list[bool]:
+        """Whether decoding gives each text back. Decoding joins what the units decode to, so a text of units that come back does as well;
+        others, and those with ▁, which comes back as a space, are decoded as a whole."""
+        wrong = np.concatenate([[0], np.cumsum(~self.exactly(numbers))])[np.cumsum([0, *map(len, split)])]
+        well = (np.diff(wrong) == 0).tolist()
+        return [SPACE not in t if good else self.model.decode(x.tolist()) == t for good, t, x in zip(well, texts, ids)]
 
 
 @lru_cache(maxsize=1)
@@ -385,8 +462,9 @@ def decoded(tokens: DataFrame, model_path: str) -> DataFrame:
 
 @lru_cache(maxsize=1)
 def searcher_of(path: str, scores: bytes) -> Encoder:
-    """One encoder by a Viterbi search over these scores (64-bit floats by id) for all tasks of a worker."""
-    return Encoder(path, encoder_of(path).model.with_scores(np.frombuffer(scores, np.float64)))
+    """One encoder by a Viterbi search over these scores (64-bit floats by id) for all tasks of a worker; it shares the numbers of units."""
+    encoder = encoder_of(path)
+    return Encoder(path, encoder.model.with_scores(np.frombuffer(scores, np.float64)), encoder.seen)
 
 
 def _count(path: str):
@@ -394,8 +472,9 @@ def _count(path: str):
         encoder = encoder_of(path)
         counts = np.zeros(len(encoder.model.out), np.int64)
         for batch in batches:
-            ids = b"".join(encoder.encode_batch(pc.fill_null(batch.column(0), "").to_pylist()))
-            counts += np.bincount(np.frombuffer(ids, "<u4"), minlength=len(counts))
+            units = [encoder.units(x) for x in pc.fill_null(batch.column(0), "").to_pylist()]
+            ids = encoder.parted(encoder.seen.numbers(units), units)
+            counts += np.bincount(np.concatenate(ids), minlength=len(counts))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["piece", "n"])
 
@@ -442,12 +521,12 @@ def _digest(path: str, scores: bytes):
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "").to_pylist()
             split = [encoder.units(x) for x in texts]
-            merged = [np.frombuffer(x, "<u4") for x in encoder.encode_units(split)]
-            best = [np.frombuffer(x, "<u4") for x in searcher.encode_units(split)]
+            numbers = searcher.seen.numbers(split)
+            merged, best = encoder.parted(numbers, split), searcher.parted(numbers, split)
             columns = [
                 pa.array([len(x) for x in merged], pa.int64()),
                 pa.array([zlib.crc32(x) for x in merged], pa.int64()),
-                pa.array([encoder.model.decode(x.tolist()) == t for x, t in zip(merged, texts)], pa.bool_()),
+                pa.array(encoder.round_trips(texts, merged, numbers, split), pa.bool_()),
                 pa.array([float(table[x].sum()) for x in merged], pa.float64()),
                 pa.array([len(x) for x in best], pa.int64()),
                 pa.array([zlib.crc32(x) for x in best], pa.int64()),
