@@ -8,6 +8,7 @@ they did before fold in Python, a document at a time.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -163,8 +164,28 @@ def without_repeated_lines(blocks: DataFrame, page_height: int = PAGE_HEIGHT) ->
     return joined.where(~gone).select(*blocks.columns)
 
 
+@lru_cache(maxsize=64)
+def _places(text: str) -> dict[str, int]:
+    """Where each character of a text stands, as the bits of a number."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def longest_common(a: str, b: str) -> int:
+    """Characters of the longest common subsequence: a bit of each place of a, all of them carried on at once for each character of b."""
+    places, left = _places(a), (1 << len(a)) - 1
+    for c in b:
+        if here := places.get(c):
+            met = left & here
+            left = (left + met) | (left - met)
+    return len(a) - (left & ((1 << len(a)) - 1)).bit_count()
+
+
 def similarity_of(a: str, b: str, least: float = 0.0) -> float:
-    """1 for equal texts, 0 if one is less than half as long or the common characters are too few for least, else the ratio of matching blocks."""
+    """1 for equal texts, 0 if one is less than half as long or the longest common subsequence is too short for least, else the ratio of
+    matching blocks. Those blocks follow each other in both texts, so they are never more than that subsequence has, which costs a small part of them."""
     from difflib import SequenceMatcher
 
     if not a or not b:
@@ -173,8 +194,9 @@ def similarity_of(a: str, b: str, least: float = 0.0) -> float:
         return 1.0
     if abs(len(a) - len(b)) / max(len(a), len(b)) > 0.5:
         return 0.0
-    match = SequenceMatcher(None, a, b)
-    return 0.0 if match.quick_ratio() < least else match.ratio()
+    if least > 0 and 2.0 * longest_common(a, b) / (len(a) + len(b)) < least:
+        return 0.0
+    return SequenceMatcher(None, a, b).ratio()
 
 
 def similarity(left: pd.Series, right: pd.Series, least: float = 0.0) -> pd.Series:
@@ -202,7 +224,7 @@ def fuzzy_repeats(lines: DataFrame, least: float = 0.7, small: int = 500) -> Dat
     Up to small lines of a document's zone meet each other. Of more, lines meet by a rare character that
     both have (a ratio of least asks for so many common characters that the first tokens of both lines
     share one) and by the power of two of their length, as none is less than half as long as the other.
-    The ratio is computed where the lengths and counts of common characters allow it.
+    The ratio is computed where the lengths and the longest common subsequence allow it.
     """
     bounded = F.pandas_udf(lambda a, b: similarity(a, b, least), "double")
     tokens = F.pandas_udf(character_tokens, "array<bigint>")

@@ -42,6 +42,27 @@ def test_fuzzy_repeats_equals_every_pair(spark, least, small):
     assert len(want) > 10 and len(got) == len(set(got)) and set(got) == want
 
 
+def test_no_blocks_are_matched_where_the_common_subsequence_is_too_short(monkeypatch):
+    """Similarities as by matching blocks alone; of prose with the same characters in another order no blocks are matched."""
+    import difflib
+
+    rng, matched, plain = random.Random(4), [], difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda self: matched.append(1) or plain(self))
+    for _ in range(400):
+        a, b = ("".join(rng.choices("ab第🙂 ", k=rng.randrange(1, 90))) for _ in range(2))
+        b = b if rng.random() < 0.5 else "".join(c for c in a if rng.random() < 0.8) or "a"
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert S.longest_common(a, b) == table[-1][-1]
+        full = S.similarity_of(a, b)
+        assert S.similarity_of(a, b, 0.7) == full if full >= 0.7 else S.similarity_of(a, b, 0.7) < 0.7
+    matched.clear()
+    words = "".join(rng.choices("etaoinshrdlu ", k=300))
+    assert S.similarity_of(words, "".join(rng.sample(words, 300)), 0.7) == 0.0 and not matched
+
+
 def test_similarity_fuzzy_reads_every_header_line(spark, tmp_path):
     text = "\n".join(f"{'Annual report of the hospital, sheet' if k % 10 in (2, 3) else chr(65 + k % 10) * 9} {k}" for k in range(30))
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
