@@ -58,9 +58,15 @@ def counts(blocks: DataFrame, gap: int = 80, spread: float = 1.5, table_share: f
     by_idx = Window.partitionBy("doc_id").orderBy("idx")
     page = Window.partitionBy("doc_id", "page")
     reading = [F.col("y"), F.col("x"), F.col("idx")]
-    text = T.stripped(F.col("text"))
-    rows = blocks.select("doc_id", "page", "idx", "conf", "x", "y", "h", text.alias("text"), T.heading_pattern_level(F.col("text")).alias("level"), T.list_item(F.col("text"))["type"].alias("type"), T.dense_in_symbols(F.col("text")).alias("dense"), T.is_page_number(F.col("text")).alias("number"))
-    line = (F.col("text") != "") & ~F.col("number")
+    # stripped once, and all that the text decides is settled before the exchange, so that no text is shuffled or sorted
+    text = F.col("_t")
+    bare = blocks.withColumn("_t", T.stripped(F.col("text")))
+    ends = (text == "") | F.substring(text, -1, 1).isin(*SENTENCE_ENDS)
+    rows = bare.select(
+        "doc_id", "page", "idx", "conf", "x", "y", "h", (text != "").alias("full"), ends.alias("ends"), T.heading_pattern_level(text, bare=True).alias("level"), T.list_type(text).alias("type"),
+        T.dense_in_symbols(F.col("text")).alias("dense"), T.is_page_number(text, bare=True).alias("number"),
+    )
+    line = F.col("full") & ~F.col("number")
     rows = rows.withColumns({"heading": F.coalesce(line & F.col("level").isNotNull(), F.lit(False)), "body": F.coalesce(line & F.col("level").isNull(), F.lit(False))})
     rows = _with_ancestors(rows, by_idx).withColumn("section", F.max(F.when(F.col("heading"), F.col("idx"))).over(by_idx))
 
@@ -75,8 +81,7 @@ def counts(blocks: DataFrame, gap: int = 80, spread: float = 1.5, table_share: f
 
     table = F.col("_first") & (F.col("_dense") / F.col("_lines") >= table_share)
     opening = lambda c: F.count_if(F.col("_opens") & c)
-    ends = (F.col("text") == "") | F.substring("text", -1, 1).isin(*SENTENCE_ENDS)
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("idx", "type", F.col("x").cast("double").alias("x"), ends.alias("ends")))), lambda r: F.struct(r["type"].alias("type"), r["x"].alias("x"), r["ends"].alias("ends")))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("idx", "type", F.col("x").cast("double").alias("x"), "ends"))), lambda r: F.struct(r["type"].alias("type"), r["x"].alias("x"), r["ends"].alias("ends")))
     pages: Column = F.max("page") + 1
     out = rows.groupBy("doc_id").agg(
         F.round(F.avg("conf") / 100, 4).alias("confidence"), pages.alias("pages"), opening(F.col("_mean") < 0.6).alias("_low"), (pages - opening(F.lit(True))).alias("empty_pages"),

@@ -83,3 +83,19 @@ def test_scores_have_one_exchange_of_the_blocks(spark):
     rows = spark.range(30).selectExpr("id % 3 AS doc_id", "CAST(id % 2 AS INT) AS page", "CAST(id AS INT) AS idx", "concat('1. ', id) AS text", "90 AS conf", "1 AS x", "CAST(id AS INT) AS y", "20 AS h")
     plan = scores.counts(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Join") == 0
+
+
+def test_scores_shuffle_no_text_and_count_symbols_as_the_pattern_does(spark):
+    from foliant.functions import text as T
+    from foliant.operators import scores
+
+    rng = random.Random(7)
+    lines = ["", None, *("".join(rng.choices("aé字🙂 \t٣0123456789.,;:()（）-+%/℃㎡", k=rng.randrange(1, 40))) + "x" * rng.randrange(60) for _ in range(300))]
+    df = spark.createDataFrame([(x,) for x in lines], "text string")
+    old = F.length(F.regexp_replace("text", T.TABLE_SYMBOLS, "")) / F.greatest(F.length("text"), F.lit(1)) > 0.25
+    got = df.select(T.dense_in_symbols(F.col("text")).alias("a"), old.alias("b"), T.list_item(F.col("text"))["type"].alias("c"), T.list_type(T.stripped(F.col("text"))).alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in got) and {r.a for r in got} == {True, False, None}
+    rows = spark.range(30).selectExpr("id % 3 AS doc_id", "CAST(id % 2 AS INT) AS page", "CAST(id AS INT) AS idx", "concat('1. ', id) AS text", "90 AS conf", "1 AS x", "CAST(id AS INT) AS y", "20 AS h")
+    plan = scores.counts(rows)._jdf.queryExecution().executedPlan()
+    below = plan.toString().split("Exchange", 1)[1].split("\n")[1]
+    assert "Project" in below and "text#" not in below.rsplit(" AS ", 1)[1] and "regexp_replace" not in plan.toString()
