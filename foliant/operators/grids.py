@@ -12,37 +12,44 @@ TABLE = ("doc_id", "page")
 SHOWN = 200
 
 
-def spans(cells: DataFrame, part: tuple[str, ...] = TABLE) -> DataFrame:
-    """part, row, col, rowspan, colspan and text of the cells that a table shows: every place of its grid lies in exactly one.
+def grids(cells: DataFrame, part: tuple[str, ...] = TABLE) -> DataFrame:
+    """part and cells, one row a table: row, col, rowspan, colspan and text of what it shows in order; every place of its grid lies in exactly one.
 
     cells: part, row, col (from 0) and text, one row a place at most; places without a row or with a blank
     text are empty. A cell reaches right over empty places to the next one with a text, then down over rows
     whose places up to its end are all empty. Cells of those rows lie to the right of it, so no two overlap.
-    Empty places that no cell reaches, at the start of a row, are cells of their own. All is by table: one exchange.
+    Empty places that no cell reaches, at the start of a row, are cells of their own. A table is gathered once,
+    and the rest is functions of its array: a task sorts its rows once and holds one table.
     """
-    table = Window.partitionBy(*part)
-    sized = cells.withColumns({"rows": F.max("row").over(table) + 1, "cols": F.max("col").over(table) + 1})
-    full = sized.withColumn("text", stripped(F.col("text"))).withColumn("_full", F.coalesce(F.col("text") != "", F.lit(False)))
-    # the places with a text in one array a table
-    texts = F.collect_list(F.when(F.col("_full"), F.struct("row", "col"))).over(table)
-    found = full.withColumn("_texts", texts).where("_full")
-    right = F.lead("col").over(Window.partitionBy(*part, "row").orderBy("col"))
-    end = F.coalesce(right, F.col("cols"))
+    place = F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "text")
+    size = lambda n: (F.max(n) + 1).cast("int")
+    full = F.collect_list(F.when(F.col("text") != "", place))
+    tables = cells.withColumn("text", stripped(F.col("text"))).groupBy(*part).agg(size("row").alias("_rows"), size("col").alias("_cols"), F.sort_array(full).alias("_texts"))
+
+    # the first text of each row that has one, and how far each text reaches to the right
+    first = F.filter("_texts", lambda x, i: ~F.get("_texts", i - 1)["row"].eqNullSafe(x["row"]))
+    right = lambda x, i: F.when(F.get("_texts", i + 1)["row"] == x["row"], F.get("_texts", i + 1)["col"]).otherwise(F.col("_cols"))
+    wide = F.transform("_texts", lambda x, i: F.struct(x["row"].alias("row"), x["col"].alias("col"), right(x, i).alias("end"), x["text"].alias("text")))
+    tables = tables.select(*part, "_rows", "_cols", first.alias("_first"), wide.alias("_wide"))
+
     # rows below stay in reach up to the first with a text left of the cell's end
-    barrier = F.array_min(F.transform(F.filter("_texts", lambda f: (f["row"] > F.col("row")) & (f["col"] < F.col("_end"))), lambda f: f["row"]))
-    shown = found.withColumn("_end", end).withColumn("_below", F.coalesce(barrier, F.col("rows")))
-    shown = shown.select(*part, "row", "col", (F.col("_below") - F.col("row")).cast("int").alias("rowspan"), (F.col("_end") - F.col("col")).cast("int").alias("colspan"), "text", "rows", "cols")
+    below = lambda x: F.coalesce(F.get(F.filter("_first", lambda f: (f["row"] > x["row"]) & (f["col"] < x["end"])), F.lit(0))["row"], F.col("_rows"))
+    shown = F.transform("_wide", lambda x: F.struct(x["row"].alias("row"), x["col"].alias("col"), (below(x) - x["row"]).alias("rowspan"), (x["end"] - x["col"]).alias("colspan"), x["text"].alias("text")))
+    tables = tables.select(*part, "_rows", "_cols", "_first", shown.alias("_shown"))
 
     # places at the start of rows, before the first text, that no cell from above covers
-    first = full.groupBy(*part).agg(F.max("rows").alias("rows"), F.max("cols").alias("cols"), F.collect_list(F.when(F.col("_full"), F.struct("row", "col"))).alias("_texts"))
-    rows = first.select(*part, "rows", "cols", "_texts", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
-    start = F.coalesce(F.array_min(F.transform(F.filter("_texts", lambda f: f["row"] == F.col("row")), lambda f: f["col"])), F.col("cols"))
-    leading = rows.withColumn("_start", start).where("_start > 0").select(*part, "row", F.explode(F.sequence(F.lit(0), F.col("_start") - 1)).alias("col"), F.lit(0).alias("_covered"))
-    reached = shown.where("rowspan > 1").select(*part, F.explode(F.sequence(F.col("row") + 1, F.col("row") + F.col("rowspan") - 1)).alias("row"), "col", "colspan")
-    reached = reached.select(*part, "row", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("colspan") - 1)).alias("col"), F.lit(1).alias("_covered"))
-    free = leading.unionByName(reached).groupBy(*part, "row", "col").agg(F.max("_covered").alias("_covered")).where("_covered = 0")
+    start = lambda r: F.coalesce(F.get(F.filter("_first", lambda f: f["row"] == r), F.lit(0))["col"], F.col("_cols"))
+    above = lambda r: F.filter("_shown", lambda s: (s["row"] < r) & (s["row"] + s["rowspan"] > r))
+    rows = F.transform(F.sequence(F.lit(0), F.col("_rows") - 1), lambda r: F.struct(r.alias("row"), F.slice(F.sequence(F.lit(0), F.col("_cols") - 1), 1, start(r)).alias("cols"), above(r).alias("above")))
+    open_ = lambda x: F.filter(x["cols"], lambda c: ~F.exists(x["above"], lambda s: (s["col"] <= c) & (s["col"] + s["colspan"] > c)))
     one = F.lit(1).alias
-    return shown.drop("rows", "cols").unionByName(free.select(*part, "row", "col", one("rowspan"), one("colspan"), F.lit("").alias("text")))
+    free = F.flatten(F.transform(rows, lambda x: F.transform(open_(x), lambda c: F.struct(x["row"].alias("row"), c.alias("col"), one("rowspan"), one("colspan"), F.lit("").alias("text")))))
+    return tables.select(*part, F.sort_array(F.concat("_shown", free)).alias("cells"))
+
+
+def spans(cells: DataFrame, part: tuple[str, ...] = TABLE) -> DataFrame:
+    """part, row, col, rowspan, colspan and text of the cells that a table shows: grids() in long form."""
+    return grids(cells, part).select(*part, F.inline("cells"))
 
 
 def escaped(text: Column) -> Column:
@@ -54,10 +61,17 @@ def escaped(text: Column) -> Column:
 
 def html(shown: DataFrame, part: tuple[str, ...] = TABLE, css: str = "table", most: int = SHOWN) -> DataFrame:
     """part and html: a table of spans() cells, its first row as the head if it has more than one; longer texts end in dots."""
-    text = F.concat(escaped(F.substring("text", 1, most)), F.when(F.length("text") > most, "...").otherwise(""))
-    span = lambda n: F.when(F.col(n) > 1, F.concat(F.lit(f' {n}="'), F.col(n).cast("string"), F.lit('"'))).otherwise("")
-    cell = F.concat(F.lit("<td"), span("rowspan"), span("colspan"), F.lit(">"), text, F.lit("</td>"))
-    tables = shown.withColumn("_last", F.col("row") + F.col("rowspan") - 1).groupBy(*part).agg(F.max("_last").alias("_last"), F.sort_array(F.collect_list(F.struct("row", "col", cell.alias("cell")))).alias("_cells"))
+    cells = F.sort_array(F.collect_list(F.struct("row", "col", "rowspan", "colspan", "text")))
+    return html_of(shown.groupBy(*part).agg(cells.alias("cells")), part, css, most)
+
+
+def html_of(tables: DataFrame, part: tuple[str, ...] = TABLE, css: str = "table", most: int = SHOWN) -> DataFrame:
+    """html() of the rows of grids(), a table each; none is gathered again."""
+    text = lambda c: F.concat(escaped(F.substring(c["text"], 1, most)), F.when(F.length(c["text"]) > most, "...").otherwise(""))
+    span = lambda c, n: F.when(c[n] > 1, F.concat(F.lit(f' {n}="'), c[n].cast("string"), F.lit('"'))).otherwise("")
+    cell = lambda c: F.concat(F.lit("<td"), span(c, "rowspan"), span(c, "colspan"), F.lit(">"), text(c), F.lit("</td>"))
+    last = F.array_max(F.transform("cells", lambda c: c["row"] + c["rowspan"] - 1))
+    tables = tables.select(*part, last.alias("_last"), F.transform("cells", lambda c: F.struct(c["row"].alias("row"), cell(c).alias("cell"))).alias("_cells"))
     of_row = lambda r: F.concat_ws("\n", F.lit("<tr>"), F.transform(F.filter("_cells", lambda c: c["row"] == r), lambda c: c["cell"]), F.lit("</tr>"))
     rows = F.transform(F.sequence(F.lit(0), F.col("_last")), of_row)
     many = F.col("_last") > 0

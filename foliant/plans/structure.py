@@ -303,7 +303,7 @@ SELECT doc_id, page, concat_ws(chr(10), '<table class="table">', CASE WHEN any_v
 def table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's ten lines as a grid of four columns, some of its places empty."""
     cells = blocks(spark, sf_dir).selectExpr("doc_id", "page", "CAST((idx % 10) div 4 AS INT) AS row", "CAST((idx % 10) % 4 AS INT) AS col", f"{CELLS} AS text")
-    return G.html(G.spans(cells))
+    return G.html_of(G.grids(cells))
 
 
 @query("similarity_fuzzy")

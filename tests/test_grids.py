@@ -59,6 +59,26 @@ def test_html(spark):
     assert got[2] == "\n".join(['<table class="table">', "<tbody>", "<tr>", "<td>only</td>", "</tr>", "</tbody>", "</table>"])
 
 
+def test_a_table_is_gathered_once(spark, sf_dir):
+    """One sort's worth of rows a task: the lines are read and dealt once, and no window, second branch or second gathering holds them beside it."""
+    import __spark_entry__ as E
+
+    plan = E.queries()["table_html"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert [plan.count(x) for x in ("FileScan", "Exchange", "Window", "Sort ", "Union", "ObjectHashAggregate")] == [1, 1, 0, 0, 0, 2]
+    assert plan.count("trim(") == 1
+
+
+def test_wide_and_long_tables_with_few_texts(spark):
+    rng = random.Random(3)
+    tables = {t: {(r, c): "x" if rng.random() < share else "" for r in range(rows) for c in range(cols)} for t, (rows, cols, share) in enumerate([(40, 3, 0.1), (3, 40, 0.1), (25, 25, 0.02), (25, 25, 0.9), (12, 12, 0.0)])}
+    df = spark.createDataFrame([(t, 0, r, c, text) for t, places in tables.items() for (r, c), text in places.items()], SCHEMA).cache()
+    got: dict = {}
+    for x in G.spans(df).collect():
+        got.setdefault(x.doc_id, set()).add((x.row, x.col, x.rowspan, x.colspan, x.text))
+    assert got == {t: brute(p) for t, p in tables.items()}
+    assert sorted(G.html_of(G.grids(df)).collect()) == sorted(G.html(G.spans(df)).collect())
+
+
 @pytest.mark.parametrize(("x", "w", "width", "middle"), [(100, 200, 400, True), (0, 100, 400, False), (141, 100, 400, True), (139, 100, 400, True), (161, 100, 400, True), (200, 100, 400, False), (0, 10, 0, False)])
 def test_places_are_the_same_in_all_three_forms(spark, x, w, width, middle):
     y, h = 40, 20
